@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_exact_dedup": exact_dedup.op8_exact_dedup}
+    return {
+        "op6_quality_rules": quality.op6_quality_rules,
+        "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    }
 
 
 def oracles() -> dict[str, str]:
