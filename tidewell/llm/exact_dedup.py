@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, materialize, table
+from .shared import anti_join_bounded, ascii_lower, materialize, table
 
 KEY = ["digest", "n_bytes", "check"]
 
@@ -54,7 +54,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     dropped = exact_dedup(docs, id_col, text_col, keep).filter("not kept").select(id_col).distinct()
-    return docs.join(dropped, id_col, "left_anti")
+    return anti_join_bounded(docs, materialize(dropped, "dropped"), id_col)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

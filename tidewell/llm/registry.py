@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality
+from . import exact_dedup, near_dedup, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_quality_rules": quality.op6_quality_rules,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     }
 
 

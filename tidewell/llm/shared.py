@@ -61,6 +61,11 @@ def semi_join_bounded(left: DataFrame, ids: DataFrame, on: str, bound: int = 400
     return left.join(F.broadcast(ids) if rows_within(ids, bound) else ids, on, "left_semi")
 
 
+def anti_join_bounded(left: DataFrame, ids: DataFrame, on: str, bound: int = 400_000) -> DataFrame:
+    """Left anti join with the same rule."""
+    return left.join(F.broadcast(ids) if rows_within(ids, bound) else ids, on, "left_anti")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
     """Connected components: one row (node, component) per linked node.
 
