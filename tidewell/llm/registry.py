@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup, quality, suffix_dedup
+import corpus_pipeline
+
+from . import exact_dedup, near_dedup, packing, quality, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_suffix_array_dedup": suffix_dedup.op3_suffix_array_dedup,
         "op6_quality_rules": quality.op6_quality_rules,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_packing": packing.op9_packing,
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
