@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import exact_dedup, near_dedup, packing, quality, suffix_dedup
+from . import bpe, exact_dedup, near_dedup, packing, quality, sharding, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_sharding": sharding.op2_sharding,
+        "op4_bpe": bpe.op4_bpe,
         "op3_suffix_array_dedup": suffix_dedup.op3_suffix_array_dedup,
         "op6_quality_rules": quality.op6_quality_rules,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
