@@ -6,11 +6,17 @@
    count of two sketches estimates their similarity.
 2. Documents with equal sets form classes; only one document of each class goes
    on, so a large group of copies costs one row per copy.
-3. In each band bucket every class is compared with the bucket's smallest
-   document first (a star, so rows stay linear in the bucket), links are confirmed
-   on full sets, and components are found. Only buckets that still hold two or
-   more components need pairs across them; those that the odd sketches put far
-   below the bound are dropped, the rest are confirmed on full sets too.
+3. In each band bucket every class is compared with four members only (the smallest
+   and the largest id, and two drawn by hash), so rows stay linear in the bucket;
+   with ``bands`` buckets per document that is a wide choice of members. Links are
+   confirmed on full sets, and components are found.
+4. Only buckets that still hold two or more components need pairs across them.
+
+Two screens drop pairs before full sets are fetched. The XOR population count of
+the parity bitmaps of two full sets never exceeds the size of their symmetric
+difference, so a count above a seventh of both sizes proves that a pair is below
+0.75: nothing is lost by it. The odd sketches of the MinHash samples estimate the
+similarity of larger sets too; they drop a pair only far below the bound.
 
 With ``rows`` r and ``bands`` b, a pair at similarity s is missed in all bands with
 probability (1 - s**r)**b: below 1e-7 at 0.75 with the defaults, and far less
@@ -41,6 +47,8 @@ BOUND = 75
 BANDS, ROWS = 30, 3
 #: Words of 64 bits of an odd sketch.
 SKETCH = 4
+#: Words of 64 bits of the parity bitmap of a full set.
+PARITY = 16
 #: A pair is dropped without confirmation only if its estimate is this far below.
 SCREEN = 0.40
 
@@ -75,6 +83,15 @@ def minhash(sets: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 4096) -
     return out
 
 
+def _bits(flags: np.ndarray) -> np.ndarray:
+    return np.packbits(flags, axis=1, bitorder="little").view(np.int64)
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width), pa.int32()), pa.array(np.ascontiguousarray(rows).reshape(-1)))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per document: id, n, fingerprint (f1, f2), band keys, odd sketch words."""
     a, b = _family(bands * rows)
@@ -85,39 +102,46 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, ro
             n = len(off) - 1
             size, f1, f2 = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             mins = np.zeros((n, bands * rows), np.uint32)
+            full = np.zeros((n, 64 * PARITY), np.uint8)
             for i, s in enumerate(shingle_sets(buf, off)):
                 size[i] = len(s)
                 if len(s):
                     f1[i], f2[i] = s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + U64(11)))
                     mins[i] = minhash(s, a, b)
+                    full[i] = np.bincount((s & U64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
             seeded = mix(mins.astype(np.uint64) ^ salts)
             keys = np.zeros((n, bands), np.uint64)
             for k in range(rows):
                 keys = keys * U64(0xFF51AFD7ED558CCD) + seeded[:, k::rows]
             keys = mix(keys)
             bit = (seeded & U64(64 * SKETCH - 1)).astype(np.int64)
-            parity = np.zeros((n, 64 * SKETCH), np.uint8)
-            np.add.at(parity, (np.arange(n)[:, None], bit), 1)
-            odd = np.packbits(parity & 1, axis=1, bitorder="little").view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-            words64 = pa.ListArray.from_arrays(pa.array(np.arange(0, n * SKETCH + 1, SKETCH), pa.int32()), pa.array(np.ascontiguousarray(odd).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists, words64], ["id", "n", "f1", "f2", "keys", "odd"])
+            folded = np.zeros((n, 64 * SKETCH), np.uint8)
+            np.add.at(folded, (np.arange(n)[:, None], bit), 1)
+            made = [part.column(0), pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), _lists(keys.view(np.int64)), _lists(_bits(folded & 1)), _lists(_bits(full))]
+            yield pa.RecordBatch.from_arrays(made, ["id", "n", "f1", "f2", "keys", "odd", "parity"])
 
     lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return lean.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, f1 long, f2 long, keys array<long>, odd array<long>")
+    return lean.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, f1 long, f2 long, keys array<long>, odd array<long>, parity array<long>")
 
 
-def estimate(a: Column, b: Column, samples: int) -> Column:
-    """Similarity estimated from two odd sketches of ``samples`` MinHash values."""
-    size = 64 * SKETCH
-    differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, SKETCH)), F.bit_count(a[0].bitwiseXOR(b[0])))
-    rest = F.greatest(F.lit(1.0) - 2.0 * differ / F.lit(size), F.lit(1e-6))
-    return F.lit(1.0) + F.lit(size / (4.0 * samples)) * F.log(rest)
+def differing(a: Column, b: Column, size: int) -> Column:
+    """Bits in which two bitmaps of ``size`` longs differ."""
+    out = F.bit_count(a[0].bitwiseXOR(b[0]))
+    for i in range(1, size):
+        out = out + F.bit_count(a[i].bitwiseXOR(b[i]))
+    return out
 
 
-def long_enough(a: Column, b: Column) -> Column:
-    """Whether sets of these sizes can be similar enough at all."""
-    return 100 * F.least(a, b) >= BOUND * F.greatest(a, b)
+def may_link(x: str, y: str, samples: int) -> Column:
+    """Whether two sketched sets can be similar enough: sizes, parity bitmaps, odd sketches."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    sizes = 100 * F.least(n, m) >= BOUND * F.greatest(n, m)
+    # similarity >= BOUND / 100 means a symmetric difference of at most this
+    proof = differing(F.col(f"{x}.parity"), F.col(f"{y}.parity"), PARITY) * (100 + BOUND) <= (n + m) * (100 - BOUND)
+    bits = 64 * SKETCH
+    rest = F.greatest(F.lit(1.0) - 2.0 * differing(F.col(f"{x}.odd"), F.col(f"{y}.odd"), SKETCH) / F.lit(bits), F.lit(1e-6))
+    estimate = F.lit(1.0) + F.lit(bits / (4.0 * samples)) * F.log(rest)
+    return sizes & proof & (estimate >= SCREEN)
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
@@ -144,22 +168,27 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = materialize(sketches(docs, id_col, text_col, bands, rows), "sketches")
     some = made.filter("n > 0 AND id IS NOT NULL")
     classes = materialize(some.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "classes")
-    reps = some.join(classes, ["n", "f1", "f2"]).filter("id = rep").dropDuplicates(["rep"])
-    banded = reps.select("rep", "n", "odd", F.posexplode("keys").alias("band", "key"))
-    shared = banded.groupBy("band", "key").agg(F.min("rep").alias("leader"), F.min_by("n", "rep").alias("leader_n"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    reps = materialize(some.join(classes, ["n", "f1", "f2"]).filter("id = rep").dropDuplicates(["rep"]).select("rep", "n", "keys", "odd", "parity"), "reps")
+    sketch = reps.select("rep", "n", "odd", "parity")
+    banded = reps.select("rep", F.posexplode("keys").alias("band", "key"))
+    drawn = F.xxhash64("rep", "band")
+    probes = F.array_distinct(F.array(F.min("rep"), F.max("rep"), F.min_by("rep", drawn), F.max_by("rep", drawn)))
+    shared = banded.groupBy("band", "key").agg(probes.alias("probes"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     buckets = materialize(banded.join(shared.drop("members"), ["band", "key"]), "buckets")
-    stars = buckets.filter(F.col("rep") != F.col("leader")).filter(long_enough(F.col("n"), F.col("leader_n")))
-    stars = materialize(stars.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    stars = buckets.select("rep", F.explode("probes").alias("probe")).filter("rep <> probe")
+    stars = stars.select(F.least("rep", "probe").alias("a"), F.greatest("rep", "probe").alias("b")).distinct()
+    x, y = sketch.alias("x"), sketch.alias("y")
+    stars = stars.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).filter(may_link("x", "y", bands * rows)).select("a", "b")
+    stars = materialize(stars, "stars")
     links = materialize(confirm(docs, stars, id_col, text_col, "stars"), "links")
     found = components(links, name="stars")
 
-    placed = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", "n", "odd", F.coalesce("component", "rep").alias("component"))
+    placed = buckets.drop("probes").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key")
-    left = materialize(placed.join(mixed, ["band", "key"]), "mixed")
+    left = materialize(placed.join(mixed, ["band", "key"]).join(sketch, "rep"), "mixed")
     x, y = left.alias("x"), left.alias("y")
     across = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
-    across &= long_enough(F.col("x.n"), F.col("y.n")) & (estimate(F.col("x.odd"), F.col("y.odd"), bands * rows) >= SCREEN)
-    more = x.join(y, across).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    more = x.join(y, across & may_link("x", "y", bands * rows)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = materialize(more, "across")
     if not more.isEmpty():
         links = materialize(links.unionByName(confirm(docs, more, id_col, text_col, "across")), "all-links")
