@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, near_dedup, packing, quality, sharding, suffix_dedup
+from . import bpe, exact_dedup, near_dedup, packing, quality, sharding, suffix_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": warc.op1_warc,
         "op2_sharding": sharding.op2_sharding,
         "op4_bpe": bpe.op4_bpe,
         "op3_suffix_array_dedup": suffix_dedup.op3_suffix_array_dedup,
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
