@@ -42,10 +42,10 @@ TARGET_BROADCAST = 400_000
 MIN_WORDS, MAX_REPEATED = 50, 50
 
 
-def grams(buf: np.ndarray, off: np.ndarray, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def grams(buf: np.ndarray, off: np.ndarray, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order: buckets of the n-grams, and where each document's begin."""
     codes = buf.astype(np.uint64)
-    for n in ORDERS:
+    for n in orders:
         if len(buf) < n:
             yield np.zeros(0, np.int64), np.zeros(len(off), np.int64)
             continue

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, near_dedup, packing, quality, sharding, suffix_dedup, warc
+from . import bpe, exact_dedup, html_text, language, near_dedup, packing, quality, sharding, suffix_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": sharding.op2_sharding,
         "op4_bpe": bpe.op4_bpe,
         "op3_suffix_array_dedup": suffix_dedup.op3_suffix_array_dedup,
+        "op5_html_extraction": html_text.op5_html_extraction,
+        "op7_language_id": language.op7_language_id,
         "op6_quality_rules": quality.op6_quality_rules,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_packing": packing.op9_packing,
