@@ -13,9 +13,9 @@ the second a few direct look-ups, so the time is linear in the cut points.
 What is left at the end of a block goes on to the next one; padding that no choice
 avoids occurs once per partition.
 
-Tokens: the words between ASCII white space are encoded once per block by the
-tokenizers library (white space never joins tokens in the vocabulary used), then
-put together by array look-ups.
+Tokens: the words between ASCII white space are encoded once by the tokenizers
+library (white space never joins tokens in the vocabulary used), kept from block
+to block up to a bound, and put together by array look-ups.
 
 Defined results: null text is empty and has the end token alone; repeated rows
 are packed each; ids of any type, null too, are handed through; an empty table gives
@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytescan import pieces, ragged
+from .bytescan import IS_SPACE, LOWER, pieces, ragged, text_buffer, words
 from .shared import table
 
 WINDOW = 4096
@@ -46,6 +46,9 @@ END_ID = 2
 PER_SEQUENCE, AT_SENTENCE, ELSEWHERE = 64, 8, 512
 #: Bytes of text worked off at a time.
 BLOCK = 16 << 20
+#: Words whose ids a task keeps from block to block.
+KEPT_WORDS = 1_000_000
+_CLOSING = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 _MARK = "\x01"
 
 
@@ -62,6 +65,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.mark = self.ids(_MARK)
+        self.forget()
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -85,6 +89,29 @@ class WordEncoder:
             sizes.append(size)
         return self._joined(found, sizes)
 
+    def lookup(self, some: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each of these distinct words where its ids start and how many they are.
+
+        Words are kept from block to block; beyond ``KEPT_WORDS`` the store starts anew.
+        """
+        if len(self.known) > KEPT_WORDS:
+            self.forget()
+        at = pc.index_in(some, value_set=self.known)
+        new = some.filter(at.is_null())
+        if len(new):
+            ids, offsets = self.encode(new.to_pylist())
+            self.start = np.concatenate((self.start, offsets[:-1] + len(self.store)))
+            self.size = np.concatenate((self.size, np.diff(offsets)))
+            self.store = np.concatenate((self.store, ids))
+            self.known = pa.concat_arrays([self.known, new])
+            at = pc.index_in(some, value_set=self.known)
+        at = at.to_numpy(zero_copy_only=False).astype(np.int64)
+        return self.store, self.start[at], self.size[at]
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.store = self.start = self.size = np.zeros(0, np.int64)
+
     def one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [np.array(self.ids(w), np.int64) for w in words]
         return self._joined(found, [np.array([len(x) for x in found], np.int64)])
@@ -96,27 +123,45 @@ class WordEncoder:
         return ids, np.concatenate(([0], np.cumsum(size)))
 
 
-def tokens(text: pa.Array, encoder: WordEncoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _parts(buf: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Parts of the texts that are tokenised apart, and the first part of each document.
+
+    Words between ASCII white space; a single closing mark after a letter is a
+    part of its own, as the vocabulary's pattern cuts there too. A-Z are folded,
+    which the vocabulary does itself, but not where a special token may stand.
+    """
+    low = LOWER[buf]
+    if (at := np.flatnonzero((buf[:-1] == 0x3C) & (buf[1:] == 0x7C))).size:
+        for k in np.unique(np.searchsorted(off, at, "right") - 1):
+            low[off[k] : off[k + 1]] = buf[off[k] : off[k + 1]]
+    start, end, _ = words(low, off)
+    size = end - start
+    last = np.maximum(end - 1, 0)
+    before, ahead = low[np.maximum(last - 1, 0)], low[np.maximum(last - 2, 0)]
+    letter = (before >= 0x61) & (before <= 0x7A)
+    letter |= (size > 2) & (ahead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+    cut = np.flatnonzero(_CLOSING[low[last]] & letter & (size > 1)) if len(start) else np.zeros(0, np.int64)
+    inner = last[cut]
+    start, end = np.insert(start, cut + 1, inner), np.insert(end, cut, inner)
+    offsets = np.concatenate(([0], np.cumsum(end - start)))
+    data = low[~IS_SPACE[low]]
+    return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]), np.searchsorted(start, off)
+
+
+def tokens(buf: np.ndarray, off: np.ndarray, encoder: WordEncoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all documents, offsets of the documents, and positions after sentences."""
-    lists = pc.ascii_split_whitespace(text.cast(pa.large_string()).fill_null(""))
-    flat = lists.flatten()
-    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    full = pc.greater(pc.binary_length(flat), 0)
-    owner = np.repeat(np.arange(len(sizes)), sizes)[full.to_numpy(zero_copy_only=False)]
-    coded = flat.filter(full).dictionary_encode()
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
-    ids, at = encoder.encode(coded.dictionary.to_pylist())
-    ids, at = np.append(ids, END_ID), np.append(at, len(ids) + 1)
+    parts, first = _parts(buf, off)
+    coded = parts.dictionary_encode()
+    ids, start, size = encoder.lookup(coded.dictionary)
     ends = pc.match_substring_regex(coded.dictionary, r"[.!?][\"')\]]*$").to_numpy(zero_copy_only=False)
-    word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    closes = np.searchsorted(owner, np.arange(len(sizes)), "right")
-    word = np.insert(word, closes, len(at) - 2)
-    size = np.diff(at)[word]
+    # the closing token is one more entry behind the known ones
+    ids, start, size, ends = np.append(ids, END_ID), np.append(start, len(ids)), np.append(size, 1), np.append(ends, False)
+    word = np.insert(coded.indices.to_numpy(zero_copy_only=False), first[1:], len(start) - 1)
+    size = size[word]
     after = np.cumsum(size)
-    stream = ids[ragged(at[word], size)].astype(np.uint32)
-    offsets = np.concatenate(([0], after[closes + np.arange(len(sizes))]))
-    return stream, offsets, after[np.append(ends, False)[word]]
+    stream = ids[ragged(start[word], size)].astype(np.uint32)
+    offsets = np.concatenate(([0], after[first[1:] + np.arange(len(off) - 1)]))
+    return stream, offsets, after[ends[word]]
 
 
 def plan(points: np.ndarray, cost: np.ndarray, window: int = WINDOW, free_end: bool = False) -> np.ndarray:
@@ -187,7 +232,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             if held:
                 t = pa.Table.from_batches(held).combine_chunks()
                 ids = t.column(0).combine_chunks()
-                stream, off, sentences = tokens(t.column(1).combine_chunks(), encoder)
+                stream, off, sentences = tokens(*text_buffer(t.column(1)), encoder)
             else:
                 ids, stream, off, sentences = None, np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
             held.clear()
