@@ -7,7 +7,7 @@ import importlib
 from .registry import ORACLES, QUERIES, Query
 
 #: Modules whose import registers queries.
-MODULES: list[str] = []
+MODULES: list[str] = ["q_rows"]
 
 
 def _load() -> None:
