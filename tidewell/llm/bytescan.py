@@ -7,6 +7,7 @@ document is longer), and nothing is kept between batches.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,7 +62,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut Arrow batches so that each piece holds about ``max_bytes`` of text."""
     for batch in batches:
         buf, off = text_buffer(batch.column(batch.schema.get_field_index(text)))
@@ -70,6 +71,16 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 2 << 2
             j = max(i + 1, int(np.searchsorted(off, off[i] + max_bytes, "right")) - 1)
             yield batch.slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i]
             i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
 
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytescan import IS_SPACE, LOWER, pieces, ragged, text_buffer, words
+from .bytescan import IS_SPACE, LOWER, give_back, pieces, ragged, text_buffer, words
 from .shared import table
 
 WINDOW = 4096
@@ -45,7 +45,7 @@ END_ID = 2
 #: Costs in tokens of padding: any sequence, a cut at a sentence end, a cut elsewhere.
 PER_SEQUENCE, AT_SENTENCE, ELSEWHERE = 64, 8, 512
 #: Bytes of text worked off at a time.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Words whose ids a task keeps from block to block.
 KEPT_WORDS = 1_000_000
 _CLOSING = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
@@ -273,6 +273,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 yield from work(False)
                 size = 0
         yield from work(True)
+        give_back()
 
     lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()

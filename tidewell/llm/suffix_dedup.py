@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytescan import mix, powers, prefix_hash, ragged, span_hash, text_buffer
+from .bytescan import give_back, mix, powers, prefix_hash, ragged, span_hash, text_buffer
 from .shared import materialize, table
 
 U64 = np.uint64
@@ -51,7 +51,7 @@ GRAM = 16
 #: Bytes of text per bucket, and the fewest buckets.
 BUCKET_BYTES, FEWEST = 8 << 20, 64
 #: Bytes parsed at a time (or one document), and texts gathered before dealing.
-PIECE, GATHER = 1 << 19, 32 << 20
+PIECE, GATHER = 1 << 19, 16 << 20
 _PLACE = U64((1 << 28) - 1)
 _CODEC = pa.Codec("zstd", compression_level=1)
 LAST_ID = np.iinfo(np.int64).max
@@ -138,6 +138,7 @@ _TEXT, _WHOLE, _FETCH, _PART = 0, 1, 2, 3
 
 
 def _rows(parts: Iterator[pa.RecordBatch]) -> pa.Table:
+    give_back()
     return pa.Table.from_batches(list(parts), _ROW_SCHEMA)
 
 
@@ -334,6 +335,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             removed, spans = (np.concatenate(([0], np.cumsum(x))) for x in (gone, head))
             sha = [hashlib.sha256((buf[a:b][~gone[a:b]] if removed[b] > removed[a] else buf[a:b]).tobytes()).hexdigest() for a, b in zip(off[:-1], off[1:])]
             out.append(pa.Table.from_arrays([rows.column(id_col), pa.array(np.diff(off)), pa.array(removed[off[1:]] - removed[off[:-1]]), pa.array(spans[off[1:]] - spans[off[:-1]]), pa.array(sha)], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]))
+        give_back()
         return pa.concat_tables(out) if out else digest_schema.empty_table()
 
     def edited_rows(t: pa.Table) -> pa.Table:
@@ -349,6 +351,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             nulls = rows.column(k).is_null().combine_chunks()
             text = pa.compute.if_else(nulls, pa.scalar(None, pa.large_string()), text).cast(rows.schema.field(k).type)
             out.append(rows.set_column(k, rows.schema.field(k), text))
+        give_back()
         return pa.concat_tables(out) if out else row_schema.empty_table()
 
     from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
