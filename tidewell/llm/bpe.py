@@ -10,8 +10,8 @@ none is left it takes back the token before. Places that failed are marked, so e
 is left at most once per token length and time stays linear in the text.
 
 Texts are cut where a non-space is followed by white space, which is always a
-border of the vocabulary's pattern. Equal parts are encoded once per block; ids,
-their decimal form and decoded bytes are then put together by array look-ups.
+border of the vocabulary's pattern. Equal parts are encoded once per task (up to a
+bound); ids, their decimal form and decoded bytes are put together by array look-ups.
 
 Defined results: null text is empty; special tokens in a text become their ids, as
 the library does by default; repeated rows are encoded each; an empty table gives
@@ -26,15 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytescan import pieces, ragged
+from .bytescan import IS_SPACE, pieces, ragged
 from .shared import table
 
 #: The pattern that cuts text into pieces before merging, fixed by the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BLOCK = 4 << 20
+BLOCK = 2 << 20
+#: Parts whose ids a task keeps from block to block.
+KEPT_PARTS = 600_000
+_CLOSING = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 
 
 def byte_alphabet() -> list[str]:
@@ -78,10 +82,11 @@ class Codec:
                 self.parts.setdefault(whole, pair)
         self.born = {i: self.rank[p] for i, p in self.parts.items()}
         self.allowed: dict[tuple[int, int], bool] = {}
-        self.automaton = ahocorasick.Automaton()
+        self.automaton, self.reached = ahocorasick.Automaton(), {}
         for word, i in ids.items():
             if len(word) == 1 or i in self.parts:
                 self.automaton.add_word(word, (len(word), i))
+                self.reached[word] = i
         self.automaton.make_automaton()
         self.pattern = regex.compile(PATTERN)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -121,10 +126,8 @@ class Codec:
         """Token ids of one piece, written in the vocabulary's letters."""
         n = len(word)
         at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (size, i) in self.automaton.iter(word):
+        for end, (size, i) in self.automaton.iter(word):  # by rising end, so by rising size at each place
             at[end - size + 1].append((size, i))
-        for found in at:
-            found.sort()
         blocked = [False] * (n + 1)
         tokens: list[int] = []
         choices: list[int] = []  # the next shorter choice at each place taken
@@ -160,9 +163,18 @@ class Codec:
         return self.encode_plain(text)
 
     def encode_plain(self, text: str) -> list[int]:
-        letters, out = self.letters, []
-        for piece in self.pattern.findall(text):
-            out += self.merge("".join([letters[b] for b in piece.encode()]))
+        letters = self.letters
+        if text.removeprefix(" ").isalpha():
+            pieces = [text]  # letters alone are one piece
+        else:
+            pieces = self.pattern.findall(text)
+        out = []
+        for piece in pieces:
+            word = "".join([letters[b] for b in piece.encode()])
+            if (i := self.reached.get(word)) is not None:
+                out.append(i)  # the longest match is the whole piece
+            else:
+                out += self.merge(word)
         return out
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
@@ -174,58 +186,85 @@ def parts_of(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Starts of the parts of each document that can be encoded apart.
 
     A part starts where white space follows a byte that surely is no white
-    space: printable ASCII or the end of a two-byte letter.
+    space: printable ASCII or the end of a two-byte letter. A closing mark between
+    a letter and white space is a part too: letters and marks never share a piece.
     """
     start = np.zeros(len(buf) + 1, bool)
     if len(buf) > 1:
-        space = (buf == 0x20) | ((buf >= 0x09) & (buf <= 0x0D))
-        sure = (buf > 0x20) & (buf < 0x7F)
-        sure[1:] |= (buf[1:] >= 0x80) & (buf[:-1] >= 0xC3) & (buf[:-1] < 0xE0)
-        start[1:-1] = space[1:] & sure[:-1]
+        space = IS_SPACE[buf]
+        letter = (buf | 0x20 >= 0x61) & (buf | 0x20 <= 0x7A)
+        two = np.zeros(len(buf), bool)
+        two[1:] = (buf[1:] >= 0x80) & (buf[:-1] >= 0xC3) & (buf[:-1] < 0xE0)
+        start[1:-1] = space[1:] & ((buf > 0x20) & (buf < 0x7F) | two)[:-1]
+        latin = two.copy()
+        latin[1:] &= (buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+        start[1:-2] |= _CLOSING[buf[1:-1]] & (letter | latin)[:-2] & space[2:]
     start[off] = True
     return np.flatnonzero(start)
 
 
+class PartStore:
+    """Ids of parts met so far in a task; beyond ``KEPT_PARTS`` it starts anew."""
+
+    def __init__(self, codec: Codec) -> None:
+        self.codec = codec
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.ids = self.start = self.size = np.zeros(0, np.int64)
+
+    def lookup(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Start and number of the ids (in ``self.ids``) of each of these distinct parts."""
+        if len(self.known) > KEPT_PARTS:
+            self.forget()
+        at = pc.index_in(parts, value_set=self.known)
+        new = parts.filter(at.is_null())
+        if len(new):
+            made = [self.codec.encode(w) for w in new.to_pylist()]
+            size = np.array([len(x) for x in made], np.int64)
+            self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(size) - size))
+            self.size = np.concatenate((self.size, size))
+            self.ids = np.concatenate((self.ids, np.array([i for x in made for i in x], np.int64)))
+            self.known = pa.concat_arrays([self.known, new])
+            at = pc.index_in(parts, value_set=self.known)
+        at = at.to_numpy(zero_copy_only=False).astype(np.int64)
+        return self.start[at], self.size[at]
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Per document: id, n_tokens, ids_sha256, decoded_sha256, and the ids if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(tokenizer_path)
-        decimal = np.array([str(i) for i in range(len(codec.length))], dtype=object)
+        store = PartStore(codec)
+        decimal = [f"{i},".encode() for i in range(len(codec.length))]
+        digits = np.frombuffer(b"".join(decimal), np.uint8)
+        digits_n = np.array([len(x) for x in decimal], np.int64)
+        digits_at = np.cumsum(digits_n) - digits_n
         special = [s.encode() for s in codec.special]
         for part, buf, off in pieces(batches, "text", BLOCK):
-            cuts = parts_of(buf, off)
-            if any(s in memoryview(buf).tobytes() for s in special):
-                cuts = np.unique(off)  # a special token may hold a space: whole documents then
-            cuts = cuts[cuts < len(buf)]
-            offsets = np.append(cuts, len(buf)).astype(np.int64)
-            words = pa.Array.from_buffers(pa.large_string(), len(cuts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(buf.tobytes())])
-            coded = words.dictionary_encode()
-            made = [codec.encode(w) for w in coded.dictionary.to_pylist()]
-            size = np.array([len(x) for x in made], np.int64)
-            at = np.concatenate(([0], np.cumsum(size)))
-            flat = np.array([i for x in made for i in x], np.int64)
-            texts = [",".join(decimal[x]) for x in made]
-            word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            first = np.searchsorted(cuts, off)
-            after = np.concatenate(([0], np.cumsum(size[word])))
-            stream = flat[ragged(at[word], size[word])]
+            raw = buf.tobytes()
+            # a special token may hold a space: then documents are not cut
+            cuts = np.unique(off) if any(s in raw for s in special) else parts_of(buf, off)
+            offsets = np.append(cuts[cuts < len(buf)], len(buf)).astype(np.int64)
+            coded = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)]).dictionary_encode()
+            start, size = store.lookup(coded.dictionary)
+            word = coded.indices.to_numpy(zero_copy_only=False)
+            start, size = start[word], size[word]
+            after = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(offsets[:-1], off)]
+            stream = store.ids[ragged(start, size)]
             decoded = codec.decode(stream)
-            reach = np.concatenate(([0], np.cumsum(codec.length[stream])))
-            n, ids_sha, text_sha, lists = [], [], [], []
-            word = word.tolist()
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-                x, y = after[a], after[b]
-                n.append(int(y - x))
-                ids_sha.append(hashlib.sha256(",".join([texts[w] for w in word[a:b]]).encode()).hexdigest())
-                raw = decoded[reach[x] : reach[y]].tobytes()
-                text_sha.append(hashlib.sha256(raw).hexdigest())
-                if with_ids:
-                    lists.append(stream[x:y])
-            out = [part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            reach = np.concatenate(([0], np.cumsum(codec.length[stream])))[after]
+            width = digits_n[stream]
+            shown = digits[ragged(digits_at[stream], width)]
+            upto = np.concatenate(([0], np.cumsum(width)))[after]
+            ids_sha = [hashlib.sha256(shown[a : max(a, b - 1)]).hexdigest() for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+            text_sha = [hashlib.sha256(decoded[a:b]).hexdigest() for a, b in zip(reach[:-1].tolist(), reach[1:].tolist())]
+            out = [part.column(0), pa.array(np.diff(after)), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                out.append(pa.array(lists, pa.list_(pa.int64())))
+                out.append(pa.ListArray.from_arrays(pa.array(after, pa.int32()), pa.array(stream)))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names)
 
