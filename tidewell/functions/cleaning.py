@@ -50,3 +50,11 @@ def sanitize(df: DataFrame, timestamps_as_text: bool = False) -> DataFrame:
 def share(part: Column, whole: Column) -> Column:
     """Percentage, null over an empty whole."""
     return F.try_divide(F.lit(100.0) * part, whole)
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation of the complete pairs; null where a side does not vary."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.try_divide(F.covar_pop(a, b), spread))
