@@ -7,7 +7,7 @@ import importlib
 from .registry import ORACLES, QUERIES, Query
 
 #: Modules whose import registers queries.
-MODULES: list[str] = ["q_charts", "q_profile", "q_rows", "q_sql"]
+MODULES: list[str] = ["q_assoc", "q_charts", "q_profile", "q_rows", "q_sql"]
 
 
 def _load() -> None:
