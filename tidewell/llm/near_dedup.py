@@ -6,10 +6,11 @@
    count of two sketches estimates their similarity.
 2. Documents with equal sets form classes; only one document of each class goes
    on, so a large group of copies costs one row per copy.
-3. In each band bucket every class is compared with four members only (the smallest
-   and the largest id, and two drawn by hash), so rows stay linear in the bucket;
-   with ``bands`` buckets per document that is a wide choice of members. Links are
-   confirmed on full sets, and components are found.
+3. In each band bucket every class is compared with one member only (the smallest
+   id); links are confirmed on full sets, and components are found. Classes that are
+   not yet in their bucket's component are compared with two members drawn by hash.
+   Rows stay linear in the bucket, and with ``bands`` buckets per document that is a
+   wide choice of members.
 4. Only buckets that still hold two or more components need pairs across them.
 
 Two screens drop pairs before full sets are fetched. The XOR population count of
@@ -172,23 +173,32 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketch = reps.select("rep", "n", "odd", "parity")
     banded = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     drawn = F.xxhash64("rep", "band")
-    probes = F.array_distinct(F.array(F.min("rep"), F.max("rep"), F.min_by("rep", drawn), F.max_by("rep", drawn)))
-    shared = banded.groupBy("band", "key").agg(probes.alias("probes"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    probes = [F.min("rep").alias("first"), F.min_by("rep", drawn).alias("one"), F.max_by("rep", drawn).alias("other")]
+    shared = banded.groupBy("band", "key").agg(*probes, F.count(F.lit(1)).alias("members")).filter("members > 1")
     buckets = materialize(banded.join(shared.drop("members"), ["band", "key"]), "buckets")
-    stars = buckets.select("rep", F.explode("probes").alias("probe")).filter("rep <> probe")
-    stars = stars.select(F.least("rep", "probe").alias("a"), F.greatest("rep", "probe").alias("b")).distinct()
-    x, y = sketch.alias("x"), sketch.alias("y")
-    stars = stars.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).filter(may_link("x", "y", bands * rows)).select("a", "b")
-    stars = materialize(stars, "stars")
-    links = materialize(confirm(docs, stars, id_col, text_col, "stars"), "links")
-    found = components(links, name="stars")
-
-    placed = buckets.drop("probes").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    screened = lambda pairs, x, y: pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).filter(may_link("x", "y", bands * rows)).select("a", "b")
+    ends = [F.least("rep", "probe").alias("a"), F.greatest("rep", "probe").alias("b")]
+
+    tried = buckets.select("rep", F.col("first").alias("probe")).filter("rep <> probe").select(*ends).distinct()
+    tried = materialize(screened(tried, sketch.alias("x"), sketch.alias("y")), "first-probes")
+    links = materialize(confirm(docs, tried, id_col, text_col, "first"), "links")
+    found = components(links, name="first")
+
+    named = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    again = buckets.select("rep", F.explode(F.array("one", "other")).alias("probe")).filter("rep <> probe").distinct()
+    again = again.join(named("rep"), "rep", "left").join(named("probe"), "probe", "left").filter(F.coalesce("rep_in", "rep") != F.coalesce("probe_in", "probe")).select(*ends).distinct()
+    again = materialize(screened(again, sketch.alias("x"), sketch.alias("y")).join(tried, ["a", "b"], "left_anti"), "more-probes")
+    if not again.isEmpty():
+        links = materialize(links.unionByName(confirm(docs, again, id_col, text_col, "more")), "more-links")
+        found = components(links, name="more")
+    tried = tried.unionByName(again)
+
+    placed = buckets.drop("first", "one", "other").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key")
     left = materialize(placed.join(mixed, ["band", "key"]).join(sketch, "rep"), "mixed")
     x, y = left.alias("x"), left.alias("y")
     across = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
-    more = x.join(y, across & may_link("x", "y", bands * rows)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    more = x.join(y, across & may_link("x", "y", bands * rows)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = materialize(more, "across")
     if not more.isEmpty():
         links = materialize(links.unionByName(confirm(docs, more, id_col, text_col, "across")), "all-links")
