@@ -7,7 +7,7 @@ import importlib
 from .registry import ORACLES, QUERIES, Query
 
 #: Modules whose import registers queries.
-MODULES: list[str] = ["q_assoc", "q_charts", "q_importance", "q_profile", "q_rows", "q_series", "q_sql"]
+MODULES: list[str] = ["q_assoc", "q_charts", "q_importance", "q_profile", "q_rows", "q_series", "q_sources", "q_sql", "q_text"]
 
 
 def _load() -> None:
