@@ -95,5 +95,6 @@ def records(payloads: DataFrame, schema: str | None = None) -> DataFrame:
     from tidewell.sources.io import flatten
 
     if schema is None:
-        schema = payloads.select(F.schema_of_json_agg("payload")).first()[0] if hasattr(F, "schema_of_json_agg") else payloads.sparkSession.read.json(payloads.select("payload").rdd.map(lambda r: r[0])).schema
+        found = payloads.select(F.schema_of_variant_agg(F.try_parse_json("payload"))).first()[0]
+        schema = found.replace("OBJECT<", "STRUCT<")
     return flatten(payloads.select(F.from_json("payload", schema).alias("r")).select("r.*"))
