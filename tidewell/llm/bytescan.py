@@ -64,6 +64,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut Arrow batches so that each piece holds about ``max_bytes`` of text."""
+    give_back()
     for batch in batches:
         buf, off = text_buffer(batch.column(batch.schema.get_field_index(text)))
         i, n = 0, batch.num_rows

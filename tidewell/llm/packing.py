@@ -45,9 +45,9 @@ END_ID = 2
 #: Costs in tokens of padding: any sequence, a cut at a sentence end, a cut elsewhere.
 PER_SEQUENCE, AT_SENTENCE, ELSEWHERE = 64, 8, 512
 #: Bytes of text worked off at a time.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Words whose ids a task keeps from block to block.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 _CLOSING = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 _MARK = "\x01"
 
@@ -100,17 +100,17 @@ class WordEncoder:
         new = some.filter(at.is_null())
         if len(new):
             ids, offsets = self.encode(new.to_pylist())
-            self.start = np.concatenate((self.start, offsets[:-1] + len(self.store)))
-            self.size = np.concatenate((self.size, np.diff(offsets)))
-            self.store = np.concatenate((self.store, ids))
+            self.start = np.concatenate((self.start, (offsets[:-1] + len(self.store)).astype(np.int32)))
+            self.size = np.concatenate((self.size, np.diff(offsets).astype(np.int32)))
+            self.store = np.concatenate((self.store, ids.astype(np.int32)))
             self.known = pa.concat_arrays([self.known, new])
             at = pc.index_in(some, value_set=self.known)
-        at = at.to_numpy(zero_copy_only=False).astype(np.int64)
+        at = at.to_numpy(zero_copy_only=False)
         return self.store, self.start[at], self.size[at]
 
     def forget(self) -> None:
         self.known = pa.array([], pa.large_string())
-        self.store = self.start = self.size = np.zeros(0, np.int64)
+        self.store = self.start = self.size = np.zeros(0, np.int32)
 
     def one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [np.array(self.ids(w), np.int64) for w in words]
@@ -158,7 +158,7 @@ def tokens(buf: np.ndarray, off: np.ndarray, encoder: WordEncoder) -> tuple[np.n
     ids, start, size, ends = np.append(ids, END_ID), np.append(start, len(ids)), np.append(size, 1), np.append(ends, False)
     word = np.insert(coded.indices.to_numpy(zero_copy_only=False), first[1:], len(start) - 1)
     size = size[word]
-    after = np.cumsum(size)
+    after = np.cumsum(size, dtype=np.int64)
     stream = ids[ragged(start[word], size)].astype(np.uint32)
     offsets = np.concatenate(([0], after[first[1:] + np.arange(len(off) - 1)]))
     return stream, offsets, after[ends[word]]

@@ -34,6 +34,8 @@ U64 = np.uint64
 ORDERS = (3, 4)
 #: Size of the hashed multinomials.
 BUCKETS = 1 << 16
+#: Weight of the raw corpus in the smoothed target, as a share of the target's n-grams.
+PRIOR = 0.02
 #: Documents score below this mean log ratio only if much of them is unlike the target.
 THRESHOLD = -0.4
 #: Up to so many target ids are broadcast; beyond, the join is shuffled.
@@ -83,14 +85,14 @@ def count_grams(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id",
 
 
 def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
-    """Log ratios per bucket, smoothed in proportion to the raw counts."""
+    """Log ratios per bucket, smoothed in proportion to the raw counts and to the target's size."""
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in count_grams(docs, target_ids, id_col, text_col, buckets).toLocalIterator():
         raw[r.bucket], target[r.bucket] = r.raw, r.target
     if not target.sum():
         return np.zeros(buckets, np.float32)
     p = (raw + 1) / (raw.sum() + buckets)
-    prior = 4.0 * p * buckets
+    prior = PRIOR * target.sum() * p
     q = (target + prior) / (target.sum() + prior.sum())
     return np.log(q / p).astype(np.float32)
 

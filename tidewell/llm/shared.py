@@ -32,6 +32,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     This cuts lineage and makes what two branches need computed once; lost
     executors do not lose it.
     """
+    bounded_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -43,7 +44,15 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Bound Arrow batches by bytes, as rows are whole texts; a setting of the user's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).lower() in ("64m", "67108864b", "64mb"):
+        spark.conf.set(key, most)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -51,7 +51,9 @@ GRAM = 16
 #: Bytes of text per bucket, and the fewest buckets.
 BUCKET_BYTES, FEWEST = 8 << 20, 64
 #: Bytes parsed at a time (or one document), and texts gathered before dealing.
-PIECE, GATHER = 1 << 19, 16 << 20
+PIECE, GATHER = 1 << 19, 8 << 20
+#: Phrases held before they are dealt.
+HELD = 1_000_000
 _PLACE = U64((1 << 28) - 1)
 _CODEC = pa.Codec("zstd", compression_level=1)
 LAST_ID = np.iinfo(np.int64).max
@@ -138,7 +140,6 @@ _TEXT, _WHOLE, _FETCH, _PART = 0, 1, 2, 3
 
 
 def _rows(parts: Iterator[pa.RecordBatch]) -> pa.Table:
-    give_back()
     return pa.Table.from_batches(list(parts), _ROW_SCHEMA)
 
 
@@ -175,18 +176,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield from _deal((trigger >> U64(32)).astype(np.int64) % buckets, 0, blob)
 
         count = 0
+        give_back()
         for batch in batches:
             ids, (buf, off) = _ids(batch.column(0)), text_buffer(batch.column(1))
             for i, j in _cut(off, PIECE):
                 start, _, phrase, trigger = parse(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 held.append((ids[np.searchsorted(off, start + off[i], "right") - 1], phrase, trigger))
                 count += len(start)
-                if count > 4_000_000:
+                if count > HELD:
                     yield from flush()
                     count = 0
         yield from flush()
 
     def sort_phrases(t: pa.Table) -> pa.Table:
+        give_back()
         found = []
         for b in t.column("blob").to_pylist():
             n, base, size = np.frombuffer(b, np.int64, 3)
@@ -215,6 +218,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        give_back()
         for batch in batches:
             held.append(batch)
             if sum(b.nbytes for b in held) > GATHER:
@@ -236,6 +240,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield rows.slice(i, j - i), ids[i:j], buf[off[i] : off[j]], off[i : j + 1] - off[i]
 
     def fetch_phrases(t: pa.Table) -> pa.Table:
+        give_back()
         wanted = _of_kind(t, _FETCH)
         if not len(wanted):
             return _rows(iter(()))
@@ -260,6 +265,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return _rows(out)
 
     def sort_suffixes(t: pa.Table) -> pa.Table:
+        give_back()
         d = _load(t.column("blob"))
         doc, phrase = _column(d, "doc", np.int64), _column(d, "phrase", np.uint64)
         buf, off = text_buffer(d.column("text").cast(pa.large_binary()).combine_chunks())
@@ -326,6 +332,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield rows, buf, off, gone
 
     def digest_rows(t: pa.Table) -> pa.Table:
+        give_back()
         out = []
         for rows, buf, off, gone in covered_bytes(t):
             head = gone.copy()
@@ -335,10 +342,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             removed, spans = (np.concatenate(([0], np.cumsum(x))) for x in (gone, head))
             sha = [hashlib.sha256((buf[a:b][~gone[a:b]] if removed[b] > removed[a] else buf[a:b]).tobytes()).hexdigest() for a, b in zip(off[:-1], off[1:])]
             out.append(pa.Table.from_arrays([rows.column(id_col), pa.array(np.diff(off)), pa.array(removed[off[1:]] - removed[off[:-1]]), pa.array(spans[off[1:]] - spans[off[:-1]]), pa.array(sha)], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]))
-        give_back()
         return pa.concat_tables(out) if out else digest_schema.empty_table()
 
     def edited_rows(t: pa.Table) -> pa.Table:
+        give_back()
         out = []
         for rows, buf, off, gone in covered_bytes(t):
             lead = (buf & 0xC0) != 0x80
@@ -351,7 +358,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             nulls = rows.column(k).is_null().combine_chunks()
             text = pa.compute.if_else(nulls, pa.scalar(None, pa.large_string()), text).cast(rows.schema.field(k).type)
             out.append(rows.set_column(k, rows.schema.field(k), text))
-        give_back()
         return pa.concat_tables(out) if out else row_schema.empty_table()
 
     from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
