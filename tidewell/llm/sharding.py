@@ -2,8 +2,8 @@
 
 Documents with equal texts form a group that is never split. Groups larger
 than ``1 / SLICES`` of a shard are items of their own: there can be at most
-``shards * SLICES`` of them. The other groups are gathered, by a running sum inside
-hash buckets, into bundles of about that size, so the number of items is bounded
+``shards * SLICES`` of them. The other groups are gathered into as many bundles by a
+hash of their digest, each about that size, so the number of items is bounded
 by the shards alone, not by the corpus. The items, sorted by size, are placed by
 best fit: each goes to the shard with the tightest remaining capacity that still
 holds it, found in a balanced search tree; an item that fits nowhere (its group
@@ -140,18 +140,14 @@ def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     made = lean.select("id", (F.octet_length("text") + F.lit(1)).cast("long").alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"))
     made = materialize(made, "sized")
     groups = materialize(made.groupBy("digest").agg(F.sum("size").alias("size")), "groups")
-    total, largest = groups.agg(F.sum("size"), F.max("size")).first()
+    total = groups.agg(F.sum("size")).first()[0]
     slice_bytes = max(1, (total or 0) // (shards * slices))
-    # small groups: running sums inside hash buckets of about 16 slices, cut at each slice
-    buckets = max(1, shards * slices // 16)
-    bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("long")
-    order = Window.partitionBy("bucket").orderBy("size", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    small = groups.filter(F.col("size") <= slice_bytes).withColumn("bucket", bucket)
-    before = F.coalesce(F.sum("size").over(order), F.lit(0))
-    small = small.select("digest", "size", (F.col("bucket") * F.lit(1 << 40) + F.floor(before / F.lit(slice_bytes)) * 2).alias("item"))
+    # small groups: a bundle for each hash cell; sums combine before the shuffle and nothing is sorted
+    cell = F.pmod(F.xxhash64("digest"), F.lit(shards * slices))
+    small = groups.filter(F.col("size") <= slice_bytes).select("digest", "size", (cell * 2).alias("item"))
     large = groups.filter(F.col("size") > slice_bytes).select("digest", "size", (F.pmod(F.xxhash64("digest"), F.lit(1 << 61)) * 2 + 1).alias("item"))
     dealt = materialize(small.unionByName(large), "items")
-    # at most shards * slices large items and about as many bundles, whatever the corpus size
+    # at most shards * slices large items and as many bundles, whatever the corpus size
     items = [(r["size"], r["item"]) for r in dealt.groupBy("item").agg(F.sum("size").alias("size")).toLocalIterator()]
     placed = best_fit_decreasing(items, shards)
     places = spark.createDataFrame(list(placed.items()), "item long, shard int")
