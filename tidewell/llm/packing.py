@@ -45,9 +45,9 @@ END_ID = 2
 #: Costs in tokens of padding: any sequence, a cut at a sentence end, a cut elsewhere.
 PER_SEQUENCE, AT_SENTENCE, ELSEWHERE = 64, 8, 512
 #: Bytes of text worked off at a time.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Words whose ids a task keeps from block to block.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 _CLOSING = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 _MARK = "\x01"
 

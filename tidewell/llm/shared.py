@@ -44,7 +44,7 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
-def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, most: str = "2m") -> None:
     """Bound Arrow batches by bytes, as rows are whole texts; a setting of the user's own stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key).lower() in ("64m", "67108864b", "64mb"):

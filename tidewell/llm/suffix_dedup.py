@@ -49,11 +49,11 @@ U64 = np.uint64
 LENGTH = 50
 GRAM = 16
 #: Bytes of text per bucket, and the fewest buckets.
-BUCKET_BYTES, FEWEST = 8 << 20, 64
+BUCKET_BYTES, FEWEST = 4 << 20, 64
 #: Bytes parsed at a time (or one document), and texts gathered before dealing.
-PIECE, GATHER = 1 << 19, 8 << 20
+PIECE, GATHER = 1 << 18, 8 << 20
 #: Phrases held before they are dealt.
-HELD = 1_000_000
+HELD = 500_000
 _PLACE = U64((1 << 28) - 1)
 _CODEC = pa.Codec("zstd", compression_level=1)
 LAST_ID = np.iinfo(np.int64).max
