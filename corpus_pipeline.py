@@ -38,8 +38,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token windows."""
-    return packing.pack(docs, packing.default_tokenizer())
+    """Pieces of token windows; smaller blocks than by default, as executors have four stages behind them."""
+    return packing.pack(docs, packing.default_tokenizer(), block_bytes=2 << 20, kept_words=250_000)
 
 
 STAGES = [

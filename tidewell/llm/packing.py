@@ -45,9 +45,9 @@ END_ID = 2
 #: Costs in tokens of padding: any sequence, a cut at a sentence end, a cut elsewhere.
 PER_SEQUENCE, AT_SENTENCE, ELSEWHERE = 64, 8, 512
 #: Bytes of text worked off at a time.
-BLOCK = 2 << 20
+BLOCK = 4 << 20
 #: Words whose ids a task keeps from block to block.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 800_000
 _CLOSING = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 _MARK = "\x01"
 
@@ -55,7 +55,7 @@ _MARK = "\x01"
 class WordEncoder:
     """Token ids of white-space separated words, exactly as the library gives them."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int = KEPT_WORDS) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,7 +64,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.mark = self.ids(_MARK)
+        self.mark, self.kept = self.ids(_MARK), kept
         self.forget()
 
     def ids(self, text: str) -> list[int]:
@@ -92,9 +92,9 @@ class WordEncoder:
     def lookup(self, some: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and for each of these distinct words where its ids start and how many they are.
 
-        Words are kept from block to block; beyond ``KEPT_WORDS`` the store starts anew.
+        Words are kept from block to block; beyond ``kept`` the store starts anew.
         """
-        if len(self.known) > KEPT_WORDS:
+        if len(self.known) > self.kept:
             self.forget()
         at = pc.index_in(some, value_set=self.known)
         new = some.filter(at.is_null())
@@ -217,11 +217,11 @@ def cut_points(offsets: np.ndarray, sentences: np.ndarray, end: int, window: int
     return points, cost
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK, kept_words: int = KEPT_WORDS) -> DataFrame:
     """Pieces: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = WordEncoder(tokenizer_path, kept_words)
         sequence = TaskContext.get().partitionId() << 32
         held: list[pa.RecordBatch] = []
         carry = None
