@@ -51,9 +51,9 @@ GRAM = 16
 #: Bytes of text per bucket, and the fewest buckets.
 BUCKET_BYTES, FEWEST = 4 << 20, 64
 #: Bytes parsed at a time (or one document), and texts gathered before dealing.
-PIECE, GATHER = 1 << 18, 8 << 20
+PIECE, GATHER = 1 << 19, 16 << 20
 #: Phrases held before they are dealt.
-HELD = 500_000
+HELD = 1_000_000
 _PLACE = U64((1 << 28) - 1)
 _CODEC = pa.Codec("zstd", compression_level=1)
 LAST_ID = np.iinfo(np.int64).max
@@ -233,11 +233,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return _deal(home, _TEXT, lambda pick: _pack(t.take(pa.array(pick)).combine_chunks().to_batches()[0]))
 
     def texts_of(t: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
-        for b in _of_kind(t, _TEXT).to_pylist():
-            rows = pa.ipc.open_stream(b).read_all()
-            ids, (buf, off) = _ids(rows.column(id_col).combine_chunks()), text_buffer(rows.column(text_col))
-            for i, j in _cut(off, PIECE):
-                yield rows.slice(i, j - i), ids[i:j], buf[off[i] : off[j]], off[i : j + 1] - off[i]
+        blobs = _of_kind(t, _TEXT)
+        if not len(blobs):
+            return
+        rows = _load(blobs).combine_chunks()
+        ids, (buf, off) = _ids(rows.column(id_col).combine_chunks()), text_buffer(rows.column(text_col))
+        for i, j in _cut(off, PIECE):
+            yield rows.slice(i, j - i), ids[i:j], buf[off[i] : off[j]], off[i : j + 1] - off[i]
 
     def fetch_phrases(t: pa.Table) -> pa.Table:
         give_back()
@@ -253,7 +255,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             key = mix(doc.view(np.uint64)) ^ phrase
             first = np.zeros(len(key), bool)
             first[np.unique(key, return_index=True)[1]] = True
-            at = np.flatnonzero(first & np.isin(key, keys))
+            found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            at = np.flatnonzero(first & (keys[found] == key))
             size = end[at] - start[at] + LENGTH
 
             def blob(pick: np.ndarray, at=at, size=size, doc=doc, phrase=phrase, start=start, buf=buf) -> bytes:
