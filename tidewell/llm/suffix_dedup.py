@@ -258,14 +258,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             at = np.flatnonzero(first & (keys[found] == key))
             size = end[at] - start[at] + LENGTH
+            out.append((doc[at], phrase[at], trigger[at], size, buf[ragged(start[at], size)]))
+        if not out:
+            return _rows(iter(()))
+        doc, phrase, trigger, size, text = (np.concatenate(x) for x in zip(*out))
+        begin = np.cumsum(size) - size
 
-            def blob(pick: np.ndarray, at=at, size=size, doc=doc, phrase=phrase, start=start, buf=buf) -> bytes:
-                text = buf[ragged(start[at[pick]], size[pick])].tobytes()
-                cuts = np.concatenate(([0], np.cumsum(size[pick]))).astype(np.int32)
-                return _dump(doc=doc[at[pick]], phrase=phrase[at[pick]], text=pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(text)]))
+        def blob(pick: np.ndarray) -> bytes:
+            cuts = np.concatenate(([0], np.cumsum(size[pick]))).astype(np.int32)
+            own = text[ragged(begin[pick], size[pick])].tobytes()
+            return _dump(doc=doc[pick], phrase=phrase[pick], text=pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(own)]))
 
-            out += _deal((trigger[at] >> U64(32)).astype(np.int64) % buckets, 0, blob)
-        return _rows(out)
+        return _rows(_deal((trigger >> U64(32)).astype(np.int64) % buckets, 0, blob))
 
     def sort_suffixes(t: pa.Table) -> pa.Table:
         give_back()
