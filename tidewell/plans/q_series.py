@@ -15,12 +15,21 @@ W = f"WITH {BASE} "
 P = "PARTITION BY k ORDER BY pos"
 
 
-def series(spark, d):
-    o = t(spark, d, "orders").filter("o_orderkey % 13 <> 0 AND o_orderstatus <> 'P'")
+def _daily(o):
     b = o.groupBy(F.col("o_orderstatus").alias("k"), F.to_date("o_orderdate").alias("ts")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
     return S.prepare(b, "ts", "value", K)
 
 
+def series(spark, d):
+    """The series of BASE, for queries with a twin."""
+    return _daily(t(spark, d, "orders").filter("o_orderkey % 13 <> 0 AND o_orderstatus <> 'P'"))
+
+
+def whole(spark, d):
+    """The series of all orders, for queries without a twin."""
+    return _daily(t(spark, d, "orders"))
+
+
 def holes(spark, d):
     return series(spark, d).withColumn("value", F.when(F.col("pos") % 7 != 0, F.col("value")))
 
@@ -96,7 +105,7 @@ for _n, _f in {"l13_adf": S.adf, "l14_kpss": S.kpss, "l15_zivot_andrews": lambda
 
     @query(_n)
     def _run(spark, d, f=_f):
-        return f(series(spark, d), K)
+        return f(whole(spark, d), K)
 
 
 _TR = "tr AS (SELECT *, CASE WHEN count(*) OVER w = 7 THEN avg(value) OVER w END AS trend FROM s WINDOW w AS (PARTITION BY k ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), ph AS (SELECT k, pos % 7 AS phase, avg(value - trend) AS m FROM tr GROUP BY 1, 2), ce AS (SELECT k, avg(m) AS c FROM ph GROUP BY 1), de AS (SELECT tr.k, pos, value, trend, m - c AS seasonal, value - trend - (m - c) AS residual FROM tr JOIN ph ON tr.k = ph.k AND pos % 7 = phase JOIN ce ON tr.k = ce.k)"
@@ -127,7 +136,7 @@ def l22(spark, d):
 
 @query("l23_partial_autocorrelation")
 def l23(spark, d):
-    return S.partial_autocorrelation(S.autocorrelation(series(spark, d), K), K)
+    return S.partial_autocorrelation(S.autocorrelation(whole(spark, d), K), K)
 
 
 @query("l24_significant_lags", f"{W.rstrip()}, {_ACF} SELECT k, CAST(lag AS INTEGER) AS lag, round(acf, 6) AS value FROM ac WHERE lag > 0 AND abs(acf) > 1.96 / sqrt(n)")

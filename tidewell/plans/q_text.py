@@ -178,9 +178,9 @@ def n05(spark, d):
 def n06(spark, d):
     from tidewell.operators import series as S
 
-    from .q_series import K, series
+    from .q_series import K, whole
 
-    s = series(spark, d)
+    s = whole(spark, d)
     return N.from_timeseries(S.stationarity(s, K), S.anomalies(s, K, 20), "k")
 
 
