@@ -1,9 +1,10 @@
 """Time series, thousands at a time: every operator works per series key.
 
 A prepared series has the key columns, ``ts``, ``pos`` (0-based position) and ``value``.
-Windows are partitioned by the keys. Regressions, spectra and change points run
-in one task per series on at most ``most`` evenly spaced points, so a group is
-bounded; everything else uses all points.
+Windows are partitioned by the keys. Regressions, decompositions and spectra run
+in one task per series on all its points; a task holds the values of one series and
+builds regressors in blocks of rows. Work that is quadratic in the length (mean shifts,
+Mann-Kendall) takes evenly spaced points above ``most``; everything else uses all points.
 """
 
 from __future__ import annotations
@@ -117,25 +118,48 @@ def thin(s: DataFrame, keys: list[str], points: int) -> DataFrame:
     return s.join(k.select(*keys, at.alias("pos"), F.col("__k").cast("long").alias("__new")), [*keys, "pos"]).withColumn("pos", F.col("__new")).drop("__new")
 
 
-def per_series(s: DataFrame, keys: list[str], f, schema: str, most: int = 5000) -> DataFrame:
-    """Apply f(values) -> list of result rows to each (thinned) series without nulls."""
+def per_series(s: DataFrame, keys: list[str], f, schema: str, most: int | None = None, at: str | None = None) -> DataFrame:
+    """Apply f(values) -> list of result rows to each series without nulls, thinned above ``most`` points.
+
+    The result column ``at`` counts the values f was given; it is turned into positions of the series.
+    """
     fields = [x.strip().split()[0] for x in schema.split(",")]
+    known = s.filter("value IS NOT NULL").select(*keys, "pos", "value")
+    if most is not None:
+        known = thin(known.withColumn("at", F.col("pos")).withColumn("pos", F.row_number().over(_by(keys)) - 1), keys, most).select(*keys, F.col("at").alias("pos"), "value")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("pos")["value"].to_numpy(float)
-        return pd.DataFrame([(*key, *row) for row in f(x)], columns=[*keys, *fields])
+        pdf = pdf.sort_values("pos")
+        out = pd.DataFrame([(*key, *row) for row in f(pdf["value"].to_numpy(float))], columns=[*keys, *fields])
+        if at and len(out):
+            out[at] = pdf["pos"].to_numpy()[out[at].to_numpy(int)]
+        return out
 
     kinds = ", ".join(f"`{k}` {s.schema[k].dataType.simpleString()}" for k in keys)
-    return thin(s.filter("value IS NOT NULL"), keys, most).groupBy(*keys).applyInPandas(run, f"{kinds}, {schema}")
+    return known.groupBy(*keys).applyInPandas(run, f"{kinds}, {schema}")
+
+
+def _blocks(first: int, end: int, width: int) -> list[tuple[int, int]]:
+    """Bounds of row blocks with about 4 million cells."""
+    rows = max(1024, 4_000_000 // width)
+    return [(a, min(a + rows, end)) for a in range(first, end, rows)]
+
+
+def _reduced(rows, first: int, end: int, width: int) -> np.ndarray:
+    """Triangular factor of the matrix whose rows a..b are rows(a, b), block by block."""
+    r = np.zeros((0, width))
+    for a, b in _blocks(first, end, width):
+        r = np.linalg.qr(np.vstack((r, rows(a, b))), mode="r")
+    return r
 
 
-def _ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Coefficients, their standard errors, and the residual sum of squares."""
-    inverse = np.linalg.pinv(x.T @ x)
-    b = inverse @ x.T @ y
+def _ols(r: np.ndarray, columns: list[int], n: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Coefficients, their standard errors and the residual sum of squares; the last column of r is explained."""
+    x, y = r[:, columns], r[:, -1]
+    p = np.linalg.pinv(x)
+    b = p @ y
     rss = float(((y - x @ b) ** 2).sum())
-    dof = max(1, len(y) - x.shape[1])
-    return b, np.sqrt(np.maximum(np.diag(inverse) * rss / dof, 0)), rss
+    return b, np.sqrt((p * p).sum(axis=1) * rss / max(1, n - len(columns))), rss
 
 
 def _adf(x: np.ndarray) -> list[tuple]:
@@ -144,23 +168,25 @@ def _adf(x: np.ndarray) -> list[tuple]:
         return []
     d, best = np.diff(x), None
     top = min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
+
+    def rows(k: int):
+        return lambda a, b: np.column_stack([np.ones(b - a), x[a:b], *(d[a - i : b - i] for i in range(1, k + 1)), d[a:b]])
+
+    # all candidates on the same rows, so that criteria compare
+    r, m = _reduced(rows(top), top, n - 1, top + 3), n - 1 - top
     for p in range(top + 1):
-        # all candidates on the same rows, so that criteria compare
-        y = d[top:]
-        cols = [np.ones(len(y)), x[top:-1], *(d[top - i : len(d) - i] for i in range(1, p + 1))]
-        _, _, rss = _ols(np.column_stack(cols), y)
-        aic = len(y) * np.log(max(rss, 1e-300) / len(y)) + 2 * len(cols)
+        _, _, rss = _ols(r, list(range(p + 2)), m)
+        aic = m * np.log(max(rss, 1e-300) / m) + 2 * (p + 2)
         if best is None or aic < best[0]:
             best = (aic, p)
     p = best[1]
-    y = d[p:]
-    b, se, _ = _ols(np.column_stack([np.ones(len(y)), x[p:-1], *(d[p - i : len(d) - i] for i in range(1, p + 1))]), y)
+    m = n - 1 - p
+    b, se, _ = _ols(_reduced(rows(p), p, n - 1, p + 3), list(range(p + 2)), m)
     t = float(b[1] / se[1]) if se[1] > 0 else -np.inf
     from statistics import NormalDist
 
     phi = NormalDist().cdf
     pv = 1.0 if t > 2.74 else 0.0 if t < -18.83 else phi(2.1659 + 1.4412 * t + 0.038269 * t * t) if t <= -1.61 else phi(1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t**3)
-    m = len(y)
     critical = [a + b1 / m + c / m**2 + e / m**3 for a, b1, c, e in ((-3.43035, -6.5393, -16.786, -79.433), (-2.86154, -2.8903, -4.234, -40.04), (-2.56677, -1.5384, -2.809, 0.0))]
     return [(t, p, pv, *critical)]
 
@@ -196,20 +222,36 @@ def _zivot_andrews(x: np.ndarray) -> list[tuple]:
     n = len(x)
     if n < 30 or np.ptp(x) == 0:
         return []
+    # constant, trend, level and lags in units that keep the factor well conditioned
+    x = (x - x.mean()) / x.std()
     d, k = np.diff(x), int(np.ceil(12 * (n / 100) ** 0.25)) // 2
-    y, level, trend = d[k:], x[k:-1], np.arange(k, n - 1)
-    lags = [d[k - i : len(d) - i] for i in range(1, k + 1)]
-    best = (np.inf, 0)
-    for cut in range(int(0.15 * n), int(0.85 * n)):
-        b, se, _ = _ols(np.column_stack([np.ones(len(y)), trend, level, (trend >= cut).astype(float), *lags]), y)
-        if se[2] > 0:
-            best = min(best, (float(b[2] / se[2]), cut))
+
+    def rows(a: int, b: int) -> np.ndarray:
+        return np.column_stack([np.ones(b - a), np.arange(a, b) / n - 0.5, x[a:b], *(d[a - i : b - i] for i in range(1, k + 1)), d[a:b]])
+
+    r = _reduced(rows, k, n - 1, k + 4)
+    p = np.linalg.pinv(r[:, :-1])
+    inverse, beta = p @ p.T, p @ r[:, -1]
+    rss = float(((r[:, -1] - r[:, :-1] @ beta) ** 2).sum())
+    dof, best, after = max(1, n - 1 - k - (k + 4)), (np.inf, 0), np.zeros(k + 4)
+    # the break's column joins by its products with the others: sums over the rows from the cut on
+    for a, b in reversed(_blocks(k, n - 1, k + 4)):
+        v = np.cumsum(rows(a, b)[::-1], axis=0)[::-1] + after
+        after, cuts = v[0], np.arange(a, b)
+        u = v[:, :-1] @ inverse
+        own = n - 1 - cuts - (u * v[:, :-1]).sum(axis=1)
+        ok = (cuts >= int(0.15 * n)) & (cuts < int(0.85 * n)) & (own > 1e-9)
+        g = (v[:, -1] - v[:, :-1] @ beta)[ok] / own[ok]
+        var = np.maximum(rss - own[ok] * g * g, 0) / dof * (inverse[2, 2] + u[ok, 2] ** 2 / own[ok])
+        t = np.where(var > 0, (beta[2] - u[ok, 2] * g) / np.sqrt(np.where(var > 0, var, 1)), np.inf)
+        if len(t):
+            best = min(best, (float(t.min()), int(cuts[ok][t.argmin()])))
     return [(best[0], best[1], -5.34, -4.80, -4.58)]
 
 
-def zivot_andrews(s: DataFrame, keys: list[str], most: int = 500) -> DataFrame:
+def zivot_andrews(s: DataFrame, keys: list[str]) -> DataFrame:
     """Per series: unit root against one break in level; the break with the smallest t."""
-    return per_series(s, keys, _zivot_andrews, "statistic double, break_pos int, critical_1 double, critical_5 double, critical_10 double", most)
+    return per_series(s, keys, _zivot_andrews, "statistic double, break_pos int, critical_1 double, critical_5 double, critical_10 double", at="break_pos")
 
 
 def stationarity(s: DataFrame, keys: list[str]) -> DataFrame:
@@ -273,21 +315,24 @@ def _loess(y: np.ndarray, span: int, weights: np.ndarray | None = None) -> np.nd
     """Local linear smoothing with tricube weights at every position."""
     n = len(y)
     q = min(max(3, span), n)
-    at = np.arange(n)
-    start = np.clip(at - q // 2, 0, n - q)
-    idx = start[:, None] + np.arange(q)[None, :]
-    d = np.abs(idx - at[:, None])
-    w = (1 - np.minimum(d / np.maximum(d.max(axis=1, keepdims=True), 1) * 0.999, 1) ** 3) ** 3
-    if weights is not None:
-        w = w * weights[idx]
-    x, v = idx - at[:, None], y[idx]
-    sw, sx, sxx, sy, sxy = w.sum(1), (w * x).sum(1), (w * x * x).sum(1), (w * v).sum(1), (w * x * v).sum(1)
-    det = sw * sxx - sx * sx
-    return np.where(np.abs(det) > 1e-12, (sxx * sy - sx * sxy) / np.where(det == 0, 1, det), sy / np.maximum(sw, 1e-12))
-
-
-def stl(s: DataFrame, keys: list[str], period: int, most: int = 5000) -> DataFrame:
-    """Rows (pos, value, trend, seasonal, residual) by LOESS seasonal decomposition, per (thinned) series."""
+    out = np.empty(n)
+    for a, b in _blocks(0, n, q):
+        at = np.arange(a, b)
+        start = np.clip(at - q // 2, 0, n - q)
+        idx = start[:, None] + np.arange(q)[None, :]
+        d = np.abs(idx - at[:, None])
+        w = (1 - np.minimum(d / np.maximum(d.max(axis=1, keepdims=True), 1) * 0.999, 1) ** 3) ** 3
+        if weights is not None:
+            w = w * weights[idx]
+        x, v = idx - at[:, None], y[idx]
+        sw, sx, sxx, sy, sxy = w.sum(1), (w * x).sum(1), (w * x * x).sum(1), (w * v).sum(1), (w * x * v).sum(1)
+        det = sw * sxx - sx * sx
+        out[a:b] = np.where(np.abs(det) > 1e-12, (sxx * sy - sx * sxy) / np.where(det == 0, 1, det), sy / np.maximum(sw, 1e-12))
+    return out
+
+
+def stl(s: DataFrame, keys: list[str], period: int) -> DataFrame:
+    """Rows (pos, value, trend, seasonal, residual) by LOESS seasonal decomposition, per series; nulls are left out, so interpolate first."""
 
     def run(x: np.ndarray) -> list[tuple]:
         n, trend, seasonal = len(x), np.zeros(len(x)), np.zeros(len(x))
@@ -303,7 +348,7 @@ def stl(s: DataFrame, keys: list[str], period: int, most: int = 5000) -> DataFra
             trend = _loess(x - seasonal, int(1.5 * period) | 1)
         return list(zip(range(n), x, trend, seasonal, x - trend - seasonal))
 
-    return per_series(s, keys, run, "pos long, value double, trend double, seasonal double, residual double", most)
+    return per_series(s, keys, run, "pos long, value double, trend double, seasonal double, residual double", at="pos")
 
 
 def max_lag(n: Column) -> Column:
@@ -355,7 +400,7 @@ def seasonal_order(parts: DataFrame, keys: list[str], least: float = 64.0) -> Da
     return strengths(parts, keys).select(*keys, (F.col("seasonal_strength") >= least).cast("int").alias("seasonal_d"))
 
 
-def spectrum(s: DataFrame, keys: list[str], top: int = 5, most: int = 65_536) -> DataFrame:
+def spectrum(s: DataFrame, keys: list[str], top: int = 5) -> DataFrame:
     """Rows (rank, period, power) of the strongest frequencies; period in positions."""
 
     def run(x: np.ndarray) -> list[tuple]:
@@ -364,32 +409,32 @@ def spectrum(s: DataFrame, keys: list[str], top: int = 5, most: int = 65_536) ->
         order = np.argsort(-p, kind="stable")[:top]
         return [(r + 1, len(x) / int(k), float(p[k])) for r, k in enumerate(order) if p[k] > 0]
 
-    return per_series(s, keys, run, "rank int, period double, power double", most)
+    return per_series(s, keys, run, "rank int, period double, power double")
 
 
 # --- change points and anomalies -------------------------------------------------------------------
 
 
-def mean_shifts(s: DataFrame, keys: list[str], most: int = 1500) -> DataFrame:
-    """Rows (pos, mean_before, mean_after): optimal partition by squared error with pruning."""
+def mean_shifts(s: DataFrame, keys: list[str], most: int = 20_000) -> DataFrame:
+    """Rows (pos, mean_before, mean_after): optimal partition by squared error, penalty var * ln n a shift.
+
+    Segments have a twentieth of the points at least. Quadratic, so series above ``most`` points
+    are thinned; ``pos`` stays the position in the whole series.
+    """
 
     def run(x: np.ndarray) -> list[tuple]:
         n = len(x)
         least = max(2, n // 20)
-        c1, c2 = np.concatenate(([0], np.cumsum(x))), np.concatenate(([0], np.cumsum(x * x)))
-        penalty = x.var() * np.log(max(n, 2)) * 2
-        cost = lambda a, b: c2[b] - c2[a] - (c1[b] - c1[a]) ** 2 / (b - a)
-        best, back, open_ = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.array([0])
+        y = x - x.mean()
+        c1, c2 = np.concatenate(([0], np.cumsum(y))), np.concatenate(([0], np.cumsum(y * y)))
+        penalty = y.var() * np.log(max(n, 2))
+        best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
         best[0] = -penalty
         for j in range(least, n + 1):
-            ok = open_[j - open_ >= least]
-            if not len(ok):
-                continue
-            v = best[ok] + cost(ok, j) + penalty
-            k = int(v.argmin())
-            best[j], back[j] = v[k], ok[k]
-            keep = np.concatenate((ok[best[ok] + cost(ok, j) <= best[j]], open_[j - open_ < least]))
-            open_ = np.append(keep, j - least + 1) if np.isfinite(best[j - least + 1]) else keep
+            a = np.arange(j - least + 1)
+            v = best[a] + c2[j] - c2[a] - (c1[j] - c1[a]) ** 2 / (j - a) + penalty
+            back[j] = v.argmin()
+            best[j] = v[back[j]]
         cuts, j = [], n
         while j > 0:
             cuts.append(j)
@@ -397,7 +442,7 @@ def mean_shifts(s: DataFrame, keys: list[str], most: int = 1500) -> DataFrame:
         edges = [0, *sorted(cuts)]
         return [(int(b), float(x[a:b].mean()), float(x[b:e].mean())) for a, b, e in zip(edges, edges[1:], edges[2:])]
 
-    return per_series(s, keys, run, "pos long, mean_before double, mean_after double", most)
+    return per_series(s, keys, run, "pos long, mean_before double, mean_after double", most, at="pos")
 
 
 def noise_scale(s: DataFrame, keys: list[str]) -> DataFrame:
@@ -431,8 +476,8 @@ def crossings(c: DataFrame, keys: list[str], threshold: DataFrame | float, first
     return x.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= first).select(*keys, "pos", "side")
 
 
-def cusum_threshold(s: DataFrame, keys: list[str], shuffles: int = 100, alpha: float = 0.05, slack: float = 0.0, most: int = 2000) -> DataFrame:
-    """Per series: the quantile of the largest CUSUM over shuffled (thinned) copies."""
+def cusum_threshold(s: DataFrame, keys: list[str], shuffles: int = 100, alpha: float = 0.05, slack: float = 0.0) -> DataFrame:
+    """Per series: the quantile of the largest CUSUM over shuffled copies."""
 
     def run(x: np.ndarray) -> list[tuple]:
         rng = np.random.default_rng(42)
@@ -444,7 +489,7 @@ def cusum_threshold(s: DataFrame, keys: list[str], shuffles: int = 100, alpha: f
                 top.append((c - np.minimum.accumulate(c)).max())
         return [(float(np.quantile(np.maximum(top[::2], top[1::2]), 1 - alpha)),)]
 
-    return per_series(s, keys, run, "threshold double", most)
+    return per_series(s, keys, run, "threshold double")
 
 
 def anomalies(s: DataFrame, keys: list[str], window: int, z: float = 3.0) -> DataFrame:
@@ -510,8 +555,8 @@ def linear_trend(s: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("r2", F.col("r") ** 2).withColumn("p", p_t(t, F.col("n") - 2)).drop("r")
 
 
-def mann_kendall(s: DataFrame, keys: list[str], most: int = 1000) -> DataFrame:
-    """Per (thinned) series: s, z, p, Sen's slope per position."""
+def mann_kendall(s: DataFrame, keys: list[str], most: int = 5000) -> DataFrame:
+    """Per series (thinned above ``most`` points): s, z, p, Sen's slope per position."""
     x = thin(s.filter("value IS NOT NULL"), keys, most)
     a, b = x.alias("a"), x.alias("b")
     same = F.col("a.pos") < F.col("b.pos")
@@ -526,7 +571,7 @@ def mann_kendall(s: DataFrame, keys: list[str], most: int = 1000) -> DataFrame:
     return j.select(*keys, "s", z.alias("z"), "slope").withColumn("p", p_normal(F.col("z")))
 
 
-def granger(df: DataFrame, time: str, target: str, others: list[str], keys: list[str], most: int = 5000) -> DataFrame:
+def granger(df: DataFrame, time: str, target: str, others: list[str], keys: list[str]) -> DataFrame:
     """Rows (other, lags, chi2, p): does the past of ``other`` help to predict ``target``?"""
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
@@ -539,10 +584,10 @@ def granger(df: DataFrame, time: str, target: str, others: list[str], keys: list
             if n < 30 or np.ptp(x) == 0 or np.ptp(y) == 0:
                 continue
             for k in range(1, max(1, min(12, n // 25)) + 1):
-                own = [y[k - i : n - i] for i in range(1, k + 1)]
-                other = [x[k - i : n - i] for i in range(1, k + 1)]
-                _, _, r0 = _ols(np.column_stack([np.ones(n - k), *own]), y[k:])
-                _, _, r1 = _ols(np.column_stack([np.ones(n - k), *own, *other]), y[k:])
+                rows = lambda a, b: np.column_stack([np.ones(b - a), *(z[a - i : b - i] for z in (y, x) for i in range(1, k + 1)), y[a:b]])  # noqa: B023, E731
+                r = _reduced(rows, k, n, 2 * k + 2)
+                _, _, r0 = _ols(r, list(range(k + 1)), n - k)
+                _, _, r1 = _ols(r, list(range(2 * k + 1)), n - k)
                 stat = (n - k) * (r0 - r1) / max(r1, 1e-300)
                 p = chi2_upper(max(stat, 0.0), k)
                 if best is None or p < best[2]:
@@ -552,7 +597,7 @@ def granger(df: DataFrame, time: str, target: str, others: list[str], keys: list
 
     rows = df.select(*keys, name(time).alias("ts"), name(target).cast("double").alias("value"), *(name(o).cast("double").alias(o) for o in others)).dropna()
     rows = rows.withColumn("pos", (F.row_number().over(_by(keys, "ts")) - 1).cast("long"))
-    return thin(rows, keys, most).groupBy(*keys).applyInPandas(run, f"{kinds}, other string, lags int, chi2 double, p double")
+    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, other string, lags int, chi2 double, p double")
 
 
 def readiness(s: DataFrame, keys: list[str]) -> DataFrame:

@@ -101,7 +101,7 @@ def l10(spark, d):
     return _r(S.dagostino(series(spark, d), K), 4, "k2").drop("p")
 
 
-for _n, _f in {"l13_adf": S.adf, "l14_kpss": S.kpss, "l15_zivot_andrews": lambda s, k: S.zivot_andrews(s, k, 200), "l16_stationarity": S.stationarity, "l17_differencing": S.differencing, "l19_stl": lambda s, k: S.stl(s, k, 7, 1000), "l25_spectrum": S.spectrum, "l26_mean_shifts": lambda s, k: S.mean_shifts(s, k, 600), "l28_cusum_threshold": S.cusum_threshold, "l39_seasonal_order": lambda s, k: S.seasonal_order(S.decompose(s, k, 7), k), "l41_readiness": S.readiness}.items():
+for _n, _f in {"l13_adf": S.adf, "l14_kpss": S.kpss, "l15_zivot_andrews": S.zivot_andrews, "l16_stationarity": S.stationarity, "l17_differencing": S.differencing, "l19_stl": lambda s, k: S.stl(s, k, 7), "l25_spectrum": S.spectrum, "l26_mean_shifts": S.mean_shifts, "l28_cusum_threshold": S.cusum_threshold, "l39_seasonal_order": lambda s, k: S.seasonal_order(S.decompose(s, k, 7), k), "l41_readiness": S.readiness}.items():
 
     @query(_n)
     def _run(spark, d, f=_f):
