@@ -368,3 +368,13 @@ def test_operators_take_all_null_columns(spark, column):
     assert bpe.encode_documents(df, bpe.default_tokenizer()).count() == 2
     assert quality.score(df, np.zeros(quality.BUCKETS, np.float32)).count() == 2
     assert packing.pack(df, packing.default_tokenizer()).agg(F.sum("length")).first()[0] >= 2
+
+
+def test_quality_rejects_prose_with_a_word_the_target_avoids(spark):
+    clean = [(i, prose(150)) for i in range(600)]
+    toxic = [(1000 + i, f"{prose(75)} idiot {prose(75)}") for i in range(200)]
+    df = spark.createDataFrame(clean + toxic, "doc_id long, text string")
+    target = spark.createDataFrame([(i,) for i in range(400)], "id long")
+    got = by_id(quality.score(df, quality.fit(df, target)))
+    assert all(got[i]["kept"] for i, _ in clean) and not any(got[i]["kept"] for i, _ in toxic)
+    assert quality.keep_good(df, target).count() == len(clean)

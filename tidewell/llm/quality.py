@@ -5,8 +5,12 @@ shouting differs from prose) are counted over all documents: one over the
 trusted target (labelled good and not toxic), one over the whole raw corpus.
 A document's score is the mean log ratio of its n-grams, so it does not depend
 on its length; every document is scored and compared with one fixed threshold.
+Ordinary prose with a few insults is hardly told apart by that mean, so words
+are compared too: of how many documents a hashed word is part, in the target and
+in the raw corpus. A document with a word that the target avoids, on the
+evidence of many documents, is rejected.
 The counts are sums, so tasks can be lost and repeated; the model that is
-broadcast has ``buckets`` floats whatever the corpus size.
+broadcast has ``buckets`` and ``WORD_BUCKETS`` floats whatever the corpus size.
 
 Base rules that need no model come first (see :func:`base_stats`).
 
@@ -38,6 +42,10 @@ BUCKETS = 1 << 16
 PRIOR = 0.02
 #: Documents score below this mean log ratio only if much of them is unlike the target.
 THRESHOLD = -0.4
+#: Size of the hashed word table, and the documents that weaken the ratio of rare words.
+WORD_BUCKETS, WORD_PRIOR = 1 << 18, 10
+#: A document with a word below this log ratio is rejected; set on labelled documents kept out of the target.
+WORD_THRESHOLD = -2.0
 #: Up to so many target ids are broadcast; beyond, the join is shuffled.
 TARGET_BROADCAST = 400_000
 #: Words a document needs at least, and the largest share of words in repeated windows.
@@ -63,16 +71,31 @@ def grams(buf: np.ndarray, off: np.ndarray, buckets: int = BUCKETS, orders: tupl
         yield (((key * U64(0x9E3779B97F4A7C15) + U64(n)) * U64(0xD6E8FEB86659FD93) >> U64(40)) & U64(buckets - 1)).astype(np.int64)[ok], at
 
 
+def word_buckets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words, and where each document's begin."""
+    start, end, first = words(buf, off)
+    return (mix(span_hash(prefix_hash(buf), start, end)) >> U64(40)).astype(np.int64) & (WORD_BUCKETS - 1), first
+
+
 def count_grams(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """Rows (bucket, raw, target): n-gram counts over all documents and over the target."""
+    """Rows (bucket, raw, target): n-gram counts over all documents and over the target.
+
+    Buckets from ``buckets`` on count the documents of MIN_WORDS words that hold a word, the last one those documents.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, buckets), np.int64)
+        total = np.zeros((2, buckets + WORD_BUCKETS + 1), np.int64)
         for part, buf, off in pieces(batches, "text"):
             chosen = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for g, at in grams(buf, off, buckets):
-                total[0] += np.bincount(g, minlength=buckets)
-                total[1] += np.bincount(g[np.repeat(chosen, np.diff(at))], minlength=buckets)
+                total[0, :buckets] += np.bincount(g, minlength=buckets)
+                total[1, :buckets] += np.bincount(g[np.repeat(chosen, np.diff(at))], minlength=buckets)
+            w, first = word_buckets(buf, off)
+            long = np.diff(first) >= MIN_WORDS
+            seen = np.unique((np.repeat(np.arange(len(long)), np.diff(first)) * WORD_BUCKETS + w)[np.repeat(long, np.diff(first))])
+            for k, rows in enumerate((long, long & chosen)):
+                total[k, buckets:-1] += np.bincount(seen[rows[seen // WORD_BUCKETS]] % WORD_BUCKETS, minlength=WORD_BUCKETS)
+                total[k, -1] += rows.sum()
         seen = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[0][seen]), pa.array(total[1][seen])], ["bucket", "raw", "target"])
 
@@ -85,16 +108,19 @@ def count_grams(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id",
 
 
 def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
-    """Log ratios per bucket, smoothed in proportion to the raw counts and to the target's size."""
-    raw, target = np.zeros(buckets), np.zeros(buckets)
+    """Log ratios per n-gram bucket, smoothed in proportion to the raw counts and to the target's size, then those per word bucket."""
+    raw, target = np.zeros(buckets + WORD_BUCKETS + 1), np.zeros(buckets + WORD_BUCKETS + 1)
     for r in count_grams(docs, target_ids, id_col, text_col, buckets).toLocalIterator():
         raw[r.bucket], target[r.bucket] = r.raw, r.target
     if not target.sum():
-        return np.zeros(buckets, np.float32)
+        return np.zeros(buckets + WORD_BUCKETS, np.float32)
+    expected = raw[buckets:-1] * target[-1] / max(raw[-1], 1)
+    word_ratios = np.log((target[buckets:-1] + WORD_PRIOR) / (expected + WORD_PRIOR))
+    raw, target = raw[:buckets], target[:buckets]
     p = (raw + 1) / (raw.sum() + buckets)
     prior = PRIOR * target.sum() * p
     q = (target + prior) / (target.sum() + prior.sum())
-    return np.log(q / p).astype(np.float32)
+    return np.concatenate((np.log(q / p), word_ratios)).astype(np.float32)
 
 
 def base_stats(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
@@ -146,7 +172,9 @@ def base_stats(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def verdicts(buf: np.ndarray, off: np.ndarray, ratios: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
-    """Base statistics, base_failed, kept and llr for the documents of one piece."""
+    """Base statistics, base_failed, kept, llr and word_llr (the lowest log ratio of a word) for the documents of one piece."""
+    split = len(ratios) - WORD_BUCKETS if len(ratios) > WORD_BUCKETS else len(ratios)
+    ratios, word_ratios = ratios[:split], ratios[split:]
     s = {k: v.astype(np.int64) for k, v in base_stats(buf, off).items()}
     total, count = np.zeros(len(off) - 1), np.zeros(len(off) - 1)
     for g, at in grams(buf, off, len(ratios)):
@@ -154,12 +182,18 @@ def verdicts(buf: np.ndarray, off: np.ndarray, ratios: np.ndarray, threshold: fl
         total += sums[at[1:]] - sums[at[:-1]]
         count += np.diff(at)
     llr = np.round(total / np.maximum(count, 1), 9)
+    lowest = np.zeros(len(off) - 1)
+    if len(word_ratios):
+        w, first = word_buckets(buf, off)
+        some = np.flatnonzero(np.diff(first))
+        if len(some):
+            lowest[some] = np.minimum.reduceat(word_ratios[w], first[some])
     failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEATED * s["n_words"])
-    return s | {"base_failed": failed, "kept": ~failed & (llr >= threshold), "llr": llr}
+    return s | {"base_failed": failed, "kept": ~failed & (llr >= threshold) & (lowest >= WORD_THRESHOLD), "llr": llr, "word_llr": lowest}
 
 
 def score(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: base statistics, llr (mean log ratio), base_failed, kept."""
+    """Per document: base statistics, llr (mean log ratio), word_llr (lowest log ratio of a word), base_failed, kept."""
     model = docs.sparkSession.sparkContext.broadcast(ratios)
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -169,7 +203,7 @@ def score(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, found.values())], ["id", *found])
 
     lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double"
+    schema = f"id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double, word_llr double"
     return lean.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
