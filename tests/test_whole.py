@@ -89,3 +89,13 @@ def test_shifts_spectrum_and_stl_see_every_day(spark):
     parts = series.stl(long_series(spark, wave), ["k"], 7).orderBy("pos").toPandas()
     assert list(parts.pos) == list(range(6000)) and np.corrcoef(parts.seasonal, wave)[0, 1] > 0.99
     assert series.spectrum(long_series(spark, np.sin(2 * np.pi * np.arange(70_000) / 7)), ["k"]).filter("rank = 1").first()["period"] == pytest.approx(7, rel=1e-3)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="test tables are not here")
+def test_insights_and_batches_read_the_table(spark, tmp_path):
+    rows = catalog.queries()["f22_analysis_batch"](spark, str(DATA)).collect()
+    assert {r["analysis"] for r in rows} == {"profile", "missing", "quality", "duplicates", "cardinality"}
+    assert all(r["result"].startswith("{") for r in rows) and len(rows) > 5
+    prices = [(float(2 ** (i % 20)),) for i in range(400)]
+    spark.createDataFrame(prices, "o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    assert any("skewness" in r["message"] for r in catalog.queries()["n02_from_distribution"](spark, str(tmp_path)).collect())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators import profile as P
@@ -160,5 +163,6 @@ def f21(spark, d):
 @query("f22_analysis_batch")
 def f22(spark, d):
     done, failed = P.analysis_batch(_mix(spark, d), {"profile": P.column_profile, "missing": P.missing_total, "quality": P.quality_score, "duplicates": P.duplicates, "cardinality": P.cardinality})
-    rows = [f"{k}:{','.join(v.columns)}" for k, v in done.items()] + [f"{k}!{v}" for k, v in failed.items()]
-    return t(spark, d, "region").limit(1).select(F.explode(F.array(*map(F.lit, rows))).alias("analysis"))
+    rows = [v.select(F.lit(k).alias("analysis"), F.to_json(F.struct(*v.columns)).alias("result")) for k, v in done.items()]
+    rows += [spark.createDataFrame([(k, f"failed: {v}")], "analysis string, result string") for k, v in failed.items()]
+    return reduce(DataFrame.unionByName, rows)

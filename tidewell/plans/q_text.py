@@ -153,8 +153,9 @@ def n01(spark, d):
 def n02(spark, d):
     from tidewell.operators.tests_stat import shapiro
 
-    row = shapiro(t(spark, d, "orders"), "o_totalprice").select(F.lit("o_totalprice").alias("column_name"), "p")
-    return N.from_distribution(row.withColumn("skewness", F.lit(0.1)))
+    orders = t(spark, d, "orders")
+    row = shapiro(orders, "o_totalprice").select(F.lit("o_totalprice").alias("column_name"), "p")
+    return N.from_distribution(row.crossJoin(orders.agg(F.skewness("o_totalprice").alias("skewness"))))
 
 
 @query("n03_from_correlations", "SELECT 'correlations' AS source, printf('a and b: r = %.2f', corr(a, b)) AS message, 'critical' AS severity FROM (SELECT l_quantity AS a, l_quantity + l_tax AS b FROM lineitem)")
