@@ -221,7 +221,7 @@ def permutation_importance(model, matrix: DataFrame, names: list[str], classific
 
 
 def shapley(model, matrix: DataFrame, names: list[str], predict: Callable[[DataFrame], Column] | None = None, permutations: int = 20, background: int = 20, seed: int = 42) -> DataFrame:
-    """Rows (id, feature, value): Monte-Carlo permutation Shapley values of the rows in ``matrix``.
+    """Rows (id, feature, value, n), n rows with equal features being one id: Monte-Carlo permutation Shapley values of the rows in ``matrix``.
 
     Rows are explained against ``background`` rows of the same matrix. Each
     permutation walks through the features and credits each with the change of
@@ -233,21 +233,22 @@ def shapley(model, matrix: DataFrame, names: list[str], predict: Callable[[DataF
     k = len(names)
     x = matrix.select(vector_to_array("features").alias("x")).withColumn("id", F.xxhash64("x"))
     base = x.orderBy(F.xxhash64("id", F.lit(seed))).limit(background).select(F.col("x").alias("z"), (F.row_number().over(Window.orderBy("id")) - 1).alias("b"))
-    runs = x.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn("b", F.pmod(F.xxhash64("id", "p"), F.lit(background)))
+    runs = x.groupBy("x", "id").agg(F.count(F.lit(1)).alias("n")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn("b", F.pmod(F.xxhash64("id", "p"), F.lit(background)))
     runs = runs.join(F.broadcast(base), "b")
     order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(F.xxhash64("id", "p", i).alias("h"), i.alias("i"))))
     steps = runs.withColumn("order", F.transform(order, lambda s: s["i"])).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(k))))
     seen = F.transform("z", lambda v, i: F.when(F.array_position("order", i.cast("int")) <= F.col("step"), F.element_at("x", i + 1)).otherwise(v))
-    scored = model.transform(steps.select("id", "p", "step", "order", array_to_vector(seen).alias("features")))
+    scored = model.transform(steps.select("id", "n", "p", "step", "order", array_to_vector(seen).alias("features")))
     y = predict(scored) if predict else F.col("prediction").cast("double")
     w = Window.partitionBy("id", "p").orderBy("step")
-    gains = scored.select("id", "p", "step", "order", y.alias("y")).withColumn("gain", F.col("y") - F.lag("y").over(w)).filter("step > 0")
+    gains = scored.select("id", "n", "p", "step", "order", y.alias("y")).withColumn("gain", F.col("y") - F.lag("y").over(w)).filter("step > 0")
     labels = F.array(*map(F.lit, names))
-    return gains.groupBy("id", F.element_at(labels, F.element_at("order", F.col("step")) + 1).alias("feature")).agg((F.sum("gain") / permutations).alias("value"))
+    return gains.groupBy("id", F.element_at(labels, F.element_at("order", F.col("step")) + 1).alias("feature")).agg((F.sum("gain") / permutations).alias("value"), F.first("n").alias("n"))
 
 
 def mean_abs_shapley(values: DataFrame) -> DataFrame:
-    return values.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance"))
+    """Rows (feature, importance), the mean over all rows that were explained."""
+    return values.groupBy("feature").agg((F.sum(F.abs("value") * F.col("n")) / F.sum("n")).alias("importance"))
 
 
 def stability(matrix: DataFrame, names: list[str], classification: bool, refits: int = 10, **forest_args) -> DataFrame:
@@ -271,18 +272,18 @@ def interactions(model, matrix: DataFrame, names: list[str], features: list[str]
     pairs = [(names.index(a), names.index(b)) for a, b in combinations(features, 2)]
     x = matrix.select(vector_to_array("features").alias("x")).withColumn("id", F.xxhash64("x"))
     z = x.orderBy(F.xxhash64("id", F.lit(seed))).limit(samples).select(F.col("x").alias("z"), (F.row_number().over(Window.orderBy("id")) - 1).alias("s"))
-    grid = x.crossJoin(F.broadcast(z)).withColumn("pair", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs)))).withColumn("corner", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    grid = x.groupBy("x", "id").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(z)).withColumn("pair", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs)))).withColumn("corner", F.explode(F.sequence(F.lit(0), F.lit(3))))
 
     def value(v: Column, k: Column) -> Column:
         first, second = (k == F.col("pair.i")), (k == F.col("pair.j"))
         on = F.when(first, F.col("corner") % 2 == 1).when(second, F.col("corner") >= 2).otherwise(F.pmod(F.xxhash64("id", "s", k), F.lit(2)) == 0)
         return F.when(on, F.element_at("x", k + 1)).otherwise(v)
 
-    scored = model.transform(grid.select("id", "s", "pair", "corner", array_to_vector(F.transform("z", value)).alias("features")))
+    scored = model.transform(grid.select("id", "n", "s", "pair", "corner", array_to_vector(F.transform("z", value)).alias("features")))
     sign = F.when(F.col("corner").isin(0, 3), 1.0).otherwise(-1.0)
-    d = scored.groupBy("id", "s", "pair").agg(F.sum(sign * F.col("prediction")).alias("d"))
+    d = scored.groupBy("id", "s", "pair").agg(F.sum(sign * F.col("prediction")).alias("d"), F.first("n").alias("n"))
     labels = F.array(*map(F.lit, names))
-    return d.groupBy("pair").agg(F.avg(F.abs("d")).alias("strength")).select(F.element_at(labels, F.col("pair.i") + 1).alias("feature_a"), F.element_at(labels, F.col("pair.j") + 1).alias("feature_b"), "strength")
+    return d.groupBy("pair").agg((F.sum(F.abs("d") * F.col("n")) / F.sum("n")).alias("strength")).select(F.element_at(labels, F.col("pair.i") + 1).alias("feature_a"), F.element_at(labels, F.col("pair.j") + 1).alias("feature_b"), "strength")
 
 
 METHODS: dict[str, Callable] = {"mi": mutual_information, "correlation": associations}

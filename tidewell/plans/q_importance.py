@@ -53,13 +53,13 @@ def k04(spark, d):
 @query("k05_forest_importance")
 def k05(spark, d):
     rows, names = K.feature_matrix(_cls(spark, d), "quality")
-    return K.forest_importance(rows, names, True, trees=10, depth=5)
+    return K.forest_importance(rows, names, True)
 
 
 @query("k06_cross_validation")
 def k06(spark, d):
     rows, _ = K.feature_matrix(_cls(spark, d), "quality")
-    return K.cross_validate(rows, True, ["len", "words"], folds=2, trees=5, depth=4)
+    return K.cross_validate(rows, True, ["len", "words"])
 
 
 _QS = ", ".join(f"{i / 10}" for i in range(1, 10))
@@ -132,26 +132,28 @@ def k14(spark, d):
 @query("k15_permutation_importance")
 def k15(spark, d):
     rows, names = K.feature_matrix(_cls(spark, d), "quality")
-    return K.permutation_importance(K.forest(True, 5, 4).fit(rows), rows, names, True, repeats=2)
+    return K.permutation_importance(K.forest(True).fit(rows), rows, names, True)
 
 
 @query("k16_mean_abs_shapley")
 def k16(spark, d):
     rows, names = K.feature_matrix(_features(spark, d), "quality")
-    model = K.forest(False, 5, 4).fit(rows)
-    return K.mean_abs_shapley(K.shapley(model, rows, names, permutations=4, background=5))
+    model = K.forest(False).fit(rows)
+    return K.mean_abs_shapley(K.shapley(model, rows, names))
 
 
 @query("k17_stability")
 def k17(spark, d):
     rows, names = K.feature_matrix(_cls(spark, d), "quality")
-    return K.stability(rows, names, True, refits=2, trees=5, depth=4)
+    return K.stability(rows, names, True)
 
 
 @query("k18_interactions")
 def k18(spark, d):
     rows, names = K.feature_matrix(_features(spark, d), "quality")
-    return K.interactions(K.forest(False, 5, 4).fit(rows), rows, names, names[:3], samples=4)
+    model = K.forest(False).fit(rows)
+    top = sorted(zip(-model.featureImportances.toArray(), names))[:8]
+    return K.interactions(model, rows, names, [c for _, c in top])
 
 
 @query("k19_method_groups")
