@@ -15,7 +15,8 @@ avoids occurs once per partition.
 
 Tokens: the words between ASCII white space are encoded once by the tokenizers
 library (white space never joins tokens in the vocabulary used), kept from block
-to block up to a bound, and put together by array look-ups.
+to block and from task to task of a worker up to a bound, and put together by array
+look-ups.
 
 Defined results: null text is empty and has the end token alone; repeated rows
 are packed each; ids of any type, null too, are handed through; an empty table gives
@@ -50,6 +51,11 @@ BLOCK = 4 << 20
 KEPT_WORDS = 800_000
 _CLOSING = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 _MARK = "\x01"
+#: Words that normaliser and split pattern leave as they are: lower-case Latin-1 letters alone.
+PLAIN = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
+
+
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
 class WordEncoder:
@@ -65,10 +71,40 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.mark, self.kept = self.ids(_MARK), kept
+        self._plain_merges()
         self.forget()
 
+    def _plain_merges(self) -> None:
+        """The vocabulary's merges without normaliser and split pattern, for words both leave as they are."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        ending = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.has_plain = bool(ending)
+        if not ending:
+            return
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[k for word, k in vocabulary.items() if word.endswith(ending)]] = True
+        # the characters that byte-level vocabularies write for bytes
+        bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(k) for k in range(256)]
+        for k in range(0xDF, 0x100):
+            for byte, shown in zip(chr(k).encode(), bytes_of.pre_tokenize_str(chr(k))[0][0]):
+                letters[byte] = shown
+        self.letters = "".join(letters)
+
+    @classmethod
+    def of_worker(cls, path: str, kept: int = KEPT_WORDS) -> WordEncoder:
+        """The encoder of this Python worker, whose words serve its next tasks too."""
+        if (path, kept) not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[path, kept] = cls(path, kept)
+        return _ENCODERS[path, kept]
+
     def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def encode(self, words: list[str], group: int = 400) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets of each word's ids."""
@@ -89,6 +125,21 @@ class WordEncoder:
             sizes.append(size)
         return self._joined(found, sizes)
 
+    def encode_plain(self, words: list[str], group: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of lower-case letters (see ``PLAIN``).
+
+        Normalising and splitting leave such a word whole, so the vocabulary's
+        merges alone decide. The last id of a word is one that closes a word.
+        """
+        found = [np.zeros(0, np.int64)]
+        for i in range(0, len(words), group):
+            text = " ".join(words[i : i + group])
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(self.letters)
+            found.append(np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64))
+        ids = np.concatenate(found)
+        return ids, np.concatenate(([0], np.flatnonzero(self.closes[ids]) + 1))
+
     def lookup(self, some: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and for each of these distinct words where its ids start and how many they are.
 
@@ -97,15 +148,19 @@ class WordEncoder:
         if len(self.known) > self.kept:
             self.forget()
         at = pc.index_in(some, value_set=self.known)
-        new = some.filter(at.is_null())
-        if len(new):
-            ids, offsets = self.encode(new.to_pylist())
-            self.start = np.concatenate((self.start, (offsets[:-1] + len(self.store)).astype(np.int32)))
-            self.size = np.concatenate((self.size, np.diff(offsets).astype(np.int32)))
-            self.store = np.concatenate((self.store, ids.astype(np.int32)))
-            self.known = pa.concat_arrays([self.known, new])
-            at = pc.index_in(some, value_set=self.known)
-        at = at.to_numpy(zero_copy_only=False)
+        missing = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        at = at.fill_null(0).to_numpy(zero_copy_only=False).copy()
+        if len(missing):
+            new = some.take(pa.array(missing))
+            plain = pc.match_substring_regex(new, PLAIN).to_numpy(zero_copy_only=False) & self.has_plain
+            for mask, encode in ((plain, self.encode_plain), (~plain, self.encode)):
+                words = new.filter(pa.array(mask))
+                ids, offsets = encode(words.to_pylist())
+                at[missing[mask]] = len(self.known) + np.arange(len(words))
+                self.start = np.concatenate((self.start, (offsets[:-1] + len(self.store)).astype(np.int32)))
+                self.size = np.concatenate((self.size, np.diff(offsets).astype(np.int32)))
+                self.store = np.concatenate((self.store, ids.astype(np.int32)))
+                self.known = pa.concat_arrays([self.known, words])
         return self.store, self.start[at], self.size[at]
 
     def forget(self) -> None:
@@ -171,27 +226,39 @@ def plan(points: np.ndarray, cost: np.ndarray, window: int = WINDOW, free_end: b
     at the last point.
     """
     n = len(points)
-    best, back = [0.0] * n, [0] * n
-    queue: deque[int] = deque([0])
-    lengths = [1 << k for k in range(6, window.bit_length() - 1) if 1 << k < window]
-    short = []
-    for size in lengths:
+    # earlier points at a power of two before a point, in the order of the points
+    hits, sources = [], []
+    for size in (1 << k for k in range(6, window.bit_length() - 1) if 1 << k < window):
         k = np.searchsorted(points, points - size)
-        short.append(np.where(points[np.minimum(k, n - 1)] == points - size, k, -1).tolist())
+        hit = np.flatnonzero(points[np.minimum(k, n - 1)] == points - size)
+        hits.append(hit)
+        sources.append(k[hit])
+    hit = np.concatenate([*hits, [n]]).astype(np.int64)
+    order = np.argsort(hit, kind="stable")
+    source = np.concatenate([*sources, [0]]).astype(np.int64)[order].tolist()
+    hit = hit[order].tolist()
     p, c = points.tolist(), (cost + PER_SEQUENCE).tolist()
+    best, back, ahead = [0.0] * n, [0] * n, [0.0] * n  # ahead: best plus position, the key of the queue
+    queue, h, following = deque([0]), 0, hit[0]
     for j in range(1, n):
-        reach = p[j] - window
+        at = p[j]
+        reach = at - window
         while p[queue[0]] < reach:
             queue.popleft()
         i = queue[0]
-        low = best[i] + window - p[j] + p[i]
-        for k in short:
-            if k[j] >= 0 and best[k[j]] < low:
-                i, low = k[j], best[k[j]]
-        best[j], back[j] = low + c[j], i
-        value = best[j] + p[j]
-        while queue and best[queue[-1]] + p[queue[-1]] >= value:
+        low = ahead[i] - reach
+        while following == j:
+            k = source[h]
+            if best[k] < low:
+                i, low = k, best[k]
+            h += 1
+            following = hit[h]
+        low += c[j]
+        best[j], back[j] = low, i
+        low += at
+        while queue and ahead[queue[-1]] >= low:
             queue.pop()
+        ahead[j] = low
         queue.append(j)
     j = n - 1
     if free_end:
@@ -221,7 +288,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """Pieces: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path, kept_words)
+        encoder = WordEncoder.of_worker(tokenizer_path, kept_words)
         sequence = TaskContext.get().partitionId() << 32
         held: list[pa.RecordBatch] = []
         carry = None
