@@ -14,8 +14,10 @@ the written list names are read, so lost executors do no harm. Files are reached
 through pyarrow's file systems, by URI.
 
 Defined results: a null payload is an empty one; repeated rows become records each
-(with the same id, they are told apart by their place only); null ids are written
-and read back as null; an empty table makes no package; extra columns are ignored.
+(with the same id, they are told apart by their place only), and rows of one id with
+different payloads are decided apart; null ids are written and read back as null, and
+are responses only where no copy has an id; an empty table makes no package; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -33,13 +36,17 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, scratch_path, table
+from .shared import attach, hot_keys, materialize, rows_within, scratch_path, table
 
 PACKAGE_BYTES = 256 << 20
 #: Payloads from this size on are written once; later copies become revisits.
 REVISIT_BYTES = 1000
 #: Ranges closer than this are read together, up to so many bytes.
 GAP, READ_BYTES = 64 << 10, 4 << 20
+#: Record bytes that one reading task fetches.
+TASK_BYTES = 16 << 20
+#: Up to so many repeated payloads are broadcast.
+WINNERS = 400_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Fixed values of the ZIP format.
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -108,11 +115,16 @@ class PackageWriter:
         self.out.close()
 
 
+def _plain_uri(url: str) -> str:
+    """White space and control characters would break the header: they are percent-encoded."""
+    return re.sub(r"[\x00-\x20\x7f-\x9f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url)
+
+
 def record_bytes(kind: str, record_id: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """One WARC record; a revisit keeps the HTTP header (with the payload's length) only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Target-URI: {url}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Target-URI: {_plain_uri(url)}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}"]
     if refers_to is not None:
         head += [f"WARC-Refers-To: <{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
@@ -120,17 +132,23 @@ def record_bytes(kind: str, record_id: str, url: str, payload: bytes, digest: st
 
 
 def plan_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """Rows (id, refers_to): which response each record points to, or null.
+    """All rows (id, digest, n, and the other columns of ``pages``) with refers_to: the response a row points to, or null.
 
-    Of equal payloads the largest id is the response. Digests are grouped, not
-    payloads; partial aggregation keeps a payload that fills a third of all rows
-    from meeting in one task.
+    Of equal payloads the largest id is the response; each row is decided by its own
+    payload, so an id may come with several. Digests are grouped, not payloads, with
+    partial aggregation. The winners of repeated payloads are broadcast up to
+    ``WINNERS`` rows; beyond, the join is shuffled, frequent digests apart.
     """
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
-    lean = pages.select(F.col(id_col).alias("id"), F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).alias("n"))
-    big = materialize(lean.filter(F.col("n") >= REVISIT_BYTES), "payloads")
+    rows = pages.withColumns({"digest": F.unhex(F.sha1(payload)), "n": F.octet_length(payload)})
+    big = materialize(rows.select(F.col(id_col).alias("id"), "digest", "n").filter(F.col("n") >= REVISIT_BYTES), "payloads")
     winner = big.groupBy("digest", "n").agg(F.max("id").alias("winner"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    return big.join(winner, ["digest", "n"]).filter("id <> winner").select("id", F.col("winner").alias("refers_to")).distinct()
+    winner = materialize(winner, "winners")
+    if rows_within(winner, WINNERS):
+        rows = rows.join(F.broadcast(winner), ["digest", "n"], "left")
+    else:
+        rows = attach(rows, winner, ["digest", "n"], "left", hot=hot_keys(big, ["digest", "n"]))
+    return rows.withColumn("refers_to", F.when(~F.col(id_col).eqNullSafe(F.col("winner")), F.col("winner")))
 
 
 def write_packages(pages: DataFrame, out_uri: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", force64: bool = False) -> DataFrame:
@@ -161,7 +179,7 @@ def write_packages(pages: DataFrame, out_uri: str, id_col: str = "page_id", url_
             yield done()
 
     lean = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("html"))
-    rows = lean.join(plan_revisits(pages, id_col, payload_col), "id", "left").select("id", "url", "html", "refers_to")
+    rows = plan_revisits(lean, "id", "html").select("id", "url", "html", "refers_to")
     return materialize(rows.mapInArrow(run, "package string, records long"), "packages")
 
 
@@ -297,14 +315,17 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
                 columns = [pa.array(map(number, ids), pa.int64()), pa.array(urls), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(kinds), pa.array(map(number, refers), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(payloads, pa.string())] * with_payload)], names)
 
+    # what a task reads is weighed by record bytes, not by the size of the index
+    total = index.agg(F.sum("length")).first()[0] or 0
+    stretch = min(TASK_BYTES, max(1 << 20, total // (4 * index.sparkSession.sparkContext.defaultParallelism)))
     names = ["id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] * with_payload)]
-    placed = index.select("package", "start", "length").repartition("package", F.floor(F.col("start") / F.lit(16 << 20))).sortWithinPartitions("package", "start")
+    placed = index.select("package", "start", "length").repartition(-(-total // stretch) or 1, "package", F.floor(F.col("start") / F.lit(stretch))).sortWithinPartitions("package", "start")
     return placed.mapInArrow(run, "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload string" * with_payload)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = write_packages(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
-    out = read_records(read_index(packages))
+    out = read_records(materialize(read_index(packages), "index"))
     return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
