@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
@@ -21,6 +22,8 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
+#: Spans longer than this many bytes are not hashed by the rolling polynomial.
+LONG = 255
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_VALUES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -91,10 +94,29 @@ def prefix_hash(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end), equal for equal bytes."""
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, buf: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end), equal for equal bytes.
+
+    The polynomial is taken modulo 2**64, where some texts of 1024 bytes and more
+    collide by their structure (Thue-Morse words). Spans longer than ``LONG`` are
+    therefore hashed by themselves; callers whose spans may be long give ``buf``.
+    """
     h = (prefix[end] - prefix[start]) * powers(len(prefix))[1][start]
-    return mix(h + (end - start).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+    h = mix(h + (end - start).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+    if buf is not None and len(far := np.flatnonzero(end - start > LONG)):
+        data = memoryview(np.ascontiguousarray(buf))
+        h[far] = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start[far].tolist(), end[far].tolist())]
+    return h
+
+
+def same_bytes(buf: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether span ``a[i]`` holds the same bytes as span ``b[i]``."""
+    same = size_a == size_b
+    at = np.flatnonzero(same)
+    size = size_a[at]
+    differ = buf[ragged(a[at], size)] != buf[ragged(b[at], size)]
+    same[at[np.repeat(np.arange(len(at)), size)[differ]]] = False
+    return same
 
 
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

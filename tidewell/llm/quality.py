@@ -21,6 +21,8 @@ is 0; extra columns are ignored; null ids keep their row.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytescan import mix, pieces, prefix_hash, span_hash, windows, words
+from .bytescan import mix, pieces, prefix_hash, same_bytes, span_hash, windows, words
 from .shared import rows_within, table
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -74,7 +76,7 @@ def grams(buf: np.ndarray, off: np.ndarray, buckets: int = BUCKETS, orders: tupl
 def word_buckets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words, and where each document's begin."""
     start, end, first = words(buf, off)
-    return (mix(span_hash(prefix_hash(buf), start, end)) >> U64(40)).astype(np.int64) & (WORD_BUCKETS - 1), first
+    return (mix(span_hash(prefix_hash(buf), start, end, buf)) >> U64(40)).astype(np.int64) & (WORD_BUCKETS - 1), first
 
 
 def count_grams(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
@@ -145,32 +147,48 @@ def base_stats(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     lines = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
     line_start, line_end = line_start[lines], line_end[lines]
     of = np.searchsorted(off, line_start, "right") - 1
-    key = mix(span_hash(prefix, line_start, line_end) + of.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
-    kept = np.unique(key, return_index=True)[1]
-    again = np.ones(len(key), np.int64)
-    again[kept] = 0
+    key = mix(span_hash(prefix, line_start, line_end, buf) + of.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+    doubt = np.zeros(n, bool)  # documents with equal keys of different bytes
+    order, same = _equal_keys(key)
+    a, b = order[:-1][same], order[1:][same]
+    doubt[of[a[~same_bytes(buf, line_start[a], line_start[b], line_end[a] - line_start[a], line_end[b] - line_start[b])]]] = True
+    again = np.zeros(len(key), np.int64)
+    again[b] = 1
     out["n_dup_lines"] = np.bincount(of, again, n).astype(np.int64)
     # words inside a 3-word window that is found twice or more
-    h = span_hash(prefix, start, end)
+    h = span_hash(prefix, start, end, buf)
     of = np.repeat(np.arange(n), np.diff(first))
     w = windows(h, 3)
     repeated = np.zeros(len(h), np.int64)
     if len(w):
-        inside = of[2:] == of[:-2]
-        key = mix(w + of[:-2].astype(np.uint64) * U64(0x9E3779B97F4A7C15))
-        at = np.flatnonzero(inside)
-        order = np.argsort(key[at], kind="stable")
-        sorted_key = key[at][order]
-        same = np.zeros(len(at), bool)
-        same[1:] = sorted_key[1:] == sorted_key[:-1]
-        same[:-1] |= same[1:]
-        hit = at[order][same]
+        at = np.flatnonzero(of[2:] == of[:-2])
+        order, same = _equal_keys(mix(w + of[:-2].astype(np.uint64) * U64(0x9E3779B97F4A7C15))[at])
+        a, b = at[order[:-1][same]], at[order[1:][same]]
         for k in range(3):
-            repeated[hit + k] = 1
+            doubt[of[a[~same_bytes(buf, start[a + k], start[b + k], end[a + k] - start[a + k], end[b + k] - start[b + k])]]] = True
+            repeated[a + k] = 1
+            repeated[b + k] = 1
     out["n_repeat_words"] = np.bincount(of, repeated, n).astype(np.int64)
+    for i in np.flatnonzero(doubt):
+        out["n_dup_lines"][i], out["n_repeat_words"][i] = _repeats(buf[off[i] : off[i + 1]].tobytes())
     return out
 
 
+def _equal_keys(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys, ties by position, and which neighbours in it are equal."""
+    order = np.argsort(key, kind="stable")
+    return order, key[order[1:]] == key[order[:-1]]
+
+
+def _repeats(text: bytes) -> tuple[int, int]:
+    """Repeated lines and words in repeated windows of one document, told apart by their bytes."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split(b"\n") if re.search(rb"[^\x20\x09-\x0D]", x)]
+    found = Counter(zip(words, words[1:], words[2:]))
+    inside = {i + k for i, x in enumerate(zip(words, words[1:], words[2:])) if found[x] > 1 for k in range(3)}
+    return len(lines) - len(set(lines)), len(inside)
+
+
 def verdicts(buf: np.ndarray, off: np.ndarray, ratios: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
     """Base statistics, base_failed, kept, llr and word_llr (the lowest log ratio of a word) for the documents of one piece."""
     split = len(ratios) - WORD_BUCKETS if len(ratios) > WORD_BUCKETS else len(ratios)
