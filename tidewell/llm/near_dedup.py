@@ -1,7 +1,7 @@
 """Near duplicates: MinHash bands for candidates, odd sketches to screen, full sets to confirm.
 
-1. One pass over the texts makes, per document, the size and a 128-bit
-   fingerprint of its set of 5-word shingles, ``bands`` MinHash band keys and an
+1. One pass over the texts makes, per document, the size and a digest (128-bit
+   BLAKE2) of its whole set of 5-word shingles, ``bands`` MinHash band keys and an
    odd sketch: MinHash samples folded into a parity bitmap. The XOR population
    count of two sketches estimates their similarity.
 2. Documents with equal sets form classes; only one document of each class goes
@@ -11,7 +11,12 @@
    not yet in their bucket's component are compared with two members drawn by hash.
    Rows stay linear in the bucket, and with ``bands`` buckets per document that is a
    wide choice of members.
-4. Only buckets that still hold two or more components need pairs across them.
+4. Only buckets that still hold two or more components need pairs across them:
+   the members outside the bucket's largest component, each with those of other
+   components.
+
+Joins on a document, a class or a component that a large part of the rows share go
+by broadcast (:func:`shared.attach`).
 
 Two screens drop pairs before full sets are fetched. The XOR population count of
 the parity bitmaps of two full sets never exceeds the size of their symmetric
@@ -23,14 +28,16 @@ With ``rows`` r and ``bands`` b, a pair at similarity s is missed in all bands w
 probability (1 - s**r)**b: below 1e-7 at 0.75 with the defaults, and far less
 for a component, which has many such pairs.
 
-Shingles are 64-bit hashes. Documents without words have an empty set and are
+Shingles are 64-bit hashes of five word hashes (long words are hashed whole, not by
+a rolling sum). Documents without words have an empty set and are
 linked with nothing; null text counts as empty; ties take the smallest id;
-repeated rows of an id are one document in several rows; rows with a null id
-stay alone; extra columns are ignored; an empty table gives an empty result.
+rows of the same id are one document, linked with whatever one of its texts is
+linked with; rows with a null id stay alone; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import LOWER, mix, pieces, prefix_hash, span_hash, windows, words
-from .shared import anti_join_bounded, components, materialize, semi_join_bounded, table
+from .shared import anti_join_bounded, attach, components, hot_keys, materialize, semi_join_bounded, table, without_rows
 
 U64 = np.uint64
 WIDTH = 5
@@ -50,6 +57,8 @@ BANDS, ROWS = 30, 3
 SKETCH = 4
 #: Words of 64 bits of the parity bitmap of a full set.
 PARITY = 16
+#: Sets of up to so many shingles may be broadcast, 200 of them at most.
+BROADCAST_SHINGLES = 50_000
 #: A pair is dropped without confirmation only if its estimate is this far below.
 SCREEN = 0.40
 
@@ -58,7 +67,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int = WIDTH) -> Iterat
     """For each document the sorted distinct hashes of its ``width``-word shingles."""
     low = LOWER[buf]
     start, end, first = words(low, off)
-    h = span_hash(prefix_hash(low), start, end)
+    h = span_hash(prefix_hash(low), start, end, low)
     w = windows(h, width)
     for i in range(len(off) - 1):
         a, b = first[i], first[i + 1]
@@ -94,20 +103,20 @@ def _lists(rows: np.ndarray) -> pa.ListArray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document: id, n, fingerprint (f1, f2), band keys, odd sketch words."""
+    """Per document: id, n, digest of the set, band keys, odd sketch words, parity bitmap."""
     a, b = _family(bands * rows)
     salts = mix(np.arange(1, bands * rows + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, off in pieces(batches, "text"):
             n = len(off) - 1
-            size, f1, f2 = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+            size, digest = np.zeros(n, np.int64), [b""] * n
             mins = np.zeros((n, bands * rows), np.uint32)
             full = np.zeros((n, 64 * PARITY), np.uint8)
             for i, s in enumerate(shingle_sets(buf, off)):
                 size[i] = len(s)
                 if len(s):
-                    f1[i], f2[i] = s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s + U64(11)))
+                    digest[i] = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     mins[i] = minhash(s, a, b)
                     full[i] = np.bincount((s & U64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
             seeded = mix(mins.astype(np.uint64) ^ salts)
@@ -118,11 +127,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, ro
             bit = (seeded & U64(64 * SKETCH - 1)).astype(np.int64)
             folded = np.zeros((n, 64 * SKETCH), np.uint8)
             np.add.at(folded, (np.arange(n)[:, None], bit), 1)
-            made = [part.column(0), pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), _lists(keys.view(np.int64)), _lists(_bits(folded & 1)), _lists(_bits(full))]
-            yield pa.RecordBatch.from_arrays(made, ["id", "n", "f1", "f2", "keys", "odd", "parity"])
+            made = [part.column(0), pa.array(size), pa.array(digest, pa.binary()), _lists(keys.view(np.int64)), _lists(_bits(folded & 1)), _lists(_bits(full))]
+            yield pa.RecordBatch.from_arrays(made, ["id", "n", "digest", "keys", "odd", "parity"])
 
     lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return lean.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, f1 long, f2 long, keys array<long>, odd array<long>, parity array<long>")
+    return lean.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, digest binary, keys array<long>, odd array<long>, parity array<long>")
 
 
 def differing(a: Column, b: Column, size: int) -> Column:
@@ -159,7 +168,11 @@ def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, name:
     lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = semi_join_bounded(lean, ids, "id").mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, set array<long>")
     sets = materialize(sets, f"{name}-sets")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    sets = sets.dropDuplicates(["id", "set"])  # repeated rows; an id with several texts has several sets
+    named = lambda c: sets.select(F.col("id").alias(c), F.col("set").alias(f"set_{c}"))
+    both = pairs
+    for c, hot in [(c, hot_keys(pairs, [c], share=200)) for c in ("b", "a")]:  # small sets of such documents are broadcast
+        both = attach(both, named(c), c, fits=F.size(f"set_{c}") <= BROADCAST_SHINGLES, hot=hot)
     common = F.size(F.array_intersect("set_a", "set_b"))
     return both.select("a", "b", common.alias("i"), (F.size("set_a") + F.size("set_b") - common).alias("u")).filter(100 * F.col("i") >= BOUND * F.col("u")).select("a", "b").distinct()
 
@@ -168,52 +181,84 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per document: id, n_shingles, component_id, kept (see the module)."""
     made = materialize(sketches(docs, id_col, text_col, bands, rows), "sketches")
     some = made.filter("n > 0 AND id IS NOT NULL")
-    classes = materialize(some.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "classes")
-    reps = materialize(some.join(classes, ["n", "f1", "f2"]).filter("id = rep").dropDuplicates(["rep"]).select("rep", "n", "keys", "odd", "parity"), "reps")
+    classes = materialize(some.groupBy("n", "digest").agg(F.min("id").alias("rep")), "classes")
+    members = materialize(attach(some.select("id", "n", "digest"), classes, ["n", "digest"]), "members")
+    first = some.join(classes.withColumnRenamed("rep", "id"), ["n", "digest", "id"]).dropDuplicates(["n", "digest"])
+    # a class is named by its smallest id; an id with several texts may name several classes
+    reps = materialize(first.select(F.col("id").alias("rep"), "n", "keys", "odd", "parity"), "reps")
     sketch = reps.select("rep", "n", "odd", "parity")
     banded = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     drawn = F.xxhash64("rep", "band")
     probes = [F.min("rep").alias("first"), F.min_by("rep", drawn).alias("one"), F.max_by("rep", drawn).alias("other")]
     shared = banded.groupBy("band", "key").agg(*probes, F.count(F.lit(1)).alias("members")).filter("members > 1")
     buckets = materialize(banded.join(shared.drop("members"), ["band", "key"]), "buckets")
-    screened = lambda pairs, x, y: pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).filter(may_link("x", "y", bands * rows)).select("a", "b")
     ends = [F.least("rep", "probe").alias("a"), F.greatest("rep", "probe").alias("b")]
 
+    def screened(pairs: DataFrame) -> DataFrame:
+        for c, hot in [(c, hot_keys(pairs, [c])) for c in ("a", "b")]:
+            pairs = attach(pairs, sketch.select(F.col("rep").alias(c), F.struct("n", "odd", "parity").alias(f"of_{c}")), c, hot=hot)
+        return pairs.filter(may_link("of_a", "of_b", bands * rows)).select("a", "b").distinct()
+
     tried = buckets.select("rep", F.col("first").alias("probe")).filter("rep <> probe").select(*ends).distinct()
-    tried = materialize(screened(tried, sketch.alias("x"), sketch.alias("y")), "first-probes")
-    links = materialize(confirm(docs, tried, id_col, text_col, "first"), "links")
+    tried = materialize(screened(materialize(tried, "first-pairs")), "first-probes")
+    links = confirm(docs, tried, id_col, text_col, "first").unionByName(_classes_of_one_id(members))
+    links = materialize(links, "links")
     found = components(links, name="first")
 
     named = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
     again = buckets.select("rep", F.explode(F.array("one", "other")).alias("probe")).filter("rep <> probe").distinct()
-    again = again.join(named("rep"), "rep", "left").join(named("probe"), "probe", "left").filter(F.coalesce("rep_in", "rep") != F.coalesce("probe_in", "probe")).select(*ends).distinct()
-    again = materialize(screened(again, sketch.alias("x"), sketch.alias("y")).join(tried, ["a", "b"], "left_anti"), "more-probes")
+    again = materialize(again.join(named("rep"), "rep", "left"), "more-members")
+    again = attach(again, named("probe"), "probe", "left")
+    again = again.filter(F.coalesce("rep_in", "rep") != F.coalesce("probe_in", "probe")).select(*ends).distinct()
+    again = materialize(screened(materialize(again, "more-pairs")).join(tried, ["a", "b"], "left_anti"), "more-probes")
     if not again.isEmpty():
         links = materialize(links.unionByName(confirm(docs, again, id_col, text_col, "more")), "more-links")
         found = components(links, name="more")
     tried = tried.unionByName(again)
 
     placed = buckets.drop("first", "one", "other").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band", "key")
-    left = materialize(placed.join(mixed, ["band", "key"]).join(sketch, "rep"), "mixed")
-    x, y = left.alias("x"), left.alias("y")
-    across = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
-    more = x.join(y, across & may_link("x", "y", bands * rows)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialize(more, "across")
+    placed = materialize(placed, "placed")
+    parts = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("members"))
+    mixed = parts.groupBy("band", "key").agg(F.max_by("component", F.struct("members", "component")).alias("major"), F.count(F.lit(1)).alias("parts"))
+    mixed = mixed.filter("parts > 1").select("band", "key", "major")
+    left = placed.join(mixed, ["band", "key"]).join(sketch, "rep").withColumn("minor", F.col("component") != F.col("major")).drop("major")
+    left = materialize(left, "mixed")
+    x, y = left.filter("minor").alias("x"), left.alias("y")
+    across = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+    across &= ~F.col("y.minor") | (F.col("x.rep") < F.col("y.rep"))
+    more = x.join(y, across & may_link("x", "y", bands * rows)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    more = materialize(more.distinct().join(tried, ["a", "b"], "left_anti"), "across")
     if not more.isEmpty():
         links = materialize(links.unionByName(confirm(docs, more, id_col, text_col, "across")), "all-links")
         found = components(links, name="all")
 
-    class_of = some.select("id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"]).select("id", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    class_of = attach(members, found.withColumnRenamed("node", "rep"), "rep", "left")
     class_of = class_of.select("id", F.coalesce("component", "rep").alias("component_id")).distinct()
     out = made.select("id", F.col("n").alias("n_shingles")).join(class_of, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _classes_of_one_id(members: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of an id that comes with several texts."""
+    ends = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("id", "a")
+    return members.join(ends, "id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
+
+
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each component, with all their columns."""
-    dropped = near_dedup(docs, id_col, text_col).filter("not kept").select(id_col).distinct()
-    return anti_join_bounded(docs, materialize(dropped, "dropped"), id_col)
+    """The rows of ``docs`` that stay, one document of each component, with all their columns.
+
+    Where an id comes with several texts, each text is a document of its own, so
+    that none is lost with another.
+    """
+    check = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    lean = docs.select(F.col(id_col).alias("id"), check.alias("check"), F.col(text_col).alias("text"))
+    several = lean.filter("id IS NOT NULL").groupBy("id").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo < hi")
+    if several.isEmpty():
+        dropped = near_dedup(lean, "id").filter("not kept").select("id")
+        return anti_join_bounded(docs, materialize(dropped.distinct().withColumnRenamed("id", id_col), "dropped"), id_col)
+    node = F.when(F.col("id").isNotNull(), F.struct("id", "check")).alias("node")
+    dropped = near_dedup(lean.select(node, "text"), "node").filter("not kept").select("node.id", "node.check")
+    return without_rows(docs, materialize(dropped.distinct(), "dropped"), id_col, check)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
