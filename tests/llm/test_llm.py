@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidewell.llm import bpe, exact_dedup, html_text, language, near_dedup, packing, quality, sharding, shared, suffix_dedup, warc
 
 random.seed(4)
+NO_MODEL = quality.Model(np.zeros(quality.BUCKETS, np.float32), np.zeros(0, np.int64))
 VOCAB = ["".join(random.choice("abcdefgh") for _ in range(random.randint(1, 7))) for _ in range(400)]
 
 
@@ -132,7 +133,7 @@ def test_suffix_dedup_keeps_rows_and_characters(spark):
 
 
 def test_quality_base_rules(docs, texts):
-    got = by_id(quality.score(docs, np.zeros(quality.BUCKETS, np.float32)))
+    got = by_id(quality.score(docs, NO_MODEL))
     for i, t in texts:
         t = t or ""
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -157,7 +158,7 @@ def test_quality_model_rejects_what_is_unlike_the_target(spark):
     got = by_id(quality.score(df, quality.fit(df, target)))
     assert all(got[i]["kept"] for i, _ in good) and not any(got[i]["kept"] for i, _ in bad)
     assert quality.keep_good(df, target).count() == len(good)
-    assert (quality.fit(df, target.limit(0)) == 0).all()
+    assert (quality.fit(df, target.limit(0)).ratios == 0).all()
 
 
 def tokenizer(path):
@@ -366,7 +367,7 @@ def test_operators_take_all_null_columns(spark, column):
     assert suffix_dedup.repeated_passages(df).count() == 2
     assert sharding.shard_by_bytes(df).count() == 2
     assert bpe.encode_documents(df, bpe.default_tokenizer()).count() == 2
-    assert quality.score(df, np.zeros(quality.BUCKETS, np.float32)).count() == 2
+    assert quality.score(df, NO_MODEL).count() == 2
     assert packing.pack(df, packing.default_tokenizer()).agg(F.sum("length")).first()[0] >= 2
 
 
@@ -375,6 +376,8 @@ def test_quality_rejects_prose_with_a_word_the_target_avoids(spark):
     toxic = [(1000 + i, f"{prose(75)} idiot {prose(75)}") for i in range(200)]
     df = spark.createDataFrame(clean + toxic, "doc_id long, text string")
     target = spark.createDataFrame([(i,) for i in range(400)], "id long")
-    got = by_id(quality.score(df, quality.fit(df, target)))
+    seen = spark.createDataFrame([(1000 + i,) for i in range(100)], "id long")
+    got = by_id(quality.score(df, quality.fit(df, target, seen)))
     assert all(got[i]["kept"] for i, _ in clean) and not any(got[i]["kept"] for i, _ in toxic)
-    assert quality.keep_good(df, target).count() == len(clean)
+    assert quality.keep_good(df, target, seen).count() == len(clean)
+    assert quality.keep_good(df, target, seen.limit(0)).count() >= len(clean)

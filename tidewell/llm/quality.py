@@ -5,18 +5,21 @@ shouting differs from prose) are counted over all documents: one over the
 trusted target (labelled good and not toxic), one over the whole raw corpus.
 A document's score is the mean log ratio of its n-grams, so it does not depend
 on its length; every document is scored and compared with one fixed threshold.
-Ordinary prose with a few insults is hardly told apart by that mean, so words
-are compared too: of how many documents a hashed word is part, in the target and
-in the raw corpus. A document with a word that the target avoids, on the
-evidence of many documents, is rejected.
-The counts are sums, so tasks can be lost and repeated; the model that is
-broadcast has ``buckets`` and ``WORD_BUCKETS`` floats whatever the corpus size.
+Ordinary prose with a few insults is hardly told apart by that mean. Where documents
+are labelled toxic, words are compared too, over all labelled documents: a word goes
+on a list if its document counts in the toxic and in the trusted ones have a decisive
+log-likelihood ratio, if it is much rarer in the trusted ones, and if it stands in a
+fair share of the toxic ones; a document with a word on the list is rejected.
+The counts are sums, so tasks can be lost and repeated; the model that is broadcast
+has ``buckets`` floats and at most a few words for each percent of ``MIN_SHARE``,
+whatever the corpus size.
 
 Base rules that need no model come first (see :func:`base_stats`).
 
 Defined results: null text has no words and no n-grams (score 0, fails the
 base rules); repeated rows are scored alike; with an empty target every score
-is 0; extra columns are ignored; null ids keep their row.
+is 0, and without toxic documents no word is on the list; extra columns are ignored;
+null ids keep their row.
 """
 
 from __future__ import annotations
@@ -24,16 +27,18 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytescan import mix, pieces, prefix_hash, same_bytes, span_hash, windows, words
-from .shared import rows_within, table
+from .bytescan import LOWER, mix, pieces, prefix_hash, same_bytes, span_hash, windows, words
+from .shared import materialize, rows_within, table
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
+CLOSING = np.isin(np.arange(256), np.frombuffer(b".,;:!?|", np.uint8))
 U64 = np.uint64
 
 #: n-gram orders in bytes.
@@ -44,10 +49,9 @@ BUCKETS = 1 << 16
 PRIOR = 0.02
 #: Documents score below this mean log ratio only if much of them is unlike the target.
 THRESHOLD = -0.4
-#: Size of the hashed word table, and the documents that weaken the ratio of rare words.
-WORD_BUCKETS, WORD_PRIOR = 1 << 18, 10
-#: A document with a word below this log ratio is rejected; set on labelled documents kept out of the target.
-WORD_THRESHOLD = -2.0
+#: A listed word has at least this log-likelihood ratio (2 ln L), is at most this (ln) as frequent in the
+#: target as in toxic documents, and stands in at least this share of the toxic documents.
+DECISIVE, RARER, MIN_SHARE = 40.0, -3.0, 0.02
 #: Up to so many target ids are broadcast; beyond, the join is shuffled.
 TARGET_BROADCAST = 400_000
 #: Words a document needs at least, and the largest share of words in repeated windows.
@@ -73,56 +77,126 @@ def grams(buf: np.ndarray, off: np.ndarray, buckets: int = BUCKETS, orders: tupl
         yield (((key * U64(0x9E3779B97F4A7C15) + U64(n)) * U64(0xD6E8FEB86659FD93) >> U64(40)) & U64(buckets - 1)).astype(np.int64)[ok], at
 
 
-def word_buckets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words, and where each document's begin."""
-    start, end, first = words(buf, off)
-    return (mix(span_hash(prefix_hash(buf), start, end, buf)) >> U64(40)).astype(np.int64) & (WORD_BUCKETS - 1), first
+def word_keys(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the words (A-Z folded, without one closing mark), and where each document's begin."""
+    low = LOWER[buf]
+    start, end, first = words(low, off)
+    end = end - (CLOSING[low[end - 1]] & (end - start > 1))
+    return span_hash(prefix_hash(low), start, end, low).view(np.int64), first
+
+
+@dataclass
+class Model:
+    """Log ratios per n-gram bucket, and the sorted keys of the words that reject a document."""
+
+    ratios: np.ndarray
+    listed: np.ndarray
+
+
+def _marked(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """(text, chosen): whether the id is one of ``ids``; ids are broadcast up to a bound."""
+    chosen = ids.select("id", F.lit(True).alias("chosen"))
+    if rows_within(chosen, TARGET_BROADCAST):
+        chosen = F.broadcast(chosen)
+    lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return lean.join(chosen, "id", how).select("text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
+def count_words(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (key, docs): how many of the documents ``ids`` hold a word; the null key counts the documents.
+
+    Only documents of MIN_WORDS words count. Tasks add up before the shuffle.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, buf, off in pieces(batches, "text"):
+            w, first = word_keys(buf, off)
+            long = np.diff(first) >= MIN_WORDS
+            found = [np.unique(w[first[i] : first[i + 1]]) for i in np.flatnonzero(long)]
+            key, n = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([*key.tolist(), None], pa.int64()), pa.array([*n.tolist(), int(long.sum())], pa.int64())], ["key", "docs"])
+
+    texts = _marked(docs, ids, id_col, text_col, "inner").select("text")
+    return texts.mapInArrow(count, "key long, docs long").groupBy("key").agg(F.sum("docs").alias("docs"))
 
 
-def count_grams(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def count_grams(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, asked: np.ndarray | None = None) -> DataFrame:
     """Rows (bucket, raw, target): n-gram counts over all documents and over the target.
 
-    Buckets from ``buckets`` on count the documents of MIN_WORDS words that hold a word, the last one those documents.
+    Buckets from ``buckets`` on count the target's documents (of MIN_WORDS words) that hold
+    the word key asked for, the last one those documents.
     """
+    asked = np.zeros(0, np.int64) if asked is None else asked
+    shared = docs.sparkSession.sparkContext.broadcast(asked)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, buckets + WORD_BUCKETS + 1), np.int64)
+        keys = shared.value
+        total = np.zeros((2, buckets + len(keys) + 1), np.int64)
         for part, buf, off in pieces(batches, "text"):
             chosen = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for g, at in grams(buf, off, buckets):
                 total[0, :buckets] += np.bincount(g, minlength=buckets)
                 total[1, :buckets] += np.bincount(g[np.repeat(chosen, np.diff(at))], minlength=buckets)
-            w, first = word_buckets(buf, off)
-            long = np.diff(first) >= MIN_WORDS
-            seen = np.unique((np.repeat(np.arange(len(long)), np.diff(first)) * WORD_BUCKETS + w)[np.repeat(long, np.diff(first))])
-            for k, rows in enumerate((long, long & chosen)):
-                total[k, buckets:-1] += np.bincount(seen[rows[seen // WORD_BUCKETS]] % WORD_BUCKETS, minlength=WORD_BUCKETS)
-                total[k, -1] += rows.sum()
-        seen = np.flatnonzero(total[0])
+            if len(keys):
+                w, first = word_keys(buf, off)
+                good = chosen & (np.diff(first) >= MIN_WORDS)
+                of, hit = found_words(w, first, keys)
+                pairs = np.unique(of[good[of]] * len(keys) + hit[good[of]])
+                total[1, buckets:-1] += np.bincount(pairs % len(keys), minlength=len(keys))
+                total[1, -1] += good.sum()
+        seen = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[0][seen]), pa.array(total[1][seen])], ["bucket", "raw", "target"])
 
-    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chosen = target_ids.select("id", F.lit(True).alias("chosen"))
-    if rows_within(chosen, TARGET_BROADCAST):
-        chosen = F.broadcast(chosen)
-    marked = marked.join(chosen, "id", "left").select("text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+    marked = _marked(docs, target_ids, id_col, text_col, "left")
     return marked.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
-    """Log ratios per n-gram bucket, smoothed in proportion to the raw counts and to the target's size, then those per word bucket."""
-    raw, target = np.zeros(buckets + WORD_BUCKETS + 1), np.zeros(buckets + WORD_BUCKETS + 1)
-    for r in count_grams(docs, target_ids, id_col, text_col, buckets).toLocalIterator():
+def found_words(w: np.ndarray, first: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Document and index in ``keys`` (sorted, not empty) of each word that is one of them."""
+    at = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
+    hit = np.flatnonzero(keys[at] == w)
+    return np.searchsorted(first, hit, "right") - 1, at[hit]
+
+
+def _candidates(docs: DataFrame, toxic_ids: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys in MIN_SHARE of the toxic documents, their counts, and the number of those documents.
+
+    A document of n distinct words adds at most n to the counts, so there are at most
+    1 / MIN_SHARE times the mean n keys.
+    """
+    counted = materialize(count_words(docs, toxic_ids, id_col, text_col), "toxic-words")
+    bad = counted.filter("key IS NULL").first()
+    bad = bad["docs"] if bad else 0
+    rows = counted.filter("key IS NOT NULL").filter(F.col("docs") >= max(MIN_SHARE * bad, 2)).collect()
+    rows.sort(key=lambda r: r["key"])
+    return np.array([r["key"] for r in rows], np.int64), np.array([r["docs"] for r in rows], float), bad
+
+
+def fit(docs: DataFrame, target_ids: DataFrame, toxic_ids: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> Model:
+    """N-gram ratios, smoothed in proportion to the raw counts and to the target's size, and the listed words."""
+    keys, b, bad = np.zeros(0, np.int64), np.zeros(0), 0
+    if toxic_ids is not None:
+        keys, b, bad = _candidates(docs, toxic_ids, id_col, text_col)
+    raw, target = np.zeros(buckets + len(keys) + 1), np.zeros(buckets + len(keys) + 1)
+    for r in count_grams(docs, target_ids, id_col, text_col, buckets, keys).toLocalIterator():
         raw[r.bucket], target[r.bucket] = r.raw, r.target
-    if not target.sum():
-        return np.zeros(buckets + WORD_BUCKETS, np.float32)
-    expected = raw[buckets:-1] * target[-1] / max(raw[-1], 1)
-    word_ratios = np.log((target[buckets:-1] + WORD_PRIOR) / (expected + WORD_PRIOR))
+    t, good = target[buckets:-1], target[-1]
     raw, target = raw[:buckets], target[:buckets]
+    if not target.sum():
+        return Model(np.zeros(buckets, np.float32), keys[:0])
     p = (raw + 1) / (raw.sum() + buckets)
     prior = PRIOR * target.sum() * p
     q = (target + prior) / (target.sum() + prior.sum())
-    return np.concatenate((np.log(q / p), word_ratios)).astype(np.float32)
+    return Model(np.log(q / p).astype(np.float32), keys[listed(b, t, bad, good)])
+
+
+def listed(b: np.ndarray, t: np.ndarray, bad: float, good: float) -> np.ndarray:
+    """Whether words in ``b`` of ``bad`` toxic and in ``t`` of ``good`` trusted documents go on the list."""
+    if not good or not bad:
+        return np.zeros(len(b), bool)
+    share = (b + t) / (bad + good)
+    two_ln = 2 * (b * np.log(b / (bad * share)) + np.where(t > 0, t * np.log(np.maximum(t, 1) / (good * share)), 0))
+    return (two_ln >= DECISIVE) & (np.log((t * bad / good + 0.5) / (b + 0.5)) <= RARER)
 
 
 def base_stats(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
@@ -189,30 +263,27 @@ def _repeats(text: bytes) -> tuple[int, int]:
     return len(lines) - len(set(lines)), len(inside)
 
 
-def verdicts(buf: np.ndarray, off: np.ndarray, ratios: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
-    """Base statistics, base_failed, kept, llr and word_llr (the lowest log ratio of a word) for the documents of one piece."""
-    split = len(ratios) - WORD_BUCKETS if len(ratios) > WORD_BUCKETS else len(ratios)
-    ratios, word_ratios = ratios[:split], ratios[split:]
+def verdicts(buf: np.ndarray, off: np.ndarray, model: Model, threshold: float) -> dict[str, np.ndarray]:
+    """Base statistics, base_failed, kept, llr and n_listed (words on the list) for the documents of one piece."""
     s = {k: v.astype(np.int64) for k, v in base_stats(buf, off).items()}
-    total, count = np.zeros(len(off) - 1), np.zeros(len(off) - 1)
-    for g, at in grams(buf, off, len(ratios)):
-        sums = np.concatenate(([0.0], np.cumsum(ratios[g], dtype=np.float64)))
+    n = len(off) - 1
+    total, count = np.zeros(n), np.zeros(n)
+    for g, at in grams(buf, off, len(model.ratios)):
+        sums = np.concatenate(([0.0], np.cumsum(model.ratios[g], dtype=np.float64)))
         total += sums[at[1:]] - sums[at[:-1]]
         count += np.diff(at)
     llr = np.round(total / np.maximum(count, 1), 9)
-    lowest = np.zeros(len(off) - 1)
-    if len(word_ratios):
-        w, first = word_buckets(buf, off)
-        some = np.flatnonzero(np.diff(first))
-        if len(some):
-            lowest[some] = np.minimum.reduceat(word_ratios[w], first[some])
+    n_listed = np.zeros(n, np.int64)
+    if len(model.listed):
+        of, _ = found_words(*word_keys(buf, off), model.listed)
+        n_listed = np.bincount(of, minlength=n)
     failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEATED * s["n_words"])
-    return s | {"base_failed": failed, "kept": ~failed & (llr >= threshold) & (lowest >= WORD_THRESHOLD), "llr": llr, "word_llr": lowest}
+    return s | {"base_failed": failed, "kept": ~failed & (llr >= threshold) & (n_listed == 0), "llr": llr, "n_listed": n_listed}
 
 
-def score(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: base statistics, llr (mean log ratio), word_llr (lowest log ratio of a word), base_failed, kept."""
-    model = docs.sparkSession.sparkContext.broadcast(ratios)
+def score(docs: DataFrame, fitted: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Per document: base statistics, llr (mean log ratio), n_listed (words on the list), base_failed, kept."""
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +292,7 @@ def score(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, found.values())], ["id", *found])
 
     lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double, word_llr double"
+    schema = f"id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double, n_listed long"
     return lean.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
@@ -231,9 +302,14 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rated.filter("id IS NOT NULL AND quality = 1 AND toxic = 0").select("id")
 
 
-def keep_good(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def toxic_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Ids that are labelled toxic."""
+    return labels.filter((F.col("toxic") == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
+
+
+def keep_good(docs: DataFrame, target_ids: DataFrame, toxic: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; one pass, no join."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, target_ids, id_col, text_col))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, target_ids, toxic, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, off in pieces(batches, text_col):
@@ -244,4 +320,5 @@ def keep_good(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", te
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, fit(docs, trusted_ids(table(spark, sf_dir, "labels"))))
+    labels = table(spark, sf_dir, "labels")
+    return score(docs, fit(docs, trusted_ids(labels), toxic_ids(labels)))
