@@ -210,7 +210,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = materialize(again.join(named("rep"), "rep", "left"), "more-members")
     again = attach(again, named("probe"), "probe", "left")
     again = again.filter(F.coalesce("rep_in", "rep") != F.coalesce("probe_in", "probe")).select(*ends).distinct()
-    again = materialize(screened(materialize(again, "more-pairs")).join(tried, ["a", "b"], "left_anti"), "more-probes")
+    # screened pairs are few; written first, as Spark would else take out the tried ones before the screen
+    again = materialize(screened(materialize(again, "more-pairs")), "more-screened")
+    again = materialize(again.join(tried, ["a", "b"], "left_anti"), "more-probes")
     if not again.isEmpty():
         links = materialize(links.unionByName(confirm(docs, again, id_col, text_col, "more")), "more-links")
         found = components(links, name="more")
@@ -227,7 +229,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     across = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
     across &= ~F.col("y.minor") | (F.col("x.rep") < F.col("y.rep"))
     more = x.join(y, across & may_link("x", "y", bands * rows)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-    more = materialize(more.distinct().join(tried, ["a", "b"], "left_anti"), "across")
+    more = materialize(materialize(more.distinct(), "across-pairs").join(tried, ["a", "b"], "left_anti"), "across")
     if not more.isEmpty():
         links = materialize(links.unionByName(confirm(docs, more, id_col, text_col, "across")), "all-links")
         found = components(links, name="all")
