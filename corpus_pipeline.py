@@ -3,6 +3,11 @@
 Each stage takes what its predecessor kept and returns a DataFrame that is
 written as Parquet and read again as the next stage's documents. All but the
 last return the columns of ``documents``.
+
+Defined results: stages decide by row, so rows that share an id keep their own texts;
+null texts fail the base rules; rows with a null id are judged and cut like others, and
+of their copies without any id all stay; ties are those of the operators; an empty
+table runs through; extra columns, also with names the operators use, are handed on.
 """
 
 from __future__ import annotations
@@ -15,8 +20,9 @@ from tidewell.llm.shared import materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or read unlike the trusted target go."""
-    return quality.keep_good(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
+    """Documents that fail the base rules, read unlike the trusted target or hold a word of toxic ones go."""
+    labels = table(spark, sf_dir, "labels")
+    return quality.keep_good(docs, quality.trusted_ids(labels), quality.toxic_ids(labels))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
