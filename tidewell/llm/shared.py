@@ -98,9 +98,8 @@ def attach(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "i
         return left.join(right, keys, how)
     few = right.join(F.broadcast(hot), keys, "left_semi")
     few = materialize(few if fits is None else few.filter(fits), "hot-rows")
-    marked = left.join(F.broadcast(few.select(*keys, F.lit(True).alias("is_hot"))), keys, "left")
-    spread = marked.filter("is_hot").drop("is_hot").join(F.broadcast(few), keys)
-    return spread.unionByName(marked.filter("is_hot IS NULL").drop("is_hot").join(right, keys, how))
+    rest = left.join(F.broadcast(few.select(*keys).distinct()), keys, "left_anti")
+    return left.join(F.broadcast(few), keys).unionByName(rest.join(right, keys, how))
 
 
 def hot_keys(left: DataFrame, keys: list[str], share: int = 20_000, least: int = 1000) -> DataFrame:
