@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import threading
+from collections import Counter
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
@@ -294,3 +295,67 @@ def test_incremental_refresh(spark, tmp_path):
 def test_user_functions(spark):
     out = udf.map_groups(spark.range(10).selectExpr("id % 2 AS g", "id"), ["g"], lambda p: p.groupby("g", as_index=False).sum(), "g long, id long")
     assert pairs(out, "g", "id") == [(0, 20), (1, 25)]
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    """Beyond the size from which brackets are narrow, with repeated values, nulls and two groups."""
+    from tidewell.operators.ranks import exact_quantiles
+
+    df = spark.range(60_000).selectExpr("id % 2 AS g", "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 3 = 0 THEN 5.0 ELSE CAST(pmod(hash(id), 100003) AS DOUBLE) END AS x")
+    points = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = {r["g"]: r["q"] for r in exact_quantiles(df, ["g"], F.col("x"), points).collect()}
+    want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, points))).alias("q")).collect()}
+    assert got.keys() == want.keys() and all(a == pytest.approx(b) for g in want for a, b in zip(got[g], want[g]))
+    few = spark.createDataFrame([(1.0,), (2.0,), (None,), (4.0,)], "x double")
+    assert exact_quantiles(few, [], F.col("x"), [0.99]).first()["q"] == pytest.approx([3.96])
+    assert exact_quantiles(few.limit(0), [], F.col("x"), [0.5]).first()["q"] == [None]
+
+
+@pytest.mark.parametrize("cell_rows", [100_000, 3])
+def test_kendall_in_buckets(spark, cell_rows):
+    import random
+
+    from tidewell.operators.assoc import kendall
+
+    r = random.Random(2)
+    rows = [(float(r.randint(0, 40)), float(r.randint(0, 25)) if r.random() < 0.6 else float(r.randint(0, 40))) for _ in range(300)]
+    s = sum((a[0] > b[0]) - (a[0] < b[0]) if a[1] > b[1] else (a[0] < b[0]) - (a[0] > b[0]) if a[1] < b[1] else 0 for i, a in enumerate(rows) for b in rows[:i])
+    pairs = len(rows) * (len(rows) - 1) / 2
+    tie = lambda k: sum(n * (n - 1) / 2 for n in Counter(x[k] for x in rows).values())
+    got = kendall(spark.createDataFrame(rows, "a double, b double"), "a", "b", cell_rows).first()
+    assert got["tau"] == pytest.approx(s / ((pairs - tie(0)) * (pairs - tie(1))) ** 0.5) and got["n"] == 300
+
+
+def test_positions_follow_the_order(spark):
+    from tidewell.operators.ranks import positions
+
+    df = spark.range(3000).selectExpr("hash(id) AS v", "id")
+    got = [r["id"] for r in positions(df, F.struct("v", "id"), "n", 16).orderBy("n").collect()]
+    assert got == [r["id"] for r in df.orderBy("v", "id").collect()]
+
+
+def test_guard_refuses_inserts_behind_with(spark):
+    spark.sql("CREATE OR REPLACE TEMP VIEW guarded AS SELECT 1 AS a")
+    w = Workspace(spark, {"one": spark.range(1)})
+    for text in ("WITH q AS (SELECT 1 a) INSERT INTO guarded SELECT a FROM q", "INSERT INTO guarded SELECT 2", "DROP VIEW guarded"):
+        with pytest.raises(ValueError, match="only SELECT"):
+            w.sql(text, read_only=True)
+    assert w.sql("WITH q AS (SELECT id FROM one) SELECT 'Insert' AS t FROM q", read_only=True).count() == 1
+
+
+def test_fingerprint_of_many_rows(spark):
+    from tidewell.sources.io import fingerprint
+
+    assert fingerprint(spark.range(0, 20_000_000, 1, 8)).first()["rows"] == 20_000_000
+
+
+def test_normality_chooses_by_length(spark):
+    from tidewell.operators.tests_stat import normality, shapiro
+
+    df = spark.range(6000).selectExpr("CASE WHEN id < 20 THEN 'a' WHEN id < 25 THEN 'b' ELSE 'c' END AS k", "CAST(pmod(hash(id), 1009) AS DOUBLE) AS value")
+    got = {r["k"]: r for r in normality(df, ["k"]).collect()}
+    assert got["a"]["test"] == "shapiro" and got["c"]["test"] == "dagostino" and "b" not in got
+    one = shapiro(df.filter("k = 'a'"), "value").first()
+    assert got["a"]["statistic"] == pytest.approx(one["w"]) and not one["sampled"]
+    many = [shapiro(df.repartition(n), "value", 500).first() for n in (2, 7)]
+    assert many[0] == many[1] and many[0]["sampled"] and 400 < many[0]["n"] < 600

@@ -6,7 +6,9 @@ once and grouped once, so the number of jobs does not grow with the pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +27,10 @@ def column_roles(df: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
     return out.select("column_name", F.when(F.col("distinct_n") == 0, "empty").otherwise(roles[F.col("column_name")]).alias("role"), "distinct_n")
 
 
+#: Most buckets a column is cut into for Kendall's tau; the grid has at most its square of cells.
+KENDALL_BUCKETS = 512
+
+
 def numeric_pairs(columns: list[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
 
@@ -45,18 +51,57 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return ranked.agg(correlation(F.col("ra"), F.col("rb")).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
-def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
+def concordance(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Concordant minus discordant pairs of weighted points, ties counting nothing: a merge count."""
+    cells = pd.DataFrame({"x": x, "y": y, "n": n}).groupby(["x", "y"], sort=True)["n"].sum().reset_index()
+    w = cells["n"].to_numpy(float)
+    rank = np.unique(cells["y"].to_numpy(), return_inverse=True)[1].astype(np.int64)
+    same_x = np.bincount(np.unique(cells["x"].to_numpy(), return_inverse=True)[1], w)
+    total = 0.0
+    m, width = len(w), 1
+    top = int(rank.max()) + 1 if m else 1
+    while width < m:  # blocks of ``width`` points, in order of x, each pair of neighbours merged by y
+        block = np.arange(m) // width
+        order = np.lexsort((rank, block))
+        key, side, weight = (block // 2 * top + rank)[order], block[order] % 2, w[order]
+        left = side == 0
+        at, sums = key[left], np.concatenate(([0.0], np.cumsum(weight[left])))
+        start = sums[np.searchsorted(at, key[~left] // top * top)]
+        less = sums[np.searchsorted(at, key[~left], "left")] - start
+        upto = sums[np.searchsorted(at, key[~left], "right")] - start
+        whole = sums[np.searchsorted(at, (key[~left] // top + 1) * top)] - start
+        total += float((weight[~left] * (less - (whole - upto))).sum())
+        width *= 2
+    # points of one x stand in order of y and were counted as concordant
+    return total - float((same_x**2).sum() - (w**2).sum()) / 2
+
+
+def kendall(df: DataFrame, a: str, b: str, cell_rows: int = 100_000) -> DataFrame:
     """One row (tau, z, n): tau-b from distinct value pairs with counts.
 
-    Distinct (x, y) pairs are compared with each other, so the cost follows the
-    square of their number, not of the rows; bin continuous columns first when large.
+    Both columns are cut at quantiles into buckets of about ``cell_rows`` distinct
+    pairs. Pairs of points in different buckets of both columns are counted on the grid
+    of bucket counts, those that share a bucket by a merge count inside it; so no
+    two rows are ever joined, and the cost is that of sorting.
     """
     rows = df.select(name(a).cast("double").alias("x"), name(b).cast("double").alias("y")).dropna()
     cells = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    u, v = cells.alias("u"), cells.alias("v")
-    both = u.join(v, F.col("u.x") < F.col("v.x"))
-    sign = F.signum(F.col("v.y") - F.col("u.y"))
-    s = both.agg(F.coalesce(F.sum(F.col("u.n") * F.col("v.n") * sign), F.lit(0.0)).alias("s"))
+    edges = [F.percentile_approx(c, [i / KENDALL_BUCKETS for i in range(1, KENDALL_BUCKETS)], 10_000).alias(f"e{c}") for c in "xy"]
+    size = F.count(F.lit(1)).alias("cells")
+    # small inputs take one bucket, larger ones as many as keep a bucket near cell_rows
+    step = F.greatest(F.lit(1), F.floor(F.lit(KENDALL_BUCKETS) * cell_rows / F.col("cells"))).cast("int")
+    cuts = cells.agg(*edges, size).select(*(F.filter(F.array_distinct(f"e{c}"), lambda e, i: (i + 1) % step == 0).alias(f"e{c}") for c in "xy"))
+    bucket = lambda c: F.size(F.filter(f"e{c}", lambda e: e < F.col(c))).alias(f"b{c}")
+    placed = cells.crossJoin(F.broadcast(cuts)).select("x", "y", "n", bucket("x"), bucket("y"))
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"s": [concordance(pdf["u"].to_numpy(), pdf["v"].to_numpy(), pdf["n"].to_numpy())]})
+
+    # same bucket of x; different bucket of x, same bucket of y; the grid itself (different buckets of both)
+    by_x = placed.select(F.lit(0).alias("kind"), F.col("bx").alias("bucket"), F.col("x").alias("u"), F.col("y").alias("v"), "n")
+    by_y = placed.groupBy("by", "bx", "y").agg(F.sum("n").alias("n")).select(F.lit(1).alias("kind"), F.col("by").alias("bucket"), F.col("bx").cast("double").alias("u"), F.col("y").alias("v"), "n")
+    grid = placed.groupBy("bx", "by").agg(F.sum("n").alias("n")).select(F.lit(2).alias("kind"), F.lit(0).alias("bucket"), F.col("bx").cast("double").alias("u"), F.col("by").cast("double").alias("v"), "n")
+    s = by_x.unionByName(by_y).unionByName(grid).groupBy("kind", "bucket").applyInPandas(within, "s double").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
 
     def ties(c: str) -> DataFrame:
         t = F.col("t").cast("double")
@@ -87,8 +132,6 @@ def vif(df: DataFrame, columns: list[str] | None = None, most: int = 15) -> Data
 
     One aggregate makes the matrix (``most`` columns at the most); inverting it is the driver's part.
     """
-    import numpy as np
-
     every = columns or numeric_columns(df)
     used = every[:most]
     rows = df.select(*(name(c).cast("double").alias(c) for c in used)).dropna()
@@ -122,14 +165,15 @@ def categorical_matrix(df: DataFrame, columns: list[str], least: int = 10) -> Da
     a's entropy that b explains. Pairs with few rows or one level are left out.
     """
     cells = contingency(df, numeric_pairs(columns))
-    row, col, all_ = Window.partitionBy(*PAIR, "a"), Window.partitionBy(*PAIR, "b"), Window.partitionBy(*PAIR)
-    m = cells.withColumns({"ra": F.sum("o").over(row), "cb": F.sum("o").over(col), "n": F.sum("o").over(all_)})
+    rows, cols, sizes = (cells.groupBy(*PAIR, *k).agg(F.sum("o").alias(c)) for k, c in ((["a"], "ra"), (["b"], "cb"), ([], "n")))
+    m = cells.join(rows, [*PAIR, "a"]).join(cols, [*PAIR, "b"]).join(F.broadcast(sizes), PAIR)
     o, ra, cb, n = (F.col(c).cast("double") for c in ("o", "ra", "cb", "n"))
     # sums over levels: each level's total is shared out over its cells
     g = m.groupBy(*PAIR).agg(
-        F.max("n").alias("n"), F.count_distinct("a").alias("k"), F.count_distinct("b").alias("l"), F.sum(o * o / (ra * cb)).alias("q"),
-        F.sum(-o / n * F.log2(ra / n)).alias("ha"), F.sum(-o / n * F.log2(o / cb)).alias("hab"),
+        F.max("n").alias("n"), F.sum(o * o / (ra * cb)).alias("q"), F.sum(-o / n * F.log2(ra / n)).alias("ha"), F.sum(-o / n * F.log2(o / cb)).alias("hab"),
     )
+    for t, c in ((rows, "k"), (cols, "l")):  # one row per pair of columns
+        g = g.join(F.broadcast(t.groupBy(*PAIR).agg(F.count(F.lit(1)).alias(c))), PAIR)
     g = g.filter((F.col("n") >= least) & (F.col("k") > 1) & (F.col("l") > 1)).withColumn("chi2", F.col("n") * (F.col("q") - 1))
     phi = F.greatest(F.lit(0.0), F.expr("chi2 / n - (k - 1) * (l - 1) / (n - 1)"))
     k2, l2 = F.expr("k - (k - 1) * (k - 1) / (n - 1)"), F.expr("l - (l - 1) * (l - 1) / (n - 1)")
@@ -145,12 +189,17 @@ def chi2_test(df: DataFrame, a: str, b: str) -> DataFrame:
     rows = cells.groupBy("a").agg(F.sum("o").alias("ra"))
     cols = cells.groupBy("b").agg(F.sum("o").alias("cb"))
     n = cells.agg(F.sum("o").cast("double").alias("n"))
-    grid = rows.crossJoin(F.broadcast(cols)).join(cells, ["a", "b"], "left").crossJoin(F.broadcast(n))
-    size = rows.agg(F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(cols.agg(F.count(F.lit(1)).alias("l")))).select(((F.col("k") - 1) * (F.col("l") - 1)).alias("dof"))
-    e = F.col("ra") * F.col("cb") / F.col("n")
-    d = F.abs(F.coalesce("o", F.lit(0)) - e)
-    d = F.when(F.col("dof") == 1, F.greatest(d - F.least(F.lit(0.5), d), F.lit(0.0))).otherwise(d)
-    out = grid.crossJoin(F.broadcast(size)).withColumn("x", d * d / e).groupBy("dof").agg(F.max("n").cast("long").alias("n"), F.sum("x").alias("chi2"))
+    size = rows.agg(F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(cols.agg(F.count(F.lit(1)).alias("l")))).crossJoin(F.broadcast(n))
+    # empty cells add up to what the others leave: chi2 = n (sum of o^2 / (row total x column total) - 1)
+    one = cells.join(rows, "a").join(cols, "b").agg(F.sum(F.col("o") * F.col("o") / (F.col("ra").cast("double") * F.col("cb"))).alias("q"))
+    out = size.crossJoin(F.broadcast(one)).withColumn("dof", (F.col("k") - 1) * (F.col("l") - 1)).withColumn("plain", F.greatest(F.col("n") * (F.col("q") - 1), F.lit(0.0)))
+    # Yates: in a 2 x 2 table every cell deviates by the same d: plain = d^2 * sum of 1 / e
+    four = rows.select("ra").agg(F.sum(1 / F.col("ra").cast("double")).alias("ia")).crossJoin(F.broadcast(cols.agg(F.sum(1 / F.col("cb").cast("double")).alias("ib"))))
+    out = out.crossJoin(F.broadcast(four)).withColumn("inverse", F.col("n") * F.col("ia") * F.col("ib"))
+    d = F.sqrt(F.try_divide("plain", "inverse"))
+    corrected = F.greatest(d - F.least(F.lit(0.5), d), F.lit(0.0))
+    chi2 = F.when(F.col("dof") == 1, corrected * corrected * F.col("inverse")).otherwise(F.col("plain"))
+    out = out.filter("n IS NOT NULL").select(F.col("n").cast("long").alias("n"), chi2.alias("chi2"), "dof")
     return out.select("n", "chi2", "dof", p_chi2(F.col("chi2"), F.col("dof")).alias("p"))
 
 

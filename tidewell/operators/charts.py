@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.cleaning import correlation, name, numeric_columns, share
 from tidewell.functions.dist import z_of
-from tidewell.operators.ranks import running_before
+from tidewell.operators.ranks import exact_quantiles, running_before
 
 SQRT = lambda n: F.least(F.greatest(F.floor(F.sqrt(n)), F.lit(10)), F.lit(50)).cast("int")
 STURGES = lambda n: F.least(F.greatest(F.ceil(F.log2(n.cast("double"))) + 1, F.lit(5)), F.lit(50)).cast("int")
@@ -44,7 +44,9 @@ def boxes(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """Box statistics per group: quartiles, whiskers at the last point within 1.5 IQR, mean, outliers."""
     by, c = by or [], name(column).cast("double")
     rows = df.select(*(name(b) for b in by), c.alias("x")).filter("x IS NOT NULL")
-    q = rows.groupBy(*by).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"))
+    q = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"))
+    quartiles = exact_quantiles(rows, by, F.col("x"), [0.25, 0.5, 0.75])
+    q = q.join(quartiles, by) if by else q.crossJoin(F.broadcast(quartiles))
     q = q.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "n", "mean", "min", "max")
     joined = rows.join(F.broadcast(q.select(*by, "q1", "q3")), by) if by else rows.crossJoin(F.broadcast(q.select("q1", "q3")))
     fence = 1.5 * (F.col("q3") - F.col("q1"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.cleaning import correlation, is_numeric, name, share
 from tidewell.operators.assoc import categorical_matrix, mixed_matrix, numeric_pairs
 from tidewell.operators.profile import _pairs, column_profile
+from tidewell.operators.ranks import column_quantiles
 
 
 def problem_type(df: DataFrame, target: str) -> DataFrame:
@@ -102,8 +103,9 @@ def mutual_information(df: DataFrame, target: str, features: list[str], bins: in
     numbers = [c for c in [target, *features] if is_numeric(df, c)]
     rows = df.filter(name(target).isNotNull())
     if numbers:
-        points = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-        rows = rows.crossJoin(F.broadcast(rows.agg(*(F.array_distinct(F.percentile(name(c).cast("double"), points)).alias(f"__e_{c}") for c in numbers))))
+        q = column_quantiles(rows, numbers, [i / bins for i in range(1, bins)])
+        edges = q.agg(*(F.array_distinct(F.max(F.when(F.col("column_name") == c, F.col("q")))).alias(f"__e_{c}") for c in numbers))
+        rows = rows.crossJoin(F.broadcast(edges))
     items = F.array(*(F.struct(F.lit(c).alias("feature"), F.when(name(c).isNotNull(), code(c)).alias("x"), code(target).alias("y")) for c in features))
     cells = rows.select(F.explode(items).alias("i")).select("i.*").filter("x IS NOT NULL").groupBy("feature", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("o"))
     w = lambda *k: F.sum("o").over(Window.partitionBy("feature", *k))

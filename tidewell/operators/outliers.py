@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.cleaning import name, numeric_columns, share
 from tidewell.operators.profile import one_row_per_column
+from tidewell.operators.ranks import column_quantiles
 
 
 def fences(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows (column_name, n, outliers, pct, lower, upper) by 1.5 IQR, two passes for all columns."""
     columns = columns or numeric_columns(df)
-    q = one_row_per_column(df, columns, {"q": lambda c: F.percentile(name(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75)))})
+    q = column_quantiles(df, columns, [0.25, 0.75])
     q = q.select("column_name", (F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("lower"), (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("upper"))
     return _flagged(df, columns, q, lambda x: (x < F.col("lower")) | (x > F.col("upper")), ["lower", "upper"])
 
@@ -42,10 +43,9 @@ def outlier_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
 def outlier_rows(df: DataFrame, columns: list[str] | None = None, limit: int = 100) -> tuple[DataFrame, DataFrame]:
     """Rows outside any fence (at most ``limit``), and their number."""
     columns = columns or numeric_columns(df)
-    aggs = []
-    for i, c in enumerate(columns):
-        aggs.append(F.percentile(name(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"__q{i}"))
-    joined = df.crossJoin(F.broadcast(df.agg(*aggs)))
+    q = column_quantiles(df, columns, [0.25, 0.75])
+    one = q.agg(*(F.max(F.when(F.col("column_name") == c, F.col("q"))).alias(f"__q{i}") for i, c in enumerate(columns)))
+    joined = df.crossJoin(F.broadcast(one))
     bad = F.lit(False)
     for i, c in enumerate(columns):
         lo, hi = F.col(f"__q{i}")[0], F.col(f"__q{i}")[1]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.cleaning import NUMERIC, TEMPORAL, correlation, is_numeric, name, numeric_columns, share
+from tidewell.operators.ranks import column_quantiles, exact_quantiles
 
 STATS = ("min", "max", "mean", "median", "std", "skewness", "kurtosis")
 
@@ -64,8 +65,7 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     def numeric(f):
         return lambda c: f(name(c).cast("double")) if is_numeric(df, c) else F.lit(None).cast("double")
 
-    median = (lambda c: F.percentile_approx(c, 0.5)) if approx else (lambda c: F.percentile(c, F.lit(0.5)))
-    made = {"min": F.min, "max": F.max, "mean": F.avg, "median": median, "std": F.stddev_samp, "skewness": unbiased_skewness, "kurtosis": unbiased_kurtosis}
+    made = {"min": F.min, "max": F.max, "mean": F.avg, "approx": lambda c: F.percentile_approx(c, 0.5), "std": F.stddev_samp, "skewness": unbiased_skewness, "kurtosis": unbiased_kurtosis}
     fields = {
         "dtype": lambda c: F.max(F.lit(df.schema[c].dataType.simpleString())),
         "kind": lambda c: F.max(F.lit(_kind(df, c))),
@@ -74,7 +74,14 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
         "length": lambda c: F.avg(F.length(name(c).cast("string"))) if _kind(df, c) == "text" else F.lit(None).cast("double"),
         **{k: numeric(f) for k, f in made.items()},
     }
+    if not approx:
+        fields.pop("approx")
     out = one_row_per_column(df, df.columns, fields).join(F.broadcast(distinct_counts(df, approx=approx)), "column_name")
+    numbers = [c for c in df.columns if is_numeric(df, c)]
+    if approx or not numbers:
+        out = out.withColumn("median", F.col("approx") if approx else F.lit(None).cast("double"))
+    else:
+        out = out.join(F.broadcast(column_quantiles(df, numbers, [0.5])), "column_name", "left").withColumn("median", F.col("q")[0])
     distinct_share = F.try_divide(F.col("distinct_n"), F.col("total"))
     semantic = (
         F.when(F.col("kind").isin("boolean", "datetime"), F.col("kind")).when(F.col("distinct_n") <= 1, "constant")
@@ -202,7 +209,8 @@ def suggestions(issues: DataFrame, limit: int = 10) -> DataFrame:
 def column_detail(df: DataFrame, column: str) -> DataFrame:
     """One row of a numeric column's statistics; moments are population moments here."""
     c = name(column).cast("double")
-    s = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.skewness(c).alias("skewness"), F.kurtosis(c).alias("kurtosis"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    s = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.skewness(c).alias("skewness"), F.kurtosis(c).alias("kurtosis"))
+    s = s.crossJoin(F.broadcast(exact_quantiles(df, [], c, [0.25, 0.75])))
     s = s.select("n", "mean", "std", "skewness", "kurtosis", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     fence = 1.5 * (F.col("q3") - F.col("q1"))
     outside = df.select(c.alias("x")).crossJoin(F.broadcast(s)).agg(F.count_if((F.col("x") < F.col("q1") - fence) | (F.col("x") > F.col("q3") + fence)).alias("outliers"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.cleaning import name
@@ -35,3 +35,70 @@ def with_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     """Add the average rank of a column's values; null stays null."""
     r = value_ranks(df, column).select(F.col("value").alias("__v"), F.col("rank").alias(out))
     return df.join(r, name(column).cast("double") == F.col("__v"), "left").drop("__v")
+
+
+def positions(rows: DataFrame, key: Column, out: str, buckets: int = 256) -> DataFrame:
+    """Add ``out``, the place (from 0) of each row in the order of ``key``, without one task for all.
+
+    Keys drawn by their hash cut the rest into buckets; places run inside a bucket
+    and start at the sizes of the buckets before (``buckets`` rows in one window). Keys
+    should be unique: equal ones take neighbouring places in any order.
+    """
+    keyed = rows.withColumn("__key", key)
+    k = F.col("__key")
+    cuts = keyed.select(k).orderBy(F.xxhash64(k), k).limit(buckets - 1).agg(F.sort_array(F.collect_list(k)).alias("__cuts"))
+    cut = keyed.crossJoin(F.broadcast(cuts)).withColumn("__part", F.size(F.filter("__cuts", lambda e: e < k))).drop("__cuts")
+    sizes = cut.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    start = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))
+    inner = F.row_number().over(Window.partitionBy("__part").orderBy("__key")) - 1
+    return cut.join(F.broadcast(start), "__part").withColumn(out, F.col("__start") + inner).drop("__part", "__start", "__key")
+
+
+#: Rank error of the sketch below, and how far around a quantile values are counted one by one.
+SKETCH_ACCURACY, MARGIN = 10_000, 3e-4
+
+
+def exact_quantiles(rows: DataFrame, keys: list[str], value: Column, points: list[float], out: str = "q") -> DataFrame:
+    """Rows (keys, out): exact interpolated quantiles of each group, nulls left out.
+
+    A sketch brackets each quantile; values below its bracket only add to a count, and
+    the values inside it (a share of ``2 * MARGIN`` of the rows) are counted one by one
+    and put in order. No task holds all distinct values of a group. Groups of up to
+    ``SKETCH_ACCURACY`` rows are bracketed whole. Without keys there is always one row.
+    """
+    x = rows.select(*(name(k).alias(f"__k{i}") for i, k in enumerate(keys)), value.cast("double").alias("__v")).filter("__v IS NOT NULL")
+    ks = [f"__k{i}" for i in range(len(keys))]
+    ends = [e for p in points for e in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
+    sketch = x.groupBy(*ks).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", ends, SKETCH_ACCURACY).alias("__e"))
+    if keys:
+        own = sketch.select(*(F.col(k).alias(f"{k}_s") for k in ks), "__n", "__e")
+        same = F.lit(True)
+        for k in ks:
+            same &= F.col(k).eqNullSafe(F.col(f"{k}_s"))
+        both = x.join(own, same)
+    else:
+        both = x.crossJoin(F.broadcast(sketch))
+    cells = []
+    for i, p in enumerate(points):
+        narrow = F.col("__n") > SKETCH_ACCURACY
+        below = narrow & (F.col("__v") < F.col("__e")[2 * i]) if p > MARGIN else F.lit(False)
+        above = narrow & (F.col("__v") > F.col("__e")[2 * i + 1]) if p < 1 - MARGIN else F.lit(False)
+        cells.append(F.when(~above, F.struct(F.lit(i).alias("__i"), F.when(~below, F.col("__v")).alias("__x"))))
+    counted = both.select(*ks, "__n", F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy(*ks, "__n", "c").agg(F.count(F.lit(1)).alias("__c"))
+    counted = counted.select(*ks, "__n", "c.*", "__c")
+    w = Window.partitionBy(*ks, "__i").orderBy(F.col("__x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.array(*(F.lit(float(p)) for p in points))[F.col("__i")] * (F.col("__n") - 1)
+    placed = counted.withColumns({"__b": F.coalesce(F.sum("__c").over(w), F.lit(0)), "__at": at})
+    holds = lambda place: (F.col("__b") <= place) & (place < F.col("__b") + F.col("__c"))
+    ends_of = placed.groupBy(*ks, "__i").agg(
+        F.max(F.when(holds(F.floor("__at")), F.col("__x"))).alias("lo"), F.max(F.when(holds(F.ceil("__at")), F.col("__x"))).alias("hi"), F.max(F.col("__at") - F.floor("__at")).alias("part"),
+    )
+    q = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part"))
+    found = ends_of.withColumn("q", q).groupBy(*ks).agg(*(F.max(F.when(F.col("__i") == i, F.col("q"))).alias(f"q{i}") for i in range(len(points))))
+    return found.select(*(F.col(k).alias(c) for k, c in zip(ks, keys)), F.array(*(f"q{i}" for i in range(len(points)))).alias(out))
+
+
+def column_quantiles(df: DataFrame, columns: list[str], points: list[float], out: str = "q") -> DataFrame:
+    """Rows (column_name, out): exact quantiles of each numeric column; columns without a value are left out."""
+    items = F.array(*(F.struct(F.lit(c).alias("column_name"), name(c).cast("double").alias("v")) for c in columns))
+    return exact_quantiles(df.select(F.explode(items).alias("i")).select("i.*"), ["column_name"], F.col("v"), points, out)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.cleaning import correlation, name
 from tidewell.functions.dist import chi2_upper, p_normal, p_t
 from tidewell.operators.profile import unbiased_kurtosis, unbiased_skewness
+from tidewell.operators.ranks import exact_quantiles
 
 
 def _by(keys: list[str], order: str = "pos") -> Window:
@@ -84,8 +85,9 @@ def constant_runs(s: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
 
 def describe(s: DataFrame, keys: list[str]) -> DataFrame:
     """Per series: n, mean, std, min, max, range, iqr, cv_pct, skewness, kurtosis."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-    return s.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), (F.max("value") - F.min("value")).alias("range"), (q[1] - q[0]).alias("iqr"), (100 * F.try_divide(F.stddev_samp("value"), F.avg("value"))).alias("cv_pct"), unbiased_skewness(F.col("value")).alias("skewness"), unbiased_kurtosis(F.col("value")).alias("kurtosis"))
+    q = F.col("q")
+    out = s.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), (F.max("value") - F.min("value")).alias("range"), (100 * F.try_divide(F.stddev_samp("value"), F.avg("value"))).alias("cv_pct"), unbiased_skewness(F.col("value")).alias("skewness"), unbiased_kurtosis(F.col("value")).alias("kurtosis"))
+    return out.join(exact_quantiles(s, keys, F.col("value"), [0.25, 0.75]), keys, "left").withColumn("iqr", q[1] - q[0]).drop("q")
 
 
 def jarque_bera(s: DataFrame, keys: list[str]) -> DataFrame:
@@ -448,8 +450,9 @@ def mean_shifts(s: DataFrame, keys: list[str], most: int = 20_000) -> DataFrame:
 def noise_scale(s: DataFrame, keys: list[str]) -> DataFrame:
     """Per series: robust deviation from the spread of differences."""
     d = s.withColumn("d", F.col("value") - F.lag("value").over(_by(keys))).filter("d IS NOT NULL")
-    m = d.groupBy(*keys).agg(F.percentile("d", F.lit(0.5)).alias("m"))
-    return d.join(F.broadcast(m), keys).groupBy(*keys).agg((F.percentile(F.abs(F.col("d") - F.col("m")), F.lit(0.5)) * 1.4826 / F.sqrt(F.lit(2.0))).alias("scale"))
+    m = exact_quantiles(d, keys, F.col("d"), [0.5], "m")
+    spread = exact_quantiles(d.join(m, keys), keys, F.abs(F.col("d") - F.col("m")[0]), [0.5])
+    return spread.select(*keys, (F.col("q")[0] * 1.4826 / F.sqrt(F.lit(2.0))).alias("scale"))
 
 
 def cusum(s: DataFrame, keys: list[str], slack: DataFrame | float = 0.0) -> DataFrame:
@@ -495,8 +498,7 @@ def cusum_threshold(s: DataFrame, keys: list[str], shuffles: int = 100, alpha: f
 def anomalies(s: DataFrame, keys: list[str], window: int, z: float = 3.0) -> DataFrame:
     """Rows with z, rolling flag, fence flag (3 IQR) and their union; the window is centred."""
     w = _by(keys).rowsBetween(-(window // 2), (window - 1) // 2)
-    q = s.groupBy(*keys).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    x = s.join(F.broadcast(q), keys)
+    x = s.join(exact_quantiles(s, keys, F.col("value"), [0.25, 0.75]), keys)
     score = (F.col("value") - F.avg("value").over(w)) / (F.coalesce(F.stddev_samp("value").over(w), F.lit(1.0)) + 1e-9)
     lo, hi = F.col("q")[0], F.col("q")[1]
     fence = (F.col("value") < lo - 3 * (hi - lo)) | (F.col("value") > hi + 3 * (hi - lo))
@@ -563,7 +565,9 @@ def mann_kendall(s: DataFrame, keys: list[str], most: int = 5000) -> DataFrame:
     for k in keys:
         same &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
     d = F.col("b.value") - F.col("a.value")
-    g = a.join(b, same).groupBy(*(F.col(f"a.{k}").alias(k) for k in keys)).agg(F.sum(F.signum(d)).alias("s"), F.percentile(d / (F.col("b.pos") - F.col("a.pos")), F.lit(0.5)).alias("slope"))
+    pairs = a.join(b, same).select(*(F.col(f"a.{k}").alias(k) for k in keys), d.alias("d"), F.try_divide(d, F.col("b.pos") - F.col("a.pos")).alias("slope"))
+    g = pairs.groupBy(*keys).agg(F.sum(F.signum("d")).alias("s"))
+    g = g.join(exact_quantiles(pairs, keys, F.col("slope"), [0.5]), keys).withColumn("slope", F.col("q")[0]).drop("q")
     t = F.col("t").cast("double")
     ties = x.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("t")).groupBy(*keys).agg(F.sum(t * (t - 1) * (2 * t + 5)).alias("ties"), F.sum(t).alias("n"))
     j = g.join(ties, keys).withColumn("sd", F.sqrt(F.expr("(n * (n - 1) * (2 * n + 5) - ties) / 18")))
@@ -614,7 +618,13 @@ def readiness(s: DataFrame, keys: list[str]) -> DataFrame:
     return j.select(*keys, issues.alias("issues"), models.alias("models"), order.alias("arima_order"))
 
 
-GROUPS = {"quality": quality, "describe": describe, "normality": dagostino, "stationarity": stationarity, "autocorrelation": autocorrelation, "spectrum": spectrum, "change_points": mean_shifts, "trend": linear_trend, "readiness": readiness}
+def _normality(s: DataFrame, keys: list[str]) -> DataFrame:
+    from tidewell.operators.tests_stat import normality
+
+    return normality(s, keys)
+
+
+GROUPS = {"quality": quality, "describe": describe, "normality": _normality, "stationarity": stationarity, "autocorrelation": autocorrelation, "spectrum": spectrum, "change_points": mean_shifts, "trend": linear_trend, "readiness": readiness}
 
 
 def run_timeseries(df: DataFrame, time: str, value: str, keys: list[str], methods: tuple[str, ...] = ("quality", "describe")) -> dict[str, DataFrame]:

@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.cleaning import is_numeric, name, number
 from tidewell.operators.predicates import typed_condition
+from tidewell.operators.ranks import exact_quantiles, positions
+
+
+#: More levels than these don't become columns of their own.
+MOST_LEVELS = 1000
 
 
 def with_stats(df: DataFrame, **stats: Column) -> DataFrame:
@@ -22,6 +27,11 @@ def with_stats(df: DataFrame, **stats: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*(c.alias(k) for k, c in stats.items()))))
 
 
+def with_quantiles(df: DataFrame, c: Column, points: list[float]) -> DataFrame:
+    """One row (q): exact quantiles of a column over all rows."""
+    return exact_quantiles(df, [], c, points)
+
+
 def _replace(df: DataFrame, column: str, value: Column, keep: list[str]) -> DataFrame:
     return df.withColumn(column, value).select(*(name(c) for c in keep))
 
@@ -102,8 +112,15 @@ def fill(df: DataFrame, column: str, strategy: str, value: object = None, order_
     """
     c, keep = name(column), df.columns
     if strategy in ("mean", "median", "mode"):
-        made = {"mean": F.avg(c), "median": F.percentile(c, F.lit(0.5)), "mode": F.mode(c, True)}[strategy] if strategy == "mode" or is_numeric(df, column) else None
-        return df if made is None else _replace(with_stats(df, __fill=made), column, F.coalesce(c, F.col("__fill")), keep)
+        if strategy == "mode":
+            # counted by value first, so that no task holds all of them
+            counts = df.filter(c.isNotNull()).groupBy(c.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+            fill = counts.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("__fill"))
+        elif is_numeric(df, column):
+            fill = with_quantiles(df, c, [0.5]).select(F.col("q")[0].alias("__fill")) if strategy == "median" else df.agg(F.avg(c).alias("__fill"))
+        else:
+            return df
+        return _replace(df.crossJoin(F.broadcast(fill)), column, F.coalesce(c, F.col("__fill")), keep)
     if strategy in ("constant", "custom"):
         return df.withColumn(column, F.coalesce(c, F.lit(value).cast(df.schema[column].dataType)))
     if order_by is None:
@@ -133,8 +150,8 @@ def scale(df: DataFrame, column: str, method: str) -> DataFrame:
     elif method == "standard":
         s = with_stats(df, __a=F.avg(c), __b=F.stddev_pop(c))
     elif method == "robust":
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        s = with_stats(df, __a=q[1], __b=q[2] - q[0])
+        q = F.col("q")
+        s = df.crossJoin(F.broadcast(with_quantiles(df, c, [0.25, 0.5, 0.75]).select(q[1].alias("__a"), (q[2] - q[0]).alias("__b"))))
     else:
         raise ValueError(f"unknown method {method!r}")
     flat = F.coalesce(F.col("__b"), F.lit(0)) == 0
@@ -168,8 +185,8 @@ def bins(df: DataFrame, column: str, k: int = 5, strategy: str = "cut", new_name
         code = F.when(width == 0, F.lit(k // 2)).otherwise(F.least(F.greatest(F.ceil((c - F.col("__lo")) / F.nullif(width, F.lit(0.0))) - 1, F.lit(0)), F.lit(k - 1)))
         code = F.when(c.isNotNull(), code)
     else:
-        points = F.array(*(F.lit(i / k) for i in range(k + 1)))
-        s = with_stats(df, __edges=F.array_distinct(F.percentile(c, points)))
+        edges = with_quantiles(df, c, [i / k for i in range(k + 1)]).select(F.array_distinct("q").alias("__edges"))
+        s = df.crossJoin(F.broadcast(edges))
         inner = F.slice(F.col("__edges"), 2, F.greatest(F.size("__edges") - 2, F.lit(0)))
         code = F.when(c.isNotNull(), F.size(F.filter(inner, lambda e: e < c)))
     code = code.cast("int")
@@ -181,7 +198,10 @@ def bins(df: DataFrame, column: str, k: int = 5, strategy: str = "cut", new_name
 def one_hot(df: DataFrame, column: str, values: list | None = None) -> DataFrame:
     """0/1 columns ``column_value``; null is all zero; the source column goes."""
     if values is None:
-        values = [r[0] for r in df.select(name(column).cast("string")).distinct().orderBy(1).collect() if r[0] is not None]
+        found = df.select(name(column).cast("string").alias("v")).filter("v IS NOT NULL").distinct().limit(MOST_LEVELS + 1).collect()
+        if len(found) > MOST_LEVELS:
+            raise ValueError(f"{column} has more than {MOST_LEVELS} values: name those to encode")
+        values = sorted(r["v"] for r in found)
     hot = {f"{column}_{v}": name(column).cast("string").eqNullSafe(F.lit(str(v))).cast("int") for v in values}
     return df.withColumns(hot).drop(column)
 
@@ -189,7 +209,7 @@ def one_hot(df: DataFrame, column: str, values: list | None = None) -> DataFrame
 def label_encode(df: DataFrame, column: str, null_code: int | None = None) -> DataFrame:
     """Codes by sorted value; null stays null, or gets ``null_code``."""
     codes = df.select(name(column).alias("__v")).filter(F.col("__v").isNotNull()).distinct()
-    codes = codes.withColumn("__code", F.dense_rank().over(Window.orderBy("__v")) - 1)
+    codes = positions(codes, F.col("__v"), "__code").withColumn("__code", F.col("__code").cast("int"))
     out = df.join(codes, name(column) == F.col("__v"), "left")
     code = F.col("__code") if null_code is None else F.coalesce(F.col("__code"), F.lit(null_code))
     return _replace(out, column, code, df.columns)
@@ -205,27 +225,28 @@ def clip(df: DataFrame, column: str, lower: float | None = None, upper: float |
     return df.withColumn(column, F.when(c.isNotNull(), out))
 
 
-def _fences(c: Column, method: str, lower_pct: float, upper_pct: float) -> tuple[Column, Column]:
+def _with_fences(df: DataFrame, c: Column, method: str, lower_pct: float = 1, upper_pct: float = 99) -> DataFrame:
+    """Every row with the fences __lo and __hi beside it."""
+    a, b = F.col("q")[0], F.col("q")[1]
     if method == "iqr":
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-        return q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])
-    q = F.percentile(c, F.array(F.lit(lower_pct / 100), F.lit(upper_pct / 100)))
-    return q[0], q[1]
+        q = with_quantiles(df, c, [0.25, 0.75]).select((a - 1.5 * (b - a)).alias("__lo"), (b + 1.5 * (b - a)).alias("__hi"))
+    else:
+        q = with_quantiles(df, c, [lower_pct / 100, upper_pct / 100]).select(a.alias("__lo"), b.alias("__hi"))
+    return df.crossJoin(F.broadcast(q))
 
 
 def cap_outliers(df: DataFrame, column: str, method: str = "iqr", lower_pct: float = 1, upper_pct: float = 99) -> DataFrame:
     c = name(column).cast("double")
-    lo, hi = _fences(c, method, lower_pct, upper_pct)
-    return _replace(with_stats(df, __lo=lo, __hi=hi), column, F.when(c.isNotNull(), F.least(F.greatest(c, F.col("__lo")), F.col("__hi"))), df.columns)
+    return _replace(_with_fences(df, c, method, lower_pct, upper_pct), column, F.when(c.isNotNull(), F.least(F.greatest(c, F.col("__lo")), F.col("__hi"))), df.columns)
 
 
 def drop_outliers(df: DataFrame, column: str, method: str = "iqr", z: float = 3.0) -> DataFrame:
     c = name(column).cast("double")
     keep = [name(x) for x in df.columns]
     if method == "iqr":
-        lo, hi = _fences(c, "iqr", 0, 0)
-        return with_stats(df, __lo=lo, __hi=hi).filter(c.between(F.col("__lo"), F.col("__hi"))).select(*keep)
-    filled = with_stats(df, __mid=F.percentile(c, F.lit(0.5))).withColumn("__x", F.coalesce(c, F.col("__mid")))
+        return _with_fences(df, c, "iqr").filter(c.between(F.col("__lo"), F.col("__hi"))).select(*keep)
+    middle = with_quantiles(df, c, [0.5]).select(F.col("q")[0].alias("__mid"))
+    filled = df.crossJoin(F.broadcast(middle)).withColumn("__x", F.coalesce(c, F.col("__mid")))
     scored = with_stats(filled, __m=F.avg("__x"), __s=F.stddev_pop("__x"))
     return scored.filter(F.abs((F.col("__x") - F.col("__m")) / F.nullif(F.col("__s"), F.lit(0.0))) < z).select(*keep)
 

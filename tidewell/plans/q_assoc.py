@@ -143,6 +143,17 @@ def i01(spark, d):
     return S.run_test(t(spark, d, "orders"), "shapiro", "o_totalprice")
 
 
+@query("g16_normality_table")
+def g16(spark, d):
+    return S.normality_table(t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey"))
+
+
+@query("i08_verdict", "SELECT n_a, n_b, CASE WHEN abs((ma - mb) / sqrt(va / n_a + vb / n_b)) > 1.96 THEN 'significant' ELSE 'not significant' END AS verdict FROM (SELECT count(*) FILTER (WHERE l_returnflag = 'A') AS n_a, count(*) FILTER (WHERE l_returnflag = 'N') AS n_b, avg(l_shipped) FILTER (WHERE l_returnflag = 'A') AS ma, avg(l_shipped) FILTER (WHERE l_returnflag = 'N') AS mb, var_samp(l_shipped) FILTER (WHERE l_returnflag = 'A') AS va, var_samp(l_shipped) FILTER (WHERE l_returnflag = 'N') AS vb FROM (SELECT l_returnflag, epoch(CAST(l_shipdate AS TIMESTAMP)) / 86400 AS l_shipped FROM lineitem))")
+def i08(spark, d):
+    df = t(spark, d, "lineitem").selectExpr("l_returnflag", "CAST(CAST(l_shipdate AS TIMESTAMP) AS DOUBLE) / 86400 AS l_shipped")
+    return S.run_test(df, "ttest_ind", "l_shipped", "l_returnflag", "A", "N").select("n_a", "n_b", "verdict")
+
+
 @query("i02_chi2", f"{_CTL} SELECT CAST(n AS BIGINT) AS n, round(chi2, 3) AS chi2, CAST((k - 1) * (l - 1) AS BIGINT) AS dof FROM g")
 def i02(spark, d):
     return _r(S.chi2(t(spark, d, "lineitem"), *CAT), 3, "chi2").drop("p")

@@ -167,13 +167,13 @@ def c25(spark, d):
     return S.sample_rows(orders(spark, d), KEY, fraction=0.1)
 
 
-@query("c26_sort_rows", f"{O}SELECT o_orderkey, price, row_number() OVER (ORDER BY prio ASC NULLS LAST, price DESC NULLS LAST, o_orderkey ASC) AS n FROM o ORDER BY n LIMIT 500")
+@query("c26_sort_rows", f"{O}SELECT o_orderkey, price, row_number() OVER (ORDER BY prio ASC NULLS LAST, price DESC NULLS LAST, o_orderkey ASC) AS n FROM o")
 def c26(spark, d):
-    from pyspark.sql import Window
+    from tidewell.operators.ranks import positions
 
-    top = S.sort_rows(orders(spark, d), ["prio", "price", "o_orderkey"], [True, False, True]).limit(500)
-    w = Window.orderBy(F.col("prio").asc_nulls_last(), F.col("price").desc_nulls_last(), "o_orderkey")
-    return top.select("o_orderkey", "price", F.row_number().over(w).cast("long").alias("n"))
+    key = F.expr("struct(prio IS NULL, prio, price IS NULL, -price, o_orderkey)")
+    numbered = positions(orders(spark, d), key, "n").withColumn("n", F.col("n") + 1)
+    return S.sort_rows(numbered, ["prio", "price", "o_orderkey"], [True, False, True]).select("o_orderkey", "price", "n")
 
 
 @query("c27_datetime_parts", "SELECT event_id, CAST(year(ts) AS INTEGER) AS ts_year, CAST(month(ts) AS INTEGER) AS ts_month, CAST(day(ts) AS INTEGER) AS ts_day, CAST(hour(ts) AS INTEGER) AS ts_hour, CAST(minute(ts) AS INTEGER) AS ts_minute, CAST(isodow(ts) - 1 AS INTEGER) AS ts_weekday, CAST(quarter(ts) AS INTEGER) AS ts_quarter FROM events")
@@ -194,3 +194,18 @@ _rounded("c29_pipeline", [{"type": "filter_rows", "column": "o_orderstatus", "op
 @query("c30_preview")
 def c30(spark, d):
     return S.preview(orders(spark, d), [{"type": "scale", "column": "price", "method": "minmax"}])[0]
+
+
+_C31 = [
+    {"type": "filter_rows", "column": "price", "operator": "gt", "value": 1000},
+    {"type": "label_encode", "column": "o_orderstatus"},
+    {"type": "drop_columns", "columns": ["o_orderdate", "code", "o_custkey", "prio"]},
+]
+
+
+@query("c31_step_schema", f"{O}SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER) AS o_orderstatus, price FROM o WHERE price > 1000")
+def c31(spark, d):
+    """A step list is checked against the closed vocabulary, then run."""
+    if wrong := S.check_steps(_C31):
+        raise ValueError("; ".join(wrong))
+    return S.run_pipeline(orders(spark, d), _C31)[0]

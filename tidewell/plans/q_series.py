@@ -10,7 +10,7 @@ from .fixtures import t
 from .registry import query
 
 K = ["k"]
-BASE = "b AS (SELECT o_orderstatus AS k, CAST(o_orderdate AS DATE) AS ts, round(sum(o_totalprice), 2) AS value FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderstatus <> 'P' GROUP BY 1, 2), s AS (SELECT k, ts, row_number() OVER (PARTITION BY k ORDER BY ts) - 1 AS pos, value FROM b)"
+BASE = "b AS (SELECT o_orderstatus AS k, CAST(o_orderdate AS DATE) AS ts, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2), s AS (SELECT k, ts, row_number() OVER (PARTITION BY k ORDER BY ts) - 1 AS pos, value FROM b)"
 W = f"WITH {BASE} "
 P = "PARTITION BY k ORDER BY pos"
 
@@ -21,12 +21,7 @@ def _daily(o):
 
 
 def series(spark, d):
-    """The series of BASE, for queries with a twin."""
-    return _daily(t(spark, d, "orders").filter("o_orderkey % 13 <> 0 AND o_orderstatus <> 'P'"))
-
-
-def whole(spark, d):
-    """The series of all orders, for queries without a twin."""
+    """The series of BASE: all orders."""
     return _daily(t(spark, d, "orders"))
 
 
@@ -101,11 +96,23 @@ def l10(spark, d):
     return _r(S.dagostino(series(spark, d), K), 4, "k2").drop("p")
 
 
+@query("l11_shapiro")
+def l11(spark, d):
+    from tidewell.operators.tests_stat import shapiro_by
+
+    return shapiro_by(series(spark, d), K, F.col("value"))
+
+
+@query("l12_normality")
+def l12(spark, d):
+    return S.run_timeseries(t(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("k"), F.to_date("o_orderdate").alias("ts")).agg(F.sum("o_totalprice").alias("value")), "ts", "value", K, ("normality",))["normality"]
+
+
 for _n, _f in {"l13_adf": S.adf, "l14_kpss": S.kpss, "l15_zivot_andrews": S.zivot_andrews, "l16_stationarity": S.stationarity, "l17_differencing": S.differencing, "l19_stl": lambda s, k: S.stl(s, k, 7), "l25_spectrum": S.spectrum, "l26_mean_shifts": S.mean_shifts, "l28_cusum_threshold": S.cusum_threshold, "l39_seasonal_order": lambda s, k: S.seasonal_order(S.decompose(s, k, 7), k), "l41_readiness": S.readiness}.items():
 
     @query(_n)
     def _run(spark, d, f=_f):
-        return f(whole(spark, d), K)
+        return f(series(spark, d), K)
 
 
 _TR = "tr AS (SELECT *, CASE WHEN count(*) OVER w = 7 THEN avg(value) OVER w END AS trend FROM s WINDOW w AS (PARTITION BY k ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), ph AS (SELECT k, pos % 7 AS phase, avg(value - trend) AS m FROM tr GROUP BY 1, 2), ce AS (SELECT k, avg(m) AS c FROM ph GROUP BY 1), de AS (SELECT tr.k, pos, value, trend, m - c AS seasonal, value - trend - (m - c) AS residual FROM tr JOIN ph ON tr.k = ph.k AND pos % 7 = phase JOIN ce ON tr.k = ce.k)"
@@ -136,7 +143,7 @@ def l22(spark, d):
 
 @query("l23_partial_autocorrelation")
 def l23(spark, d):
-    return S.partial_autocorrelation(S.autocorrelation(whole(spark, d), K), K)
+    return S.partial_autocorrelation(S.autocorrelation(series(spark, d), K), K)
 
 
 @query("l24_significant_lags", f"{W.rstrip()}, {_ACF} SELECT k, CAST(lag AS INTEGER) AS lag, round(acf, 6) AS value FROM ac WHERE lag > 0 AND abs(acf) > 1.96 / sqrt(n)")
@@ -185,9 +192,9 @@ def l32(spark, d):
     return _r(S.rolling(series(spark, d), K, [7, 14]), 4, "mean_7", "std_7", "mean_14", "std_14").drop("ts", "value")
 
 
-@query("l33_ewma", f"WITH RECURSIVE {BASE}, r AS (SELECT k, pos, value AS e FROM s WHERE pos = 0 UNION ALL SELECT s.k, s.pos, 0.8 * r.e + 0.2 * s.value FROM r JOIN s ON s.k = r.k AND s.pos = r.pos + 1) SELECT k, pos, round(e, 2) AS ewma FROM r WHERE pos < 300")
+@query("l33_ewma", f"{W}SELECT a.k, a.pos, round(sum(CASE WHEN b.pos = 0 THEN 1 ELSE 0.2 END * power(0.8, a.pos - b.pos) * b.value), 2) AS ewma FROM s a JOIN s b ON a.k = b.k AND b.pos <= a.pos GROUP BY 1, 2")
 def l33(spark, d):
-    return _r(S.ewma(series(spark, d), K, 9), 2, "ewma").filter("pos < 300").select("k", "pos", "ewma")
+    return _r(S.ewma(series(spark, d), K, 9), 2, "ewma").select("k", "pos", "ewma")
 
 
 @query("l34_volatility", f"{W.rstrip()}, r AS (SELECT *, CASE WHEN value / lag(value) OVER ({P}) > 0 THEN ln(value / lag(value) OVER ({P})) END AS r FROM s) SELECT k, pos, round(CASE WHEN count(r) OVER w = 10 THEN stddev_samp(r) OVER w * sqrt(252) END, 4) AS volatility FROM r WINDOW w AS (PARTITION BY k ORDER BY pos ROWS 9 PRECEDING)")
@@ -218,9 +225,9 @@ def l43(spark, d):
     return S.thin(series(spark, d), K, 200).select("k", "pos", "value")
 
 
-@query("l37_mann_kendall", f"{W.rstrip()}, {_TH} SELECT a.k, CAST(sum(sign(b.value - a.value)) AS BIGINT) AS s, round(quantile_cont((b.value - a.value) / (b.pos - a.pos), 0.5), 4) AS slope FROM th a JOIN th b ON a.k = b.k AND a.pos < b.pos GROUP BY a.k")
+@query("l37_mann_kendall", f"{W}SELECT a.k, CAST(sum(sign(b.value - a.value)) AS BIGINT) AS s, round(quantile_cont((b.value - a.value) / (b.pos - a.pos), 0.5), 4) AS slope FROM s a JOIN s b ON a.k = b.k AND a.pos < b.pos GROUP BY a.k")
 def l37(spark, d):
-    return _r(S.mann_kendall(series(spark, d), K, 200), 4, "slope").select("k", F.col("s").cast("long").alias("s"), "slope")
+    return _r(S.mann_kendall(series(spark, d), K), 4, "slope").select("k", F.col("s").cast("long").alias("s"), "slope")
 
 
 @query("l40_granger")

@@ -17,13 +17,69 @@ from .sqlspace import Workspace
 
 
 def _scratch(spark, label: str) -> str:
-    """A new folder below the shared one; a local one only where none is set."""
+    """A new folder below the shared one; a local one only where none is set and Spark runs in local mode."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    base = base or tempfile.gettempdir()
     return f"{base.rstrip('/')}/tidewell-{label}-{uuid.uuid4().hex}"
 
 
+_ROUND = "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderstatus, o_totalprice FROM orders"
+
+
+def _written(spark, d, label: str, fmt: str, **options: str) -> str:
+    """The orders as files of another format in the shared folder."""
+    path = _scratch(spark, label)
+    t(spark, d, "orders").selectExpr("CAST(o_orderkey AS BIGINT) AS o_orderkey", "o_orderstatus", "o_totalprice").write.options(**options).format(fmt).save(path)
+    return path
+
+
+def _typed(df):
+    return df.selectExpr("CAST(o_orderkey AS BIGINT) AS o_orderkey", "o_orderstatus", "CAST(o_totalprice AS DOUBLE) AS o_totalprice")
+
+
+@query("a01_csv_scan", _ROUND)
+def a01(spark, d):
+    """Semicolons, found by the sniffer."""
+    return _typed(io.read_dataset(spark, _written(spark, d, "scan", "csv", header="true", sep=";"), "csv"))
+
+
+@query("a02_tsv_scan", _ROUND)
+def a02(spark, d):
+    return _typed(io.read_dataset(spark, _written(spark, d, "scan", "csv", header="true", sep="\t"), "tsv"))
+
+
+@query("a03_json_scan", _ROUND)
+def a03(spark, d):
+    return _typed(io.read_dataset(spark, _written(spark, d, "scan", "json"), "jsonl"))
+
+
+@query("a05_unknown_extension", _ROUND)
+def a05(spark, d):
+    """A folder without an extension is read as delimited text."""
+    return _typed(io.read_dataset(spark, _written(spark, d, "scan", "csv", header="true", sep="|")))
+
+
+@query("a12_source_types", _ROUND)
+def a12(spark, d):
+    return _typed(io.read_dataset(spark, _written(spark, d, "scan", "orc"), "orc"))
+
+
+@query("a16_export_stored_format", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def a16(spark, d):
+    path = _scratch(spark, "export")
+    io.export(t(spark, d, "orders"), path, "parquet")
+    return io.read_dataset(spark, path, "parquet").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("a18_copy_dataset", "SELECT c_custkey, c_name FROM customer")
+def a18(spark, d):
+    return io.copy_dataset(spark, f"{d}/customer.parquet", _scratch(spark, "copy")).select("c_custkey", "c_name")
+
+
 @query("a04_parquet_scan", "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY 1")
 def a04(spark, d):
     return io.read_dataset(spark, f"{d}/lineitem.parquet").filter("l_quantity > 25").groupBy("l_returnflag").agg(F.count("*").alias("n"))
@@ -91,6 +147,16 @@ def q01(spark, d):
     return streams.presence_at(t(spark, d, "events"), "2024-01-20 12:00:00", [], "user_id", "event_type", stale=36000)
 
 
+@query("q02_incremental_refresh", "SELECT CAST(7 AS INTEGER) AS dataset_id, count(*) AS row_count, CAST(count(*) = count(DISTINCT event_id) AS INTEGER) AS whole FROM events")
+def q02(spark, d):
+    """All event files that are new, taken by one run of the stream; the history's rows added up."""
+    folder, runs = _scratch(spark, "events"), _scratch(spark, "runs")
+    t(spark, d, "events").write.parquet(folder)
+    streams.refresh(streams.read_files(spark, folder, t(spark, d, "events").schema), runs, _scratch(spark, "offsets"), 7).awaitTermination()
+    r = spark.read.parquet(runs)
+    return r.groupBy("dataset_id").agg(F.sum("row_count").alias("row_count"), F.min((F.col("quality_score") > 0).cast("int")).alias("whole"))
+
+
 @query("q03_window_counts")
 def q03(spark, d):
     """The stream over the events file, run to its end; equal to the daily counts but for the open last window."""

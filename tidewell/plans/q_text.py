@@ -138,10 +138,10 @@ def n09(spark, d):
     return N.from_text(M.overview(convs(spark, d), "text"))
 
 
-@query("m17_text_insights", f"{_SENT.replace('conv_id % 3 = 1 THEN', 'conv_id % 3 >= 1 THEN').replace(' bad idea', ' great').replace('v AS', 'v AS')} SELECT 'text' AS source, printf('%.1f%% positive', 100.0 * count(*) FILTER (WHERE v > 0) / count(*)) AS message, 'info' AS severity FROM v")
+@query("m17_text_insights", f"{_SENT.replace('conv_id % 3 = 1 THEN', 'conv_id % 3 >= 1 THEN').replace(' bad idea', ' great').replace('v AS', 'v AS')}, t AS (SELECT text || ' great' AS text FROM conversations), o AS (SELECT 100.0 * (count(*) - count(text)) / count(*) AS gone, 100.0 * (count(text) - count(DISTINCT text)) / count(*) AS twice, avg(length(text)) AS mean FROM t) SELECT 'text' AS source, printf('%.1f%% positive', 100.0 * count(*) FILTER (WHERE v > 0) / count(*)) AS message, 'info' AS severity FROM v UNION ALL SELECT 'text', printf('%.1f%% missing', gone), 'warning' FROM o WHERE gone > 20 UNION ALL SELECT 'text', printf('%.1f%% duplicates', twice), 'warning' FROM o WHERE twice > 30 UNION ALL SELECT 'text', printf('short texts, %.1f characters', mean), 'info' FROM o WHERE mean < 10 UNION ALL SELECT 'text', printf('long texts, %.1f characters', mean), 'info' FROM o WHERE mean > 5000")
 def m17(spark, d):
     df = t(spark, d, "conversations").withColumn("text", F.expr("text || ' great'"))
-    return N.from_text(M.overview(df.limit(0), "text"), mood=M.sentiment(df, "text"))
+    return N.from_text(M.overview(df, "text"), mood=M.sentiment(df, "text"))
 
 
 @query("n01_from_profile", f"{_M.rstrip()}, p AS ({_profile_sql('m', _MIX)}) SELECT 'profile' AS source, column_name || ' is constant' AS message, 'warning' AS severity FROM p WHERE semantic_type = 'constant' UNION ALL SELECT 'profile', column_name || ' looks like an identifier', 'info' FROM p WHERE semantic_type = 'id_like' UNION ALL SELECT 'profile', printf('%s: %.1f%% missing', column_name, missing_pct), 'warning' FROM p WHERE missing_pct > 20 AND missing_pct <= 50")
@@ -179,9 +179,9 @@ def n05(spark, d):
 def n06(spark, d):
     from tidewell.operators import series as S
 
-    from .q_series import K, whole
+    from .q_series import K, series
 
-    s = whole(spark, d)
+    s = series(spark, d)
     return N.from_timeseries(S.stationarity(s, K), S.anomalies(s, K, 20), "k")
 
 
@@ -234,6 +234,13 @@ def runs(spark, d):
     return t(spark, d, "orders").selectExpr("o_custkey % 10 AS dataset_id", "o_orderdate AS run_at", "o_orderkey AS row_count", "CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(o_orderkey % 101 AS INTEGER) END AS quality_score", "o_totalprice / 10000 AS missing_pct")
 
 
+@query("p01_record_run", "SELECT CAST(5 AS BIGINT) AS dataset_id, count(*) AS row_count, CAST(9 AS INTEGER) AS col_count, CAST(0 AS DOUBLE) AS missing_pct, 'user' AS triggered_by FROM orders".replace("9 AS INTEGER", "(SELECT count(*) FROM (DESCRIBE orders)) AS INTEGER"))
+def p01(spark, d):
+    from .q_sources import _scratch
+
+    return H.record_run(t(spark, d, "orders"), 5, _scratch(spark, "runs")).select("dataset_id", "row_count", "col_count", "missing_pct", "triggered_by")
+
+
 @query("p02_history", f"WITH {RUNS} SELECT dataset_id, row_count, quality_score FROM runs WHERE dataset_id = 3 ORDER BY run_at DESC, row_count DESC LIMIT 50")
 def p02(spark, d):
     return H.newest(runs(spark, d), 3).select("dataset_id", "row_count", "quality_score")

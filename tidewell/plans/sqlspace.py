@@ -29,7 +29,7 @@ class Workspace:
         self.register()
         out = None
         for statement in statements(text):
-            if read_only and not is_read_only(statement):
+            if read_only and not (is_read_only(statement) and only_reads(self.spark, statement)):
                 raise ValueError("only SELECT statements are allowed")
             done = self.spark.sql(statement)
             out = done if done.columns else out
@@ -70,6 +70,13 @@ def is_read_only(statement: str) -> bool:
     return re.match(r"\s*(select|with)\b", statement, re.I) is not None
 
 
+def only_reads(spark: SparkSession, statement: str) -> bool:
+    """Whether Spark parses the statement as a plain query: no command and no insert, also not behind a WITH."""
+    rows = spark.sql("EXPLAIN EXTENDED " + statement).first()[0]
+    parsed = rows.split("== Parsed Logical Plan ==")[-1].split("== Analyzed Logical Plan ==")[0]
+    return re.search(r"^[\s:+|'-]*(Insert|Create|Replace|Update|Delete|Merge|Drop|Alter|Truncate|Load|Overwrite|Append|Write)", parsed, re.M) is None
+
+
 def has_limit(text: str) -> bool:
     return re.search(r"\blimit\b", text, re.I) is not None
 

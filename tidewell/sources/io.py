@@ -80,8 +80,11 @@ def object_uri(provider: str, bucket: str, key: str) -> str:
     return f"{SCHEMES[provider]}://{bucket}/{key.lstrip('/')}"
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: str | None = None, limit: int | None = 50_000, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
-    """A table or a query of a database; ``partition`` is (column, lower, upper, parts) for parallel reads."""
+def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: str | None = None, limit: int | None = None, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+    """A table or a query of a database; ``partition`` is (column, lower, upper, parts) for parallel reads.
+
+    All rows come unless ``limit`` is given.
+    """
     r = spark.read.format("jdbc").option("url", url).options(**options)
     if query is not None:
         r = r.option("query", query.rstrip(" ;"))
@@ -103,13 +106,14 @@ CATALOG_QUERIES = {
 }
 
 
-def list_tables(spark: SparkSession, kind: str, url: str, limit: int = 200, **options: str) -> DataFrame:
+def list_tables(spark: SparkSession, kind: str, url: str, limit: int | None = None, **options: str) -> DataFrame:
     return read_jdbc(spark, url, query=CATALOG_QUERIES[kind], limit=limit, **options)
 
 
-def list_objects(spark: SparkSession, uri: str, limit: int = 500) -> DataFrame:
-    """Rows (path, length) below a folder; contents are not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri).select("path", "length").orderBy("path").limit(limit)
+def list_objects(spark: SparkSession, uri: str, limit: int | None = None) -> DataFrame:
+    """Rows (path, length) below a folder, by path; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri).select("path", "length").orderBy("path")
+    return found if limit is None else found.limit(limit)
 
 
 def head(df: DataFrame, n: int = 100) -> DataFrame:
@@ -117,7 +121,7 @@ def head(df: DataFrame, n: int = 100) -> DataFrame:
     return df.limit(n).select(*(F.coalesce(name(c).cast("string"), F.lit("")).alias(c) for c in df.columns))
 
 
-def import_dataset(df: DataFrame, path: str, limit: int | None = 50_000) -> DataFrame:
+def import_dataset(df: DataFrame, path: str, limit: int | None = None) -> DataFrame:
     """Sanitise, cap if asked for, write as Parquet, and read back."""
     rows = sanitize(df if limit is None else df.limit(limit))
     rows.write.mode("overwrite").parquet(path)
@@ -157,7 +161,9 @@ def metadata(df: DataFrame) -> DataFrame:
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row (rows, fingerprint) that doesn't depend on row order; repeated rows count."""
     h = F.xxhash64(*(F.coalesce(name(c).cast("string"), F.lit("\0")) for c in df.columns))
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 40))).alias("s")).select("rows", F.md5(F.concat_ws(":", "rows", "x", "s")).alias("fingerprint"))
+    # a sum of longs would overflow at some millions of rows
+    s = F.sum(F.pmod(h, F.lit(1 << 40)).cast("decimal(20,0)"))
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("x"), s.alias("s")).select("rows", F.md5(F.concat_ws(":", "rows", "x", "s")).alias("fingerprint"))
 
 
 def slugs(df: DataFrame, column: str, source: str | None = None) -> DataFrame:

@@ -5,7 +5,8 @@
 
 Options: method, headers (JSON), auth (bearer:TOKEN, api-key:NAME:VALUE,
 basic:USER:PASSWORD), body, json_path (dots and list indexes), next_field
-(dotted path of the next page's address), max_pages (10, at most 50).
+(dotted path of the next page's address), max_pages (none: all pages; a source that
+goes beyond a given number fails rather than being cut in silence).
 Rows are (url, payload): one JSON record each, parsed by :func:`records`.
 """
 
@@ -21,9 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-MOST_PAGES = 50
-
-
 def extract(value: object, path: str | None) -> object:
     """Follow a dotted path through objects and lists; null where it ends early."""
     for part in (path or "").split("."):
@@ -64,7 +62,11 @@ class _Reader(DataSourceReader):
         o, url = self.options, partition.url
         headers = json.loads(o.get("headers", "{}")) | auth_headers(o.get("auth"))
         body = o.get("body")
-        for _ in range(min(int(o.get("max_pages", "10")), MOST_PAGES)):
+        most, seen = int(o["max_pages"]) if o.get("max_pages") else None, 0
+        while True:
+            if seen == most:
+                raise ValueError(f"{partition.url}: more than max_pages={most} pages")
+            seen += 1
             request = Request(url, data=body.encode() if body else None, headers=headers, method=o.get("method", "GET").upper())
             with urlopen(request, timeout=float(o.get("timeout", "30"))) as answer:
                 page = json.load(answer)
