@@ -312,6 +312,22 @@ def test_html_extraction(spark):
     assert html_text.main_text(again.limit(0)).count() == 0
 
 
+def test_html_boilerplate_counts_distinct_pages(spark):
+    """Repeated rows and copies are one page; null ids count; articles keep lines that others have too."""
+    line = "Read more stories like this one every single day"
+    story = lambda k, tag: f"<body><{tag}><p>{prose(30)} {k}</p><p>{line}</p></{tag}></body>"
+    one = story("one", "div")
+    rows = [(1, "http://a.example/1", one), (2, "http://a.example/2", story("two", "div")), (None, "http://a.example/3", story("three", "div"))]
+    rows += [(10 + i, "http://b.example/x", one) for i in range(5)] + [(20, "http://b.example/y", story("y", "div"))]
+    rows += [(30 + i, "http://c.example/y", story(str(i), "article")) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("x"), "key": F.lit(1), "row": F.lit(2)})
+    got = html_text.main_text(df.unionByName(df.filter("page_id = 20"))).collect()
+    assert len(got) == len(rows) + 1
+    for r in got:
+        assert (line in r["text"]) == (r["host"] != "a.example") and r["n_chars"] > 60
+        assert (r["removed"] > 0) == (r["host"] == "a.example")
+
+
 def test_language_id(spark):
     words = {"en": "the and of to ship house water light".split(), "de": "der und das schön haus wasser licht über".split(), "fr": "le et la être maison eau lumière où".split()}
     rng = random.Random(1)
