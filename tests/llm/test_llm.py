@@ -397,3 +397,143 @@ def test_quality_rejects_prose_with_a_word_the_target_avoids(spark):
     assert all(got[i]["kept"] for i, _ in clean) and not any(got[i]["kept"] for i, _ in toxic)
     assert quality.keep_good(df, target, seen).count() == len(clean)
     assert quality.keep_good(df, target, seen.limit(0)).count() >= len(clean)
+
+
+# --- odd rows, for every operator ------------------------------------------------------
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    s = "a"
+    while len(s) < n:
+        s += s.translate({97: "b", 98: "a"})
+    return s, s.translate({97: "b", 98: "a"})
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Repeated ids with equal and with different texts, null ids, ties, a long text without spaces, clashing names."""
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefghijklmnop") for _ in range(1_000_000))
+    x, y = thue_morse(1024)
+    base = prose(90)
+    rows = [(5, base), (5, base), (5, prose(80)), (9, base), (None, base), (None, prose(60)), (None, None), (7, ""), (8, None), (1, x), (2, y)]
+    rows += [(20, long), (21, long[500_000:] + " tail"), (30, f"{x}\n{y}\n{x}"), (31, " ".join([x, "q", "r", y, "q", "r", y]))]
+    names = "id n row check digest bucket kind blob host key item shard rep node start size"
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in names.split()})
+    return rows, df
+
+
+def test_odd_rows_exact_dedup(odd):
+    rows, df = odd
+    fold = [(i, (t or "").lower()) for i, t in rows]
+    got = exact_dedup.exact_dedup(df).collect()
+    assert len(got) == len(rows)
+    best = {t: max((i for i, u in fold if u == t and i is not None), default=None) for _, t in fold}
+    size = Counter(t for _, t in fold)
+    want = Counter((i, best[t], size[t], i == best[t]) for i, t in fold)
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == want
+    kept = exact_dedup.keep_first_copies(df)
+    assert kept.columns == df.columns
+    assert {r["text"] or "" for r in kept.collect()} == {t or "" for _, t in rows}  # no text is lost with another
+
+
+def test_odd_rows_near_dedup(spark, odd):
+    rows, df = odd
+    got = near_dedup.near_dedup(df).collect()
+    assert len(got) == len(rows)
+    of = {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None}
+    assert of[1] == 1 and of[2] == 2 and of[9] == 5 and of[7] == 7 and of[8] == 8
+    kept = near_dedup.keep_one_each(df.filter("doc_id IS NOT NULL"))
+    assert kept.columns == df.columns
+    assert {t for i, t in rows if i == 5} <= {r["text"] for r in kept.collect()}
+    assert near_dedup.near_dedup(spark.createDataFrame([(i, x) for i, x in enumerate(thue_morse(2048))], "doc_id long, text string")).filter("kept").count() == 2
+
+
+def test_odd_rows_quality(odd):
+    rows, df = odd
+    got = Counter((r["doc_id"], r["n_words"], r["n_dup_lines"], r["n_repeat_words"]) for r in quality.score(df, NO_MODEL).collect())
+    want = Counter((i, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), *quality._repeats((t or "").encode())) for i, t in rows)
+    assert got == want and (30, 3, 1, 0) in got
+
+
+def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    from tidewell.llm.bytescan import text_buffer
+
+    some = ["a b c a b c", "k1\nk2\nk1", "ab cd ef gh ij kl ab cd ef", "", "x"]
+    monkeypatch.setattr(quality, "span_hash", lambda p, a, b, buf=None: (b - a).astype(np.uint64))
+    got = quality.base_stats(*text_buffer(pa.array(some)))
+    assert list(zip(got["n_dup_lines"], got["n_repeat_words"])) == [quality._repeats(t.encode()) for t in some]
+
+
+def test_odd_rows_suffix_dedup(spark, odd):
+    rows, df = odd
+    got = suffix_dedup.repeated_passages(df).collect()
+    assert len(got) == len(rows)
+    removed = {r["doc_id"]: r["n_removed"] for r in got if r["doc_id"] in (20, 21, 1, 2)}
+    assert removed[20] == 0 and removed[21] == 500_000
+    edited = suffix_dedup.repeated_passages(df, keep_rows=True)
+    assert edited.columns == df.columns and edited.count() == len(rows)
+    small = [(i, t) for i, t in rows if i in (1, 2, 30, 31, 7, 8, 9)]
+    some = by_id(suffix_dedup.repeated_passages(spark.createDataFrame(small, "doc_id long, text string")))
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in some.items()} == brute_passages(small)
+
+
+def test_long_documents_are_parsed_in_slices(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE", 700)
+    buf = np.frombuffer(prose(2000).encode(), np.uint8)
+    start, end, _, _ = suffix_dedup.parse(buf, np.array([0, len(buf)]))
+    covered = np.concatenate([np.arange(a, b + 1) for a, b in zip(start, end)])
+    assert (np.sort(covered) == np.arange(len(buf) - suffix_dedup.LENGTH + 1)).all()
+
+
+def test_odd_rows_sharding(odd):
+    rows, df = odd
+    got = sharding.shard_by_bytes(df).collect()
+    assert len(got) == len(rows)
+    for k in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+    home = {}
+    for r in got:
+        assert home.setdefault((r["text_crc32"], r["size"]), r["shard"]) == r["shard"]
+
+
+def test_odd_rows_tokens(odd):
+    rows, df = odd
+    t = tokenizer(packing.default_tokenizer())
+    want = Counter((i, len(t.encode(x or "", add_special_tokens=False).ids) + 1) for i, x in rows)
+    pieces = packing.pack(df, packing.default_tokenizer()).filter("start = 0").collect()
+    assert Counter((r["doc_id"], r["doc_tokens"]) for r in pieces) == want
+    b = tokenizer(bpe.default_tokenizer())
+    ids = Counter((i, hashlib.sha256(",".join(map(str, b.encode(x or "", add_special_tokens=False).ids)).encode()).hexdigest()) for i, x in rows)
+    assert Counter((r["doc_id"], r["ids_sha256"]) for r in bpe.encode_documents(df, bpe.default_tokenizer()).collect()) == ids
+
+
+def test_odd_rows_pages(spark):
+    page = "<article><p>" + "x" * 2000 + "</p></article>"
+    rows = [(1, "u", page), (1, "u", page + "<p>other"), (2, "u", page), (3, "u", page + "<p>other"), (None, None, page), (None, "u\r\nv", None), (4, "u", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(c) for c in ("id", "n", "digest", "winner", "host", "row", "package")})
+    packages = warc.write_packages(df, shared.scratch_path(spark, "odd"))
+    got = Counter((r["id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_records(warc.read_index(packages)).collect())
+    n, m = len(page), len(page) + 8
+    assert got == Counter([(1, n, "revisit", 2), (1, m, "revisit", 3), (2, n, "response", None), (3, m, "response", None), (None, n, "revisit", 2), (None, 0, "response", None), (4, 0, "response", None)])
+    assert html_text.main_text(df).count() == len(rows)
+
+
+def test_pipeline_on_odd_rows(spark, odd, tmp_path):
+    import corpus_pipeline as cp
+
+    rows, df = odd
+    docs = df.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    labels = spark.createDataFrame([(5, 1, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    for name, d, l in (("odd", docs, labels), ("none", docs.limit(0), labels.limit(0))):
+        d.write.parquet(str(tmp_path / name / "documents.parquet"))
+        l.write.parquet(str(tmp_path / name / "labels.parquet"))
+    made = cp.run(spark, str(tmp_path / "odd")).collect()
+    assert made and cp.run(spark, str(tmp_path / "none")).count() == 0
+    stage = docs
+    for _, f in cp.STAGES[:-1]:
+        stage = shared.materialize(f(spark, stage, str(tmp_path / "odd")), "stage")
+        assert stage.columns == docs.columns
+    assert {i for i, t in rows if i == 5} <= {r["doc_id"] for r in stage.collect()}

@@ -52,6 +52,8 @@ GRAM = 16
 BUCKET_BYTES, FEWEST = 4 << 20, 64
 #: Bytes parsed at a time (or one document), and texts gathered before dealing.
 PIECE, GATHER = 1 << 19, 16 << 20
+#: Bytes of one long document parsed at a time; positions have to fit ``_PLACE``.
+SLICE = 4 << 20
 #: Phrases held before they are dealt.
 HELD = 1_000_000
 _PLACE = U64((1 << 28) - 1)
@@ -60,7 +62,24 @@ LAST_ID = np.iinfo(np.int64).max
 
 
 def parse(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Phrases as (first start, last start, phrase hash, trigger hash)."""
+    """Phrases as (first start, last start, phrase hash, trigger hash).
+
+    A document longer than ``SLICE`` bytes is parsed in slices, so that memory does not
+    follow its length. A phrase on the edge of two slices comes in two parts; they
+    have its trigger, so what they share with the whole phrase is found like any
+    other partial overlap.
+    """
+    if len(off) != 2 or len(buf) <= SLICE:
+        return _parse(buf, off)
+    parts = []
+    for a in range(0, len(buf) - LENGTH + 1, SLICE):
+        own = buf[a : a + SLICE + LENGTH - 1]
+        start, end, phrase, trigger = _parse(own, np.array([0, len(own)]))
+        parts.append((start + a, end + a, phrase, trigger))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _parse(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(buf) - LENGTH + 1
     if n <= 0:
         z = np.zeros(0, np.int64)
