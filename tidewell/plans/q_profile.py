@@ -91,9 +91,9 @@ def f08(spark, d):
     return P.duplicates(t(spark, d, "orders").select("o_custkey", "o_orderstatus")).withColumn("duplicate_pct", F.round("duplicate_pct", 4))
 
 
-@query("f09_memory_estimate")
+@query("f09_memory_estimate", "SELECT round((count(*) * 32 + sum(strlen(o_orderstatus)) + sum(strlen(o_orderpriority))) / 1048576.0, 6) AS memory_mb FROM orders")
 def f09(spark, d):
-    return P.memory_estimate(t(spark, d, "orders"))
+    return P.memory_estimate(t(spark, d, "orders")).select(F.round("memory_mb", 6).alias("memory_mb"))
 
 
 @query("f10_missing_table", f"{_M}SELECT column_name, missing, missing_pct FROM ({_profile_sql('m', _MIX)}) WHERE missing > 0")

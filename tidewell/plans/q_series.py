@@ -108,7 +108,7 @@ def l12(spark, d):
     return S.run_timeseries(t(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("k"), F.to_date("o_orderdate").alias("ts")).agg(F.sum("o_totalprice").alias("value")), "ts", "value", K, ("normality",))["normality"]
 
 
-for _n, _f in {"l13_adf": S.adf, "l14_kpss": S.kpss, "l15_zivot_andrews": S.zivot_andrews, "l16_stationarity": S.stationarity, "l17_differencing": S.differencing, "l19_stl": lambda s, k: S.stl(s, k, 7), "l25_spectrum": S.spectrum, "l26_mean_shifts": S.mean_shifts, "l28_cusum_threshold": S.cusum_threshold, "l39_seasonal_order": lambda s, k: S.seasonal_order(S.decompose(s, k, 7), k), "l41_readiness": S.readiness}.items():
+for _n, _f in {"l13_adf": S.adf, "l14_kpss": S.kpss, "l15_zivot_andrews": S.zivot_andrews, "l16_stationarity": S.stationarity, "l17_differencing": S.differencing, "l19_stl": lambda s, k: S.stl(s, k, 7), "l26_mean_shifts": S.mean_shifts, "l28_cusum_threshold": S.cusum_threshold, "l41_readiness": S.readiness}.items():
 
     @query(_n)
     def _run(spark, d, f=_f):
@@ -128,6 +128,16 @@ def l20(spark, d):
     return _r(S.strengths(S.decompose(series(spark, d), K, 7), K), 4, "trend_strength", "seasonal_strength")
 
 
+@query("l39_seasonal_order", f"{W.rstrip()}, {_TR} SELECT k, CAST(100 * (1 - var_samp(residual) / var_samp(seasonal + residual)) >= 64 AS INTEGER) AS seasonal_d FROM de WHERE residual IS NOT NULL GROUP BY k")
+def l39(spark, d):
+    return S.seasonal_order(S.decompose(series(spark, d), K, 7), K)
+
+
+@query("l25_spectrum", f"{W.rstrip()}, n AS (SELECT k, count(*) AS n, avg(value) AS m FROM s GROUP BY k), f AS (SELECT k, n, m, unnest(range(1, n // 2 + 1)) AS j FROM n), p AS (SELECT f.k, n, j, sum((value - m) * cos(2 * pi() * ((j * pos) % n) / n)) AS re, sum((value - m) * sin(2 * pi() * ((j * pos) % n) / n)) AS im FROM f JOIN s ON s.k = f.k GROUP BY 1, 2, 3), r AS (SELECT k, n, j, re * re + im * im AS power, row_number() OVER (PARTITION BY k ORDER BY re * re + im * im DESC) AS rank FROM p) SELECT k, CAST(rank AS INTEGER) AS rank, round(n / j, 6) AS period, round(power / 1e9, 2) AS power FROM r WHERE rank <= 5")
+def l25(spark, d):
+    return _r(_r(S.spectrum(series(spark, d), K).withColumn("power", F.col("power") / 1e9), 6, "period"), 2, "power")
+
+
 @query("l21_default_period", f"{W}SELECT k, CAST(least(greatest(least(floor(count(*) / 10), 365), 2), floor(count(*) / 2)) AS INTEGER) AS period FROM s GROUP BY k")
 def l21(spark, d):
     return S.default_period(series(spark, d), K)
@@ -236,7 +246,8 @@ def l40(spark, d):
     return S.granger(e, "ts", "purchase", ["click", "view"], K)
 
 
-@query("l42_method_groups")
+@query("l42_method_groups", "SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, round(min(value), 4) AS min, round(max(value), 4) AS max, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 4) AS iqr, round(skewness(value), 4) AS skewness, round(kurtosis(value), 4) AS kurtosis FROM events GROUP BY 1")
 def l42(spark, d):
     e = t(spark, d, "events").select("event_type", "ts", "value")
-    return S.run_timeseries(e, "ts", "value", ["event_type"], ("describe",))["describe"]
+    out = S.run_timeseries(e, "ts", "value", ["event_type"], ("describe",))["describe"]
+    return _r(out, 4, "mean", "std", "min", "max", "iqr", "skewness", "kurtosis").drop("range", "cv_pct")

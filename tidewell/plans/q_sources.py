@@ -85,9 +85,9 @@ def a04(spark, d):
     return io.read_dataset(spark, f"{d}/lineitem.parquet").filter("l_quantity > 25").groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
-@query("a06_head")
+@query("a06_head", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, coalesce(o_orderstatus, '') AS o_orderstatus, coalesce(o_orderpriority, '') AS o_orderpriority FROM orders ORDER BY orders.o_orderkey LIMIT 100")
 def a06(spark, d):
-    return io.head(t(spark, d, "orders"), 100)
+    return io.head(t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority").orderBy("o_orderkey"), 100)
 
 
 @query("a09_list_objects")
@@ -117,9 +117,9 @@ def a17(spark, d):
     return io.save_as(t(spark, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n")), _scratch(spark, "saved"))
 
 
-@query("a19_describe")
+@query("a19_describe", " UNION ALL ".join(f"SELECT '{c}' AS column_name, {i} AS position, '{k}' AS type, count({c}) AS filled, min(CAST({c} AS VARCHAR)) AS example FROM customer" for i, (c, k) in enumerate({"c_custkey": "bigint", "c_name": "string", "c_mktsegment": "string"}.items())))
 def a19(spark, d):
-    return io.describe(t(spark, d, "orders"))
+    return io.describe_with_examples(t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")).drop("nullable")
 
 
 @query("a20_metadata", "SELECT count(*) AS row_count, 2 AS column_count, '{\"r_regionkey\": \"int\", \"r_name\": \"string\"}' AS schema_info FROM region")
@@ -137,9 +137,15 @@ def a22(spark, d):
     return io.slugs(t(spark, d, "part").select("p_name"), "p_name", "My Source")
 
 
-@query("a23_search_columns")
+@query("a23_search_columns", " UNION ALL ".join(f"SELECT '{n}' AS dataset, '{c}' AS \"column\", count(DISTINCT {c}) AS distinct_n FROM {n}" for n, c in (("customer", "c_custkey"), ("customer", "c_nationkey"), ("orders", "o_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey"))))
 def a23(spark, d):
-    return Workspace(spark, {n: t(spark, d, n) for n in ("orders", "customer", "part")}).search_columns("key")
+    """The columns found, each with its number of values."""
+    from tidewell.operators.profile import distinct_counts
+
+    tables = {n: t(spark, d, n) for n in ("orders", "customer", "part")}
+    hits = Workspace(spark, tables).search_columns("key").select("dataset", "column")
+    counts = [distinct_counts(df).select(F.lit(n).alias("dataset"), F.col("column_name").alias("column"), "distinct_n") for n, df in tables.items()]
+    return hits.join(F.broadcast(counts[0].unionByName(counts[1]).unionByName(counts[2])), ["dataset", "column"])
 
 
 @query("q01_presence", "SELECT event_type, user_id, CAST(last_seen AS VARCHAR) AS last_seen FROM (SELECT user_id, max(ts) AS last_seen, arg_max(event_type, ts) AS event_type FROM events WHERE ts <= TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1) WHERE last_seen >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 36000 SECOND")
@@ -157,7 +163,7 @@ def q02(spark, d):
     return r.groupBy("dataset_id").agg(F.sum("row_count").alias("row_count"), F.min((F.col("quality_score") > 0).cast("int")).alias("whole"))
 
 
-@query("q03_window_counts")
+@query("q03_window_counts", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2")
 def q03(spark, d):
     """The stream over the events file, run to its end; equal to the daily counts but for the open last window."""
     e = t(spark, d, "events")

@@ -117,7 +117,10 @@ def m14(spark, d):
     return M.sentiment(t(spark, d, "conversations").withColumn("text", F.expr("text || CASE WHEN conv_id % 3 = 0 THEN ' great' WHEN conv_id % 3 = 1 THEN ' bad idea' ELSE '' END")), "text")
 
 
-@query("m15_language_votes")
+_VOTES = ", ".join(f"{{'hits': len(list_filter(w, lambda x: x IN ({', '.join(repr(v) for v in words)}))), 'language': '{k}'}}" for k, words in M.LANGUAGES.items())
+
+
+@query("m15_language_votes", f"WITH w AS (SELECT lang, regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+') AS w FROM documents WHERE text IS NOT NULL), b AS (SELECT lang, list_max([{_VOTES}]) AS b FROM w) SELECT lang, CASE WHEN b.hits > 0 THEN b.language ELSE 'unknown' END AS language, count(*) AS n FROM b GROUP BY 1, 2")
 def m15(spark, d):
     docs = t(spark, d, "documents")
     return M.language_votes(docs, "text", "doc_id").join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "language").agg(F.count(F.lit(1)).alias("n"))

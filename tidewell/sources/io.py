@@ -147,6 +147,13 @@ def copy_dataset(spark: SparkSession, source: str, target: str) -> DataFrame:
     return save_as(spark.read.parquet(source), target)
 
 
+def describe_with_examples(df: DataFrame) -> DataFrame:
+    """:func:`describe` and, from one pass over the table, the filled rows and the smallest value of each column as text."""
+    found = [F.struct(F.lit(c).alias("column_name"), F.count(name(c)).alias("filled"), F.min(name(c).cast("string")).alias("example")) for c in df.columns]
+    one = df.agg(F.array(*found).alias("found")).select(F.inline("found"))
+    return describe(df).join(F.broadcast(one), "column_name")
+
+
 def describe(df: DataFrame) -> DataFrame:
     rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
     return df.sparkSession.createDataFrame(rows, "position int, column_name string, type string, nullable boolean")
