@@ -199,6 +199,21 @@ def cross_validate(matrix: DataFrame, classification: bool, keys: list[str], fol
     return first
 
 
+#: Rows among which values are dealt out anew.
+DEALT_ROWS = 50_000
+
+
+def drawn(x: DataFrame, rows: int, seed: int) -> DataFrame:
+    """Up to ``rows`` different vectors of ``x`` (x, id, n), drawn in proportion to their copies n.
+
+    Each vector waits an exponential time that its hash gives, divided by n; the
+    first ones are taken. So the draw is the same in every run, and copies of the
+    whole table don't change it.
+    """
+    u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
+    return x.orderBy(-F.log(u) / F.col("n"), "id").limit(rows)
+
+
 def permutation_importance(model, matrix: DataFrame, names: list[str], classification: bool, repeats: int = 5, seed: int = 42) -> DataFrame:
     """Rows (feature, mean, std): loss of score when one feature's values are dealt out anew.
 
@@ -207,7 +222,7 @@ def permutation_importance(model, matrix: DataFrame, names: list[str], classific
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    buckets = max(1, matrix.sparkSession.sparkContext.defaultParallelism)
+    buckets = max(1, -(-matrix.count() // DEALT_ROWS))  # follows from the rows alone, not from the cluster
     rows = matrix.select(vector_to_array("features").alias("x"), "label").withColumn("id", F.xxhash64("x", "label"))
     reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("bucket", F.pmod("id", F.lit(buckets)))
     one = reps.withColumn("rn", F.row_number().over(Window.partitionBy("rep", "bucket").orderBy("id", "label")))
@@ -233,9 +248,10 @@ def shapley(model, matrix: DataFrame, names: list[str], predict: Callable[[DataF
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     k = len(names)
-    x = matrix.select(vector_to_array("features").alias("x")).withColumn("id", F.xxhash64("x"))
-    base = x.orderBy(F.xxhash64("id", F.lit(seed))).limit(background).select(F.col("x").alias("z"), (F.row_number().over(Window.orderBy("id")) - 1).alias("b"))
-    runs = x.groupBy("x", "id").agg(F.count(F.lit(1)).alias("n")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn("b", F.pmod(F.xxhash64("id", "p"), F.lit(background)))
+    x = matrix.select(vector_to_array("features").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.xxhash64("x"))
+    base = drawn(x, background, seed).select(F.col("x").alias("z"), (F.row_number().over(Window.orderBy("id")) - 1).alias("b"))
+    have = base.agg(F.count(F.lit(1)).alias("have"))  # small tables have fewer rows than asked for
+    runs = x.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).crossJoin(F.broadcast(have)).withColumn("b", F.pmod(F.xxhash64("id", "p"), F.col("have")).cast("int"))
     runs = runs.join(F.broadcast(base), "b")
     order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(F.xxhash64("id", "p", i).alias("h"), i.alias("i"))))
     steps = runs.withColumn("order", F.transform(order, lambda s: s["i"])).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(k))))
@@ -272,9 +288,9 @@ def interactions(model, matrix: DataFrame, names: list[str], features: list[str]
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     pairs = [(names.index(a), names.index(b)) for a, b in combinations(features, 2)]
-    x = matrix.select(vector_to_array("features").alias("x")).withColumn("id", F.xxhash64("x"))
-    z = x.orderBy(F.xxhash64("id", F.lit(seed))).limit(samples).select(F.col("x").alias("z"), (F.row_number().over(Window.orderBy("id")) - 1).alias("s"))
-    grid = x.groupBy("x", "id").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(z)).withColumn("pair", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs)))).withColumn("corner", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    x = matrix.select(vector_to_array("features").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.xxhash64("x"))
+    z = drawn(x, samples, seed).select(F.col("x").alias("z"), (F.row_number().over(Window.orderBy("id")) - 1).alias("s"))
+    grid = x.crossJoin(F.broadcast(z)).withColumn("pair", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs)))).withColumn("corner", F.explode(F.sequence(F.lit(0), F.lit(3))))
 
     def value(v: Column, k: Column) -> Column:
         first, second = (k == F.col("pair.i")), (k == F.col("pair.j"))
