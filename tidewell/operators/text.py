@@ -76,7 +76,7 @@ def length_histogram(df: DataFrame, column: str, unit: str = "chars") -> DataFra
 
 def tokens(text: Column) -> Column:
     """Lower-case words of two or more of a-z, whole words only."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w.rlike("^[a-z]{2,}$"))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}_])[a-z]{2,}(?![\p{L}\p{N}_])"), F.lit(0))
 
 
 def kept_tokens(text: Column) -> Column:
@@ -111,8 +111,11 @@ def keywords(df: DataFrame, column: str, key: str, terms: int = 30, k: int = 20)
     """Rows (word, score): mean TF-IDF over all texts of the most frequent terms, rows of length one."""
     rows = df.select(name(key).alias("key"), name(column).cast("string").alias("text")).filter("text IS NOT NULL")
     total = rows.agg(F.count(F.lit(1)).alias("total"))
-    tf = rows.select("key", F.explode(kept_tokens(F.col("text"))).alias("word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("tf"))
-    chosen = tf.groupBy("word").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df")).orderBy(F.col("n").desc(), "word").limit(terms)
+    # the terms are chosen by one count of words; only their occurrences are grouped by text
+    most = word_counts(df, column).orderBy(F.col("n").desc(), "word").limit(terms).select("word")
+    found = rows.select("key", F.explode(kept_tokens(F.col("text"))).alias("word")).join(F.broadcast(most), "word")
+    tf = found.groupBy("key", "word").agg(F.count(F.lit(1)).alias("tf"))
+    chosen = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     idf = chosen.crossJoin(F.broadcast(total)).select("word", "total", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = tf.join(F.broadcast(idf), "word").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))
