@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, table
+from .shared import attach, materialize, table
 
 SHARDS = 8
 #: Items are at least about this part of a shard, or a whole group.
@@ -139,7 +139,7 @@ def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lean = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     made = lean.select("id", (F.octet_length("text") + F.lit(1)).cast("long").alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"))
     made = materialize(made, "sized")
-    groups = materialize(made.groupBy("digest").agg(F.sum("size").alias("size")), "groups")
+    groups = materialize(made.groupBy("digest").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("copies")), "groups")
     total = groups.agg(F.sum("size")).first()[0]
     slice_bytes = max(1, (total or 0) // (shards * slices))
     # small groups: a bundle for each hash cell; sums combine before the shuffle and nothing is sorted
@@ -152,7 +152,9 @@ def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = best_fit_decreasing(items, shards)
     places = spark.createDataFrame(list(placed.items()), "item long, shard int")
     where = dealt.join(F.broadcast(places), "item").select("digest", "shard")
-    rows = made.join(where, "digest")
+    # digests with many copies, at most 20 000, are broadcast, so that no group meets in one task
+    hot = groups.filter(F.col("copies") > max(1000, made.count() // 20_000)).select("digest")
+    rows = attach(made, where, "digest", hot=materialize(hot, "hot"))
     blocks = max(64, spark.sparkContext.defaultParallelism, int((total or 0) >> 25))
     rows = materialize(rows.withColumn("block", F.pmod(F.xxhash64("id", "digest"), F.lit(blocks)).cast("int")), "placed")
     counts = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
