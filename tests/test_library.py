@@ -384,3 +384,14 @@ def test_shapley_and_interactions_on_few_and_repeated_rows(spark):
     assert {(r["id"], r["feature"]): r["value"] for r in one} == pytest.approx({(r["id"], r["feature"]): r["value"] for r in again}) and {r["n"] for r in again} == {3}
     a, b = (importance.interactions(_Linear, m, names, names).first()["strength"] for m in (rows, thrice))
     assert a == pytest.approx(b) and a > 0
+
+
+def test_full_analysis_bundles(spark):
+    df = spark.range(400).selectExpr("id", "CAST(pmod(hash(id), 97) AS DOUBLE) AS x", "CAST(id * 2 AS DOUBLE) AS y", "IF(id % 2 = 0, 'a', 'b') AS g", "timestamp_seconds(id * 86400) AS ts")
+    found = charts.full_analysis(df)
+    assert {"missing", "quality", "correlation", "scatter", "outliers", "normality", "grouped_box"} <= set(found)
+    r = {(x["column_a"], x["column_b"]): x["r"] for x in found["correlation"].collect()}
+    assert r["id", "y"] == pytest.approx(1.0)
+    assert {x["column_name"] for x in found["normality"].collect()} == {"id", "x", "y"}
+    kinds = [set(charts.column_analysis(df, c)) for c in ("x", "g", "ts")]
+    assert "histogram" in kinds[0] and "bars" in kinds[1] and "seasonality" in kinds[2]

@@ -15,6 +15,31 @@ SQRT = lambda n: F.least(F.greatest(F.floor(F.sqrt(n)), F.lit(10)), F.lit(50)).c
 STURGES = lambda n: F.least(F.greatest(F.ceil(F.log2(n.cast("double"))) + 1, F.lit(5)), F.lit(50)).cast("int")
 
 
+def full_analysis(df: DataFrame) -> dict[str, DataFrame]:
+    """The analysis of a whole table, lazily: correlations, strongest pairs, the box plot by groups, missing values, outliers, normality."""
+    from tidewell.operators import assoc, outliers, profile, tests_stat
+
+    numeric = numeric_columns(df)
+    out = {"missing": profile.missing_table(df), "quality": profile.quality_score(df)}
+    if len(numeric) > 1:
+        out |= {"correlation": assoc.correlation_p(assoc.pearson(df, numeric)), "scatter": top_pairs(df)}
+    if numeric:
+        out |= {"outliers": outliers.outlier_summary(df), "normality": tests_stat.normality_table(df)}
+    if picked := pick_grouped_box(df):
+        out["grouped_box"] = boxes(df, picked[0], [picked[1]])
+    return out
+
+
+def column_analysis(df: DataFrame, column: str) -> dict[str, DataFrame]:
+    """The charts of one column, by its kind."""
+    kind = df.schema[column].dataType.simpleString()
+    if column in numeric_columns(df):
+        return {"histogram": histogram(df, column), "density": density(df, column), "box": boxes(df, column), "qq": qq_plot(df, column), "ecdf": ecdf(df, column)}
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return {"over_time": counts_over_time(df, column), "seasonality": seasonality(df, column)}
+    return {"bars": bars(df, column), "others": others(df, column), "pie": pie(df, column)}
+
+
 def histogram(df: DataFrame, column: str, bins: int | None = None, rule=SQRT) -> DataFrame:
     """Rows (bin, lo, hi, n): equal widths, the last bin closed, empty bins kept."""
     c = name(column).cast("double")

@@ -141,3 +141,23 @@ def g21(spark, d):
 @query("g22_scatter3d")
 def g22(spark, d):
     return C.scatter3d(t(spark, d, "lineitem"), _NUM[:3], ["l_orderkey", "l_linenumber"])
+
+
+def _sections(found):
+    """The tables of a bundle as rows (section, result)."""
+    rows = [v.select(F.lit(k).alias("section"), F.to_json(F.struct(*v.columns)).alias("result")) for k, v in found.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@query("g23_full_analysis")
+def g23(spark, d):
+    return _sections(C.full_analysis(t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")))
+
+
+@query("g23_column_analysis")
+def g23b(spark, d):
+    o = t(spark, d, "orders")
+    return _sections({f"{c}: {k}": v for c in ("o_totalprice", "o_orderdate", "o_orderpriority") for k, v in C.column_analysis(o, c).items()})
