@@ -149,6 +149,15 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def segment_sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of ``values[at[i]:at[i + 1]]`` in double precision, row by row; empty segments give zero."""
+    out = np.zeros((len(at) - 1, *values.shape[1:]))
+    some = np.flatnonzero(np.diff(at))
+    if len(some):
+        out[some] = np.add.reduceat(values[: at[-1]], at[some], axis=0, dtype=np.float64)
+    return out
+
+
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Indices start[0], .., start[0]+length[0]-1, start[1], .. in one array."""
     total = int(length.sum())

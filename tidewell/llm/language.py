@@ -4,7 +4,8 @@ Subwords are byte n-grams (A-Z folded) hashed to ``BUCKETS`` embeddings of ``WID
 numbers; a text is the mean of its embeddings, and a linear layer with softmax gives
 the language. Embeddings and layer are trained together by stochastic gradient
 descent in numpy on a bounded sample of labelled rows: about ``PER_LANGUAGE`` texts
-of each language, drawn by a hash of the id, none longer than ``LONGEST`` bytes.
+of each language (``MOST_ROWS`` in all), drawn by a hash of the id, none longer than
+``LONGEST`` bytes.
 A part of the sample is kept aside to calibrate on snippets: one temperature makes
 the probabilities honest, and the score below which a prediction is not to be trusted
 is set so that at most ``REFUSED`` of the right ones fall under it.
@@ -27,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytescan import LOWER, pieces, text_buffer
+from .bytescan import LOWER, pieces, segment_sums, text_buffer
 from .quality import grams
-from .shared import table
+from .shared import materialize, table
 
 BUCKETS, WIDTH, ORDERS = 1 << 15, 16, (1, 2, 3, 4)
 PER_LANGUAGE, LONGEST, REFUSED = 600, 64 << 10, 0.005
+#: Rows of the sample over all languages; with very many languages each gets fewer.
+MOST_ROWS, LEAST_ROWS = 20_000, 20
 EPOCHS, RATE = 4, 4.0
 
 
@@ -53,6 +56,10 @@ def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_lang
     """A bounded sample of labelled rows, drawn by a hash of the id."""
     labelled = docs.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.octet_length(text_col) <= longest))
     counts = labelled.groupBy(F.col(label_col).alias("language")).agg(F.count(F.lit(1)).alias("rows"))
+    # languages beyond what the sample can hold are those with the fewest rows
+    counts = counts.orderBy(F.col("rows").desc(), "language").limit(MOST_ROWS // LEAST_ROWS)
+    counts = materialize(counts, "languages")
+    per_language = min(per_language, MOST_ROWS // max(1, counts.count()))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 30))
     near = labelled.select(F.col(label_col).alias("language"), F.col(text_col).alias("text"), draw.alias("draw")).join(F.broadcast(counts), "language")
     near = near.filter(F.col("draw") * F.col("rows") <= F.lit(float(1 << 30)) * (per_language * 1.3))
@@ -143,9 +150,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 total, count = np.zeros((n, len(m.languages))), np.zeros(n)
                 for g, at in grams(LOWER[buf], off, BUCKETS, ORDERS):
                     count += np.diff(at)
-                    for k in range(len(m.languages)):
-                        sums = np.concatenate(([0.0], np.cumsum(m.logits[:, k][g], dtype=np.float64)))
-                        total[:, k] += sums[at[1:]] - sums[at[:-1]]
+                    total += segment_sums(m.logits.take(g, axis=0), at)
                 p = _softmax(total / np.maximum(count, 1)[:, None] + m.bias)
                 best = p.argmax(axis=1)
                 names[known] = np.array(m.languages, object)[best[known]]

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytescan import LOWER, mix, pieces, prefix_hash, same_bytes, span_hash, windows, words
+from .bytescan import LOWER, mix, pieces, prefix_hash, same_bytes, segment_sums, span_hash, windows, words
 from .shared import materialize, rows_within, table
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -269,8 +269,7 @@ def verdicts(buf: np.ndarray, off: np.ndarray, model: Model, threshold: float) -
     n = len(off) - 1
     total, count = np.zeros(n), np.zeros(n)
     for g, at in grams(buf, off, len(model.ratios)):
-        sums = np.concatenate(([0.0], np.cumsum(model.ratios[g], dtype=np.float64)))
-        total += sums[at[1:]] - sums[at[:-1]]
+        total += segment_sums(model.ratios.take(g), at)
         count += np.diff(at)
     llr = np.round(total / np.maximum(count, 1), 9)
     n_listed = np.zeros(n, np.int64)
