@@ -537,3 +537,14 @@ def test_pipeline_on_odd_rows(spark, odd, tmp_path):
         stage = shared.materialize(f(spark, stage, str(tmp_path / "odd")), "stage")
         assert stage.columns == docs.columns
     assert {i for i, t in rows if i == 5} <= {r["doc_id"] for r in stage.collect()}
+
+
+def test_suffix_dedup_of_a_passage_that_most_documents_share(spark):
+    """Its phrases go through waiting lists; every document but the smallest loses it."""
+    line = prose(40)
+    rows = [(i * 7 % 501, f"{prose(8)} {i} {line} {prose(3)}") for i in range(300)] + [(900 + i, prose(30)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_passages(rows)
+    for parts in (1, 3):
+        got = by_id(suffix_dedup.repeated_passages(df.repartition(parts), bucket_bytes=2000))
+        assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want

@@ -21,10 +21,14 @@ dictionary), and the parse only says where a phrase occurs.
 3. Both kinds of findings go back to the documents, which are parsed again to
    turn phrases into byte spans.
 
+A phrase that many documents of one task hold (a licence line in a third of the
+corpus) comes to its bucket once per task, with the smallest of those documents; the
+list of them waits in a bucket of the task, which gets the phrase's smallest document
+as an answer (step 1b). So no bucket grows with the documents that share a passage.
+
 What is moved are few large binary rows. The number of buckets follows from the
 bytes of the corpus, so that a bucket stays at about ``BUCKET_BYTES``; texts travel
-compressed. A passage that many documents share is spread over its triggers,
-and comes as one record per phrase and document.
+compressed.
 
 Defined results: null text is empty and has nothing to remove; documents with
 the same id (repeated rows) don't remove each other's text; rows with a null id
@@ -35,10 +39,13 @@ through unchanged.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +61,8 @@ BUCKET_BYTES, FEWEST = 4 << 20, 64
 PIECE, GATHER = 1 << 19, 16 << 20
 #: Bytes of one long document parsed at a time; positions have to fit ``_PLACE``.
 SLICE = 4 << 20
-#: Phrases held before they are dealt.
-HELD = 1_000_000
+#: Phrases held before they are dealt, and the documents among them from which a phrase is dealt once for all.
+HELD, SHARED = 1_000_000, 64
 _PLACE = U64((1 << 28) - 1)
 _CODEC = pa.Codec("zstd", compression_level=1)
 LAST_ID = np.iinfo(np.int64).max
@@ -155,7 +162,7 @@ def _deal(to: np.ndarray, kind: int, make) -> Iterator[pa.RecordBatch]:
 
 _ROW = "bucket int, kind int, blob binary"
 _ROW_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
-_TEXT, _WHOLE, _FETCH, _PART = 0, 1, 2, 3
+_TEXT, _WHOLE, _FETCH, _PART, _WAITING, _ASKED, _ANSWER, _RECORDS = range(8)
 
 
 def _rows(parts: Iterator[pa.RecordBatch]) -> pa.Table:
@@ -163,7 +170,7 @@ def _rows(parts: Iterator[pa.RecordBatch]) -> pa.Table:
 
 
 def _of_kind(t: pa.Table, kind: int) -> pa.ChunkedArray:
-    return t.filter(pa.compute.equal(t.column("kind"), kind)).column("blob")
+    return t.filter(pc.equal(t.column("kind"), kind)).column("blob")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_rows: bool = False, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -176,14 +183,45 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(FEWEST, -(-total // bucket_bytes))
 
+    def bucket_of(trigger: np.ndarray) -> np.ndarray:
+        return (trigger >> U64(32)).astype(np.int64) % buckets
+
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        lists = itertools.count(TaskContext.get().partitionId() << 24)
+
+        def deal_shared(doc: np.ndarray, phrase: np.ndarray, trigger: np.ndarray) -> Generator[pa.RecordBatch, None, np.ndarray]:
+            """Deal phrases of many documents once, their documents as a waiting list; returns which records remain."""
+            order = np.lexsort((doc, phrase))
+            d, p = doc[order], phrase[order]
+            new = np.ones(len(p), bool)
+            new[1:] = p[1:] != p[:-1]
+            fresh = new.copy()
+            fresh[1:] |= d[1:] != d[:-1]
+            heads = np.flatnonzero(new)
+            many = np.add.reduceat(fresh.astype(np.int64), heads) >= SHARED
+            inside = np.repeat(many, np.diff(np.append(heads, len(p))))
+            keep = np.ones(len(p), bool)
+            if many.any():
+                keep[order[inside]] = False
+                every, least = order[inside & fresh], order[heads[many]]
+                number = np.int64(next(lists))
+                home = _home(np.array([number]), buckets)[0]
+                listed = _dump(number=np.full(len(every), number), phrase=phrase[every], doc=doc[every])
+                yield pa.RecordBatch.from_arrays([pa.array([int(home)], pa.int32()), pa.array([_WAITING], pa.int32()), pa.array([listed], pa.binary())], ["bucket", "kind", "blob"])
+                asked = lambda pick: _dump(number=np.full(len(pick), number), trigger=(trigger[least[pick]]).astype(np.uint32), phrase=phrase[least[pick]], doc=doc[least[pick]])
+                yield from _deal(bucket_of(trigger[least]), _ASKED, asked)
+            return keep
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
             doc, phrase, trigger = (np.concatenate(x) for x in zip(*held))
             held.clear()
+            keep = yield from deal_shared(doc, phrase, trigger)
+            if not keep.any():
+                return
+            doc, phrase, trigger = doc[keep], phrase[keep], trigger[keep]
 
             def blob(pick: np.ndarray) -> bytes:
                 d = doc[pick]
@@ -192,7 +230,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 step = step.astype({1: np.int16, 2: np.int32}.get(kind.itemsize, np.int64))
                 return np.array([len(pick), d[0], step.itemsize], np.int64).tobytes() + trigger[pick].astype(np.uint32).tobytes() + phrase[pick].tobytes() + step.tobytes()
 
-            yield from _deal((trigger >> U64(32)).astype(np.int64) % buckets, 0, blob)
+            yield from _deal(bucket_of(trigger), _RECORDS, blob)
 
         count = 0
         give_back()
@@ -209,11 +247,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def sort_phrases(t: pa.Table) -> pa.Table:
         give_back()
+        out = t.filter(pc.equal(t.column("kind"), _WAITING)).to_batches()  # lists wait here for their answers
         found = []
-        for b in t.column("blob").to_pylist():
+        for b in _of_kind(t, _RECORDS).to_pylist():
             n, base, size = np.frombuffer(b, np.int64, 3)
             trigger, phrase = np.frombuffer(b, np.uint32, n, 24), np.frombuffer(b, np.uint64, n, 24 + 4 * n)
             found.append((trigger, phrase, base + np.cumsum(np.frombuffer(b, f"i{size}", n, 24 + 12 * n).astype(np.int64))))
+        asked = _of_kind(t, _ASKED)
+        asked = _load(asked) if len(asked) else None
+        if asked is not None:
+            found.append((_column(asked, "trigger", np.uint32), _column(asked, "phrase", np.uint64), _column(asked, "doc", np.int64)))
+        if not found:
+            return _rows(iter(out))
         trigger, phrase, doc = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((doc, phrase, trigger))
         trigger, phrase, doc = trigger[order], phrase[order], doc[order]
@@ -221,6 +266,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         new[1:] = (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1])
         heads = np.flatnonzero(new)
         least = doc[heads]
+        if asked is not None:
+            place = np.empty(len(order), np.int64)
+            place[order] = np.cumsum(new) - 1
+            number, own = _column(asked, "number", np.int64), place[len(order) - len(asked) :]
+            answer = lambda pick: _dump(number=number[pick], phrase=phrase[heads[own[pick]]], least=least[own[pick]])
+            out += _deal(_home(number, buckets), _ANSWER, answer)
         whole = doc != least[np.cumsum(new) - 1]
         whole[1:] &= new[1:] | (doc[1:] != doc[:-1])  # one finding for a document
         edge = np.flatnonzero(np.diff(trigger[heads].astype(np.int64), prepend=-1))
@@ -229,12 +280,25 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         d = np.concatenate((doc[whole], least[several]))
         p = np.concatenate((phrase[whole], phrase[heads][several]))
         fetch = np.repeat([False, True], [whole.sum(), several.sum()])
-        out = []
         for kind, mask in ((_WHOLE, ~fetch), (_FETCH, fetch)):
             dk, pk = d[mask], p[mask]
             out += _deal(_home(dk, buckets), kind, lambda pick, dk=dk, pk=pk: _dump(doc=dk[pick], phrase=pk[pick]))
         return _rows(out)
 
+    def release(t: pa.Table) -> pa.Table:
+        """Answers for waiting lists: all documents but the smallest have the phrase from another."""
+        answers = _of_kind(t, _ANSWER)
+        if not len(answers):
+            return _rows(iter(()))
+        a, w = _load(answers), _load(_of_kind(t, _WAITING))
+        key = mix(_column(a, "number", np.int64).view(np.uint64)) ^ _column(a, "phrase", np.uint64)
+        order = np.argsort(key)
+        doc, phrase = _column(w, "doc", np.int64), _column(w, "phrase", np.uint64)
+        at = order[np.searchsorted(key, mix(_column(w, "number", np.int64).view(np.uint64)) ^ phrase, sorter=order)]
+        gone = doc != _column(a, "least", np.int64)[at]
+        doc, phrase = doc[gone], phrase[gone]
+        return _rows(_deal(_home(doc, buckets), _WHOLE, lambda pick: _dump(doc=doc[pick], phrase=phrase[pick])))
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         give_back()
@@ -382,7 +446,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             text = pa.Array.from_buffers(pa.large_string(), len(rows), [None, pa.py_buffer(kept.tobytes()), pa.py_buffer(buf[~gone].tobytes())])
             k = rows.schema.get_field_index(text_col)
             nulls = rows.column(k).is_null().combine_chunks()
-            text = pa.compute.if_else(nulls, pa.scalar(None, pa.large_string()), text).cast(rows.schema.field(k).type)
+            text = pc.if_else(nulls, pa.scalar(None, pa.large_string()), text).cast(rows.schema.field(k).type)
             out.append(rows.set_column(k, rows.schema.field(k), text))
         return pa.concat_tables(out) if out else row_schema.empty_table()
 
@@ -393,9 +457,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lean = docs.select(id_col, text_col)
     found = lean.mapInArrow(phrases, _ROW).groupBy("bucket").applyInArrow(sort_phrases, _ROW)
     found = materialize(found, "phrases")
+    whole = found.filter(F.col("kind") == _WHOLE)
+    if not found.filter(F.col("kind") == _ANSWER).isEmpty():
+        listed = found.filter(F.col("kind").isin(_WAITING, _ANSWER)).groupBy("bucket").applyInArrow(release, _ROW)
+        whole = whole.unionByName(materialize(listed, "released"))
     fetched = lean.mapInArrow(gather, _ROW).unionByName(found.filter(F.col("kind") == _FETCH)).groupBy("bucket").applyInArrow(fetch_phrases, _ROW)
     parts = materialize(fetched.groupBy("bucket").applyInArrow(sort_suffixes, _ROW), "suffixes")
-    last = (docs if keep_rows else lean).mapInArrow(gather, _ROW).unionByName(found.filter(F.col("kind") == _WHOLE)).unionByName(parts).groupBy("bucket")
+    last = (docs if keep_rows else lean).mapInArrow(gather, _ROW).unionByName(whole).unionByName(parts).groupBy("bucket")
     if keep_rows:
         return last.applyInArrow(edited_rows, docs.schema)
     return last.applyInArrow(digest_rows, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
