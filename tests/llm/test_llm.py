@@ -548,3 +548,39 @@ def test_suffix_dedup_of_a_passage_that_most_documents_share(spark):
     for parts in (1, 3):
         got = by_id(suffix_dedup.repeated_passages(df.repartition(parts), bucket_bytes=2000))
         assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
+
+
+def test_attach_spreads_a_key_of_a_third_of_all_rows(spark):
+    left = shared.materialize(spark.range(0, 30_000, 1, 8).selectExpr("IF(id % 3 = 0, 7, IF(id % 5 = 0, NULL, id)) AS k", "id"), "left")
+    right = shared.materialize(spark.range(20_000).selectExpr("id AS k", "id * 2 AS v"), "right")
+    keep = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        most = lambda df: df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+        for how in ("inner", "left"):
+            spread, plain = shared.attach(left, right, "k", how), left.join(right, "k", how)
+            assert Counter(map(tuple, spread.collect())) == Counter(map(tuple, plain.collect()))
+        assert most(shared.attach(left, right, "k")) < 5000 < 10_000 <= most(left.join(right, "k"))
+    finally:
+        for c, v in keep.items():
+            spark.conf.set(c, v)
+
+
+def test_segment_sums():
+    from tidewell.llm.bytescan import segment_sums
+
+    x = np.arange(10, dtype=np.float32)
+    assert segment_sums(x, np.array([0, 0, 3, 3, 10, 10])).tolist() == [0, 3, 0, 42, 0]
+    assert segment_sums(np.stack([x, -x], 1), np.array([0, 4, 10])).tolist() == [[6, -6], [39, -39]]
+    assert segment_sums(x[:0], np.array([0, 0])).tolist() == [0]
+
+
+def test_merged_runs_are_sorted_and_merged_by_key(spark):
+    """The plan of the exact deduplication: sorted runs, folded and merged by sort aggregates in every round."""
+    found = exact_dedup.digests(spark.createDataFrame([(i, f"t{i % 7}") for i in range(50)], "doc_id long, text string"))
+    merged = exact_dedup.merge_runs(found, runs=8)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate(key=[digest") >= 2 * 4 and plan.count("Exchange hashpartitioning(digest") == 4
+    assert "HashAggregate(key=[digest" not in plan.replace("SortAggregate", "")
+    assert {r["keep_id"] for r in merged.collect()} == set(range(43, 50))
