@@ -48,6 +48,10 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+#: Token pairs whose compatibility a task remembers; beyond, the table starts anew.
+PAIRS = 500_000
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file; made once per task."""
 
@@ -119,6 +123,8 @@ class Codec:
             else:
                 # of equal merges the left one comes first, so one of the same rank counts as before
                 until, b = rb + 1, parts[b][0]
+        if len(self.allowed) >= PAIRS:
+            self.allowed.clear()
         self.allowed[left, right] = out
         return out
 
