@@ -35,7 +35,10 @@ def texts():
         for _ in range(random.randint(1, 9)):
             w[random.randrange(len(w))] = random.choice(VOCAB)
         near.append(" ".join(w))
-    out = [None, "", " \t\n ", "x", "Élan. ça va! ñ", base, base, base.upper(), *near, prose(200) + passage + prose(30), passage, prose(10) + passage, "aaaa" * 200, "aaaa" * 200, "ab " * 300, prose(6000), "line one\nline two\nline one\n\nline two", "a # b * c $$ | d"]
+    out = [
+        None, "", " \t\n ", "x", "Élan. ça va! ñ", base, base, base.upper(), *near, prose(200) + passage + prose(30), passage, prose(10) + passage,
+        "aaaa" * 200, "aaaa" * 200, "ab " * 300, prose(6000), "line one\nline two\nline one\n\nline two", "a # b * c $$ | d"
+    ]
     return [(i * 3 + 1, t) for i, t in enumerate(out)]
 
 
@@ -301,7 +304,10 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 def test_html_extraction(spark):
     loose = [f"<body><p>Welcome to our big site with many pages</p><p>{prose(12)}</p><p>{w} alone here</p></body>" for w in ("red", "green", "blue", "grey")]
-    rows = [(1, "http://h.example/a", PAGE), (2, "http://h.example/b", None), (3, None, "plain text"), *((10 + k, "http://www.l.example/x", x) for k, x in enumerate(loose))]
+    rows = [
+        (1, "http://h.example/a", PAGE), (2, "http://h.example/b", None), (3, None, "plain text"),
+        *((10 + k, "http://www.l.example/x", x) for k, x in enumerate(loose))
+    ]
     got = {r["page_id"]: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1]["text"] == "Big & small First bold text. Next Second part" and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] == "" and got[3]["text"] == "plain text"
@@ -329,10 +335,15 @@ def test_html_boilerplate_counts_distinct_pages(spark):
 
 
 def test_language_id(spark):
-    words = {"en": "the and of to ship house water light".split(), "de": "der und das schön haus wasser licht über".split(), "fr": "le et la être maison eau lumière où".split()}
+    words = {
+        "en": "the and of to ship house water light".split(), "de": "der und das schön haus wasser licht über".split(),
+        "fr": "le et la être maison eau lumière où".split()
+    }
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(words[k]) for _ in range(rng.randint(4, 60))), k) for i, k in enumerate(rng.choices(list(words), k=400))]
-    df = spark.createDataFrame([*rows, (9001, None, "en"), (9002, "", "en"), (9003, "123 !?", "en"), (9004, "the house", None)], "doc_id long, text string, lang string")
+    df = spark.createDataFrame(
+        [*rows, (9001, None, "en"), (9002, "", "en"), (9003, "123 !?", "en"), (9004, "the house", None)], "doc_id long, text string, lang string"
+    )
     model = language.fit(df.filter(language.in_training()))
     got = by_id(language.predict(df, model))
     held = {r["doc_id"] for r in df.filter(~language.in_training()).collect()}
@@ -378,7 +389,9 @@ def test_every_operator_is_registered():
 
 @pytest.mark.parametrize("column", ["doc_id", "text"])
 def test_operators_take_all_null_columns(spark, column):
-    df = spark.createDataFrame([(1, "a b c d e f", "en"), (2, "x", "en")], "doc_id long, text string, lang string").withColumn(column, F.lit(None).cast("long" if column == "doc_id" else "string"))
+    df = spark.createDataFrame(
+        [(1, "a b c d e f", "en"), (2, "x", "en")], "doc_id long, text string, lang string"
+    ).withColumn(column, F.lit(None).cast("long" if column == "doc_id" else "string"))
     assert near_dedup.near_dedup(df).count() == 2
     assert suffix_dedup.repeated_passages(df).count() == 2
     assert sharding.shard_by_bytes(df).count() == 2
@@ -446,7 +459,9 @@ def test_odd_rows_near_dedup(spark, odd):
     kept = near_dedup.keep_one_each(df.filter("doc_id IS NOT NULL"))
     assert kept.columns == df.columns
     assert {t for i, t in rows if i == 5} <= {r["text"] for r in kept.collect()}
-    assert near_dedup.near_dedup(spark.createDataFrame([(i, x) for i, x in enumerate(thue_morse(2048))], "doc_id long, text string")).filter("kept").count() == 2
+    assert near_dedup.near_dedup(spark.createDataFrame(
+        [(i, x) for i, x in enumerate(thue_morse(2048))], "doc_id long, text string"
+    )).filter("kept").count() == 2
 
 
 def test_odd_rows_quality(odd):
@@ -513,11 +528,16 @@ def test_odd_rows_tokens(odd):
 def test_odd_rows_pages(spark):
     page = "<article><p>" + "x" * 2000 + "</p></article>"
     rows = [(1, "u", page), (1, "u", page + "<p>other"), (2, "u", page), (3, "u", page + "<p>other"), (None, None, page), (None, "u\r\nv", None), (4, "u", "")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(c) for c in ("id", "n", "digest", "winner", "host", "row", "package")})
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(c) for c in (
+        "id", "n", "digest", "winner", "host", "row", "package"
+    )})
     packages = warc.write_packages(df, shared.scratch_path(spark, "odd"))
     got = Counter((r["id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_records(warc.read_index(packages)).collect())
     n, m = len(page), len(page) + 8
-    assert got == Counter([(1, n, "revisit", 2), (1, m, "revisit", 3), (2, n, "response", None), (3, m, "response", None), (None, n, "revisit", 2), (None, 0, "response", None), (4, 0, "response", None)])
+    assert got == Counter([
+        (1, n, "revisit", 2), (1, m, "revisit", 3), (2, n, "response", None), (3, m, "response", None), (None, n, "revisit", 2),
+        (None, 0, "response", None), (4, 0, "response", None)
+    ])
     assert html_text.main_text(df).count() == len(rows)
 
 

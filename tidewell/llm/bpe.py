@@ -276,7 +276,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return lean.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids).withColumnRenamed("id", id_col)
+    return lean.mapInArrow(
+        run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * with_ids
+    ).withColumnRenamed("id", id_col)
 
 
 def default_tokenizer() -> str:

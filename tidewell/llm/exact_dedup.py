@@ -32,7 +32,10 @@ def normalised(text_col: str) -> Column:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, digest, n_bytes, check) per document; the text goes no further."""
     lean = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
-    return lean.select("id", F.unhex(F.sha2(F.col("norm"), 256)).alias("digest"), F.octet_length("norm").cast("long").alias("n_bytes"), F.xxhash64("norm").alias("check"))
+    return lean.select(
+        "id", F.unhex(F.sha2(F.col("norm"), 256)).alias("digest"), F.octet_length("norm").cast("long").alias("n_bytes"),
+        F.xxhash64("norm").alias("check")
+    )
 
 
 def merge_runs(found: DataFrame, keep: str = "max", runs: int = 16, fanout: int = 2) -> DataFrame:
@@ -43,7 +46,10 @@ def merge_runs(found: DataFrame, keep: str = "max", runs: int = 16, fanout: int
     """
     best = {"max": F.max, "min": F.min}[keep]
     no_id = {"max": F.col("id").isNotNull(), "min": F.col("id").isNull()}[keep]  # null ids come last
-    level = found.select(*KEY, F.struct(no_id.alias("rank"), "id").alias("stays"), F.lit(1).cast("long").alias("group_size"), F.pmod(F.xxhash64("id", "digest"), F.lit(runs)).alias("run"))
+    level = found.select(
+        *KEY, F.struct(no_id.alias("rank"), "id").alias("stays"), F.lit(1).cast("long").alias("group_size"),
+        F.pmod(F.xxhash64("id", "digest"), F.lit(runs)).alias("run")
+    )
     while True:
         level = level.groupBy(*KEY, "run").agg(best("stays").alias("stays"), F.sum("group_size").alias("group_size"))
         if runs == 1:

@@ -156,7 +156,9 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 names[known] = np.array(m.languages, object)[best[known]]
                 score[known] = np.round(p.max(axis=1)[known], 9)
                 accepted = known & (score >= m.accept)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(accepted)], ["id", "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(accepted)], ["id", "lang_pred", "score", "accepted"]
+            )
 
     lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -131,7 +131,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, ro
             yield pa.RecordBatch.from_arrays(made, ["id", "n", "digest", "keys", "odd", "parity"])
 
     lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return lean.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, digest binary, keys array<long>, odd array<long>, parity array<long>")
+    return lean.mapInArrow(
+        run, f"id {docs.schema[id_col].dataType.simpleString()}, n long, digest binary, keys array<long>, odd array<long>, parity array<long>"
+    )
 
 
 def differing(a: Column, b: Column, size: int) -> Column:
@@ -174,7 +176,9 @@ def confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, name:
     for c, hot in [(c, hot_keys(pairs, [c], share=200)) for c in ("b", "a")]:  # small sets of such documents are broadcast
         both = attach(both, named(c), c, fits=F.size(f"set_{c}") <= BROADCAST_SHINGLES, hot=hot)
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.select("a", "b", common.alias("i"), (F.size("set_a") + F.size("set_b") - common).alias("u")).filter(100 * F.col("i") >= BOUND * F.col("u")).select("a", "b").distinct()
+    return both.select(
+        "a", "b", common.alias("i"), (F.size("set_a") + F.size("set_b") - common).alias("u")
+    ).filter(100 * F.col("i") >= BOUND * F.col("u")).select("a", "b").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -216,7 +220,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = components(links, name="more")
     tried = tried.unionByName(again)
 
-    placed = buckets.drop("first", "one", "other").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = buckets.drop("first", "one", "other").join(
+        found.withColumnRenamed("node", "rep"), "rep", "left"
+    ).withColumn("component", F.coalesce("component", "rep"))
     placed = materialize(placed, "placed")
     parts = placed.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("members"))
     mixed = parts.groupBy("band", "key").agg(F.max_by("component", F.struct("members", "component")).alias("major"), F.count(F.lit(1)).alias("parts"))

@@ -200,7 +200,9 @@ def _parts(buf: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     start, end = np.insert(start, cut + 1, inner), np.insert(end, cut, inner)
     offsets = np.concatenate(([0], np.cumsum(end - start)))
     data = low[~IS_SPACE[low]]
-    return pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]), np.searchsorted(start, off)
+    return pa.Array.from_buffers(
+        pa.large_string(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]
+    ), np.searchsorted(start, off)
 
 
 def tokens(buf: np.ndarray, off: np.ndarray, encoder: WordEncoder) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,7 +286,10 @@ def cut_points(offsets: np.ndarray, sentences: np.ndarray, end: int, window: int
     return points, cost
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK, kept_words: int = KEPT_WORDS) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK,
+    kept_words: int = KEPT_WORDS
+) -> DataFrame:
     """Pieces: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +328,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             seq = np.searchsorted(cuts, a, "right")
             first = np.concatenate(([0], cuts))[seq]
             crc = [zlib.crc32(stream[x:y]) for x, y in zip(a.tolist(), b.tolist())]
-            out = [ids.take(pa.array(doc)), pa.array(before[doc] + a - off[doc]), pa.array(b - a), pa.array(crc, pa.int64()), pa.array(whole[doc]), pa.array(sequence + seq), pa.array(a - first)]
+            out = [
+                ids.take(pa.array(doc)), pa.array(before[doc] + a - off[doc]), pa.array(b - a), pa.array(crc, pa.int64()), pa.array(whole[doc]),
+                pa.array(sequence + seq), pa.array(a - first)
+            ]
             yield pa.RecordBatch.from_arrays(out, ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
             sequence += len(cuts)
             if done < len(stream):
@@ -344,7 +352,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return lean.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return lean.mapInArrow(
+        run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    ).withColumnRenamed("id", id_col)
 
 
 def default_tokenizer() -> str:

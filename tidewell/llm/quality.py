@@ -114,13 +114,17 @@ def count_words(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_co
             long = np.diff(first) >= MIN_WORDS
             found = [np.unique(w[first[i] : first[i + 1]]) for i in np.flatnonzero(long)]
             key, n = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([*key.tolist(), None], pa.int64()), pa.array([*n.tolist(), int(long.sum())], pa.int64())], ["key", "docs"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*key.tolist(), None], pa.int64()), pa.array([*n.tolist(), int(long.sum())], pa.int64())], ["key", "docs"]
+            )
 
     texts = _marked(docs, ids, id_col, text_col, "inner").select("text")
     return texts.mapInArrow(count, "key long, docs long").groupBy("key").agg(F.sum("docs").alias("docs"))
 
 
-def count_grams(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, asked: np.ndarray | None = None) -> DataFrame:
+def count_grams(
+    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, asked: np.ndarray | None = None
+) -> DataFrame:
     """Rows (bucket, raw, target): n-gram counts over all documents and over the target.
 
     Buckets from ``buckets`` on count the target's documents (of MIN_WORDS words) that hold
@@ -172,7 +176,9 @@ def _candidates(docs: DataFrame, toxic_ids: DataFrame, id_col: str, text_col: st
     return np.array([r["key"] for r in rows], np.int64), np.array([r["docs"] for r in rows], float), bad
 
 
-def fit(docs: DataFrame, target_ids: DataFrame, toxic_ids: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> Model:
+def fit(
+    docs: DataFrame, target_ids: DataFrame, toxic_ids: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS
+) -> Model:
     """N-gram ratios, smoothed in proportion to the raw counts and to the target's size, and the listed words."""
     keys, b, bad = np.zeros(0, np.int64), np.zeros(0), 0
     if toxic_ids is not None:
@@ -306,7 +312,10 @@ def toxic_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.filter((F.col("toxic") == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
 
 
-def keep_good(docs: DataFrame, target_ids: DataFrame, toxic: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(
+    docs: DataFrame, target_ids: DataFrame, toxic: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
+    threshold: float = THRESHOLD
+) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; one pass, no join."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, target_ids, toxic, id_col, text_col))
 

@@ -137,7 +137,10 @@ def shard_by_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     lean = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    made = lean.select("id", (F.octet_length("text") + F.lit(1)).cast("long").alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"))
+    made = lean.select(
+        "id", (F.octet_length("text") + F.lit(1)).cast("long").alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"),
+        F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest")
+    )
     made = materialize(made, "sized")
     groups = materialize(made.groupBy("digest").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("copies")), "groups")
     total = groups.agg(F.sum("size")).first()[0]

@@ -84,7 +84,10 @@ def without_rows(docs: DataFrame, dropped: DataFrame, id_col: str, check: Column
     return docs.alias("kept_from").join(dropped.alias("gone"), gone, "left_anti")
 
 
-def attach(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", share: int = 20_000, least: int = 1000, fits: Column | None = None, hot: DataFrame | None = None) -> DataFrame:
+def attach(
+    left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", share: int = 20_000, least: int = 1000, fits: Column | None = None,
+    hot: DataFrame | None = None
+) -> DataFrame:
     """Join ``left`` with the rows of ``right``, whose keys are unique, whatever the skew of the keys in ``left``.
 
     Keys that hold more than ``1 / share`` of the rows of ``left`` (and more than

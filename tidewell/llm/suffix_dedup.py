@@ -157,7 +157,9 @@ def _deal(to: np.ndarray, kind: int, make) -> Iterator[pa.RecordBatch]:
     cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
     for a, b in zip(cuts, [*cuts[1:], len(order)]):
         pick = order[a:b]
-        yield pa.RecordBatch.from_arrays([pa.array([int(to[pick[0]])], pa.int32()), pa.array([kind], pa.int32()), pa.array([make(pick)], pa.binary())], ["bucket", "kind", "blob"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([int(to[pick[0]])], pa.int32()), pa.array([kind], pa.int32()), pa.array([make(pick)], pa.binary())], ["bucket", "kind", "blob"]
+        )
 
 
 _ROW = "bucket int, kind int, blob binary"
@@ -208,7 +210,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 number = np.int64(next(lists))
                 home = _home(np.array([number]), buckets)[0]
                 listed = _dump(number=np.full(len(every), number), phrase=phrase[every], doc=doc[every])
-                yield pa.RecordBatch.from_arrays([pa.array([int(home)], pa.int32()), pa.array([_WAITING], pa.int32()), pa.array([listed], pa.binary())], ["bucket", "kind", "blob"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(home)], pa.int32()), pa.array([_WAITING], pa.int32()), pa.array([listed], pa.binary())], ["bucket", "kind", "blob"]
+                )
                 asked = lambda pick: _dump(number=np.full(len(pick), number), trigger=(trigger[least[pick]]).astype(np.uint32), phrase=phrase[least[pick]], doc=doc[least[pick]])
                 yield from _deal(bucket_of(trigger[least]), _ASKED, asked)
             return keep
@@ -228,7 +232,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 step = np.diff(d, prepend=d[:1])
                 kind = np.min_scalar_type(int(np.abs(step).max())) if d.max() < 1 << 62 else np.dtype(np.int64)
                 step = step.astype({1: np.int16, 2: np.int32}.get(kind.itemsize, np.int64))
-                return np.array([len(pick), d[0], step.itemsize], np.int64).tobytes() + trigger[pick].astype(np.uint32).tobytes() + phrase[pick].tobytes() + step.tobytes()
+                return np.array(
+                    [len(pick), d[0], step.itemsize], np.int64
+                ).tobytes() + trigger[pick].astype(np.uint32).tobytes() + phrase[pick].tobytes() + step.tobytes()
 
             yield from _deal(bucket_of(trigger), _RECORDS, blob)
 
@@ -350,7 +356,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         def blob(pick: np.ndarray) -> bytes:
             cuts = np.concatenate(([0], np.cumsum(size[pick]))).astype(np.int32)
             own = text[ragged(begin[pick], size[pick])].tobytes()
-            return _dump(doc=doc[pick], phrase=phrase[pick], text=pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(own)]))
+            return _dump(
+                doc=doc[pick], phrase=phrase[pick],
+                text=pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(own)])
+            )
 
         return _rows(_deal((trigger >> U64(32)).astype(np.int64) % buckets, 0, blob))
 
@@ -431,7 +440,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             head[1:] &= ~gone[:-1] | edge[1:-1]
             removed, spans = (np.concatenate(([0], np.cumsum(x))) for x in (gone, head))
             sha = [hashlib.sha256((buf[a:b][~gone[a:b]] if removed[b] > removed[a] else buf[a:b]).tobytes()).hexdigest() for a, b in zip(off[:-1], off[1:])]
-            out.append(pa.Table.from_arrays([rows.column(id_col), pa.array(np.diff(off)), pa.array(removed[off[1:]] - removed[off[:-1]]), pa.array(spans[off[1:]] - spans[off[:-1]]), pa.array(sha)], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]))
+            out.append(pa.Table.from_arrays([
+                rows.column(id_col), pa.array(np.diff(off)), pa.array(removed[off[1:]] - removed[off[:-1]]),
+                pa.array(spans[off[1:]] - spans[off[:-1]]), pa.array(sha)
+            ], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]))
         return pa.concat_tables(out) if out else digest_schema.empty_table()
 
     def edited_rows(t: pa.Table) -> pa.Table:
@@ -453,7 +465,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
     row_schema = to_arrow_schema(docs.schema)
-    digest_schema = pa.schema([(id_col, to_arrow_type(docs.schema[id_col].dataType)), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    digest_schema = pa.schema([
+        (id_col, to_arrow_type(docs.schema[id_col].dataType)), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
+        ("kept_sha256", pa.string())
+    ])
     lean = docs.select(id_col, text_col)
     found = lean.mapInArrow(phrases, _ROW).groupBy("bucket").applyInArrow(sort_phrases, _ROW)
     found = materialize(found, "phrases")
@@ -466,7 +481,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     last = (docs if keep_rows else lean).mapInArrow(gather, _ROW).unionByName(whole).unionByName(parts).groupBy("bucket")
     if keep_rows:
         return last.applyInArrow(edited_rows, docs.schema)
-    return last.applyInArrow(digest_rows, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return last.applyInArrow(
+        digest_rows, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    )
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,7 +124,10 @@ def record_bytes(kind: str, record_id: str, url: str, payload: bytes, digest: st
     """One WARC record; a revisit keeps the HTTP header (with the payload's length) only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Target-URI: {_plain_uri(url)}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}"]
+    head = [
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Target-URI: {_plain_uri(url)}", "WARC-Date: 2024-01-01T00:00:00Z",
+        f"WARC-Payload-Digest: sha1:{digest}"
+    ]
     if refers_to is not None:
         head += [f"WARC-Refers-To: <{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
@@ -151,7 +154,9 @@ def plan_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     return rows.withColumn("refers_to", F.when(~F.col(id_col).eqNullSafe(F.col("winner")), F.col("winner")))
 
 
-def write_packages(pages: DataFrame, out_uri: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", force64: bool = False) -> DataFrame:
+def write_packages(
+    pages: DataFrame, out_uri: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", force64: bool = False
+) -> DataFrame:
     """Write all rows as WARC records; returns the list of packages (package, records)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +274,11 @@ def read_index(packages: DataFrame) -> DataFrame:
                         left = min(left + READ_BYTES, at + size)
                         lines, _, rest = block.rpartition(b"\n")
                         rows = [json.loads(x) for x in lines.splitlines()]
-                        yield pa.RecordBatch.from_pydict({"package": [uri] * len(rows), "id": pa.array([r["id"] for r in rows], pa.int64()), "type": [r["type"] for r in rows], "refers_to": pa.array([r["refers_to"] for r in rows], pa.int64()), "start": [base + r["offset"] for r in rows], "length": [r["length"] for r in rows]})
+                        yield pa.RecordBatch.from_pydict({
+                            "package": [uri] * len(rows), "id": pa.array([r["id"] for r in rows], pa.int64()), "type": [r["type"] for r in rows],
+                            "refers_to": pa.array([r["refers_to"] for r in rows], pa.int64()), "start": [base + r["offset"] for r in rows],
+                            "length": [r["length"] for r in rows]
+                        })
 
     return packages.select("package").repartition("package").mapInArrow(run, "package string, id long, type string, refers_to long, start long, length long")
 
@@ -308,19 +317,29 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
                     kind = warc["WARC-Type"]
                     if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"{opened}: digest of {warc['WARC-Record-ID']} differs")
-                    row = [warc["WARC-Record-ID"][1:-1], warc["WARC-Target-URI"], int(http["Content-Length"]), digest, kind, warc.get("WARC-Refers-To", "<>")[1:-1]]
+                    row = [
+                        warc["WARC-Record-ID"][1:-1], warc["WARC-Target-URI"], int(http["Content-Length"]), digest, kind,
+                        warc.get("WARC-Refers-To", "<>")[1:-1]
+                    ]
                     out.append([*row, payload.decode() if kind == "response" and with_payload else None])
                 ids, urls, sizes, digests, kinds, refers, payloads = zip(*out)
                 number = lambda x: None if x in ("", "urn:row:None") else int(x.rpartition(":")[2])
-                columns = [pa.array(map(number, ids), pa.int64()), pa.array(urls), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(kinds), pa.array(map(number, refers), pa.int64())]
+                columns = [
+                    pa.array(map(number, ids), pa.int64()), pa.array(urls), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(kinds),
+                    pa.array(map(number, refers), pa.int64())
+                ]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(payloads, pa.string())] * with_payload)], names)
 
     # what a task reads is weighed by record bytes, not by the size of the index
     total = index.agg(F.sum("length")).first()[0] or 0
     stretch = min(TASK_BYTES, max(1 << 20, total // (4 * index.sparkSession.sparkContext.defaultParallelism)))
     names = ["id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] * with_payload)]
-    placed = index.select("package", "start", "length").repartition(-(-total // stretch) or 1, "package", F.floor(F.col("start") / F.lit(stretch))).sortWithinPartitions("package", "start")
-    return placed.mapInArrow(run, "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload string" * with_payload)
+    placed = index.select("package", "start", "length").repartition(
+        -(-total // stretch) or 1, "package", F.floor(F.col("start") / F.lit(stretch))
+    ).sortWithinPartitions("package", "start")
+    return placed.mapInArrow(
+        run, "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload string" * with_payload
+    )
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
