@@ -68,7 +68,10 @@ def test_steps_match_pandas(spark, frame):
 
 def test_pipeline_logs_and_goes_on(spark, frame):
     df = spark.createDataFrame(frame[["k"]])
-    out, log = steps.run_pipeline(df, [{"type": "drop_columns", "columns": ["zzz"]}, {"type": "nothing"}, {"type": "rename_column", "column": "no", "new_name": "k2"}, {"type": "create_column", "new_name": "d", "expression": "k * 2"}])
+    out, log = steps.run_pipeline(df, [
+        {"type": "drop_columns", "columns": ["zzz"]}, {"type": "nothing"}, {"type": "rename_column", "column": "no", "new_name": "k2"},
+        {"type": "create_column", "new_name": "d", "expression": "k * 2"}
+    ])
     assert out.columns == ["k", "d"] and len(log) == 2
     assert steps.check_steps([{"type": "clip", "colum": "x"}])
 
@@ -94,7 +97,9 @@ def test_asof_join_matches_pandas(spark):
     right = pd.DataFrame({"k": rng.integers(0, 3, 30), "t": np.sort(rng.permutation(1000)[:30]), "v": rng.normal(size=30)})
     want = pd.merge_asof(left, right, on="t", by="k")
     got = joins.asof_join(spark.createDataFrame(left), spark.createDataFrame(right), "t", ["k"], ["v"])
-    assert sorted((r.k, r.t, r.v or 0) for r in got.collect()) == sorted((k, t, 0 if math.isnan(v) else v) for k, t, v in want[["k", "t", "v"]].itertuples(index=False))
+    assert sorted((r.k, r.t, r.v or 0) for r in got.collect()) == sorted(
+        (k, t, 0 if math.isnan(v) else v) for k, t, v in want[["k", "t", "v"]].itertuples(index=False)
+    )
 
 
 # --- statistics -----------------------------------------------------------------------------
@@ -145,7 +150,10 @@ def test_series_tests(spark):
     rng = np.random.default_rng(7)
     noise, walk = rng.normal(size=400), np.cumsum(rng.normal(size=400))
     shift = np.concatenate((rng.normal(size=150), rng.normal(5, 1, 150)))
-    rows = [(k, i, float(v)) for k, x in (("noise", noise), ("walk", walk), ("shift", shift), ("sine", np.sin(np.arange(400) * 2 * np.pi / 20))) for i, v in enumerate(x)]
+    rows = [
+        (k, i, float(v)) for k, x in (("noise", noise), ("walk", walk), ("shift", shift), ("sine", np.sin(np.arange(400) * 2 * np.pi / 20))) for i,
+        v in enumerate(x)
+    ]
     s = spark.createDataFrame(rows, "k string, pos long, value double").withColumn("ts", F.expr("date_add(date'2024-01-01', cast(pos as int))"))
     adf = dict(pairs(series.adf(s, ["k"]), "k", "p"))
     assert adf["noise"] < 0.01 and adf["walk"] > 0.05
@@ -238,7 +246,9 @@ def test_json_is_flattened(spark, tmp_path):
 
 def test_jdbc_with_the_embedded_database(spark, tmp_path):
     url = f"jdbc:derby:memory:t{abs(hash(str(tmp_path)))};create=true"
-    spark.range(10).selectExpr("id", "id * 2 AS twice").write.format("jdbc").option("url", url).option("dbtable", "numbers").option("driver", io.SOURCES["derby"][1]["driver"]).save()
+    spark.range(10).selectExpr("id", "id * 2 AS twice").write.format("jdbc").option("url", url).option("dbtable", "numbers").option(
+        "driver", io.SOURCES["derby"][1]["driver"]
+    ).save()
     opts = {"driver": io.SOURCES["derby"][1]["driver"]}
     assert io.read_jdbc(spark, url, "numbers", partition=("id", 0, 10, 2), **opts).count() == 10
     assert io.read_jdbc(spark, url, query='SELECT "twice" FROM numbers WHERE "id" > 7;', limit=1, **opts).count() == 1
@@ -301,7 +311,9 @@ def test_exact_quantiles_equal_percentile(spark):
     """Beyond the size from which brackets are narrow, with repeated values, nulls and two groups."""
     from tidewell.operators.ranks import exact_quantiles
 
-    df = spark.range(60_000).selectExpr("id % 2 AS g", "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 3 = 0 THEN 5.0 ELSE CAST(pmod(hash(id), 100003) AS DOUBLE) END AS x")
+    df = spark.range(60_000).selectExpr(
+        "id % 2 AS g", "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 3 = 0 THEN 5.0 ELSE CAST(pmod(hash(id), 100003) AS DOUBLE) END AS x"
+    )
     points = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
     got = {r["g"]: r["q"] for r in exact_quantiles(df, ["g"], F.col("x"), points).collect()}
     want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, points))).alias("q")).collect()}
@@ -375,7 +387,9 @@ class _Linear:
 def test_shapley_and_interactions_on_few_and_repeated_rows(spark):
     from pyspark.ml.functions import array_to_vector
 
-    rows = spark.createDataFrame([(1.0, 2.0), (0.0, 1.0), (4.0, -1.0)], "a double, b double").select(array_to_vector(F.array("a", "b")).alias("features"), F.lit(0.0).alias("label"))
+    rows = spark.createDataFrame([(1.0, 2.0), (0.0, 1.0), (4.0, -1.0)], "a double, b double").select(
+        array_to_vector(F.array("a", "b")).alias("features"), F.lit(0.0).alias("label")
+    )
     names = ["a", "b"]
     one = importance.shapley(_Linear, rows, names, permutations=40).collect()
     assert len(one) == 6 and {r["n"] for r in one} == {1}
@@ -387,7 +401,10 @@ def test_shapley_and_interactions_on_few_and_repeated_rows(spark):
 
 
 def test_full_analysis_bundles(spark):
-    df = spark.range(400).selectExpr("id", "CAST(pmod(hash(id), 97) AS DOUBLE) AS x", "CAST(id * 2 AS DOUBLE) AS y", "IF(id % 2 = 0, 'a', 'b') AS g", "timestamp_seconds(id * 86400) AS ts")
+    df = spark.range(400).selectExpr(
+        "id", "CAST(pmod(hash(id), 97) AS DOUBLE) AS x", "CAST(id * 2 AS DOUBLE) AS y", "IF(id % 2 = 0, 'a', 'b') AS g",
+        "timestamp_seconds(id * 86400) AS ts"
+    )
     found = charts.full_analysis(df)
     assert {"missing", "quality", "correlation", "scatter", "outliers", "normality", "grouped_box"} <= set(found)
     r = {(x["column_a"], x["column_b"]): x["r"] for x in found["correlation"].collect()}

@@ -53,6 +53,5 @@ def test_oracle(spark, duck, name):
 @pytest.mark.skipif(not DATA.exists(), reason="test tables are not here")
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracles())))
 def test_rows_only(spark, name):
-    df = catalog.queries()[name](spark, str(DATA))
-    assert df.columns
-    df.limit(1000).collect()
+    rows = catalog.queries()[name](spark, str(DATA)).collect()
+    assert rows and any(v is not None for v in rows[0])

@@ -15,7 +15,9 @@ from conftest import DATA
 
 @pytest.mark.skipif(not DATA.exists(), reason="test tables are not here")
 def test_series_without_a_twin_take_all_orders(spark):
-    want = {(r.k, r.ts): r.value for r in t(spark, str(DATA), "orders").groupBy(F.col("o_orderstatus").alias("k"), F.to_date("o_orderdate").alias("ts")).agg(F.sum("o_totalprice").alias("value")).collect()}
+    want = {(r.k, r.ts): r.value for r in t(spark, str(DATA), "orders").groupBy(
+        F.col("o_orderstatus").alias("k"), F.to_date("o_orderdate").alias("ts")
+    ).agg(F.sum("o_totalprice").alias("value")).collect()}
     got = catalog.queries()["l19_stl"](spark, str(DATA)).groupBy("k").agg(F.count("*").alias("n"), F.sum("value").alias("value")).collect()
     assert {r.k: r.n for r in got} == {k: sum(x == k for x, _ in want) for k, _ in want}
     assert sum(r.value for r in got) == pytest.approx(float(sum(want.values())), abs=0.01 * len(want))
@@ -88,7 +90,9 @@ def test_shifts_spectrum_and_stl_see_every_day(spark):
     wave = np.sin(2 * np.pi * np.arange(6000) / 7)
     parts = series.stl(long_series(spark, wave), ["k"], 7).orderBy("pos").toPandas()
     assert list(parts.pos) == list(range(6000)) and np.corrcoef(parts.seasonal, wave)[0, 1] > 0.99
-    assert series.spectrum(long_series(spark, np.sin(2 * np.pi * np.arange(70_000) / 7)), ["k"]).filter("rank = 1").first()["period"] == pytest.approx(7, rel=1e-3)
+    assert series.spectrum(
+        long_series(spark, np.sin(2 * np.pi * np.arange(70_000) / 7)), ["k"]
+    ).filter("rank = 1").first()["period"] == pytest.approx(7, rel=1e-3)
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="test tables are not here")

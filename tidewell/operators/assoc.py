@@ -22,7 +22,9 @@ def column_roles(df: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
     """Rows (column_name, role, distinct_n): numeric, categorical, datetime, or empty when all null."""
     from tidewell.operators.profile import distinct_counts
 
-    roles = F.create_map(*(F.lit(x) for f in df.schema.fields for x in (f.name, "numeric" if is_numeric(df, f.name) else "datetime" if isinstance(f.dataType, TEMPORAL) else "categorical")))
+    roles = F.create_map(*(F.lit(x) for f in df.schema.fields for x in (
+        f.name, "numeric" if is_numeric(df, f.name) else "datetime" if isinstance(f.dataType, TEMPORAL) else "categorical"
+    )))
     out = distinct if distinct is not None else distinct_counts(df)
     return out.select("column_name", F.when(F.col("distinct_n") == 0, "empty").otherwise(roles[F.col("column_name")]).alias("role"), "distinct_n")
 
@@ -99,8 +101,12 @@ def kendall(df: DataFrame, a: str, b: str, cell_rows: int = 100_000) -> DataFram
 
     # same bucket of x; different bucket of x, same bucket of y; the grid itself (different buckets of both)
     by_x = placed.select(F.lit(0).alias("kind"), F.col("bx").alias("bucket"), F.col("x").alias("u"), F.col("y").alias("v"), "n")
-    by_y = placed.groupBy("by", "bx", "y").agg(F.sum("n").alias("n")).select(F.lit(1).alias("kind"), F.col("by").alias("bucket"), F.col("bx").cast("double").alias("u"), F.col("y").alias("v"), "n")
-    grid = placed.groupBy("bx", "by").agg(F.sum("n").alias("n")).select(F.lit(2).alias("kind"), F.lit(0).alias("bucket"), F.col("bx").cast("double").alias("u"), F.col("by").cast("double").alias("v"), "n")
+    by_y = placed.groupBy("by", "bx", "y").agg(F.sum("n").alias("n")).select(
+        F.lit(1).alias("kind"), F.col("by").alias("bucket"), F.col("bx").cast("double").alias("u"), F.col("y").alias("v"), "n"
+    )
+    grid = placed.groupBy("bx", "by").agg(F.sum("n").alias("n")).select(
+        F.lit(2).alias("kind"), F.lit(0).alias("bucket"), F.col("bx").cast("double").alias("u"), F.col("by").cast("double").alias("v"), "n"
+    )
     s = by_x.unionByName(by_y).unionByName(grid).groupBy("kind", "bucket").applyInPandas(within, "s double").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
 
     def ties(c: str) -> DataFrame:
@@ -112,7 +118,9 @@ def kendall(df: DataFrame, a: str, b: str, cell_rows: int = 100_000) -> DataFram
     one = s.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(ties("x"))).crossJoin(F.broadcast(ties("y")))
     m = F.expr("n * (n - 1)")
     tau = F.try_divide(F.col("s"), F.sqrt((m / 2 - F.col("Tx")) * (m / 2 - F.col("Ty"))))
-    var = F.expr("(n * (n - 1) * (2 * n + 5) - Vx - Vy) / 18") + F.try_divide(F.expr("2 * Tx * Ty"), m) + F.try_divide(F.expr("Cx * Cy"), F.expr("9 * n * (n - 1) * (n - 2)"))
+    var = F.expr("(n * (n - 1) * (2 * n + 5) - Vx - Vy) / 18") + F.try_divide(F.expr("2 * Tx * Ty"), m) + F.try_divide(
+        F.expr("Cx * Cy"), F.expr("9 * n * (n - 1) * (n - 2)")
+    )
     return one.select(tau.alias("tau"), F.try_divide(F.col("s"), F.sqrt(var)).alias("z"), F.col("n").cast("long").alias("n"))
 
 
@@ -151,7 +159,10 @@ def vif(df: DataFrame, columns: list[str] | None = None, most: int = 15) -> Data
 
 def contingency(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Rows (column_a, column_b, a, b, o) of all pairs: one unpivot, one group."""
-    items = F.array(*(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), name(a).cast("string").alias("a"), name(b).cast("string").alias("b")) for a, b in pairs))
+    items = F.array(*(
+        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), name(a).cast("string").alias("a"), name(b).cast("string").alias("b")) for a,
+        b in pairs
+    ))
     return df.select(F.explode(items).alias("x")).select("x.*").filter("a IS NOT NULL AND b IS NOT NULL").groupBy("column_a", "column_b", "a", "b").agg(F.count(F.lit(1)).alias("o"))
 
 
@@ -192,7 +203,9 @@ def chi2_test(df: DataFrame, a: str, b: str) -> DataFrame:
     size = rows.agg(F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(cols.agg(F.count(F.lit(1)).alias("l")))).crossJoin(F.broadcast(n))
     # empty cells add up to what the others leave: chi2 = n (sum of o^2 / (row total x column total) - 1)
     one = cells.join(rows, "a").join(cols, "b").agg(F.sum(F.col("o") * F.col("o") / (F.col("ra").cast("double") * F.col("cb"))).alias("q"))
-    out = size.crossJoin(F.broadcast(one)).withColumn("dof", (F.col("k") - 1) * (F.col("l") - 1)).withColumn("plain", F.greatest(F.col("n") * (F.col("q") - 1), F.lit(0.0)))
+    out = size.crossJoin(F.broadcast(one)).withColumn("dof", (F.col("k") - 1) * (F.col("l") - 1)).withColumn(
+        "plain", F.greatest(F.col("n") * (F.col("q") - 1), F.lit(0.0))
+    )
     # Yates: in a 2 x 2 table every cell deviates by the same d: plain = d^2 * sum of 1 / e
     four = rows.select("ra").agg(F.sum(1 / F.col("ra").cast("double")).alias("ia")).crossJoin(F.broadcast(cols.agg(F.sum(1 / F.col("cb").cast("double")).alias("ib"))))
     out = out.crossJoin(F.broadcast(four)).withColumn("inverse", F.col("n") * F.col("ia") * F.col("ib"))
@@ -213,7 +226,10 @@ def groups_of(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """
     numbers = list(dict.fromkeys(a for a, _ in pairs))
     means = df.agg(*(F.avg(name(c).cast("double")).alias(f"__m{i}") for i, c in enumerate(numbers)))
-    items = F.array(*(F.struct(F.lit(a).alias("numeric"), F.lit(b).alias("category"), (name(a).cast("double") - F.col(f"__m{numbers.index(a)}")).alias("x"), name(b).cast("string").alias("level")) for a, b in pairs))
+    items = F.array(*(F.struct(
+        F.lit(a).alias("numeric"), F.lit(b).alias("category"), (name(a).cast("double") - F.col(f"__m{numbers.index(a)}")).alias("x"),
+        name(b).cast("string").alias("level")
+    ) for a, b in pairs))
     x = F.col("x")
     long = df.crossJoin(F.broadcast(means)).select(F.explode(items).alias("i")).select("i.*").filter("x IS NOT NULL AND level IS NOT NULL")
     return long.groupBy("numeric", "category", "level").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("ss"))
@@ -224,7 +240,10 @@ def mixed_matrix(df: DataFrame, numeric: list[str], categorical: list[str], leas
     g = groups_of(df, [(a, b) for a in numeric for b in categorical])
     key = ["numeric", "category"]
     total = g.groupBy(*key).agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.sum("ss").alias("all_ss"))
-    kept = g.filter(F.col("n") >= least).groupBy(*key).agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
+    kept = g.filter(F.col("n") >= least).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
+        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b")
+    )
     m = kept.join(F.broadcast(total), key).filter("groups > 1")
     all_mean = F.expr("all_s / all_n")
     ssb_all = F.expr("b") - 2 * all_mean * F.col("s") + F.col("n") * all_mean * all_mean
@@ -248,7 +267,10 @@ def rank_biserial(df: DataFrame, numeric: str, category: str, least: int = 3) ->
     """One row (level_1, level_2, u, r): r = 1 - 2U / (n1 n2) for the two sorted levels."""
     rows = df.select(name(numeric).cast("double").alias("x"), name(category).cast("string").alias("c")).dropna()
     g = with_rank(rows, "x", "rank").groupBy("c").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("rank").alias("s"))
-    two = g.agg(F.min("c").alias("level_1"), F.max("c").alias("level_2"), F.count(F.lit(1)).alias("k"), F.min_by("n", "c").alias("n1"), F.max_by("n", "c").alias("n2"), F.min_by("s", "c").alias("s1"))
+    two = g.agg(
+        F.min("c").alias("level_1"), F.max("c").alias("level_2"), F.count(F.lit(1)).alias("k"), F.min_by("n", "c").alias("n1"),
+        F.max_by("n", "c").alias("n2"), F.min_by("s", "c").alias("s1")
+    )
     two = two.filter((F.col("k") == 2) & (F.least("n1", "n2") >= least)).withColumn("u", F.expr("s1 - n1 * (n1 + 1) / 2"))
     return two.select("level_1", "level_2", "u", (1 - 2 * F.col("u") / (F.col("n1") * F.col("n2"))).alias("r"))
 
@@ -267,20 +289,34 @@ def rules(df: DataFrame, *found: Column) -> DataFrame:
     return df.select(F.explode(F.array_compact(F.array(*found))).alias("x")).select("x.*")
 
 
-def insights(numeric: DataFrame | None = None, inflation: DataFrame | None = None, categorical: DataFrame | None = None, mixed: DataFrame | None = None) -> DataFrame:
+def insights(
+    numeric: DataFrame | None = None, inflation: DataFrame | None = None, categorical: DataFrame | None = None, mixed: DataFrame | None = None
+) -> DataFrame:
     """Insight rows from the tables given; numeric pairs count only when significant."""
     out = []
     if numeric is not None:
         sure = F.coalesce(F.col("p") < 0.05, F.lit(True)) if "p" in numeric.columns else F.lit(True)
         text = F.format_string("%s and %s: r = %.2f", "column_a", "column_b", "r")
-        out.append(rules(numeric, insight("correlation", sure & (F.abs("r") >= 0.9), text, "critical"), insight("correlation", sure & (F.abs("r") >= 0.7) & (F.abs("r") < 0.9), text, "warning")))
+        out.append(rules(
+            numeric, insight("correlation", sure & (F.abs("r") >= 0.9), text, "critical"),
+            insight("correlation", sure & (F.abs("r") >= 0.7) & (F.abs("r") < 0.9), text, "warning")
+        ))
     if inflation is not None:
         text = F.format_string("%s: variance inflation %.1f", "column_name", "vif")
-        out.append(rules(inflation, insight("multicollinearity", F.col("vif") > 10, text, "critical"), insight("multicollinearity", (F.col("vif") > 5) & (F.col("vif") <= 10), text, "warning")))
+        out.append(rules(
+            inflation, insight("multicollinearity", F.col("vif") > 10, text, "critical"),
+            insight("multicollinearity", (F.col("vif") > 5) & (F.col("vif") <= 10), text, "warning")
+        ))
     if categorical is not None:
-        out.append(rules(categorical, insight("association", F.col("cramers_v") >= 0.7, F.format_string("%s and %s: V = %.2f", "column_a", "column_b", "cramers_v"), "warning")))
+        out.append(rules(
+            categorical,
+            insight("association", F.col("cramers_v") >= 0.7, F.format_string("%s and %s: V = %.2f", "column_a", "column_b", "cramers_v"), "warning")
+        ))
     if mixed is not None:
-        out.append(rules(mixed, insight("group_effect", (F.col("eta2") >= 0.14) & (F.col("p") < 0.05), F.format_string("%s by %s: eta squared = %.2f", "numeric", "category", "eta2"), "info")))
+        out.append(rules(mixed, insight(
+            "group_effect", (F.col("eta2") >= 0.14) & (F.col("p") < 0.05),
+            F.format_string("%s by %s: eta squared = %.2f", "numeric", "category", "eta2"), "info"
+        )))
     first, *rest = out
     for r in rest:
         first = first.unionByName(r)
@@ -291,5 +327,8 @@ def correlations(df: DataFrame, methods: tuple[str, ...] = ("numeric", "categori
     """Only the groups of results that are asked for, lazily."""
     numeric = numeric_columns(df)
     categorical = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BooleanType))]
-    make = {"numeric": lambda: correlation_p(pearson(df, numeric)), "categorical": lambda: categorical_matrix(df, categorical), "mixed": lambda: mixed_matrix(df, numeric, categorical)}
+    make = {
+        "numeric": lambda: correlation_p(pearson(df, numeric)), "categorical": lambda: categorical_matrix(df, categorical),
+        "mixed": lambda: mixed_matrix(df, numeric, categorical)
+    }
     return {m: make[m]() for m in methods}

@@ -34,7 +34,10 @@ def column_analysis(df: DataFrame, column: str) -> dict[str, DataFrame]:
     """The charts of one column, by its kind."""
     kind = df.schema[column].dataType.simpleString()
     if column in numeric_columns(df):
-        return {"histogram": histogram(df, column), "density": density(df, column), "box": boxes(df, column), "qq": qq_plot(df, column), "ecdf": ecdf(df, column)}
+        return {
+            "histogram": histogram(df, column), "density": density(df, column), "box": boxes(df, column), "qq": qq_plot(df, column),
+            "ecdf": ecdf(df, column)
+        }
     if kind in ("date", "timestamp", "timestamp_ntz"):
         return {"over_time": counts_over_time(df, column), "seasonality": seasonality(df, column)}
     return {"bars": bars(df, column), "others": others(df, column), "pie": pie(df, column)}
@@ -50,14 +53,20 @@ def histogram(df: DataFrame, column: str, bins: int | None = None, rule=SQRT) ->
     counted = df.select(c.alias("x")).filter("x IS NOT NULL").crossJoin(F.broadcast(s)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     grid = s.select(F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("bin"), "lo", "w")
     out = grid.join(F.broadcast(counted), "bin", "left")
-    return out.select("bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("lo"), (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("hi"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return out.select(
+        "bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("lo"), (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("hi"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n")
+    )
 
 
 def density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     """Rows (i, x, density): Gaussian kernel, Scott's bandwidth, equal values counted once."""
     c = name(column).cast("double")
     s = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count(c).alias("total"), F.stddev_samp(c).alias("s")).filter("total > 1 AND s > 0")
-    grid = s.select(F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"), "lo", "hi", "total", (F.col("s") * F.pow(F.col("total").cast("double"), F.lit(-0.2))).alias("h"))
+    grid = s.select(
+        F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"), "lo", "hi", "total",
+        (F.col("s") * F.pow(F.col("total").cast("double"), F.lit(-0.2))).alias("h")
+    )
     grid = grid.withColumn("x", F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / (points - 1))
     counts = df.select(c.alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     u = (F.col("x") - F.col("v")) / F.col("h")
@@ -76,7 +85,9 @@ def boxes(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     joined = rows.join(F.broadcast(q.select(*by, "q1", "q3")), by) if by else rows.crossJoin(F.broadcast(q.select("q1", "q3")))
     fence = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("x") >= F.col("q1") - fence) & (F.col("x") <= F.col("q3") + fence)
-    w = joined.groupBy(*by).agg(F.min(F.when(inside, F.col("x"))).alias("low"), F.max(F.when(inside, F.col("x"))).alias("high"), F.count_if(~inside).alias("outliers"))
+    w = joined.groupBy(*by).agg(
+        F.min(F.when(inside, F.col("x"))).alias("low"), F.max(F.when(inside, F.col("x"))).alias("high"), F.count_if(~inside).alias("outliers")
+    )
     return q.join(F.broadcast(w), by) if by else q.crossJoin(F.broadcast(w))
 
 
@@ -92,14 +103,19 @@ def qq_plot(df: DataFrame, column: str) -> DataFrame:
     total = counts.agg(F.sum("n").alias("total"))
     r = running_before(counts, "value", ["n"]).crossJoin(F.broadcast(total))
     i = F.col("before_n") + (F.col("n") + 1) / 2
-    p = F.when(F.col("total") == 1, F.lit(0.5)).when(i >= F.col("total"), F.pow(F.lit(0.5), 1 / F.col("total"))).when(i <= 1, 1 - F.pow(F.lit(0.5), 1 / F.col("total"))).otherwise((i - 0.3175) / (F.col("total") + 0.365))
+    p = F.when(F.col("total") == 1, F.lit(0.5)).when(
+        i >= F.col("total"), F.pow(F.lit(0.5), 1 / F.col("total"))
+    ).when(i <= 1, 1 - F.pow(F.lit(0.5), 1 / F.col("total"))).otherwise((i - 0.3175) / (F.col("total") + 0.365))
     return r.select("value", "n", p.alias("position")).withColumn("quantile", z_of(F.col("position")))
 
 
 def qq_line(points: DataFrame) -> DataFrame:
     """One row (slope, intercept, r) of the least-squares line, weighted by n."""
     w, x, y = F.col("n"), F.col("quantile"), F.col("value")
-    s = points.agg(F.sum(w).alias("w"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * x * y).alias("xy"), F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"))
+    s = points.agg(
+        F.sum(w).alias("w"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * x * y).alias("xy"), F.sum(w * x * x).alias("xx"),
+        F.sum(w * y * y).alias("yy")
+    )
     sxy, sxx, syy = (F.expr(e) for e in ("xy - x * y / w", "xx - x * x / w", "yy - y * y / w"))
     slope = F.try_divide(sxy, sxx)
     return s.select(slope.alias("slope"), ((F.col("y") - slope * F.col("x")) / F.col("w")).alias("intercept"), F.try_divide(sxy, F.sqrt(sxx * syy)).alias("r"))
@@ -128,7 +144,10 @@ def bars(df: DataFrame, column: str, k: int = 20) -> DataFrame:
     top = counts.orderBy(F.col("n").desc(), "value").limit(k)  # at most k rows in the windows below
     w = Window.orderBy(F.col("n").desc(), "value")
     out = top.crossJoin(F.broadcast(total)).withColumn("rank", F.row_number().over(w).cast("long"))
-    return out.select("rank", "value", "n", share(F.col("n"), F.col("total")).alias("pct"), share(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("total")).alias("cumulative_pct"))
+    return out.select(
+        "rank", "value", "n", share(F.col("n"), F.col("total")).alias("pct"),
+        share(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("total")).alias("cumulative_pct")
+    )
 
 
 def others(df: DataFrame, column: str, k: int = 20) -> DataFrame:
@@ -173,7 +192,10 @@ def line_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, slope, intercept, r, r2) over complete pairs."""
     a, b = name(x).cast("double"), name(y).cast("double")
     both = df.select(a.alias("x"), b.alias("y")).dropna()
-    s = both.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
+    s = both.agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("vx"),
+        F.var_pop("y").alias("vy")
+    )
     slope, r = F.try_divide(F.col("c"), F.col("vx")), F.try_divide(F.col("c"), F.sqrt(F.col("vx") * F.col("vy")))
     return s.select("n", slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"), r.alias("r"), (r * r).alias("r2"))
 
@@ -200,7 +222,11 @@ def pick_grouped_box(df: DataFrame) -> tuple[str, str] | None:
     """The numeric column of largest variance and the grouping column with fewest values (2 to 15)."""
     numeric = numeric_columns(df)
     others_ = [c for c in df.columns if c not in numeric]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *(F.var_samp(name(c).cast("double")).alias(f"v{i}") for i, c in enumerate(numeric)), *(F.approx_count_distinct(name(c)).alias(f"d{i}") for i, c in enumerate(numeric)), *(F.approx_count_distinct(name(c)).alias(f"g{i}") for i, c in enumerate(others_))).first()
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"), *(F.var_samp(name(c).cast("double")).alias(f"v{i}") for i, c in enumerate(numeric)),
+        *(F.approx_count_distinct(name(c)).alias(f"d{i}") for i, c in enumerate(numeric)),
+        *(F.approx_count_distinct(name(c)).alias(f"g{i}") for i, c in enumerate(others_))
+    ).first()
     values = [(row[f"v{i}"] or 0, c) for i, c in enumerate(numeric) if row[f"d{i}"] > 0.05 * row["n"]]
     groups = [(row[f"g{i}"], c) for i, c in enumerate(others_) if 2 <= row[f"g{i}"] <= 15]
     return (max(values)[1], min(groups)[1]) if values and groups else None

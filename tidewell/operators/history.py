@@ -13,7 +13,10 @@ def record_run(df: DataFrame, dataset_id: int, path: str, triggered_by: str = "u
     from tidewell.operators.profile import missing_total, quality_score
 
     q = quality_score(df).select("overall").crossJoin(F.broadcast(missing_total(df).select("missing_pct"))).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("n"))))
-    row = q.select(F.lit(dataset_id).cast("long").alias("dataset_id"), F.current_timestamp().alias("run_at"), F.col("n").alias("row_count"), F.lit(len(df.columns)).alias("col_count"), F.col("overall").alias("quality_score"), "missing_pct", F.lit(triggered_by).alias("triggered_by"))
+    row = q.select(
+        F.lit(dataset_id).cast("long").alias("dataset_id"), F.current_timestamp().alias("run_at"), F.col("n").alias("row_count"),
+        F.lit(len(df.columns)).alias("col_count"), F.col("overall").alias("quality_score"), "missing_pct", F.lit(triggered_by).alias("triggered_by")
+    )
     row.write.mode("append").parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -26,7 +29,9 @@ def newest(runs: DataFrame, dataset_id: int | None = None, limit: int = 50) -> D
 def latest(runs: DataFrame) -> DataFrame:
     """The last run of each dataset, by aggregation: a dataset with a third of all runs combines first."""
     rest = [c for c in runs.columns if c != "dataset_id"]
-    return runs.groupBy("dataset_id").agg(F.max(F.struct("run_at", *(c for c in rest if c != "run_at"))).alias("r")).select("dataset_id", *(F.col(f"r.{c}").alias(c) for c in rest))
+    return runs.groupBy("dataset_id").agg(F.max(F.struct("run_at", *(c for c in rest if c != "run_at"))).alias("r")).select(
+        "dataset_id", *(F.col(f"r.{c}").alias(c) for c in rest)
+    )
 
 
 def trend(runs: DataFrame) -> DataFrame:
@@ -38,7 +43,10 @@ def trend(runs: DataFrame) -> DataFrame:
 def worst(last: DataFrame) -> DataFrame:
     """One row (worst_quality, most_missing): null quality counts as 100, null missing as 0; ties by id."""
     q, m = F.coalesce("quality_score", F.lit(100)), F.coalesce("missing_pct", F.lit(0.0))
-    return last.agg(F.min_by("dataset_id", F.struct(q, F.col("dataset_id"))).alias("worst_quality"), F.max_by("dataset_id", F.struct(m, -F.col("dataset_id"))).alias("most_missing"))
+    return last.agg(
+        F.min_by("dataset_id", F.struct(q, F.col("dataset_id"))).alias("worst_quality"),
+        F.max_by("dataset_id", F.struct(m, -F.col("dataset_id"))).alias("most_missing")
+    )
 
 
 def enrich(parents: DataFrame, comments: DataFrame, votes: DataFrame, user: int) -> DataFrame:
@@ -46,7 +54,9 @@ def enrich(parents: DataFrame, comments: DataFrame, votes: DataFrame, user: int)
     c = comments.filter("NOT is_system").groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("comments"))
     v = votes.groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("votes"), F.max((F.col("user_id") == user).cast("int")).alias("own"))
     out = parents.join(c, "id", "left").join(v, "id", "left")
-    return out.withColumns({"comments": F.coalesce("comments", F.lit(0)), "votes": F.coalesce("votes", F.lit(0)), "own": F.coalesce(F.col("own") == 1, F.lit(False))})
+    return out.withColumns({
+        "comments": F.coalesce("comments", F.lit(0)), "votes": F.coalesce("votes", F.lit(0)), "own": F.coalesce(F.col("own") == 1, F.lit(False))
+    })
 
 
 def reactions(comments: DataFrame, votes: DataFrame, authors: DataFrame) -> DataFrame:
@@ -79,8 +89,12 @@ def preview_text(html, length: int = 160) -> F.Column:
 def articles(items: DataFrame, attachments: DataFrame, links: DataFrame, datasets: DataFrame) -> DataFrame:
     """Articles (id) with the number of attachments and the names of linked datasets, sorted."""
     a = attachments.groupBy(F.col("article_id").alias("id")).agg(F.count(F.lit(1)).alias("attachments"))
-    d = links.join(datasets.select(F.col("id").alias("dataset_id"), "name"), "dataset_id").groupBy(F.col("article_id").alias("id")).agg(F.array_sort(F.collect_set("name")).alias("datasets"))
-    return items.join(a, "id", "left").join(d, "id", "left").withColumns({"attachments": F.coalesce("attachments", F.lit(0)), "datasets": F.coalesce("datasets", F.array().cast("array<string>"))})
+    d = links.join(
+        datasets.select(F.col("id").alias("dataset_id"), "name"), "dataset_id"
+    ).groupBy(F.col("article_id").alias("id")).agg(F.array_sort(F.collect_set("name")).alias("datasets"))
+    return items.join(a, "id", "left").join(d, "id", "left").withColumns({
+        "attachments": F.coalesce("attachments", F.lit(0)), "datasets": F.coalesce("datasets", F.array().cast("array<string>"))
+    })
 
 
 def delete_children_first(tables: list[tuple[str, DataFrame, str, str | None]], keys: DataFrame) -> dict[str, DataFrame]:

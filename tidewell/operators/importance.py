@@ -76,19 +76,33 @@ def associations(df: DataFrame, target: str, features: list[str] | None = None,
     numbers, texts = [c for c in features if is_numeric(df, c)], [c for c in features if not is_numeric(df, c)]
     n = F.count_if
     if is_numeric(df, target):
-        r = _pairs(rows, [(target, c, F.when(n(name(c).isNotNull()) >= least, correlation(name(c), name(target)))) for c in numbers], ("t", "feature"), "r") if numbers else None
+        r = _pairs(
+            rows, [(target, c, F.when(n(name(c).isNotNull()) >= least, correlation(name(c), name(target)))) for c in numbers], ("t", "feature"), "r"
+        ) if numbers else None
         counts = _pairs(rows, [(target, c, n(name(c).isNotNull()).cast("double")) for c in numbers], ("t", "feature"), "n") if numbers else None
-        out = r.join(F.broadcast(counts), ["t", "feature"]).select("feature", F.lit("pearson").alias("method"), F.abs("r").alias("strength"), F.try_divide(F.col("r") * F.col("r") * (F.col("n") - 2), 1 - F.col("r") * F.col("r")).alias("f_score")) if numbers else None
+        out = r.join(F.broadcast(counts), ["t", "feature"]).select(
+            "feature", F.lit("pearson").alias("method"), F.abs("r").alias("strength"),
+            F.try_divide(F.col("r") * F.col("r") * (F.col("n") - 2), 1 - F.col("r") * F.col("r")).alias("f_score")
+        ) if numbers else None
         if texts:
-            m = mixed_matrix(rows, [target], texts).select(F.col("category").alias("feature"), F.lit("eta").alias("method"), F.sqrt(F.greatest("eta2", F.lit(0.0))).alias("strength"), F.col("f").alias("f_score"))
+            m = mixed_matrix(rows, [target], texts).select(
+                F.col("category").alias("feature"), F.lit("eta").alias("method"), F.sqrt(F.greatest("eta2", F.lit(0.0))).alias("strength"),
+                F.col("f").alias("f_score")
+            )
             out = m if out is None else out.unionByName(m)
         return out
     out = None
     if numbers:
-        out = mixed_matrix(rows, numbers, [target]).select(F.col("numeric").alias("feature"), F.lit("eta").alias("method"), F.sqrt(F.greatest("eta2", F.lit(0.0))).alias("strength"), F.col("f").alias("f_score"))
+        out = mixed_matrix(rows, numbers, [target]).select(
+            F.col("numeric").alias("feature"), F.lit("eta").alias("method"), F.sqrt(F.greatest("eta2", F.lit(0.0))).alias("strength"),
+            F.col("f").alias("f_score")
+        )
     if texts:
         v = categorical_matrix(rows, [target, *texts], least).filter(F.col("column_a") == target)
-        v = v.select(F.col("column_b").alias("feature"), F.lit("cramers_v").alias("method"), F.col("cramers_v").alias("strength"), F.lit(None).cast("double").alias("f_score"))
+        v = v.select(
+            F.col("column_b").alias("feature"), F.lit("cramers_v").alias("method"), F.col("cramers_v").alias("strength"),
+            F.lit(None).cast("double").alias("f_score")
+        )
         out = v if out is None else out.unionByName(v)
     return out
 
@@ -132,9 +146,16 @@ def recommendations(importance: DataFrame, features: int) -> DataFrame:
 
 def warnings(df: DataFrame, target: str) -> DataFrame:
     """Rows (kind, subject, value): imbalance, missing features, few rows."""
-    top = class_distribution(df, target, 1).filter("pct > 65").select(F.when(F.col("pct") > 80, "severe_imbalance").otherwise("imbalance").alias("kind"), F.col("value").alias("subject"), F.col("pct").alias("value"))
-    gaps = feature_metadata(df, target).filter("missing_pct > 20").select(F.lit("missing").alias("kind"), F.col("feature").alias("subject"), F.col("missing_pct").alias("value"))
-    few = df.filter(name(target).isNotNull()).agg(F.count(F.lit(1)).cast("double").alias("value")).filter("value < 100").select(F.lit("few_rows").alias("kind"), F.lit(target).alias("subject"), "value")
+    top = class_distribution(df, target, 1).filter("pct > 65").select(
+        F.when(F.col("pct") > 80, "severe_imbalance").otherwise("imbalance").alias("kind"), F.col("value").alias("subject"),
+        F.col("pct").alias("value")
+    )
+    gaps = feature_metadata(df, target).filter("missing_pct > 20").select(
+        F.lit("missing").alias("kind"), F.col("feature").alias("subject"), F.col("missing_pct").alias("value")
+    )
+    few = df.filter(name(target).isNotNull()).agg(F.count(F.lit(1)).cast("double").alias("value")).filter("value < 100").select(
+        F.lit("few_rows").alias("kind"), F.lit(target).alias("subject"), "value"
+    )
     return top.unionByName(gaps).unionByName(few)
 
 
@@ -226,18 +247,26 @@ def permutation_importance(model, matrix: DataFrame, names: list[str], classific
     rows = matrix.select(vector_to_array("features").alias("x"), "label").withColumn("id", F.xxhash64("x", "label"))
     reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("bucket", F.pmod("id", F.lit(buckets)))
     one = reps.withColumn("rn", F.row_number().over(Window.partitionBy("rep", "bucket").orderBy("id", "label")))
-    two = reps.select("rep", "bucket", F.col("x").alias("other"), F.row_number().over(Window.partitionBy("rep", "bucket").orderBy(F.xxhash64("id", "rep", F.lit(seed)), "id")).alias("rn"))
+    two = reps.select(
+        "rep", "bucket", F.col("x").alias("other"),
+        F.row_number().over(Window.partitionBy("rep", "bucket").orderBy(F.xxhash64("id", "rep", F.lit(seed)), "id")).alias("rn")
+    )
     both = one.join(two, ["rep", "bucket", "rn"]).withColumn("j", F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1))))
     mixed = F.transform("x", lambda v, i: F.when(i == F.col("j"), F.element_at("other", i + 1)).otherwise(v))
     scored = model.transform(both.select("rep", "j", "label", array_to_vector(mixed).alias("features")))
     s = scored.groupBy("rep", "j").agg(metric(scored, classification).alias("score"))
     base = s.filter("j = -1").select("rep", F.col("score").alias("base"))
-    loss = s.filter("j >= 0").join(F.broadcast(base), "rep").groupBy("j").agg(F.avg(F.col("base") - F.col("score")).alias("mean"), F.stddev_pop(F.col("base") - F.col("score")).alias("std"))
+    loss = s.filter("j >= 0").join(F.broadcast(base), "rep").groupBy("j").agg(
+        F.avg(F.col("base") - F.col("score")).alias("mean"), F.stddev_pop(F.col("base") - F.col("score")).alias("std")
+    )
     labels = F.array(*map(F.lit, names))
     return loss.select(F.element_at(labels, F.col("j") + 1).alias("feature"), "mean", "std")
 
 
-def shapley(model, matrix: DataFrame, names: list[str], predict: Callable[[DataFrame], Column] | None = None, permutations: int = 20, background: int = 20, seed: int = 42) -> DataFrame:
+def shapley(
+    model, matrix: DataFrame, names: list[str], predict: Callable[[DataFrame], Column] | None = None, permutations: int = 20, background: int = 20,
+    seed: int = 42
+) -> DataFrame:
     """Rows (id, feature, value, n), n rows with equal features being one id: Monte-Carlo permutation Shapley values of the rows in ``matrix``.
 
     Rows are explained against ``background`` rows of the same matrix. Each
@@ -251,7 +280,9 @@ def shapley(model, matrix: DataFrame, names: list[str], predict: Callable[[DataF
     x = matrix.select(vector_to_array("features").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.xxhash64("x"))
     base = drawn(x, background, seed).select(F.col("x").alias("z"), (F.row_number().over(Window.orderBy("id")) - 1).alias("b"))
     have = base.agg(F.count(F.lit(1)).alias("have"))  # small tables have fewer rows than asked for
-    runs = x.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).crossJoin(F.broadcast(have)).withColumn("b", F.pmod(F.xxhash64("id", "p"), F.col("have")).cast("int"))
+    runs = x.withColumn(
+        "p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))
+    ).crossJoin(F.broadcast(have)).withColumn("b", F.pmod(F.xxhash64("id", "p"), F.col("have")).cast("int"))
     runs = runs.join(F.broadcast(base), "b")
     order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(F.xxhash64("id", "p", i).alias("h"), i.alias("i"))))
     steps = runs.withColumn("order", F.transform(order, lambda s: s["i"])).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(k))))
@@ -261,7 +292,9 @@ def shapley(model, matrix: DataFrame, names: list[str], predict: Callable[[DataF
     w = Window.partitionBy("id", "p").orderBy("step")
     gains = scored.select("id", "n", "p", "step", "order", y.alias("y")).withColumn("gain", F.col("y") - F.lag("y").over(w)).filter("step > 0")
     labels = F.array(*map(F.lit, names))
-    return gains.groupBy("id", F.element_at(labels, F.element_at("order", F.col("step")) + 1).alias("feature")).agg((F.sum("gain") / permutations).alias("value"), F.first("n").alias("n"))
+    return gains.groupBy(
+        "id", F.element_at(labels, F.element_at("order", F.col("step")) + 1).alias("feature")
+    ).agg((F.sum("gain") / permutations).alias("value"), F.first("n").alias("n"))
 
 
 def mean_abs_shapley(values: DataFrame) -> DataFrame:
@@ -290,7 +323,9 @@ def interactions(model, matrix: DataFrame, names: list[str], features: list[str]
     pairs = [(names.index(a), names.index(b)) for a, b in combinations(features, 2)]
     x = matrix.select(vector_to_array("features").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.xxhash64("x"))
     z = drawn(x, samples, seed).select(F.col("x").alias("z"), (F.row_number().over(Window.orderBy("id")) - 1).alias("s"))
-    grid = x.crossJoin(F.broadcast(z)).withColumn("pair", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs)))).withColumn("corner", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    grid = x.crossJoin(F.broadcast(z)).withColumn(
+        "pair", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs)))
+    ).withColumn("corner", F.explode(F.sequence(F.lit(0), F.lit(3))))
 
     def value(v: Column, k: Column) -> Column:
         first, second = (k == F.col("pair.i")), (k == F.col("pair.j"))
@@ -301,7 +336,9 @@ def interactions(model, matrix: DataFrame, names: list[str], features: list[str]
     sign = F.when(F.col("corner").isin(0, 3), 1.0).otherwise(-1.0)
     d = scored.groupBy("id", "s", "pair").agg(F.sum(sign * F.col("prediction")).alias("d"), F.first("n").alias("n"))
     labels = F.array(*map(F.lit, names))
-    return d.groupBy("pair").agg((F.sum(F.abs("d") * F.col("n")) / F.sum("n")).alias("strength")).select(F.element_at(labels, F.col("pair.i") + 1).alias("feature_a"), F.element_at(labels, F.col("pair.j") + 1).alias("feature_b"), "strength")
+    return d.groupBy("pair").agg((F.sum(F.abs("d") * F.col("n")) / F.sum("n")).alias("strength")).select(
+        F.element_at(labels, F.col("pair.i") + 1).alias("feature_a"), F.element_at(labels, F.col("pair.j") + 1).alias("feature_b"), "strength"
+    )
 
 
 METHODS: dict[str, Callable] = {"mi": mutual_information, "correlation": associations}

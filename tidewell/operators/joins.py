@@ -94,7 +94,9 @@ def limited(df: DataFrame, limit: int = 1000) -> tuple[DataFrame, bool]:
 def relationships(remembered: DataFrame, datasets: DataFrame) -> DataFrame:
     """Remembered pairs with names, newest first. remembered: a, b, description, created_at; datasets: id, name."""
     d = datasets.select("id", "name")
-    out = remembered.join(d.select(F.col("id").alias("a"), F.col("name").alias("name_a")), "a", "left").join(d.select(F.col("id").alias("b"), F.col("name").alias("name_b")), "b", "left")
+    out = remembered.join(
+        d.select(F.col("id").alias("a"), F.col("name").alias("name_a")), "a", "left"
+    ).join(d.select(F.col("id").alias("b"), F.col("name").alias("name_b")), "b", "left")
     return out.orderBy(F.col("created_at").desc(), "a", "b").select("name_a", "name_b", "description", "created_at")
 
 
@@ -105,8 +107,14 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], columns
     along the order, instead of a range join.
     """
     width = [*by, on]
-    r = right.select(*(name(c) for c in width), F.struct(*(name(c) for c in columns)).alias("__r"), F.lit(0).alias("__side"), *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in width))
-    side = left.select(*(name(c) for c in width), F.lit(None).cast(r.schema["__r"].dataType).alias("__r"), F.lit(1).alias("__side"), *(name(c) for c in left.columns if c not in width))
+    r = right.select(
+        *(name(c) for c in width), F.struct(*(name(c) for c in columns)).alias("__r"), F.lit(0).alias("__side"),
+        *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in width)
+    )
+    side = left.select(
+        *(name(c) for c in width), F.lit(None).cast(r.schema["__r"].dataType).alias("__r"), F.lit(1).alias("__side"),
+        *(name(c) for c in left.columns if c not in width)
+    )
     w = Window.partitionBy(*by).orderBy(on, "__side").rowsBetween(Window.unboundedPreceding, 0)
     both = r.unionByName(side).withColumn("__last", F.last("__r", ignorenulls=True).over(w)).filter("__side = 1")
     return both.select(*(name(c) for c in left.columns), *(F.col("__last")[c].alias(f"{c}_asof" if c in left.columns else c) for c in columns))

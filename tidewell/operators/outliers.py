@@ -18,7 +18,10 @@ def fences(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows (column_name, n, outliers, pct, lower, upper) by 1.5 IQR, two passes for all columns."""
     columns = columns or numeric_columns(df)
     q = column_quantiles(df, columns, [0.25, 0.75])
-    q = q.select("column_name", (F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("lower"), (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("upper"))
+    q = q.select(
+        "column_name", (F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("lower"),
+        (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("upper")
+    )
     return _flagged(df, columns, q, lambda x: (x < F.col("lower")) | (x > F.col("upper")), ["lower", "upper"])
 
 
@@ -31,8 +34,12 @@ def z_scores(df: DataFrame, columns: list[str] | None = None, limit: float = 3.0
 
 
 def _flagged(df: DataFrame, columns: list[str], stats: DataFrame, outside, show: list[str]) -> DataFrame:
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), name(c).cast("double").alias("x")) for c in columns))).alias("i")).select("i.*").filter("x IS NOT NULL")
-    out = long.join(F.broadcast(stats), "column_name").groupBy("column_name", *show).agg(F.count(F.lit(1)).alias("n"), F.count_if(outside(F.col("x"))).alias("outliers"))
+    long = df.select(F.explode(F.array(*(F.struct(
+        F.lit(c).alias("column_name"), name(c).cast("double").alias("x")
+    ) for c in columns))).alias("i")).select("i.*").filter("x IS NOT NULL")
+    out = long.join(F.broadcast(stats), "column_name").groupBy("column_name", *show).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(outside(F.col("x"))).alias("outliers")
+    )
     return out.select("column_name", "n", "outliers", share(F.col("outliers"), F.col("n")).alias("pct"), *show)
 
 
@@ -54,7 +61,9 @@ def outlier_rows(df: DataFrame, columns: list[str] | None = None, limit: int = 1
     return found.limit(limit), found.agg(F.count(F.lit(1)).alias("outlier_rows"))
 
 
-def isolation_forest(df: DataFrame, columns: list[str], keys: list[str], trees: int = 100, size: int = 256, contamination: float = 0.05, seed: int = 42) -> DataFrame:
+def isolation_forest(
+    df: DataFrame, columns: list[str], keys: list[str], trees: int = 100, size: int = 256, contamination: float = 0.05, seed: int = 42
+) -> DataFrame:
     """Rows (keys, score, outlier): trees grown in parallel on hash subsamples, scores in one pass.
 
     A tree needs ``size`` rows whatever the table holds, so the forest that is
@@ -88,7 +97,9 @@ def isolation_forest(df: DataFrame, columns: list[str], keys: list[str], trees:
         return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "low", "high", "path"])
 
     forest = drawn.groupBy("tree").applyInPandas(grow, "tree int, node int, feature int, cut double, low int, high int, path double").toPandas()
-    shared = df.sparkSession.sparkContext.broadcast([g.sort_values("node")[["feature", "cut", "low", "high", "path"]].to_numpy() for _, g in forest.groupby("tree")])
+    shared = df.sparkSession.sparkContext.broadcast([
+        g.sort_values("node")[["feature", "cut", "low", "high", "path"]].to_numpy() for _, g in forest.groupby("tree")
+    ])
     norm = max(_mean_path(size), 1e-9)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,6 +153,8 @@ def density_noise(df: DataFrame, columns: list[str], key: str, eps: float = 0.5,
     counted = close.groupBy(*(F.col(f"a.{c}").alias(c) for c in zs)).agg(F.sum("b.n").alias("neighbours"))
     core = points.join(counted, zs).filter(F.col("neighbours") >= least)
     c = core.alias("b")
-    reached = a.join(c, (F.col("a.cell") == F.col("b.cell")) & (distance <= eps * eps)).select(*(F.col(f"a.{x}").alias(x) for x in zs)).distinct().withColumn("__reached", F.lit(True))
+    reached = a.join(
+        c, (F.col("a.cell") == F.col("b.cell")) & (distance <= eps * eps)
+    ).select(*(F.col(f"a.{x}").alias(x) for x in zs)).distinct().withColumn("__reached", F.lit(True))
     out = rows.join(counted, zs).join(reached, zs, "left")
     return out.select(F.col("key").alias(key), "neighbours", F.col("__reached").isNull().alias("noise"))

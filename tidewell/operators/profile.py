@@ -65,7 +65,10 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     def numeric(f):
         return lambda c: f(name(c).cast("double")) if is_numeric(df, c) else F.lit(None).cast("double")
 
-    made = {"min": F.min, "max": F.max, "mean": F.avg, "approx": lambda c: F.percentile_approx(c, 0.5), "std": F.stddev_samp, "skewness": unbiased_skewness, "kurtosis": unbiased_kurtosis}
+    made = {
+        "min": F.min, "max": F.max, "mean": F.avg, "approx": lambda c: F.percentile_approx(c, 0.5), "std": F.stddev_samp,
+        "skewness": unbiased_skewness, "kurtosis": unbiased_kurtosis
+    }
     fields = {
         "dtype": lambda c: F.max(F.lit(df.schema[c].dataType.simpleString())),
         "kind": lambda c: F.max(F.lit(_kind(df, c))),
@@ -88,7 +91,10 @@ def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
         .when((distinct_share > 0.95) & (F.col("distinct_n") > 100), "id_like").when(F.col("kind") == "numeric", "numeric")
         .when(F.col("length") > 50, "text").otherwise("categorical")
     )
-    return out.select("column_name", "dtype", semantic.alias("semantic_type"), "total", "missing", share(F.col("missing"), F.col("total")).alias("missing_pct"), "distinct_n", (distinct_share * 100).alias("distinct_pct"), *STATS)
+    return out.select(
+        "column_name", "dtype", semantic.alias("semantic_type"), "total", "missing", share(F.col("missing"), F.col("total")).alias("missing_pct"),
+        "distinct_n", (distinct_share * 100).alias("distinct_pct"), *STATS
+    )
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:
@@ -96,7 +102,9 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> D
     w = Window.partitionBy("column_name").orderBy(F.col("n").desc(), "value")
     total = df.agg(F.count(F.lit(1)).alias("total"))
     out = values(df, columns).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return out.crossJoin(F.broadcast(total)).select("column_name", F.col("rank").cast("long").alias("rank"), "value", "n", share(F.col("n"), F.col("total")).alias("pct"))
+    return out.crossJoin(F.broadcast(total)).select(
+        "column_name", F.col("rank").cast("long").alias("rank"), "value", "n", share(F.col("n"), F.col("total")).alias("pct")
+    )
 
 
 def duplicates(df: DataFrame) -> DataFrame:
@@ -124,7 +132,9 @@ def memory_estimate(df: DataFrame) -> DataFrame:
 def missing_table(df: DataFrame) -> DataFrame:
     """Columns with nulls: missing and missing_pct, most first."""
     out = one_row_per_column(df, df.columns, {"total": lambda c: F.count(F.lit(1)), "missing": lambda c: F.count_if(name(c).isNull())})
-    return out.filter("missing > 0").select("column_name", "missing", share(F.col("missing"), F.col("total")).alias("missing_pct")).orderBy(F.col("missing").desc(), "column_name")
+    return out.filter("missing > 0").select(
+        "column_name", "missing", share(F.col("missing"), F.col("total")).alias("missing_pct")
+    ).orderBy(F.col("missing").desc(), "column_name")
 
 
 def missing_total(df: DataFrame) -> DataFrame:
@@ -160,7 +170,10 @@ def missing_mechanism(df: DataFrame, threshold: float = 0.3) -> DataFrame:
     linked = _pairs(df, pairs, ("column_name", "other"), "r").filter(F.abs("r") > threshold)
     linked = linked.groupBy("column_name").agg(F.array_sort(F.collect_list("other")).alias("related"))
     out = missing_table(df).join(F.broadcast(linked), "column_name", "left")
-    return out.select("column_name", F.when(F.col("related").isNull(), "MCAR").otherwise("MAR").alias("mechanism"), F.coalesce(F.array_join("related", ","), F.lit("")).alias("related"))
+    return out.select(
+        "column_name", F.when(F.col("related").isNull(), "MCAR").otherwise("MAR").alias("mechanism"),
+        F.coalesce(F.array_join("related", ","), F.lit("")).alias("related")
+    )
 
 
 def imputation(df: DataFrame) -> DataFrame:
@@ -174,9 +187,15 @@ def imputation(df: DataFrame) -> DataFrame:
 
 def quality_score(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """One row: completeness, consistency, uniqueness, overall (0 to 100)."""
-    p = (profile or column_profile(df)).agg((F.lit(100) - F.try_divide(100.0 * F.sum("missing"), F.sum("total"))).alias("c"), (F.lit(100) - 100.0 * F.count_if(F.col("semantic_type") == "constant") / F.count(F.lit(1))).alias("k"))
+    p = (profile or column_profile(df)).agg(
+        (F.lit(100) - F.try_divide(100.0 * F.sum("missing"), F.sum("total"))).alias("c"),
+        (F.lit(100) - 100.0 * F.count_if(F.col("semantic_type") == "constant") / F.count(F.lit(1))).alias("k")
+    )
     both = p.crossJoin(F.broadcast(duplicates(df)))
-    parts = both.select(F.coalesce("c", F.lit(100.0)).cast("int").alias("completeness"), F.col("k").cast("int").alias("consistency"), (F.lit(100) - F.coalesce("duplicate_pct", F.lit(0.0))).cast("int").alias("uniqueness"))
+    parts = both.select(
+        F.coalesce("c", F.lit(100.0)).cast("int").alias("completeness"), F.col("k").cast("int").alias("consistency"),
+        (F.lit(100) - F.coalesce("duplicate_pct", F.lit(0.0))).cast("int").alias("uniqueness")
+    )
     return parts.withColumn("overall", (0.5 * F.col("completeness") + 0.25 * F.col("consistency") + 0.25 * F.col("uniqueness")).cast("int"))
 
 
@@ -188,7 +207,10 @@ def quality_issues(df: DataFrame, profile: DataFrame | None = None, limit: int =
         F.when((F.col("missing_pct") > 20) & (F.col("missing_pct") <= 50), F.struct(F.lit("missing_moderate").alias("issue"), F.lit(1).alias("severity"))),
         F.when(F.col("semantic_type") == "constant", F.struct(F.lit("constant").alias("issue"), F.lit(1).alias("severity"))),
         F.when(F.abs("skewness") > 2, F.struct(F.lit("high_skew").alias("issue"), F.lit(2).alias("severity"))),
-        F.when((F.col("semantic_type") == "categorical") & (F.col("distinct_pct") > 50), F.struct(F.lit("high_cardinality").alias("issue"), F.lit(2).alias("severity"))),
+        F.when(
+            (F.col("semantic_type") == "categorical") & (F.col("distinct_pct") > 50),
+            F.struct(F.lit("high_cardinality").alias("issue"), F.lit(2).alias("severity"))
+        ),
     ))
     found = p.select("column_name", F.explode(rules).alias("x")).select("column_name", "x.*")
     rows = duplicates(df).filter("duplicate_pct > 5").select(F.lit("*").alias("column_name"), F.lit("duplicates").alias("issue"), F.lit(1).alias("severity"))

@@ -22,7 +22,9 @@ def running_before(counts: DataFrame, value: str, sums: list[str], buckets: int
     start = whole.select("__bucket", *(F.coalesce(F.sum(f"__{s}").over(w), F.lit(0)).alias(f"__start_{s}") for s in sums))
     inner = Window.partitionBy("__bucket").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
     out = cut.join(F.broadcast(start), "__bucket")
-    return out.select(*(name(c) for c in counts.columns), *((F.col(f"__start_{s}") + F.coalesce(F.sum(s).over(inner), F.lit(0))).alias(f"before_{s}") for s in sums))
+    return out.select(
+        *(name(c) for c in counts.columns), *((F.col(f"__start_{s}") + F.coalesce(F.sum(s).over(inner), F.lit(0))).alias(f"before_{s}") for s in sums)
+    )
 
 
 def value_ranks(df: DataFrame, column: str) -> DataFrame:

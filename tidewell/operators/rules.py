@@ -44,7 +44,10 @@ def check(df: DataFrame, rules: list[dict]) -> DataFrame:
     out = None
     if simple:
         one = df.agg(total, *(F.count_if(fails(r["column_name"], r["rule_type"], r.get("params"))).alias(f"f{i}") for i, r in simple))
-        out = one.select("total", F.inline(F.array(*(F.struct(F.lit(i).alias("rule_id"), F.lit(r["column_name"]).alias("column_name"), F.lit(r["rule_type"]).alias("rule_type"), F.col(f"f{i}").alias("fail_count")) for i, r in simple))))
+        out = one.select("total", F.inline(F.array(*(F.struct(
+            F.lit(i).alias("rule_id"), F.lit(r["column_name"]).alias("column_name"), F.lit(r["rule_type"]).alias("rule_type"),
+            F.col(f"f{i}").alias("fail_count")
+        ) for i, r in simple))))
     for i, r in enumerate(rules):
         if r["rule_type"] == "unique":
             g = df.groupBy(name(r["column_name"])).agg(F.count(F.lit(1)).alias("n"))
@@ -68,7 +71,9 @@ def failing_rows(df: DataFrame, rule: dict, limit: int = 5) -> DataFrame:
 
 def quarantine(df: DataFrame, rules: list[dict]) -> DataFrame:
     """Rows that break a row-wise rule, with the broken rules; works on streams too."""
-    broken = F.array_compact(F.array(*(F.when(fails(r["column_name"], r["rule_type"], r.get("params")), F.lit(f"{r['column_name']}:{r['rule_type']}")) for r in rules if r["rule_type"] in ROW_WISE)))
+    broken = F.array_compact(F.array(*(F.when(
+        fails(r["column_name"], r["rule_type"], r.get("params")), F.lit(f"{r['column_name']}:{r['rule_type']}")
+    ) for r in rules if r["rule_type"] in ROW_WISE)))
     return df.withColumn("broken_rules", broken).filter(F.size("broken_rules") > 0)
 
 

@@ -28,10 +28,15 @@ def prepare(df: DataFrame, time: str, value: str, keys: list[str], tiebreak: lis
     """Parse times, sort, number the rows; series with fewer than ``least`` values are left out."""
     kind = df.schema[time].dataType.simpleString()
     ts = name(time) if kind in ("date", "timestamp", "timestamp_ntz") else F.try_to_timestamp(name(time).cast("string"))
-    rows = df.select(*(name(k) for k in keys), ts.alias("ts"), name(value).cast("double").alias("value"), *(name(c).alias(f"__{i}") for i, c in enumerate(tiebreak or []))).filter("ts IS NOT NULL")
+    rows = df.select(
+        *(name(k) for k in keys), ts.alias("ts"), name(value).cast("double").alias("value"),
+        *(name(c).alias(f"__{i}") for i, c in enumerate(tiebreak or []))
+    ).filter("ts IS NOT NULL")
     w = Window.partitionBy(*keys)
     order = w.orderBy("ts", *(f"__{i}" for i in range(len(tiebreak or []))), "value")
-    return rows.withColumns({"pos": F.row_number().over(order) - 1, "__n": F.count("value").over(w)}).filter(F.col("__n") >= least).select(*keys, "ts", F.col("pos").cast("long").alias("pos"), "value")
+    return rows.withColumns({
+        "pos": F.row_number().over(order) - 1, "__n": F.count("value").over(w)
+    }).filter(F.col("__n") >= least).select(*keys, "ts", F.col("pos").cast("long").alias("pos"), "value")
 
 
 def interpolate(s: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,12 +64,20 @@ def quality(s: DataFrame, keys: list[str]) -> DataFrame:
     """Per series: rows, missing_pct, duplicate_times, zeros, modal_step, irregular_pct, frequency."""
     st = steps(s, keys)
     mode = st.filter("step IS NOT NULL").groupBy(*keys, "step").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(F.max_by("step", F.struct("c", -F.col("step"))).alias("modal_step"))
-    base = st.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("value").isNull()).alias("missing"), (F.count(F.lit(1)) - F.count_distinct("ts")).alias("duplicate_times"), F.count_if(F.col("value") == 0).alias("zeros"))
-    odd = st.join(F.broadcast(mode), keys).groupBy(*keys).agg((100.0 * F.try_divide(F.count_if(F.col("step") != F.col("modal_step")), F.count("step"))).alias("irregular_pct"))
+    base = st.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("value").isNull()).alias("missing"),
+        (F.count(F.lit(1)) - F.count_distinct("ts")).alias("duplicate_times"), F.count_if(F.col("value") == 0).alias("zeros")
+    )
+    odd = st.join(F.broadcast(mode), keys).groupBy(*keys).agg((100.0 * F.try_divide(
+        F.count_if(F.col("step") != F.col("modal_step")), F.count("step")
+    )).alias("irregular_pct"))
     m = F.col("modal_step")
     label = F.when(m < 60, "s").when(m < 3600, "min").when(m < 86400, "h").when(m < 86400 * 6, "D").when(m < 86400 * 25, "W").otherwise("M")
     out = base.join(mode, keys).join(odd, keys)
-    return out.select(*keys, "rows", (100.0 * F.col("missing") / F.col("rows")).alias("missing_pct"), "duplicate_times", "zeros", "modal_step", "irregular_pct", label.alias("frequency"))
+    return out.select(
+        *keys, "rows", (100.0 * F.col("missing") / F.col("rows")).alias("missing_pct"), "duplicate_times", "zeros", "modal_step", "irregular_pct",
+        label.alias("frequency")
+    )
 
 
 def gaps(s: DataFrame, keys: list[str], factor: float = 2.0, first: int = 10) -> DataFrame:
@@ -79,14 +92,21 @@ def constant_runs(s: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
     """Rows (start_pos, length, value) of equal neighbours."""
     w = _by(keys)
     change = (~F.col("value").eqNullSafe(F.lag("value").over(w))).cast("int")
-    runs = s.withColumn("__c", change).withColumn("__run", F.sum("__c").over(w)).groupBy(*keys, "__run").agg(F.min("pos").alias("start_pos"), F.count(F.lit(1)).alias("length"), F.first("value").alias("value"))
+    runs = s.withColumn("__c", change).withColumn("__run", F.sum("__c").over(w)).groupBy(*keys, "__run").agg(
+        F.min("pos").alias("start_pos"), F.count(F.lit(1)).alias("length"), F.first("value").alias("value")
+    )
     return runs.filter(F.col("value").isNotNull() & (F.col("length") >= least)).drop("__run")
 
 
 def describe(s: DataFrame, keys: list[str]) -> DataFrame:
     """Per series: n, mean, std, min, max, range, iqr, cv_pct, skewness, kurtosis."""
     q = F.col("q")
-    out = s.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), (F.max("value") - F.min("value")).alias("range"), (100 * F.try_divide(F.stddev_samp("value"), F.avg("value"))).alias("cv_pct"), unbiased_skewness(F.col("value")).alias("skewness"), unbiased_kurtosis(F.col("value")).alias("kurtosis"))
+    out = s.groupBy(*keys).agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+        F.max("value").alias("max"), (F.max("value") - F.min("value")).alias("range"),
+        (100 * F.try_divide(F.stddev_samp("value"), F.avg("value"))).alias("cv_pct"), unbiased_skewness(F.col("value")).alias("skewness"),
+        unbiased_kurtosis(F.col("value")).alias("kurtosis")
+    )
     return out.join(exact_quantiles(s, keys, F.col("value"), [0.25, 0.75]), keys, "left").withColumn("iqr", q[1] - q[0]).drop("q")
 
 
@@ -99,12 +119,18 @@ def jarque_bera(s: DataFrame, keys: list[str]) -> DataFrame:
 
 def dagostino(s: DataFrame, keys: list[str]) -> DataFrame:
     """Per series with 8 values or more: n, k2, p."""
-    g = s.groupBy(*keys).agg(F.count("value").cast("double").alias("n"), F.skewness("value").alias("g1"), F.kurtosis("value").alias("g2")).filter("n >= 8 AND g1 IS NOT NULL")
+    g = s.groupBy(*keys).agg(
+        F.count("value").cast("double").alias("n"), F.skewness("value").alias("g1"), F.kurtosis("value").alias("g2")
+    ).filter("n >= 8 AND g1 IS NOT NULL")
     e = F.expr
-    g = g.withColumn("y", e("g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2)))")).withColumn("beta", e("3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))"))
+    g = g.withColumn("y", e("g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2)))")).withColumn(
+        "beta", e("3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))")
+    )
     g = g.withColumn("w2", e("sqrt(2 * (beta - 1)) - 1")).withColumn("z1", e("asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2))"))
     g = g.withColumn("x", e("(g2 + 3 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)))"))
-    g = g.withColumn("s", e("6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))")).withColumn("a", e("6 + 8 / s * (2 / s + sqrt(1 + 4 / (s * s)))"))
+    g = g.withColumn(
+        "s", e("6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))")
+    ).withColumn("a", e("6 + 8 / s * (2 / s + sqrt(1 + 4 / (s * s)))"))
     g = g.withColumn("d", e("1 + x * sqrt(2 / (a - 4))")).withColumn("z2", e("(1 - 2 / (9 * a) - signum(d) * cbrt((1 - 2 / a) / abs(d))) / sqrt(2 / (9 * a))"))
     return g.select(*keys, F.col("n").cast("long").alias("n"), e("z1 * z1 + z2 * z2").alias("k2")).withColumn("p", F.exp(-F.col("k2") / 2))
 
@@ -128,7 +154,9 @@ def per_series(s: DataFrame, keys: list[str], f, schema: str, most: int | None =
     fields = [x.strip().split()[0] for x in schema.split(",")]
     known = s.filter("value IS NOT NULL").select(*keys, "pos", "value")
     if most is not None:
-        known = thin(known.withColumn("at", F.col("pos")).withColumn("pos", F.row_number().over(_by(keys)) - 1), keys, most).select(*keys, F.col("at").alias("pos"), "value")
+        known = thin(
+            known.withColumn("at", F.col("pos")).withColumn("pos", F.row_number().over(_by(keys)) - 1), keys, most
+        ).select(*keys, F.col("at").alias("pos"), "value")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
@@ -189,7 +217,10 @@ def _adf(x: np.ndarray) -> list[tuple]:
 
     phi = NormalDist().cdf
     pv = 1.0 if t > 2.74 else 0.0 if t < -18.83 else phi(2.1659 + 1.4412 * t + 0.038269 * t * t) if t <= -1.61 else phi(1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t**3)
-    critical = [a + b1 / m + c / m**2 + e / m**3 for a, b1, c, e in ((-3.43035, -6.5393, -16.786, -79.433), (-2.86154, -2.8903, -4.234, -40.04), (-2.56677, -1.5384, -2.809, 0.0))]
+    critical = [
+        a + b1 / m + c / m**2 + e / m**3 for a, b1, c,
+        e in ((-3.43035, -6.5393, -16.786, -79.433), (-2.86154, -2.8903, -4.234, -40.04), (-2.56677, -1.5384, -2.809, 0.0))
+    ]
     return [(t, p, pv, *critical)]
 
 
@@ -308,7 +339,10 @@ def decompose(s: DataFrame, keys: list[str], period: int) -> DataFrame:
 def strengths(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Per series: trend and seasonal strength in percent of what is not residual."""
     complete = parts.filter("residual IS NOT NULL")
-    g = complete.groupBy(*keys).agg(F.var_samp("residual").alias("r"), F.var_samp(F.col("trend") + F.col("residual")).alias("t"), F.var_samp(F.col("seasonal") + F.col("residual")).alias("s"))
+    g = complete.groupBy(*keys).agg(
+        F.var_samp("residual").alias("r"), F.var_samp(F.col("trend") + F.col("residual")).alias("t"),
+        F.var_samp(F.col("seasonal") + F.col("residual")).alias("s")
+    )
     pct = lambda v: F.least(F.greatest(100 * (1 - F.try_divide(F.col("r"), F.col(v))), F.lit(0.0)), F.lit(100.0))
     return g.select(*keys, pct("t").alias("trend_strength"), pct("s").alias("seasonal_strength"))
 
@@ -361,7 +395,9 @@ def autocorrelation(s: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (lag, acf, bound): lags 0..min(60, max(10, n/3)) with Bartlett's bound."""
     g = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), (F.var_pop("value") * F.count("value")).alias("ss"))
     x = s.join(F.broadcast(g), keys).select(*keys, "pos", (F.col("value") - F.col("m")).alias("x"), "n", "ss")
-    lagged = x.withColumn("lag", F.explode(F.sequence(F.lit(0), max_lag(F.col("n"))))).withColumn("at", F.col("pos") + F.col("lag")).select(*keys, F.col("x").alias("a"), "lag", F.col("at").alias("pos"))
+    lagged = x.withColumn("lag", F.explode(F.sequence(F.lit(0), max_lag(F.col("n"))))).withColumn("at", F.col("pos") + F.col("lag")).select(
+        *keys, F.col("x").alias("a"), "lag", F.col("at").alias("pos")
+    )
     j = lagged.join(x, [*keys, "pos"]).groupBy(*keys, "lag", "n", "ss").agg(F.sum(F.col("a") * F.col("x")).alias("c"))
     r = j.select(*keys, "lag", "n", F.try_divide("c", "ss").alias("acf"))
     before = F.coalesce(F.sum(F.when(F.col("lag") > 0, F.col("acf") ** 2)).over(_by(keys, "lag").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -393,7 +429,9 @@ def significant_lags(acf: DataFrame, keys: list[str], column: str = "acf") -> Da
 def seasonal_period(acf: DataFrame, keys: list[str], least: float = 0.2) -> DataFrame:
     """Per series the strongest local peak of the ACF at lag 2 or more: period, strength."""
     w = _by(keys, "lag")
-    peaks = acf.withColumns({"a": F.lag("acf").over(w), "b": F.lead("acf").over(w)}).filter((F.col("lag") >= 2) & (F.col("acf") > F.col("a")) & (F.col("acf") > F.col("b")) & (F.col("acf") > least))
+    peaks = acf.withColumns({
+        "a": F.lag("acf").over(w), "b": F.lead("acf").over(w)
+    }).filter((F.col("lag") >= 2) & (F.col("acf") > F.col("a")) & (F.col("acf") > F.col("b")) & (F.col("acf") > least))
     return peaks.groupBy(*keys).agg(F.max_by("lag", F.struct("acf", -F.col("lag"))).alias("period"), F.max("acf").alias("strength"))
 
 
@@ -535,22 +573,32 @@ def volatility(s: DataFrame, keys: list[str], window: int) -> DataFrame:
 
 def lag_correlations(s: DataFrame, keys: list[str], lags: int) -> DataFrame:
     """Rows (lag, pearson): correlation of a series with itself ``lag`` positions earlier."""
-    a = s.select(*keys, "value", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"), "pos").select(*keys, F.col("value").alias("x"), "lag", (F.col("pos") + F.col("lag")).alias("pos"))
-    return a.join(s.select(*keys, "pos", F.col("value").alias("y")), [*keys, "pos"]).groupBy(*keys, "lag").agg(correlation(F.col("x"), F.col("y")).alias("pearson"))
+    a = s.select(*keys, "value", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"), "pos").select(
+        *keys, F.col("value").alias("x"), "lag", (F.col("pos") + F.col("lag")).alias("pos")
+    )
+    return a.join(
+        s.select(*keys, "pos", F.col("value").alias("y")), [*keys, "pos"]
+    ).groupBy(*keys, "lag").agg(correlation(F.col("x"), F.col("y")).alias("pearson"))
 
 
 def lag_rank_correlations(s: DataFrame, keys: list[str], lags: int) -> DataFrame:
     """Rows (lag, spearman), ranks taken within each lag's pairs."""
-    a = s.select(*keys, "value", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"), "pos").select(*keys, F.col("value").alias("x"), "lag", (F.col("pos") + F.col("lag")).alias("pos"))
+    a = s.select(*keys, "value", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"), "pos").select(
+        *keys, F.col("value").alias("x"), "lag", (F.col("pos") + F.col("lag")).alias("pos")
+    )
     j = a.join(s.select(*keys, "pos", F.col("value").alias("y")), [*keys, "pos"])
     rank = lambda c: F.rank().over(Window.partitionBy(*keys, "lag").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, "lag", c)) - 1) / 2
-    return j.select(*keys, "lag", rank("x").alias("rx"), rank("y").alias("ry")).groupBy(*keys, "lag").agg(correlation(F.col("rx"), F.col("ry")).alias("spearman"))
+    return j.select(
+        *keys, "lag", rank("x").alias("rx"), rank("y").alias("ry")
+    ).groupBy(*keys, "lag").agg(correlation(F.col("rx"), F.col("ry")).alias("spearman"))
 
 
 def linear_trend(s: DataFrame, keys: list[str]) -> DataFrame:
     """Per series: slope per position, r2, p."""
     x, y = F.col("pos").cast("double"), F.col("value")
-    g = s.filter("value IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_pop(x, y).alias("c"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"))
+    g = s.filter("value IS NOT NULL").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.covar_pop(x, y).alias("c"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy")
+    )
     r = F.try_divide(F.col("c"), F.sqrt(F.col("vx") * F.col("vy")))
     out = g.select(*keys, "n", F.try_divide("c", "vx").alias("slope"), r.alias("r"))
     t = F.when(F.abs("r") < 1, F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") ** 2)))
@@ -612,9 +660,18 @@ def readiness(s: DataFrame, keys: list[str]) -> DataFrame:
     ma = significant_lags(acf, keys).groupBy(*keys).agg(F.min("lag").alias("ma"))
     q = quality(s, keys)
     j = q.join(d, keys, "left").join(seasonal_period(acf, keys), keys, "left").join(pacf, keys, "left").join(ma, keys, "left")
-    issues = F.concat_ws(",", F.when(F.col("rows") < 50, "short"), F.when(F.col("missing_pct") > 5, "missing"), F.when(F.col("irregular_pct") > 10, "irregular"), F.when(F.col("d") > 0, "non_stationary"))
-    models = F.concat_ws(",", F.lit("arima"), F.when(F.col("period").isNotNull(), "seasonal_arima"), F.when(F.col("period").isNotNull(), "holt_winters"), F.when(F.col("rows") < 50, "naive"))
-    order = F.concat_ws(",", F.least(F.coalesce("ar", F.lit(0)), F.lit(3)).cast("string"), F.coalesce("d", F.lit(0)).cast("string"), F.least(F.coalesce("ma", F.lit(0)), F.lit(3)).cast("string"))
+    issues = F.concat_ws(
+        ",", F.when(F.col("rows") < 50, "short"), F.when(F.col("missing_pct") > 5, "missing"), F.when(F.col("irregular_pct") > 10, "irregular"),
+        F.when(F.col("d") > 0, "non_stationary")
+    )
+    models = F.concat_ws(
+        ",", F.lit("arima"), F.when(F.col("period").isNotNull(), "seasonal_arima"), F.when(F.col("period").isNotNull(), "holt_winters"),
+        F.when(F.col("rows") < 50, "naive")
+    )
+    order = F.concat_ws(
+        ",", F.least(F.coalesce("ar", F.lit(0)), F.lit(3)).cast("string"), F.coalesce("d", F.lit(0)).cast("string"),
+        F.least(F.coalesce("ma", F.lit(0)), F.lit(3)).cast("string")
+    )
     return j.select(*keys, issues.alias("issues"), models.alias("models"), order.alias("arima_order"))
 
 
@@ -624,7 +681,10 @@ def _normality(s: DataFrame, keys: list[str]) -> DataFrame:
     return normality(s, keys)
 
 
-GROUPS = {"quality": quality, "describe": describe, "normality": _normality, "stationarity": stationarity, "autocorrelation": autocorrelation, "spectrum": spectrum, "change_points": mean_shifts, "trend": linear_trend, "readiness": readiness}
+GROUPS = {
+    "quality": quality, "describe": describe, "normality": _normality, "stationarity": stationarity, "autocorrelation": autocorrelation,
+    "spectrum": spectrum, "change_points": mean_shifts, "trend": linear_trend, "readiness": readiness
+}
 
 
 def run_timeseries(df: DataFrame, time: str, value: str, keys: list[str], methods: tuple[str, ...] = ("quality", "describe")) -> dict[str, DataFrame]:

@@ -96,7 +96,9 @@ def suggested_types(df: DataFrame, columns: list[str]) -> DataFrame:
     for i, k in enumerate(columns):
         c = name(k).cast("string")
         aggs += [F.count(c).alias(f"n{i}"), F.count(c.try_cast("double")).alias(f"f{i}"), F.count(F.try_to_timestamp(c)).alias(f"t{i}")]
-    rows = F.array(*(F.struct(F.lit(k).alias("column"), F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i}") == F.col(f"f{i}")), "float64").when((F.col(f"n{i}") > 0) & (F.col(f"n{i}") == F.col(f"t{i}")), "datetime64").alias("suggested_dtype")) for i, k in enumerate(columns)))
+    rows = F.array(*(F.struct(F.lit(k).alias("column"), F.when((F.col(f"n{i}") > 0) & (F.col(f"n{i}") == F.col(f"f{i}")), "float64").when(
+        (F.col(f"n{i}") > 0) & (F.col(f"n{i}") == F.col(f"t{i}")), "datetime64"
+    ).alias("suggested_dtype")) for i, k in enumerate(columns)))
     return df.agg(*aggs).select(F.inline(rows))
 
 
@@ -165,7 +167,9 @@ def log_in_place(df: DataFrame, column: str) -> DataFrame:
 
 def log_column(df: DataFrame, column: str, variant: str = "log1p", new_name: str | None = None) -> DataFrame:
     c = name(column)
-    return df.withColumn(new_name or f"{column}_log", F.log1p(c) if variant == "log1p" else F.log(F.when(c.isNotNull(), F.greatest(c.cast("double"), F.lit(1e-9)))))
+    return df.withColumn(
+        new_name or f"{column}_log", F.log1p(c) if variant == "log1p" else F.log(F.when(c.isNotNull(), F.greatest(c.cast("double"), F.lit(1e-9))))
+    )
 
 
 def sqrt_column(df: DataFrame, column: str, new_name: str | None = None) -> DataFrame:
@@ -182,7 +186,9 @@ def bins(df: DataFrame, column: str, k: int = 5, strategy: str = "cut", new_name
     if strategy == "cut":
         s = with_stats(df, __lo=F.min(c).cast("double"), __hi=F.max(c).cast("double"))
         width = (F.col("__hi") - F.col("__lo")) / F.lit(k)
-        code = F.when(width == 0, F.lit(k // 2)).otherwise(F.least(F.greatest(F.ceil((c - F.col("__lo")) / F.nullif(width, F.lit(0.0))) - 1, F.lit(0)), F.lit(k - 1)))
+        code = F.when(width == 0, F.lit(k // 2)).otherwise(F.least(
+            F.greatest(F.ceil((c - F.col("__lo")) / F.nullif(width, F.lit(0.0))) - 1, F.lit(0)), F.lit(k - 1)
+        ))
         code = F.when(c.isNotNull(), code)
     else:
         edges = with_quantiles(df, c, [i / k for i in range(k + 1)]).select(F.array_distinct("q").alias("__edges"))
@@ -237,7 +243,10 @@ def _with_fences(df: DataFrame, c: Column, method: str, lower_pct: float = 1, up
 
 def cap_outliers(df: DataFrame, column: str, method: str = "iqr", lower_pct: float = 1, upper_pct: float = 99) -> DataFrame:
     c = name(column).cast("double")
-    return _replace(_with_fences(df, c, method, lower_pct, upper_pct), column, F.when(c.isNotNull(), F.least(F.greatest(c, F.col("__lo")), F.col("__hi"))), df.columns)
+    return _replace(
+        _with_fences(df, c, method, lower_pct, upper_pct), column, F.when(c.isNotNull(), F.least(F.greatest(c, F.col("__lo")), F.col("__hi"))),
+        df.columns
+    )
 
 
 def drop_outliers(df: DataFrame, column: str, method: str = "iqr", z: float = 3.0) -> DataFrame:
@@ -282,7 +291,10 @@ def datetime_parts(df: DataFrame, column: str, parts: list[str]) -> DataFrame:
     return df.withColumns({f"{column}_{p}": PARTS[p](name(column)) for p in parts})
 
 
-def clean_text(df: DataFrame, column: str, strip: bool = False, lower: bool = False, upper: bool = False, find: str | None = None, replace: str = "", regex: bool = False, alphanumeric: bool = False) -> DataFrame:
+def clean_text(
+    df: DataFrame, column: str, strip: bool = False, lower: bool = False, upper: bool = False, find: str | None = None, replace: str = "",
+    regex: bool = False, alphanumeric: bool = False
+) -> DataFrame:
     """Text operations in a fixed order: strip, lower, upper, replace, strip symbols."""
     c = name(column)
     if strip:

@@ -25,12 +25,17 @@ def shapiro_by(rows: DataFrame, keys: list[str], value: Column, most: int = 5000
     total = counts.groupBy(*keys).agg(F.sum("c").alias("t"))
     draw = F.pmod(F.xxhash64("x"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     take = F.when(F.col("t") <= most, F.col("c")).otherwise(F.floor(F.col("c") * F.lit(float(most)) / F.col("t") + draw))
-    some = counts.join(total, keys).withColumn("take", take).filter("take > 0").select(*keys, "x", (F.col("t") > most).alias("sampled"), F.explode(F.expr("sequence(1, take)")).alias("copy")).drop("copy")
+    some = counts.join(total, keys).withColumn("take", take).filter("take > 0").select(
+        *keys, "x", (F.col("t") > most).alias("sampled"), F.explode(F.expr("sequence(1, take)")).alias("copy")
+    ).drop("copy")
     w = Window.partitionBy(*keys).orderBy("x")  # about ``most`` rows
     means = some.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("x").alias("mean"))
     one = some.withColumn("i", F.row_number().over(w)).join(means, keys)
     one = one.filter("n >= 4").withColumn("m", z_of((F.col("i") - 0.375) / (F.col("n") + 0.25)))
-    s = one.groupBy(*keys).agg(F.max("n").alias("n"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.max("m").alias("m1"), F.max(F.when(F.col("i") == F.col("n") - 1, F.col("m"))).alias("m2"))
+    s = one.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.max("m").alias("m1"),
+        F.max(F.when(F.col("i") == F.col("n") - 1, F.col("m"))).alias("m2")
+    )
     u = 1 / F.sqrt("n")
     a1 = F.col("m1") / F.sqrt("mm") + 0.221157 * u - 0.147981 * u**2 - 2.07119 * u**3 + 4.434685 * u**4 - 2.706056 * u**5
     a2 = F.col("m2") / F.sqrt("mm") + 0.042981 * u - 0.293762 * u**2 - 1.752461 * u**3 + 5.682633 * u**4 - 3.582633 * u**5
@@ -43,7 +48,9 @@ def shapiro_by(rows: DataFrame, keys: list[str], value: Column, most: int = 5000
     a = F.when(F.col("i") == F.col("n"), F.col("a1")).when(F.col("i") == 1, -F.col("a1"))
     a = a.when((F.col("n") > 5) & (F.col("i") == F.col("n") - 1), F.col("a2")).when((F.col("n") > 5) & (F.col("i") == 2), -F.col("a2")).otherwise(rest)
     d = F.col("x") - F.col("mean")
-    out = j.groupBy(*keys).agg(F.max("n").alias("n"), F.max("sampled").alias("sampled"), F.sum(a * F.col("x")).alias("ax"), F.sum(d * d).alias("ss")).select(*keys, "n", "sampled", F.least(F.try_divide(F.col("ax") * F.col("ax"), F.col("ss")), F.lit(1.0 - 1e-15)).alias("w"))
+    out = j.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.max("sampled").alias("sampled"), F.sum(a * F.col("x")).alias("ax"), F.sum(d * d).alias("ss")
+    ).select(*keys, "n", "sampled", F.least(F.try_divide(F.col("ax") * F.col("ax"), F.col("ss")), F.lit(1.0 - 1e-15)).alias("w"))
     ln, y = F.log("n"), F.log(1 - F.col("w"))
     mu, sd = -1.5861 - 0.31082 * ln - 0.083751 * ln**2 + 0.0038915 * ln**3, F.exp(-0.4803 - 0.082676 * ln + 0.0030302 * ln**2)
     n = F.col("n")
@@ -64,7 +71,9 @@ def normality(rows: DataFrame, keys: list[str], value: str = "value", least: int
 
     v = rows.select(*keys, name(value).cast("double").alias("value")).filter("value IS NOT NULL")
     v = v.join(v.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_n")), keys).filter(F.col("rows_n") >= least)
-    short = shapiro_by(v.filter(F.col("rows_n") < choose), keys, F.col("value"), choose).select(*keys, "n", F.lit("shapiro").alias("test"), F.col("w").alias("statistic"), "p")
+    short = shapiro_by(v.filter(F.col("rows_n") < choose), keys, F.col("value"), choose).select(
+        *keys, "n", F.lit("shapiro").alias("test"), F.col("w").alias("statistic"), "p"
+    )
     long = dagostino(v.filter(F.col("rows_n") >= choose), keys).select(*keys, "n", F.lit("dagostino").alias("test"), F.col("k2").alias("statistic"), "p")
     return short.unionByName(long).withColumn("normal", F.col("p") > alpha)
 
@@ -111,11 +120,16 @@ def mann_whitney(df: DataFrame, column: str, group: str, a: str, b: str) -> Data
     counts = _two_counts(df, column, group, a, b).withColumn("n", F.col("na") + F.col("nb"))
     r = running_before(counts, "value", ["n"]).withColumn("rank", F.col("before_n") + (F.col("n") + 1) / 2)
     t = F.col("n").cast("double")
-    s = r.agg(F.sum("na").cast("double").alias("n_a"), F.sum("nb").cast("double").alias("n_b"), F.sum(F.col("na") * F.col("rank")).alias("ra"), F.sum(t * t * t - t).alias("ties")).filter("n_a > 0 AND n_b > 0")
+    s = r.agg(
+        F.sum("na").cast("double").alias("n_a"), F.sum("nb").cast("double").alias("n_b"), F.sum(F.col("na") * F.col("rank")).alias("ra"),
+        F.sum(t * t * t - t).alias("ties")
+    ).filter("n_a > 0 AND n_b > 0")
     s = s.withColumn("u", F.expr("ra - n_a * (n_a + 1) / 2")).withColumn("n", F.expr("n_a + n_b"))
     sd = F.sqrt(F.expr("n_a * n_b / 12 * ((n + 1) - ties / (n * (n - 1)))"))
     z = F.try_divide(F.expr("greatest(u, n_a * n_b - u) - n_a * n_b / 2 - 0.5"), sd)
-    return s.select(F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"), "u", z.alias("z")).withColumn("p", F.least(p_normal(F.greatest("z", F.lit(0.0))), F.lit(1.0)))
+    return s.select(
+        F.col("n_a").cast("long").alias("n_a"), F.col("n_b").cast("long").alias("n_b"), "u", z.alias("z")
+    ).withColumn("p", F.least(p_normal(F.greatest("z", F.lit(0.0))), F.lit(1.0)))
 
 
 def kolmogorov_smirnov(df: DataFrame, column: str, group: str, a: str, b: str) -> DataFrame:

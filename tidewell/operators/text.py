@@ -48,7 +48,9 @@ def overview(df: DataFrame, column: str) -> DataFrame:
         F.avg(F.when(full, n)).alias("mean_length"), F.percentile(F.when(full, n), F.lit(0.5)).alias("median_length"), F.min(F.when(full, n)).alias("min_length"), F.max(F.when(full, n)).alias("max_length"),
         F.avg(F.when(full, special)).alias("special_ratio"),
     )
-    d = rows.filter(t.isNotNull()).groupBy(F.xxhash64("text").alias("h"), F.sha1("text").alias("s")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+    d = rows.filter(t.isNotNull()).groupBy(
+        F.xxhash64("text").alias("h"), F.sha1("text").alias("s")
+    ).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
     return a.crossJoin(F.broadcast(d)).withColumns({f"{k}_pct": share(F.col(k), F.col("rows")) for k in ("missing", "blank", "duplicates")})
 
 
@@ -63,7 +65,10 @@ def length_outliers(df: DataFrame, column: str) -> DataFrame:
     """One row (too_short, too_long): at most two characters; beyond the upper fence."""
     n = _column(df, column).filter("text IS NOT NULL AND trim(text) <> ''").select(F.length("text").cast("double").alias("n"))
     q = n.agg(F.percentile("n", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    return n.crossJoin(F.broadcast(q)).agg(F.count_if(F.col("n") <= 2).alias("too_short"), F.count_if(F.col("n") > F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("too_long"))
+    return n.crossJoin(F.broadcast(q)).agg(
+        F.count_if(F.col("n") <= 2).alias("too_short"),
+        F.count_if(F.col("n") > F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("too_long")
+    )
 
 
 def length_histogram(df: DataFrame, column: str, unit: str = "chars") -> DataFrame:
@@ -103,7 +108,9 @@ def ngrams(df: DataFrame, column: str, n: int) -> DataFrame:
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
     """One row: tokens, vocabulary, type_token_ratio, mean and median words per text."""
     c = word_counts(df, column, stop_words=False).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("vocabulary"))
-    per = _column(df, column).filter("text IS NOT NULL").select(F.size(tokens(F.col("text"))).alias("s")).agg(F.avg("s").alias("mean_words"), F.percentile("s", F.lit(0.5)).alias("median_words"))
+    per = _column(df, column).filter("text IS NOT NULL").select(F.size(tokens(F.col("text"))).alias("s")).agg(
+        F.avg("s").alias("mean_words"), F.percentile("s", F.lit(0.5)).alias("median_words")
+    )
     return c.withColumn("type_token_ratio", F.try_divide(F.col("vocabulary"), F.col("tokens"))).crossJoin(F.broadcast(per))
 
 
@@ -145,9 +152,14 @@ def language_votes(df: DataFrame, column: str, key: str) -> DataFrame:
 
 def personal_data(df: DataFrame, column: str, samples: int = 5) -> DataFrame:
     """Rows (kind, matches, distinct_values, samples) of e-mail addresses, URLs and phone numbers."""
-    found = F.array(*(F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("text", F.lit(p), 0).alias("v")) for k, p in (("email", EMAIL), ("url", URL), ("phone", PHONE))))
+    found = F.array(*(
+        F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("text", F.lit(p), 0).alias("v")) for k,
+        p in (("email", EMAIL), ("url", URL), ("phone", PHONE))
+    ))
     long = _column(df, column).filter("text IS NOT NULL").select(F.explode(found).alias("x")).select("x.kind", F.explode("x.v").alias("value"))
     counts = long.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    first = counts.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("value"))).filter(F.col("r") <= samples).groupBy("kind").agg(F.array_sort(F.collect_list("value")).alias("samples"))
+    first = counts.withColumn(
+        "r", F.row_number().over(Window.partitionBy("kind").orderBy("value"))
+    ).filter(F.col("r") <= samples).groupBy("kind").agg(F.array_sort(F.collect_list("value")).alias("samples"))
     g = counts.groupBy("kind").agg(F.sum("n").alias("matches"), F.count(F.lit(1)).alias("distinct_values"))
     return g.join(F.broadcast(first), "kind")

@@ -19,7 +19,9 @@ def _r(df, digits, *columns):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-_PEARSON = " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) AS r, count(*) AS n FROM lineitem" for a, b in A.numeric_pairs(NUM))
+_PEARSON = " UNION ALL ".join(
+    f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) AS r, count(*) AS n FROM lineitem" for a, b in A.numeric_pairs(NUM)
+)
 
 
 @query("h01_pearson", _PEARSON)
@@ -35,7 +37,10 @@ def g13(spark, d):
 _RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
 
 
-@query("h02_spearman", f"WITH r AS (SELECT {_RANK.format('l_quantity')} AS a, {_RANK.format('l_extendedprice')} AS b FROM lineitem) SELECT round(corr(a, b), 6) AS r, count(*) AS n FROM r")
+@query(
+    "h02_spearman",
+    f"WITH r AS (SELECT {_RANK.format('l_quantity')} AS a, {_RANK.format('l_extendedprice')} AS b FROM lineitem) SELECT round(corr(a, b), 6) AS r, count(*) AS n FROM r"
+)
 def h02(spark, d):
     return _r(A.spearman(t(spark, d, "lineitem"), "l_quantity", "l_extendedprice"), 6, "r")
 
@@ -64,7 +69,10 @@ _PHI = "greatest(0, chi2 / n - (k - 1) * (l - 1) / (n - 1))"
 _LOW = "least(k - (k - 1) * (k - 1) / (n - 1), l - (l - 1) * (l - 1) / (n - 1)) - 1"
 
 
-@query("h06_cramers_v", f"{_CTL} SELECT CAST(n AS BIGINT) AS n, round(chi2, 3) AS chi2, CAST((k - 1) * (l - 1) AS BIGINT) AS dof, round(sqrt({_PHI} / ({_LOW})), 6) AS cramers_v FROM g")
+@query(
+    "h06_cramers_v",
+    f"{_CTL} SELECT CAST(n AS BIGINT) AS n, round(chi2, 3) AS chi2, CAST((k - 1) * (l - 1) AS BIGINT) AS dof, round(sqrt({_PHI} / ({_LOW})), 6) AS cramers_v FROM g"
+)
 def h06(spark, d):
     return _r(_r(A.categorical_matrix(t(spark, d, "lineitem"), CAT), 6, "cramers_v"), 3, "chi2").select("n", "chi2", "dof", "cramers_v")
 
@@ -75,12 +83,17 @@ def h07(spark, d):
 
 
 # with two degrees of freedom the tail of chi-square is exp(-x / 2)
-@query("h08_chi2_p", f"{_CTL} SELECT CAST(n AS BIGINT) AS n, round(chi2, 3) AS chi2, CAST((k - 1) * (l - 1) AS BIGINT) AS dof, round(exp(-chi2 / 2), 6) AS p FROM g")
+@query(
+    "h08_chi2_p",
+    f"{_CTL} SELECT CAST(n AS BIGINT) AS n, round(chi2, 3) AS chi2, CAST((k - 1) * (l - 1) AS BIGINT) AS dof, round(exp(-chi2 / 2), 6) AS p FROM g"
+)
 def h08(spark, d):
     return _r(_r(A.chi2_test(t(spark, d, "lineitem"), "l_returnflag", "l_linestatus"), 3, "chi2"), 6, "p")
 
 
-@query("h09_categorical_matrix", " UNION ALL ".join(f"SELECT * FROM ({_CT.format(a=a, b=b, t='customer_orders')} SELECT '{a}' AS column_a, '{b}' AS column_b, CAST(n AS BIGINT) AS n, round(chi2, 3) AS chi2, CAST((k - 1) * (l - 1) AS BIGINT) AS dof FROM g)".replace("customer_orders", "(SELECT c_mktsegment, o_orderstatus, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey)") for a, b in A.numeric_pairs(["c_mktsegment", "o_orderstatus", "o_orderpriority"])))
+@query("h09_categorical_matrix", " UNION ALL ".join(f"SELECT * FROM ({_CT.format(a=a, b=b, t='customer_orders')} SELECT '{a}' AS column_a, '{b}' AS column_b, CAST(n AS BIGINT) AS n, round(chi2, 3) AS chi2, CAST((k - 1) * (l - 1) AS BIGINT) AS dof FROM g)".replace(
+    "customer_orders", "(SELECT c_mktsegment, o_orderstatus, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey)"
+) for a, b in A.numeric_pairs(["c_mktsegment", "o_orderstatus", "o_orderpriority"])))
 def h09(spark, d):
     df = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return _r(A.categorical_matrix(df, ["c_mktsegment", "o_orderstatus", "o_orderpriority"]), 3, "chi2").select("column_a", "column_b", "n", "chi2", "dof")
@@ -108,7 +121,10 @@ def h12(spark, d):
 _RB = f"WITH r AS (SELECT l_linestatus AS c, {_RANK.format('l_quantity')} AS k FROM lineitem), g AS (SELECT sum(k) FILTER (WHERE c = 'F') - count(*) FILTER (WHERE c = 'F') * (count(*) FILTER (WHERE c = 'F') + 1) / 2 AS u, count(*) FILTER (WHERE c = 'F') AS n1, count(*) FILTER (WHERE c = 'O') AS n2 FROM r)"
 
 
-@query("h13_rank_biserial", f"{_RB} SELECT 'F' AS level_1, 'O' AS level_2, round(CAST(u AS DOUBLE), 3) AS u, round(1 - 2 * u / (n1::DOUBLE * n2), 6) AS r FROM g")
+@query(
+    "h13_rank_biserial",
+    f"{_RB} SELECT 'F' AS level_1, 'O' AS level_2, round(CAST(u AS DOUBLE), 3) AS u, round(1 - 2 * u / (n1::DOUBLE * n2), 6) AS r FROM g"
+)
 def h13(spark, d):
     return _r(_r(A.rank_biserial(t(spark, d, "lineitem"), "l_quantity", "l_linestatus"), 6, "r"), 3, "u")
 
@@ -123,12 +139,18 @@ def h15(spark, d):
     return _r(A.strongest(A.pearson(t(spark, d, "lineitem"), NUM), "r", 2), 6, "r")
 
 
-@query("h16_column_roles", f"{O}SELECT 'o_orderkey' AS column_name, 'numeric' AS role, count(DISTINCT o_orderkey) AS distinct_n FROM o UNION ALL SELECT 'prio', 'categorical', count(DISTINCT prio) FROM o UNION ALL SELECT 'o_orderdate', 'datetime', count(DISTINCT o_orderdate) FROM o UNION ALL SELECT 'nothing', 'empty', 0")
+@query(
+    "h16_column_roles",
+    f"{O}SELECT 'o_orderkey' AS column_name, 'numeric' AS role, count(DISTINCT o_orderkey) AS distinct_n FROM o UNION ALL SELECT 'prio', 'categorical', count(DISTINCT prio) FROM o UNION ALL SELECT 'o_orderdate', 'datetime', count(DISTINCT o_orderdate) FROM o UNION ALL SELECT 'nothing', 'empty', 0"
+)
 def h16(spark, d):
     return A.column_roles(orders(spark, d).select("o_orderkey", "prio", "o_orderdate", F.lit(None).cast("double").alias("nothing")))
 
 
-@query("h17_insights", "SELECT 'correlation' AS kind, printf('l_quantity and twice: r = %.2f', corr(l_quantity, 2 * l_quantity + l_tax)) AS message, 'critical' AS severity FROM lineitem")
+@query(
+    "h17_insights",
+    "SELECT 'correlation' AS kind, printf('l_quantity and twice: r = %.2f', corr(l_quantity, 2 * l_quantity + l_tax)) AS message, 'critical' AS severity FROM lineitem"
+)
 def h17(spark, d):
     df = t(spark, d, "lineitem").withColumn("twice", 2 * F.col("l_quantity") + F.col("l_tax"))
     return A.insights(numeric=A.pearson(df, ["l_quantity", "l_discount", "twice"]))
@@ -149,7 +171,10 @@ def g16(spark, d):
     return S.normality_table(t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey"))
 
 
-@query("i08_verdict", "SELECT n_a, n_b, CASE WHEN abs((ma - mb) / sqrt(va / n_a + vb / n_b)) > 1.96 THEN 'significant' ELSE 'not significant' END AS verdict FROM (SELECT count(*) FILTER (WHERE l_returnflag = 'A') AS n_a, count(*) FILTER (WHERE l_returnflag = 'N') AS n_b, avg(l_shipped) FILTER (WHERE l_returnflag = 'A') AS ma, avg(l_shipped) FILTER (WHERE l_returnflag = 'N') AS mb, var_samp(l_shipped) FILTER (WHERE l_returnflag = 'A') AS va, var_samp(l_shipped) FILTER (WHERE l_returnflag = 'N') AS vb FROM (SELECT l_returnflag, epoch(CAST(l_shipdate AS TIMESTAMP)) / 86400 AS l_shipped FROM lineitem))")
+@query(
+    "i08_verdict",
+    "SELECT n_a, n_b, CASE WHEN abs((ma - mb) / sqrt(va / n_a + vb / n_b)) > 1.96 THEN 'significant' ELSE 'not significant' END AS verdict FROM (SELECT count(*) FILTER (WHERE l_returnflag = 'A') AS n_a, count(*) FILTER (WHERE l_returnflag = 'N') AS n_b, avg(l_shipped) FILTER (WHERE l_returnflag = 'A') AS ma, avg(l_shipped) FILTER (WHERE l_returnflag = 'N') AS mb, var_samp(l_shipped) FILTER (WHERE l_returnflag = 'A') AS va, var_samp(l_shipped) FILTER (WHERE l_returnflag = 'N') AS vb FROM (SELECT l_returnflag, epoch(CAST(l_shipdate AS TIMESTAMP)) / 86400 AS l_shipped FROM lineitem))"
+)
 def i08(spark, d):
     df = t(spark, d, "lineitem").selectExpr("l_returnflag", "CAST(CAST(l_shipdate AS TIMESTAMP) AS DOUBLE) / 86400 AS l_shipped")
     return S.run_test(df, "ttest_ind", "l_shipped", "l_returnflag", "A", "N").select("n_a", "n_b", "verdict")
@@ -165,7 +190,10 @@ def i03(spark, d):
     return _r(S.anova(t(spark, d, "orders"), "o_totalprice", "o_orderpriority"), 4, "f").select("n", "groups", "f")
 
 
-@query("i04_welch", "SELECT na AS n_a, nb AS n_b, round((ma - mb) / sqrt(va / na + vb / nb), 6) AS t, round(power(va / na + vb / nb, 2) / (power(va / na, 2) / (na - 1) + power(vb / nb, 2) / (nb - 1)), 4) AS dof FROM (SELECT count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS na, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS nb, avg(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT') AS ma, avg(o_totalprice) FILTER (WHERE o_orderpriority = '5-LOW') AS mb, var_samp(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT') AS va, var_samp(o_totalprice) FILTER (WHERE o_orderpriority = '5-LOW') AS vb FROM orders)")
+@query(
+    "i04_welch",
+    "SELECT na AS n_a, nb AS n_b, round((ma - mb) / sqrt(va / na + vb / nb), 6) AS t, round(power(va / na + vb / nb, 2) / (power(va / na, 2) / (na - 1) + power(vb / nb, 2) / (nb - 1)), 4) AS dof FROM (SELECT count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS na, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS nb, avg(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT') AS ma, avg(o_totalprice) FILTER (WHERE o_orderpriority = '5-LOW') AS mb, var_samp(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT') AS va, var_samp(o_totalprice) FILTER (WHERE o_orderpriority = '5-LOW') AS vb FROM orders)"
+)
 def i04(spark, d):
     return _r(_r(S.welch(t(spark, d, "orders"), "o_totalprice", "o_orderpriority", "1-URGENT", "5-LOW"), 6, "t"), 4, "dof").select("n_a", "n_b", "t", "dof")
 
@@ -173,12 +201,18 @@ def i04(spark, d):
 _MW = f"WITH x AS (SELECT l_quantity AS v, l_returnflag AS c FROM lineitem WHERE l_returnflag IN ('A', 'N')), r AS (SELECT c, {_RANK.format('v')} AS k FROM x)"
 
 
-@query("i05_mann_whitney", f"{_MW} SELECT count(*) FILTER (WHERE c = 'A') AS n_a, count(*) FILTER (WHERE c = 'N') AS n_b, round(CAST(sum(k) FILTER (WHERE c = 'A') AS DOUBLE) - count(*) FILTER (WHERE c = 'A') * (count(*) FILTER (WHERE c = 'A') + 1) / 2, 3) AS u FROM r")
+@query(
+    "i05_mann_whitney",
+    f"{_MW} SELECT count(*) FILTER (WHERE c = 'A') AS n_a, count(*) FILTER (WHERE c = 'N') AS n_b, round(CAST(sum(k) FILTER (WHERE c = 'A') AS DOUBLE) - count(*) FILTER (WHERE c = 'A') * (count(*) FILTER (WHERE c = 'A') + 1) / 2, 3) AS u FROM r"
+)
 def i05(spark, d):
     return _r(S.mann_whitney(t(spark, d, "lineitem"), "l_quantity", "l_returnflag", "A", "N"), 3, "u").select("n_a", "n_b", "u")
 
 
-@query("i06_kolmogorov_smirnov", "WITH x AS (SELECT o_totalprice AS v, o_orderstatus AS c FROM orders WHERE o_orderstatus IN ('F', 'O')), k AS (SELECT count(*) FILTER (WHERE c = 'F') AS na, count(*) FILTER (WHERE c = 'O') AS nb FROM x), r AS (SELECT v, sum(count(*) FILTER (WHERE c = 'F')) OVER (ORDER BY v) AS a, sum(count(*) FILTER (WHERE c = 'O')) OVER (ORDER BY v) AS b FROM x GROUP BY v) SELECT na AS n_a, nb AS n_b, round(max(abs(a / na - b / nb)), 6) AS d FROM r, k GROUP BY 1, 2")
+@query(
+    "i06_kolmogorov_smirnov",
+    "WITH x AS (SELECT o_totalprice AS v, o_orderstatus AS c FROM orders WHERE o_orderstatus IN ('F', 'O')), k AS (SELECT count(*) FILTER (WHERE c = 'F') AS na, count(*) FILTER (WHERE c = 'O') AS nb FROM x), r AS (SELECT v, sum(count(*) FILTER (WHERE c = 'F')) OVER (ORDER BY v) AS a, sum(count(*) FILTER (WHERE c = 'O')) OVER (ORDER BY v) AS b FROM x GROUP BY v) SELECT na AS n_a, nb AS n_b, round(max(abs(a / na - b / nb)), 6) AS d FROM r, k GROUP BY 1, 2"
+)
 def i06(spark, d):
     return _r(S.kolmogorov_smirnov(t(spark, d, "orders"), "o_totalprice", "o_orderstatus", "F", "O"), 6, "d").drop("p")
 
@@ -192,7 +226,10 @@ _SPIKED = "(SELECT CASE WHEN l_orderkey % 997 = 0 AND l_linenumber = 1 THEN l_ex
 
 
 def _spiked(spark, d):
-    return t(spark, d, "lineitem").selectExpr("CASE WHEN l_orderkey % 997 = 0 AND l_linenumber = 1 THEN l_extendedprice * 20 ELSE l_extendedprice END AS price", "l_quantity AS qty", "l_orderkey", "l_linenumber")
+    return t(spark, d, "lineitem").selectExpr(
+        "CASE WHEN l_orderkey % 997 = 0 AND l_linenumber = 1 THEN l_extendedprice * 20 ELSE l_extendedprice END AS price", "l_quantity AS qty",
+        "l_orderkey", "l_linenumber"
+    )
 
 
 def _fence_sql(c):
@@ -212,7 +249,10 @@ def g17(spark, d):
     return _r(U.outlier_summary(_spiked(spark, d), ["price", "qty"]), 4, "pct").select("column_name", "outliers", "pct")
 
 
-@query("j02_z_scores", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n, count(*) FILTER (WHERE abs({c} - m) > 3 * s) AS outliers, round(any_value(m), 3) AS mean, round(any_value(sd), 3) AS std FROM {_SPIKED}, (SELECT avg({c}) AS m, stddev_pop({c}) AS s, stddev_samp({c}) AS sd FROM {_SPIKED})" for c in ("price", "qty")))
+@query(
+    "j02_z_scores",
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n, count(*) FILTER (WHERE abs({c} - m) > 3 * s) AS outliers, round(any_value(m), 3) AS mean, round(any_value(sd), 3) AS std FROM {_SPIKED}, (SELECT avg({c}) AS m, stddev_pop({c}) AS s, stddev_samp({c}) AS sd FROM {_SPIKED})" for c in ("price", "qty"))
+)
 def j02(spark, d):
     return _r(U.z_scores(_spiked(spark, d), ["price", "qty"]), 3, "mean", "std").drop("pct")
 
@@ -226,12 +266,18 @@ def j03(spark, d):
 _DB = "WITH s AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS s, avg(k) AS mk, stddev_pop(k) AS sk FROM (SELECT c_acctbal, c_custkey * c_custkey % 1009 AS k FROM customer)), z AS (SELECT c_custkey, (c_acctbal - m) / s AS x, (c_custkey * c_custkey % 1009 - mk) / sk AS y FROM customer, s), n AS (SELECT a.c_custkey, count(*) AS neighbours FROM z a JOIN z b ON power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 0.0064 GROUP BY 1), core AS (SELECT z.* FROM z JOIN n USING (c_custkey) WHERE neighbours >= 5)"
 
 
-@query("j04_density_noise", f"{_DB} SELECT n.c_custkey, neighbours, NOT EXISTS (SELECT 1 FROM core c, z WHERE z.c_custkey = n.c_custkey AND power(z.x - c.x, 2) + power(z.y - c.y, 2) <= 0.0064) AS noise FROM n")
+@query(
+    "j04_density_noise",
+    f"{_DB} SELECT n.c_custkey, neighbours, NOT EXISTS (SELECT 1 FROM core c, z WHERE z.c_custkey = n.c_custkey AND power(z.x - c.x, 2) + power(z.y - c.y, 2) <= 0.0064) AS noise FROM n"
+)
 def j04(spark, d):
     df = t(spark, d, "customer").selectExpr("c_custkey", "c_acctbal", "c_custkey * c_custkey % 1009 AS k")
     return U.density_noise(df, ["c_acctbal", "k"], "c_custkey", eps=0.08)
 
 
-@query("j05_outlier_rows", f"SELECT count(*) AS outlier_rows FROM {_SPIKED}, (SELECT quantile_cont(price, 0.25) AS a, quantile_cont(price, 0.75) AS b, quantile_cont(qty, 0.25) AS c, quantile_cont(qty, 0.75) AS e FROM {_SPIKED}) WHERE price < a - 1.5 * (b - a) OR price > b + 1.5 * (b - a) OR qty < c - 1.5 * (e - c) OR qty > e + 1.5 * (e - c)")
+@query(
+    "j05_outlier_rows",
+    f"SELECT count(*) AS outlier_rows FROM {_SPIKED}, (SELECT quantile_cont(price, 0.25) AS a, quantile_cont(price, 0.75) AS b, quantile_cont(qty, 0.25) AS c, quantile_cont(qty, 0.75) AS e FROM {_SPIKED}) WHERE price < a - 1.5 * (b - a) OR price > b + 1.5 * (b - a) OR qty < c - 1.5 * (e - c) OR qty > e + 1.5 * (e - c)"
+)
 def j05(spark, d):
     return U.outlier_rows(_spiked(spark, d), ["price", "qty"])[1]

@@ -20,19 +20,28 @@ _W = f"WITH {_F} "
 
 def _features(spark, d):
     docs = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
-    return docs.selectExpr("quality", "cast(length(text) as bigint) AS len", "cast(size(split(text, ' ')) as bigint) AS words", "cast(size(split(text, '\\n')) as bigint) AS lines", "lang", "doc_id % 2 AS odd")
+    return docs.selectExpr(
+        "quality", "cast(length(text) as bigint) AS len", "cast(size(split(text, ' ')) as bigint) AS words",
+        "cast(size(split(text, '\\n')) as bigint) AS lines", "lang", "doc_id % 2 AS odd"
+    )
 
 
 def _cls(spark, d):
     return _features(spark, d).withColumn("quality", F.col("quality").cast("string"))
 
 
-@query("k01_problem_type", "SELECT 'regression' AS problem_type, count(DISTINCT o_totalprice) AS classes, count(*) AS rows FROM orders UNION ALL SELECT 'classification', count(DISTINCT quality), count(*) FROM labels")
+@query(
+    "k01_problem_type",
+    "SELECT 'regression' AS problem_type, count(DISTINCT o_totalprice) AS classes, count(*) AS rows FROM orders UNION ALL SELECT 'classification', count(DISTINCT quality), count(*) FROM labels"
+)
 def k01(spark, d):
     return K.problem_type(t(spark, d, "orders"), "o_totalprice").unionByName(K.problem_type(t(spark, d, "labels"), "quality"))
 
 
-@query("k02_class_distribution", "SELECT CAST(quality AS VARCHAR) AS value, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM labels), 4) AS pct FROM labels GROUP BY 1")
+@query(
+    "k02_class_distribution",
+    "SELECT CAST(quality AS VARCHAR) AS value, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM labels), 4) AS pct FROM labels GROUP BY 1"
+)
 def k02(spark, d):
     return _r(K.class_distribution(t(spark, d, "labels"), "quality"), 4, "pct")
 
@@ -45,7 +54,10 @@ def k03(spark, d):
     return rows.select(F.size(vector_to_array("features")).alias("width"), "label").groupBy("width", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k04_feature_metadata", f"{_W}SELECT 'len' AS feature, 'bigint' AS dtype, 0.0::DOUBLE AS missing_pct, count(DISTINCT len) AS distinct_n FROM f UNION ALL SELECT 'words', 'bigint', 0.0, count(DISTINCT words) FROM f UNION ALL SELECT 'lines', 'bigint', 0.0, count(DISTINCT lines) FROM f UNION ALL SELECT 'lang', 'string', 0.0, count(DISTINCT lang) FROM f UNION ALL SELECT 'odd', 'bigint', 0.0, count(DISTINCT odd) FROM f")
+@query(
+    "k04_feature_metadata",
+    f"{_W}SELECT 'len' AS feature, 'bigint' AS dtype, 0.0::DOUBLE AS missing_pct, count(DISTINCT len) AS distinct_n FROM f UNION ALL SELECT 'words', 'bigint', 0.0, count(DISTINCT words) FROM f UNION ALL SELECT 'lines', 'bigint', 0.0, count(DISTINCT lines) FROM f UNION ALL SELECT 'lang', 'string', 0.0, count(DISTINCT lang) FROM f UNION ALL SELECT 'odd', 'bigint', 0.0, count(DISTINCT odd) FROM f"
+)
 def k04(spark, d):
     return K.feature_metadata(_features(spark, d), "quality")
 
@@ -99,20 +111,31 @@ def k09(spark, d):
     return _r(K.associations(_orders(spark, d), "o_totalprice"), 4, "f_score").select("feature", "f_score")
 
 
-@query("k10_combined_rank", f"WITH a AS ({_AS}), s AS (SELECT feature, row_number() OVER (ORDER BY strength DESC, feature) AS x, row_number() OVER (ORDER BY f_score DESC, feature) AS y FROM a) SELECT feature, (x + y) / 2 AS combined_rank FROM s")
+@query(
+    "k10_combined_rank",
+    f"WITH a AS ({_AS}), s AS (SELECT feature, row_number() OVER (ORDER BY strength DESC, feature) AS x, row_number() OVER (ORDER BY f_score DESC, feature) AS y FROM a) SELECT feature, (x + y) / 2 AS combined_rank FROM s"
+)
 def k10(spark, d):
     a = K.associations(_orders(spark, d), "o_totalprice").cache()
     return K.combined_rank({"x": (a, "strength"), "y": (a, "f_score")})
 
 
-@query("k11_recommendations", f"{_W.rstrip()}, m AS ({_MI}) SELECT feature, CASE WHEN mi / (SELECT sum(mi) FROM m) < 0.3 / 5 AND mi < 0.005 THEN 'drop' WHEN mi / (SELECT sum(mi) FROM m) > 2.5 / 5 THEN 'keep' ELSE 'review' END AS recommendation FROM m")
+@query(
+    "k11_recommendations",
+    f"{_W.rstrip()}, m AS ({_MI}) SELECT feature, CASE WHEN mi / (SELECT sum(mi) FROM m) < 0.3 / 5 AND mi < 0.005 THEN 'drop' WHEN mi / (SELECT sum(mi) FROM m) > 2.5 / 5 THEN 'keep' ELSE 'review' END AS recommendation FROM m"
+)
 def k11(spark, d):
     m = K.mutual_information(_cls(spark, d), "quality", ["len", "words", "lines", "lang", "odd"])
-    m = m.crossJoin(F.broadcast(m.agg(F.sum("mi").alias("all")))).select("feature", (F.col("mi") / F.col("all")).alias("importance"), "mi", F.lit(0.0).alias("missing_pct"))
+    m = m.crossJoin(F.broadcast(m.agg(F.sum("mi").alias("all")))).select(
+        "feature", (F.col("mi") / F.col("all")).alias("importance"), "mi", F.lit(0.0).alias("missing_pct")
+    )
     return K.recommendations(m, 5).select("feature", "recommendation")
 
 
-@query("k12_warnings", "SELECT CASE WHEN pct > 80 THEN 'severe_imbalance' ELSE 'imbalance' END AS kind, value AS subject, round(pct, 4) AS value FROM (SELECT CAST(quality AS VARCHAR) AS value, 100.0 * count(*) / (SELECT count(*) FROM labels) AS pct FROM labels GROUP BY 1 ORDER BY count(*) DESC LIMIT 1) WHERE pct > 65 UNION ALL SELECT 'few_rows', 'quality', count(*) FROM labels HAVING count(*) < 100")
+@query(
+    "k12_warnings",
+    "SELECT CASE WHEN pct > 80 THEN 'severe_imbalance' ELSE 'imbalance' END AS kind, value AS subject, round(pct, 4) AS value FROM (SELECT CAST(quality AS VARCHAR) AS value, 100.0 * count(*) / (SELECT count(*) FROM labels) AS pct FROM labels GROUP BY 1 ORDER BY count(*) DESC LIMIT 1) WHERE pct > 65 UNION ALL SELECT 'few_rows', 'quality', count(*) FROM labels HAVING count(*) < 100"
+)
 def k12(spark, d):
     return _r(K.warnings(t(spark, d, "labels").withColumn("quality", F.col("quality").cast("string")), "quality"), 4, "value")
 
@@ -123,7 +146,10 @@ def k13(spark, d):
     return _r(K.leakage(K.associations(df, "o_totalprice")), 6, "strength")
 
 
-@query("k14_redundant_groups", "SELECT unnest(['a', 'b', 'c']) AS feature, 'a' AS group_id, round(greatest(abs(corr(a, b)), abs(corr(b, c)), abs(corr(a, c))), 6) AS strength FROM (SELECT l_quantity AS a, 2 * l_quantity + 1 AS b, l_quantity + 10 * l_tax AS c, l_discount AS d FROM lineitem)")
+@query(
+    "k14_redundant_groups",
+    "SELECT unnest(['a', 'b', 'c']) AS feature, 'a' AS group_id, round(greatest(abs(corr(a, b)), abs(corr(b, c)), abs(corr(a, c))), 6) AS strength FROM (SELECT l_quantity AS a, 2 * l_quantity + 1 AS b, l_quantity + 10 * l_tax AS c, l_discount AS d FROM lineitem)"
+)
 def k14(spark, d):
     df = t(spark, d, "lineitem").selectExpr("l_quantity AS a", "2 * l_quantity + 1 AS b", "l_quantity + 10 * l_tax AS c", "l_discount AS d")
     return _r(K.redundant_groups(df, ["a", "b", "c", "d"]), 6, "strength")

@@ -21,17 +21,27 @@ def _profile_sql(table: str, columns: dict[str, tuple[str, str]]) -> str:
     for c, (dtype, kind) in columns.items():
         x = f"CAST({c} AS DOUBLE)"
         num = kind == "numeric"
-        stats = {"min": f"min({x})", "max": f"max({x})", "mean": f"round(avg({x}), 5)", "median": f"round(quantile_cont({x}, 0.5), 6)", "std": f"round(stddev_samp({x}), 6)", "skewness": f"round(skewness({x}), 6)", "kurtosis": f"round(kurtosis({x}), 6)"}
+        stats = {
+            "min": f"min({x})", "max": f"max({x})", "mean": f"round(avg({x}), 5)", "median": f"round(quantile_cont({x}, 0.5), 6)",
+            "std": f"round(stddev_samp({x}), 6)", "skewness": f"round(skewness({x}), 6)", "kurtosis": f"round(kurtosis({x}), 6)"
+        }
         semantic = f"CASE WHEN '{kind}' = 'datetime' THEN 'datetime' WHEN count(DISTINCT {c}) <= 1 THEN 'constant' WHEN count(DISTINCT {c}) / count(*) > 0.95 AND count(DISTINCT {c}) > 100 THEN 'id_like' WHEN '{kind}' = 'numeric' THEN 'numeric' WHEN avg(length(CAST({c} AS VARCHAR))) > 50 THEN 'text' ELSE 'categorical' END"
-        parts.append(f"SELECT '{c}' AS column_name, '{dtype}' AS dtype, {semantic} AS semantic_type, count(*) AS total, count(*) - count({c}) AS missing, round(100.0 * (count(*) - count({c})) / count(*), 4) AS missing_pct, count(DISTINCT {c}) AS distinct_n, round(count(DISTINCT {c}) / count(*) * 100, 4) AS distinct_pct, " + ", ".join(f"{e if num else 'CAST(NULL AS DOUBLE)'} AS \"{k}\"" for k, e in stats.items()) + f" FROM {table}")
+        parts.append(f"SELECT '{c}' AS column_name, '{dtype}' AS dtype, {semantic} AS semantic_type, count(*) AS total, count(*) - count({c}) AS missing, round(100.0 * (count(*) - count({c})) / count(*), 4) AS missing_pct, count(DISTINCT {c}) AS distinct_n, round(count(DISTINCT {c}) / count(*) * 100, 4) AS distinct_pct, " + ", ".join(
+            f"{e if num else 'CAST(NULL AS DOUBLE)'} AS \"{k}\"" for k, e in stats.items()
+        ) + f" FROM {table}")
     return " UNION ALL ".join(parts)
 
 
 def _rounded(p):
-    return p.select("column_name", "dtype", "semantic_type", "total", "missing", F.round("missing_pct", 4).alias("missing_pct"), "distinct_n", F.round("distinct_pct", 4).alias("distinct_pct"), "min", "max", *(F.round(c, 5 if c == "mean" else 6).alias(c) for c in P.STATS[2:]))
+    return p.select(
+        "column_name", "dtype", "semantic_type", "total", "missing", F.round("missing_pct", 4).alias("missing_pct"), "distinct_n",
+        F.round("distinct_pct", 4).alias("distinct_pct"), "min", "max", *(F.round(c, 5 if c == "mean" else 6).alias(c) for c in P.STATS[2:])
+    )
 
 
-_LINE_SQL = _profile_sql("lineitem", {c: ({"l_returnflag": "string", "l_linestatus": "string"}.get(c, "bigint" if "key" in c else "double"), "text" if c in LINE[-2:] else "numeric") for c in LINE})
+_LINE_SQL = _profile_sql("lineitem", {c: (
+    {"l_returnflag": "string", "l_linestatus": "string"}.get(c, "bigint" if "key" in c else "double"), "text" if c in LINE[-2:] else "numeric"
+) for c in LINE})
 
 
 @query("f01_column_profile", _LINE_SQL)
@@ -39,7 +49,10 @@ def f01(spark, d):
     return _rounded(P.column_profile(t(spark, d, "lineitem").select(*LINE)))
 
 
-_MIX = {"o_orderkey": ("bigint", "numeric"), "price": ("double", "numeric"), "o_orderdate": ("timestamp_ntz", "datetime"), "prio": ("string", "text"), "k": ("int", "numeric")}
+_MIX = {
+    "o_orderkey": ("bigint", "numeric"), "price": ("double", "numeric"), "o_orderdate": ("timestamp_ntz", "datetime"), "prio": ("string", "text"),
+    "k": ("int", "numeric")
+}
 _M = O.rstrip() + ", m AS (SELECT o_orderkey, price, o_orderdate, prio, CAST(1 AS INTEGER) AS k FROM o) "
 
 
@@ -86,12 +99,18 @@ def f07(spark, d):
 _DUP = "SELECT o_custkey, o_orderstatus FROM orders"
 
 
-@query("f08_duplicates", f"SELECT count(*) AS total, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM ({_DUP}))) AS duplicate_rows, round(100.0 * (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM ({_DUP})))) / count(*), 4) AS duplicate_pct FROM ({_DUP})")
+@query(
+    "f08_duplicates",
+    f"SELECT count(*) AS total, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM ({_DUP}))) AS duplicate_rows, round(100.0 * (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM ({_DUP})))) / count(*), 4) AS duplicate_pct FROM ({_DUP})"
+)
 def f08(spark, d):
     return P.duplicates(t(spark, d, "orders").select("o_custkey", "o_orderstatus")).withColumn("duplicate_pct", F.round("duplicate_pct", 4))
 
 
-@query("f09_memory_estimate", "SELECT round((count(*) * 32 + sum(strlen(o_orderstatus)) + sum(strlen(o_orderpriority))) / 1048576.0, 6) AS memory_mb FROM orders")
+@query(
+    "f09_memory_estimate",
+    "SELECT round((count(*) * 32 + sum(strlen(o_orderstatus)) + sum(strlen(o_orderpriority))) / 1048576.0, 6) AS memory_mb FROM orders"
+)
 def f09(spark, d):
     return P.memory_estimate(t(spark, d, "orders")).select(F.round("memory_mb", 6).alias("memory_mb"))
 
@@ -101,7 +120,10 @@ def f10(spark, d):
     return P.missing_table(_mix(spark, d)).withColumn("missing_pct", F.round("missing_pct", 4))
 
 
-@query("f10_missing_total", f"{_M}SELECT count(*) * 5 AS cells, CAST(sum((price IS NULL)::INT + (prio IS NULL)::INT) AS BIGINT) AS missing, round(100.0 * sum((price IS NULL)::INT + (prio IS NULL)::INT) / (count(*) * 5), 4) AS missing_pct FROM m")
+@query(
+    "f10_missing_total",
+    f"{_M}SELECT count(*) * 5 AS cells, CAST(sum((price IS NULL)::INT + (prio IS NULL)::INT) AS BIGINT) AS missing, round(100.0 * sum((price IS NULL)::INT + (prio IS NULL)::INT) / (count(*) * 5), 4) AS missing_pct FROM m"
+)
 def f10b(spark, d):
     return P.missing_total(_mix(spark, d)).withColumn("missing_pct", F.round("missing_pct", 4))
 
@@ -110,10 +132,16 @@ _GAPS = "g AS (SELECT o_orderkey, o_totalprice, CASE WHEN o_totalprice > 200000
 
 
 def _gaps(spark, d):
-    return t(spark, d, "orders").selectExpr("o_orderkey", "o_totalprice", "CASE WHEN o_totalprice > 200000 THEN NULL ELSE o_custkey END AS a", "CASE WHEN o_totalprice > 220000 OR o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS b")
+    return t(spark, d, "orders").selectExpr(
+        "o_orderkey", "o_totalprice", "CASE WHEN o_totalprice > 200000 THEN NULL ELSE o_custkey END AS a",
+        "CASE WHEN o_totalprice > 220000 OR o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS b"
+    )
 
 
-@query("f11_missing_together", f"WITH {_GAPS} SELECT 'a' AS column_a, 'b' AS column_b, round(corr((a IS NULL)::INT::DOUBLE, (b IS NULL)::INT::DOUBLE), 3) AS r FROM g")
+@query(
+    "f11_missing_together",
+    f"WITH {_GAPS} SELECT 'a' AS column_a, 'b' AS column_b, round(corr((a IS NULL)::INT::DOUBLE, (b IS NULL)::INT::DOUBLE), 3) AS r FROM g"
+)
 def f11(spark, d):
     return P.missing_together(_gaps(spark, d)).withColumn("r", F.round("r", 3))
 
@@ -125,7 +153,10 @@ def f12(spark, d):
     return P.missing_mechanism(_gaps(spark, d))
 
 
-@query("f13_imputation", f"WITH {_GAPS} SELECT 'a' AS column_name, CASE WHEN abs(skewness(a)) > 1 THEN 'median' ELSE 'mean' END AS suggestion FROM g UNION ALL SELECT 'b', 'mode'")
+@query(
+    "f13_imputation",
+    f"WITH {_GAPS} SELECT 'a' AS column_name, CASE WHEN abs(skewness(a)) > 1 THEN 'median' ELSE 'mean' END AS suggestion FROM g UNION ALL SELECT 'b', 'mode'"
+)
 def f13(spark, d):
     return P.imputation(_gaps(spark, d))
 
@@ -144,7 +175,11 @@ def f15(spark, d):
 @query("f19_quality_issues", f"""WITH q AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN NULL ELSE o_totalprice END AS a, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus END AS b, 1 AS k, o_totalprice * o_totalprice * o_totalprice * o_totalprice AS c FROM orders)
 SELECT 'a' AS column_name, 'missing_critical' AS issue, 0 AS severity UNION ALL SELECT 'b', 'missing_moderate', 1 UNION ALL SELECT 'k', 'constant', 1 UNION ALL SELECT 'c', 'high_skew', 2 FROM q HAVING abs(skewness(c)) > 2""")
 def f19(spark, d):
-    df = t(spark, d, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 3 <> 0 THEN NULL ELSE o_totalprice END AS a", "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus END AS b", "1 AS k", "o_totalprice * o_totalprice * o_totalprice * o_totalprice AS c")
+    df = t(spark, d, "orders").selectExpr(
+        "o_orderkey", "CASE WHEN o_orderkey % 3 <> 0 THEN NULL ELSE o_totalprice END AS a",
+        "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus END AS b", "1 AS k",
+        "o_totalprice * o_totalprice * o_totalprice * o_totalprice AS c"
+    )
     return P.quality_issues(df)
 
 
@@ -155,14 +190,20 @@ def f20(spark, d):
     return out.select("n", *(F.round(c, 4).alias(c) for c in ("mean", "std", "skewness", "kurtosis", "q1", "q3")), "outliers")
 
 
-@query("f21_cardinality", f"{_M}SELECT column_name, distinct_n, CASE WHEN distinct_n > 0.95 * total THEN 'id_like' WHEN distinct_n <= 1 THEN 'constant' WHEN distinct_n = 2 THEN 'binary' WHEN distinct_n < 10 THEN 'low_cardinality' ELSE 'normal' END AS class FROM ({_profile_sql('m', _MIX)})")
+@query(
+    "f21_cardinality",
+    f"{_M}SELECT column_name, distinct_n, CASE WHEN distinct_n > 0.95 * total THEN 'id_like' WHEN distinct_n <= 1 THEN 'constant' WHEN distinct_n = 2 THEN 'binary' WHEN distinct_n < 10 THEN 'low_cardinality' ELSE 'normal' END AS class FROM ({_profile_sql('m', _MIX)})"
+)
 def f21(spark, d):
     return P.cardinality(_mix(spark, d))
 
 
 @query("f22_analysis_batch")
 def f22(spark, d):
-    done, failed = P.analysis_batch(_mix(spark, d), {"profile": P.column_profile, "missing": P.missing_total, "quality": P.quality_score, "duplicates": P.duplicates, "cardinality": P.cardinality})
+    done, failed = P.analysis_batch(
+        _mix(spark, d),
+        {"profile": P.column_profile, "missing": P.missing_total, "quality": P.quality_score, "duplicates": P.duplicates, "cardinality": P.cardinality}
+    )
     rows = [v.select(F.lit(k).alias("analysis"), F.to_json(F.struct(*v.columns)).alias("result")) for k, v in done.items()]
     rows += [spark.createDataFrame([(k, f"failed: {v}")], "analysis string, result string") for k, v in failed.items()]
     return reduce(DataFrame.unionByName, rows)

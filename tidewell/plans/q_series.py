@@ -45,7 +45,10 @@ def l01(spark, d):
     return _d(series(spark, d), "ts")
 
 
-@query("l02_interpolate", f"{H.rstrip()}, x AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN pos END IGNORE NULLS) OVER (PARTITION BY k ORDER BY pos ROWS UNBOUNDED PRECEDING) AS pa, last_value(value IGNORE NULLS) OVER (PARTITION BY k ORDER BY pos ROWS UNBOUNDED PRECEDING) AS va, first_value(CASE WHEN value IS NOT NULL THEN pos END IGNORE NULLS) OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS pb, first_value(value IGNORE NULLS) OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS vb FROM h) SELECT k, pos, round(coalesce(value, CASE WHEN pb > pa THEN va + (vb - va) / (pb - pa) * (pos - pa) END, va, vb), 3) AS value FROM x")
+@query(
+    "l02_interpolate",
+    f"{H.rstrip()}, x AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN pos END IGNORE NULLS) OVER (PARTITION BY k ORDER BY pos ROWS UNBOUNDED PRECEDING) AS pa, last_value(value IGNORE NULLS) OVER (PARTITION BY k ORDER BY pos ROWS UNBOUNDED PRECEDING) AS va, first_value(CASE WHEN value IS NOT NULL THEN pos END IGNORE NULLS) OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS pb, first_value(value IGNORE NULLS) OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS vb FROM h) SELECT k, pos, round(coalesce(value, CASE WHEN pb > pa THEN va + (vb - va) / (pb - pa) * (pos - pa) END, va, vb), 3) AS value FROM x"
+)
 def l02(spark, d):
     return _r(S.interpolate(holes(spark, d), K), 3, "value").select("k", "pos", "value")
 
@@ -53,32 +56,50 @@ def l02(spark, d):
 _ST = "st AS (SELECT *, CAST(date_diff('second', lag(ts) OVER (PARTITION BY k ORDER BY pos), ts) AS BIGINT) AS step, lag(ts) OVER (PARTITION BY k ORDER BY pos) AS before FROM h), m AS (SELECT k, step AS modal_step FROM (SELECT k, step, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, step) AS r FROM st WHERE step IS NOT NULL GROUP BY 1, 2) WHERE r = 1)"
 
 
-@query("l03_quality", f"{H.rstrip()}, {_ST} SELECT k, count(*) AS rows, round(100.0 * count(*) FILTER (WHERE value IS NULL) / count(*), 4) AS missing_pct, count(*) - count(DISTINCT ts) AS duplicate_times, count(*) FILTER (WHERE value = 0) AS zeros FROM st GROUP BY 1")
+@query(
+    "l03_quality",
+    f"{H.rstrip()}, {_ST} SELECT k, count(*) AS rows, round(100.0 * count(*) FILTER (WHERE value IS NULL) / count(*), 4) AS missing_pct, count(*) - count(DISTINCT ts) AS duplicate_times, count(*) FILTER (WHERE value = 0) AS zeros FROM st GROUP BY 1"
+)
 def l03(spark, d):
     return _r(S.quality(holes(spark, d), K), 4, "missing_pct").select("k", "rows", "missing_pct", "duplicate_times", "zeros")
 
 
-@query("l04_modal_step", f"{H.rstrip()}, {_ST} SELECT k, modal_step, round(100.0 * count(*) FILTER (WHERE step <> modal_step) / count(step), 4) AS irregular_pct FROM st JOIN m USING (k) GROUP BY 1, 2")
+@query(
+    "l04_modal_step",
+    f"{H.rstrip()}, {_ST} SELECT k, modal_step, round(100.0 * count(*) FILTER (WHERE step <> modal_step) / count(step), 4) AS irregular_pct FROM st JOIN m USING (k) GROUP BY 1, 2"
+)
 def l04(spark, d):
     return _r(S.quality(holes(spark, d), K), 4, "irregular_pct").select("k", "modal_step", "irregular_pct")
 
 
-@query("l05_frequency", f"{H.rstrip()}, {_ST} SELECT k, CASE WHEN modal_step < 60 THEN 's' WHEN modal_step < 3600 THEN 'min' WHEN modal_step < 86400 THEN 'h' WHEN modal_step < 86400 * 6 THEN 'D' WHEN modal_step < 86400 * 25 THEN 'W' ELSE 'M' END AS frequency FROM m")
+@query(
+    "l05_frequency",
+    f"{H.rstrip()}, {_ST} SELECT k, CASE WHEN modal_step < 60 THEN 's' WHEN modal_step < 3600 THEN 'min' WHEN modal_step < 86400 THEN 'h' WHEN modal_step < 86400 * 6 THEN 'D' WHEN modal_step < 86400 * 25 THEN 'W' ELSE 'M' END AS frequency FROM m"
+)
 def l05(spark, d):
     return S.quality(series(spark, d), K).select("k", "frequency")
 
 
-@query("l06_gaps", f"{H.rstrip()}, {_ST} SELECT k, CAST(before AS VARCHAR) AS start, CAST(ts AS VARCHAR) AS \"end\", step AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pos) AS r FROM st JOIN m USING (k) WHERE step > 1 * modal_step) WHERE r <= 10")
+@query(
+    "l06_gaps",
+    f"{H.rstrip()}, {_ST} SELECT k, CAST(before AS VARCHAR) AS start, CAST(ts AS VARCHAR) AS \"end\", step AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pos) AS r FROM st JOIN m USING (k) WHERE step > 1 * modal_step) WHERE r <= 10"
+)
 def l06(spark, d):
     return _d(S.gaps(series(spark, d), K, factor=1.0), "start", "end")
 
 
-@query("l07_constant_runs", f"{W.rstrip()}, c AS (SELECT k, pos, floor(value / 400000) AS value FROM s), f AS (SELECT *, sum(CASE WHEN value IS DISTINCT FROM l THEN 1 ELSE 0 END) OVER ({P}) AS run FROM (SELECT *, lag(value) OVER ({P}) AS l FROM c)) SELECT k, min(pos) AS start_pos, count(*) AS length, any_value(value) AS value FROM f GROUP BY k, run HAVING count(*) >= 5")
+@query(
+    "l07_constant_runs",
+    f"{W.rstrip()}, c AS (SELECT k, pos, floor(value / 400000) AS value FROM s), f AS (SELECT *, sum(CASE WHEN value IS DISTINCT FROM l THEN 1 ELSE 0 END) OVER ({P}) AS run FROM (SELECT *, lag(value) OVER ({P}) AS l FROM c)) SELECT k, min(pos) AS start_pos, count(*) AS length, any_value(value) AS value FROM f GROUP BY k, run HAVING count(*) >= 5"
+)
 def l07(spark, d):
     return S.constant_runs(series(spark, d).withColumn("value", F.floor(F.col("value") / 400000).cast("double")), K)
 
 
-@query("l08_describe", f"{W}SELECT k, count(value) AS n, round(avg(value), 2) AS mean, round(stddev_samp(value), 2) AS std, min(value) AS min, max(value) AS max, round(max(value) - min(value), 2) AS range, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 2) AS iqr, round(100 * stddev_samp(value) / avg(value), 4) AS cv_pct, round(skewness(value), 4) AS skewness, round(kurtosis(value), 4) AS kurtosis FROM s GROUP BY k")
+@query(
+    "l08_describe",
+    f"{W}SELECT k, count(value) AS n, round(avg(value), 2) AS mean, round(stddev_samp(value), 2) AS std, min(value) AS min, max(value) AS max, round(max(value) - min(value), 2) AS range, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 2) AS iqr, round(100 * stddev_samp(value) / avg(value), 4) AS cv_pct, round(skewness(value), 4) AS skewness, round(kurtosis(value), 4) AS kurtosis FROM s GROUP BY k"
+)
 def l08(spark, d):
     return _r(_r(S.describe(series(spark, d), K), 2, "mean", "std", "range", "iqr"), 4, "cv_pct", "skewness", "kurtosis")
 
@@ -86,12 +107,18 @@ def l08(spark, d):
 _MOM = "g AS (SELECT k, count(*)::DOUBLE AS n, avg(power((value - m) / sd, 3)) AS g1, avg(power((value - m) / sd, 4)) - 3 AS g2 FROM (SELECT *, avg(value) OVER (PARTITION BY k) AS m, stddev_pop(value) OVER (PARTITION BY k) AS sd FROM s) GROUP BY k)"
 
 
-@query("l09_jarque_bera", f"{W.rstrip()}, {_MOM} SELECT k, CAST(n AS BIGINT) AS n, round(n / 6 * (g1 * g1 + g2 * g2 / 4), 4) AS jb, round(exp(-n / 12 * (g1 * g1 + g2 * g2 / 4)), 6) AS p FROM g")
+@query(
+    "l09_jarque_bera",
+    f"{W.rstrip()}, {_MOM} SELECT k, CAST(n AS BIGINT) AS n, round(n / 6 * (g1 * g1 + g2 * g2 / 4), 4) AS jb, round(exp(-n / 12 * (g1 * g1 + g2 * g2 / 4)), 6) AS p FROM g"
+)
 def l09(spark, d):
     return _r(_r(S.jarque_bera(series(spark, d), K), 4, "jb"), 6, "p")
 
 
-@query("l10_dagostino", f"{W.rstrip()}, {_MOM}, a AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta, (g2 + 3 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS sb FROM g), b2 AS (SELECT *, sqrt(2 * (beta - 1)) - 1 AS w2, 6 + 8 / sb * (2 / sb + sqrt(1 + 4 / (sb * sb))) AS aa FROM a), c AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1, 1 + x * sqrt(2 / (aa - 4)) AS dd FROM b2) SELECT k, CAST(n AS BIGINT) AS n, round(z1 * z1 + power((1 - 2 / (9 * aa) - sign(dd) * cbrt((1 - 2 / aa) / abs(dd))) / sqrt(2 / (9 * aa)), 2), 4) AS k2 FROM c")
+@query(
+    "l10_dagostino",
+    f"{W.rstrip()}, {_MOM}, a AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta, (g2 + 3 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS sb FROM g), b2 AS (SELECT *, sqrt(2 * (beta - 1)) - 1 AS w2, 6 + 8 / sb * (2 / sb + sqrt(1 + 4 / (sb * sb))) AS aa FROM a), c AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1, 1 + x * sqrt(2 / (aa - 4)) AS dd FROM b2) SELECT k, CAST(n AS BIGINT) AS n, round(z1 * z1 + power((1 - 2 / (9 * aa) - sign(dd) * cbrt((1 - 2 / aa) / abs(dd))) / sqrt(2 / (9 * aa)), 2), 4) AS k2 FROM c"
+)
 def l10(spark, d):
     return _r(S.dagostino(series(spark, d), K), 4, "k2").drop("p")
 
@@ -105,10 +132,17 @@ def l11(spark, d):
 
 @query("l12_normality")
 def l12(spark, d):
-    return S.run_timeseries(t(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("k"), F.to_date("o_orderdate").alias("ts")).agg(F.sum("o_totalprice").alias("value")), "ts", "value", K, ("normality",))["normality"]
+    return S.run_timeseries(
+        t(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("k"), F.to_date("o_orderdate").alias("ts")).agg(F.sum("o_totalprice").alias("value")),
+        "ts", "value", K, ("normality",)
+    )["normality"]
 
 
-for _n, _f in {"l13_adf": S.adf, "l14_kpss": S.kpss, "l15_zivot_andrews": S.zivot_andrews, "l16_stationarity": S.stationarity, "l17_differencing": S.differencing, "l19_stl": lambda s, k: S.stl(s, k, 7), "l26_mean_shifts": S.mean_shifts, "l28_cusum_threshold": S.cusum_threshold, "l41_readiness": S.readiness}.items():
+for _n, _f in {
+    "l13_adf": S.adf, "l14_kpss": S.kpss, "l15_zivot_andrews": S.zivot_andrews, "l16_stationarity": S.stationarity,
+    "l17_differencing": S.differencing, "l19_stl": lambda s, k: S.stl(s, k, 7), "l26_mean_shifts": S.mean_shifts,
+    "l28_cusum_threshold": S.cusum_threshold, "l41_readiness": S.readiness
+}.items():
 
     @query(_n)
     def _run(spark, d, f=_f):
@@ -123,22 +157,34 @@ def l18(spark, d):
     return _r(S.decompose(series(spark, d), K, 7), 2, "trend", "seasonal", "residual").select("k", "pos", "trend", "seasonal", "residual")
 
 
-@query("l20_strengths", f"{W.rstrip()}, {_TR} SELECT k, round(least(greatest(100 * (1 - var_samp(residual) / var_samp(trend + residual)), 0), 100), 4) AS trend_strength, round(least(greatest(100 * (1 - var_samp(residual) / var_samp(seasonal + residual)), 0), 100), 4) AS seasonal_strength FROM de WHERE residual IS NOT NULL GROUP BY k")
+@query(
+    "l20_strengths",
+    f"{W.rstrip()}, {_TR} SELECT k, round(least(greatest(100 * (1 - var_samp(residual) / var_samp(trend + residual)), 0), 100), 4) AS trend_strength, round(least(greatest(100 * (1 - var_samp(residual) / var_samp(seasonal + residual)), 0), 100), 4) AS seasonal_strength FROM de WHERE residual IS NOT NULL GROUP BY k"
+)
 def l20(spark, d):
     return _r(S.strengths(S.decompose(series(spark, d), K, 7), K), 4, "trend_strength", "seasonal_strength")
 
 
-@query("l39_seasonal_order", f"{W.rstrip()}, {_TR} SELECT k, CAST(100 * (1 - var_samp(residual) / var_samp(seasonal + residual)) >= 64 AS INTEGER) AS seasonal_d FROM de WHERE residual IS NOT NULL GROUP BY k")
+@query(
+    "l39_seasonal_order",
+    f"{W.rstrip()}, {_TR} SELECT k, CAST(100 * (1 - var_samp(residual) / var_samp(seasonal + residual)) >= 64 AS INTEGER) AS seasonal_d FROM de WHERE residual IS NOT NULL GROUP BY k"
+)
 def l39(spark, d):
     return S.seasonal_order(S.decompose(series(spark, d), K, 7), K)
 
 
-@query("l25_spectrum", f"{W.rstrip()}, n AS (SELECT k, count(*) AS n, avg(value) AS m FROM s GROUP BY k), f AS (SELECT k, n, m, unnest(range(1, n // 2 + 1)) AS j FROM n), p AS (SELECT f.k, n, j, sum((value - m) * cos(2 * pi() * ((j * pos) % n) / n)) AS re, sum((value - m) * sin(2 * pi() * ((j * pos) % n) / n)) AS im FROM f JOIN s ON s.k = f.k GROUP BY 1, 2, 3), r AS (SELECT k, n, j, re * re + im * im AS power, row_number() OVER (PARTITION BY k ORDER BY re * re + im * im DESC) AS rank FROM p) SELECT k, CAST(rank AS INTEGER) AS rank, round(n / j, 6) AS period, round(power / 1e9, 2) AS power FROM r WHERE rank <= 5")
+@query(
+    "l25_spectrum",
+    f"{W.rstrip()}, n AS (SELECT k, count(*) AS n, avg(value) AS m FROM s GROUP BY k), f AS (SELECT k, n, m, unnest(range(1, n // 2 + 1)) AS j FROM n), p AS (SELECT f.k, n, j, sum((value - m) * cos(2 * pi() * ((j * pos) % n) / n)) AS re, sum((value - m) * sin(2 * pi() * ((j * pos) % n) / n)) AS im FROM f JOIN s ON s.k = f.k GROUP BY 1, 2, 3), r AS (SELECT k, n, j, re * re + im * im AS power, row_number() OVER (PARTITION BY k ORDER BY re * re + im * im DESC) AS rank FROM p) SELECT k, CAST(rank AS INTEGER) AS rank, round(n / j, 6) AS period, round(power / 1e9, 2) AS power FROM r WHERE rank <= 5"
+)
 def l25(spark, d):
     return _r(_r(S.spectrum(series(spark, d), K).withColumn("power", F.col("power") / 1e9), 6, "period"), 2, "power")
 
 
-@query("l21_default_period", f"{W}SELECT k, CAST(least(greatest(least(floor(count(*) / 10), 365), 2), floor(count(*) / 2)) AS INTEGER) AS period FROM s GROUP BY k")
+@query(
+    "l21_default_period",
+    f"{W}SELECT k, CAST(least(greatest(least(floor(count(*) / 10), 365), 2), floor(count(*) / 2)) AS INTEGER) AS period FROM s GROUP BY k"
+)
 def l21(spark, d):
     return S.default_period(series(spark, d), K)
 
@@ -146,7 +192,10 @@ def l21(spark, d):
 _ACF = "st2 AS (SELECT k, count(*) AS n, avg(value) AS m, var_pop(value) * count(*) AS ss FROM s GROUP BY k), lg AS (SELECT unnest(range(61)) AS lag), ac AS (SELECT a.k, lag, n, sum((a.value - m) * (b.value - m)) / any_value(ss) AS acf FROM s a JOIN st2 ON a.k = st2.k JOIN lg ON lag <= least(60, greatest(10, floor(n / 3))) JOIN s b ON b.k = a.k AND b.pos = a.pos + lag GROUP BY 1, 2, 3)"
 
 
-@query("l22_autocorrelation", f"{W.rstrip()}, {_ACF} SELECT k, CAST(lag AS INTEGER) AS lag, n, round(acf, 6) AS acf, round(CASE WHEN lag > 0 THEN 1.96 * sqrt((1 + 2 * coalesce(sum(CASE WHEN lag > 0 THEN acf * acf END) OVER (PARTITION BY k ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n) ELSE 0 END, 6) AS bound FROM ac")
+@query(
+    "l22_autocorrelation",
+    f"{W.rstrip()}, {_ACF} SELECT k, CAST(lag AS INTEGER) AS lag, n, round(acf, 6) AS acf, round(CASE WHEN lag > 0 THEN 1.96 * sqrt((1 + 2 * coalesce(sum(CASE WHEN lag > 0 THEN acf * acf END) OVER (PARTITION BY k ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n) ELSE 0 END, 6) AS bound FROM ac"
+)
 def l22(spark, d):
     return _r(S.autocorrelation(series(spark, d), K), 6, "acf", "bound")
 
@@ -156,12 +205,18 @@ def l23(spark, d):
     return S.partial_autocorrelation(S.autocorrelation(series(spark, d), K), K)
 
 
-@query("l24_significant_lags", f"{W.rstrip()}, {_ACF} SELECT k, CAST(lag AS INTEGER) AS lag, round(acf, 6) AS value FROM ac WHERE lag > 0 AND abs(acf) > 1.96 / sqrt(n)")
+@query(
+    "l24_significant_lags",
+    f"{W.rstrip()}, {_ACF} SELECT k, CAST(lag AS INTEGER) AS lag, round(acf, 6) AS value FROM ac WHERE lag > 0 AND abs(acf) > 1.96 / sqrt(n)"
+)
 def l24(spark, d):
     return _r(S.significant_lags(S.autocorrelation(series(spark, d), K), K), 6, "value")
 
 
-@query("l38_seasonal_period", f"{W.rstrip()}, {_ACF}, pk AS (SELECT *, lag(acf) OVER (PARTITION BY k ORDER BY lag) AS a, lead(acf) OVER (PARTITION BY k ORDER BY lag) AS b FROM ac) SELECT k, CAST(arg_max(lag, acf) AS INTEGER) AS period, round(max(acf), 6) AS strength FROM pk WHERE lag >= 2 AND acf > a AND acf > b AND acf > 0.01 GROUP BY k")
+@query(
+    "l38_seasonal_period",
+    f"{W.rstrip()}, {_ACF}, pk AS (SELECT *, lag(acf) OVER (PARTITION BY k ORDER BY lag) AS a, lead(acf) OVER (PARTITION BY k ORDER BY lag) AS b FROM ac) SELECT k, CAST(arg_max(lag, acf) AS INTEGER) AS period, round(max(acf), 6) AS strength FROM pk WHERE lag >= 2 AND acf > a AND acf > b AND acf > 0.01 GROUP BY k"
+)
 def l38(spark, d):
     return _r(S.seasonal_period(S.autocorrelation(series(spark, d), K), K, 0.01), 6, "strength")
 
@@ -174,12 +229,18 @@ def l27(spark, d):
     return _r(S.cusum(series(spark, d), K, 1000.0), 1, "up", "down").select("k", "pos", "up", "down")
 
 
-@query("l27_crossings", f"{W.rstrip()}, {_CU}, cr AS (SELECT *, CASE WHEN up > 1e6 AND coalesce(lag(up) OVER ({P}), 0) <= 1e6 THEN 'up' WHEN down > 1e6 AND coalesce(lag(down) OVER ({P}), 0) <= 1e6 THEN 'down' END AS side FROM cs) SELECT k, pos, side FROM (SELECT *, row_number() OVER ({P}) AS r FROM cr WHERE side IS NOT NULL) WHERE r <= 20")
+@query(
+    "l27_crossings",
+    f"{W.rstrip()}, {_CU}, cr AS (SELECT *, CASE WHEN up > 1e6 AND coalesce(lag(up) OVER ({P}), 0) <= 1e6 THEN 'up' WHEN down > 1e6 AND coalesce(lag(down) OVER ({P}), 0) <= 1e6 THEN 'down' END AS side FROM cs) SELECT k, pos, side FROM (SELECT *, row_number() OVER ({P}) AS r FROM cr WHERE side IS NOT NULL) WHERE r <= 20"
+)
 def l27b(spark, d):
     return S.crossings(S.cusum(series(spark, d), K, 1000.0), K, 1e6)
 
 
-@query("l29_noise_scale", f"{W.rstrip()}, df AS (SELECT k, value - lag(value) OVER ({P}) AS d FROM s), md AS (SELECT k, quantile_cont(d, 0.5) AS m FROM df WHERE d IS NOT NULL GROUP BY k) SELECT k, round(quantile_cont(abs(d - m), 0.5) * 1.4826 / sqrt(2.0), 3) AS scale FROM df JOIN md USING (k) WHERE d IS NOT NULL GROUP BY k")
+@query(
+    "l29_noise_scale",
+    f"{W.rstrip()}, df AS (SELECT k, value - lag(value) OVER ({P}) AS d FROM s), md AS (SELECT k, quantile_cont(d, 0.5) AS m FROM df WHERE d IS NOT NULL GROUP BY k) SELECT k, round(quantile_cont(abs(d - m), 0.5) * 1.4826 / sqrt(2.0), 3) AS scale FROM df JOIN md USING (k) WHERE d IS NOT NULL GROUP BY k"
+)
 def l29(spark, d):
     return _r(S.noise_scale(series(spark, d), K), 3, "scale")
 
@@ -192,32 +253,50 @@ def l30(spark, d):
     return _r(S.anomalies(series(spark, d), K, 20, 2.5).filter("rolling"), 4, "z").select("k", "pos", "z")
 
 
-@query("l31_anomalies", f"{W.rstrip()}, {_AN} SELECT k, pos, abs(z) > 3 OR value < q1 - 3 * (q3 - q1) OR value > q3 + 3 * (q3 - q1) AS anomaly FROM an JOIN q USING (k)")
+@query(
+    "l31_anomalies",
+    f"{W.rstrip()}, {_AN} SELECT k, pos, abs(z) > 3 OR value < q1 - 3 * (q3 - q1) OR value > q3 + 3 * (q3 - q1) AS anomaly FROM an JOIN q USING (k)"
+)
 def l31(spark, d):
     return S.anomalies(series(spark, d), K, 20).select("k", "pos", "anomaly")
 
 
-@query("l32_rolling", f"{W}SELECT k, pos, round(avg(value) OVER (PARTITION BY k ORDER BY pos ROWS 6 PRECEDING), 4) AS mean_7, round(stddev_samp(value) OVER (PARTITION BY k ORDER BY pos ROWS 6 PRECEDING), 4) AS std_7, round(avg(value) OVER (PARTITION BY k ORDER BY pos ROWS 13 PRECEDING), 4) AS mean_14, round(stddev_samp(value) OVER (PARTITION BY k ORDER BY pos ROWS 13 PRECEDING), 4) AS std_14 FROM s")
+@query(
+    "l32_rolling",
+    f"{W}SELECT k, pos, round(avg(value) OVER (PARTITION BY k ORDER BY pos ROWS 6 PRECEDING), 4) AS mean_7, round(stddev_samp(value) OVER (PARTITION BY k ORDER BY pos ROWS 6 PRECEDING), 4) AS std_7, round(avg(value) OVER (PARTITION BY k ORDER BY pos ROWS 13 PRECEDING), 4) AS mean_14, round(stddev_samp(value) OVER (PARTITION BY k ORDER BY pos ROWS 13 PRECEDING), 4) AS std_14 FROM s"
+)
 def l32(spark, d):
     return _r(S.rolling(series(spark, d), K, [7, 14]), 4, "mean_7", "std_7", "mean_14", "std_14").drop("ts", "value")
 
 
-@query("l33_ewma", f"{W}SELECT a.k, a.pos, round(sum(CASE WHEN b.pos = 0 THEN 1 ELSE 0.2 END * power(0.8, a.pos - b.pos) * b.value), 2) AS ewma FROM s a JOIN s b ON a.k = b.k AND b.pos <= a.pos GROUP BY 1, 2")
+@query(
+    "l33_ewma",
+    f"{W}SELECT a.k, a.pos, round(sum(CASE WHEN b.pos = 0 THEN 1 ELSE 0.2 END * power(0.8, a.pos - b.pos) * b.value), 2) AS ewma FROM s a JOIN s b ON a.k = b.k AND b.pos <= a.pos GROUP BY 1, 2"
+)
 def l33(spark, d):
     return _r(S.ewma(series(spark, d), K, 9), 2, "ewma").select("k", "pos", "ewma")
 
 
-@query("l34_volatility", f"{W.rstrip()}, r AS (SELECT *, CASE WHEN value / lag(value) OVER ({P}) > 0 THEN ln(value / lag(value) OVER ({P})) END AS r FROM s) SELECT k, pos, round(CASE WHEN count(r) OVER w = 10 THEN stddev_samp(r) OVER w * sqrt(252) END, 4) AS volatility FROM r WINDOW w AS (PARTITION BY k ORDER BY pos ROWS 9 PRECEDING)")
+@query(
+    "l34_volatility",
+    f"{W.rstrip()}, r AS (SELECT *, CASE WHEN value / lag(value) OVER ({P}) > 0 THEN ln(value / lag(value) OVER ({P})) END AS r FROM s) SELECT k, pos, round(CASE WHEN count(r) OVER w = 10 THEN stddev_samp(r) OVER w * sqrt(252) END, 4) AS volatility FROM r WINDOW w AS (PARTITION BY k ORDER BY pos ROWS 9 PRECEDING)"
+)
 def l34(spark, d):
     return _r(S.volatility(series(spark, d), K, 10), 4, "volatility").select("k", "pos", "volatility")
 
 
-@query("l35_lag_correlations", f"{W}SELECT a.k, CAST(lag AS INTEGER) AS lag, round(corr(a.value, b.value), 6) AS pearson FROM s a JOIN (SELECT unnest(range(1, 21)) AS lag) l ON true JOIN s b ON a.k = b.k AND b.pos = a.pos + lag GROUP BY 1, 2")
+@query(
+    "l35_lag_correlations",
+    f"{W}SELECT a.k, CAST(lag AS INTEGER) AS lag, round(corr(a.value, b.value), 6) AS pearson FROM s a JOIN (SELECT unnest(range(1, 21)) AS lag) l ON true JOIN s b ON a.k = b.k AND b.pos = a.pos + lag GROUP BY 1, 2"
+)
 def l35(spark, d):
     return _r(S.lag_correlations(series(spark, d), K, 20), 6, "pearson")
 
 
-@query("l35_lag_rank_correlations", f"{W.rstrip()}, j AS (SELECT a.k, lag, a.value AS x, b.value AS y FROM s a JOIN (SELECT unnest(range(1, 4)) AS lag) l ON true JOIN s b ON a.k = b.k AND b.pos = a.pos + lag), r AS (SELECT k, lag, rank() OVER (PARTITION BY k, lag ORDER BY x) + (count(*) OVER (PARTITION BY k, lag, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY k, lag ORDER BY y) + (count(*) OVER (PARTITION BY k, lag, y) - 1) / 2 AS ry FROM j) SELECT k, CAST(lag AS INTEGER) AS lag, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY 1, 2")
+@query(
+    "l35_lag_rank_correlations",
+    f"{W.rstrip()}, j AS (SELECT a.k, lag, a.value AS x, b.value AS y FROM s a JOIN (SELECT unnest(range(1, 4)) AS lag) l ON true JOIN s b ON a.k = b.k AND b.pos = a.pos + lag), r AS (SELECT k, lag, rank() OVER (PARTITION BY k, lag ORDER BY x) + (count(*) OVER (PARTITION BY k, lag, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY k, lag ORDER BY y) + (count(*) OVER (PARTITION BY k, lag, y) - 1) / 2 AS ry FROM j) SELECT k, CAST(lag AS INTEGER) AS lag, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY 1, 2"
+)
 def l35b(spark, d):
     return _r(S.lag_rank_correlations(series(spark, d), K, 3), 6, "spearman")
 
@@ -235,18 +314,26 @@ def l43(spark, d):
     return S.thin(series(spark, d), K, 200).select("k", "pos", "value")
 
 
-@query("l37_mann_kendall", f"{W}SELECT a.k, CAST(sum(sign(b.value - a.value)) AS BIGINT) AS s, round(quantile_cont((b.value - a.value) / (b.pos - a.pos), 0.5), 4) AS slope FROM s a JOIN s b ON a.k = b.k AND a.pos < b.pos GROUP BY a.k")
+@query(
+    "l37_mann_kendall",
+    f"{W}SELECT a.k, CAST(sum(sign(b.value - a.value)) AS BIGINT) AS s, round(quantile_cont((b.value - a.value) / (b.pos - a.pos), 0.5), 4) AS slope FROM s a JOIN s b ON a.k = b.k AND a.pos < b.pos GROUP BY a.k"
+)
 def l37(spark, d):
     return _r(S.mann_kendall(series(spark, d), K), 4, "slope").select("k", F.col("s").cast("long").alias("s"), "slope")
 
 
 @query("l40_granger")
 def l40(spark, d):
-    e = t(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("ts")).pivot("event_type", ["click", "view", "purchase"]).count().fillna(0).withColumn("k", F.lit("all"))
+    e = t(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("ts")).pivot(
+        "event_type", ["click", "view", "purchase"]
+    ).count().fillna(0).withColumn("k", F.lit("all"))
     return S.granger(e, "ts", "purchase", ["click", "view"], K)
 
 
-@query("l42_method_groups", "SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, round(min(value), 4) AS min, round(max(value), 4) AS max, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 4) AS iqr, round(skewness(value), 4) AS skewness, round(kurtosis(value), 4) AS kurtosis FROM events GROUP BY 1")
+@query(
+    "l42_method_groups",
+    "SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, round(min(value), 4) AS min, round(max(value), 4) AS max, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 4) AS iqr, round(skewness(value), 4) AS skewness, round(kurtosis(value), 4) AS kurtosis FROM events GROUP BY 1"
+)
 def l42(spark, d):
     e = t(spark, d, "events").select("event_type", "ts", "value")
     out = S.run_timeseries(e, "ts", "value", ["event_type"], ("describe",))["describe"]

@@ -33,7 +33,9 @@ _ROUND = "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderstatus, o_tota
 def _written(spark, d, label: str, fmt: str, **options: str) -> str:
     """The orders as files of another format in the shared folder."""
     path = _scratch(spark, label)
-    t(spark, d, "orders").selectExpr("CAST(o_orderkey AS BIGINT) AS o_orderkey", "o_orderstatus", "o_totalprice").write.options(**options).format(fmt).save(path)
+    t(spark, d, "orders").selectExpr(
+        "CAST(o_orderkey AS BIGINT) AS o_orderkey", "o_orderstatus", "o_totalprice"
+    ).write.options(**options).format(fmt).save(path)
     return path
 
 
@@ -85,7 +87,10 @@ def a04(spark, d):
     return io.read_dataset(spark, f"{d}/lineitem.parquet").filter("l_quantity > 25").groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
-@query("a06_head", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, coalesce(o_orderstatus, '') AS o_orderstatus, coalesce(o_orderpriority, '') AS o_orderpriority FROM orders ORDER BY orders.o_orderkey LIMIT 100")
+@query(
+    "a06_head",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, coalesce(o_orderstatus, '') AS o_orderstatus, coalesce(o_orderpriority, '') AS o_orderpriority FROM orders ORDER BY orders.o_orderkey LIMIT 100"
+)
 def a06(spark, d):
     return io.head(t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority").orderBy("o_orderkey"), 100)
 
@@ -102,7 +107,9 @@ def a13(spark, d):
 
 @query("a14_sanitize", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 IN (0, 1) THEN NULL ELSE o_totalprice END AS v FROM orders")
 def a14(spark, d):
-    return sanitize(t(spark, d, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 7 = 0 THEN double('NaN') WHEN o_orderkey % 7 = 1 THEN double('Infinity') ELSE o_totalprice END AS v"))
+    return sanitize(t(spark, d, "orders").selectExpr(
+        "o_orderkey", "CASE WHEN o_orderkey % 7 = 0 THEN double('NaN') WHEN o_orderkey % 7 = 1 THEN double('Infinity') ELSE o_totalprice END AS v"
+    ))
 
 
 @query("a15_csv_round_trip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -117,7 +124,10 @@ def a17(spark, d):
     return io.save_as(t(spark, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n")), _scratch(spark, "saved"))
 
 
-@query("a19_describe", " UNION ALL ".join(f"SELECT '{c}' AS column_name, {i} AS position, '{k}' AS type, count({c}) AS filled, min(CAST({c} AS VARCHAR)) AS example FROM customer" for i, (c, k) in enumerate({"c_custkey": "bigint", "c_name": "string", "c_mktsegment": "string"}.items())))
+@query("a19_describe", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {i} AS position, '{k}' AS type, count({c}) AS filled, min(CAST({c} AS VARCHAR)) AS example FROM customer" for i,
+    (c, k) in enumerate({"c_custkey": "bigint", "c_name": "string", "c_mktsegment": "string"}.items())
+))
 def a19(spark, d):
     return io.describe_with_examples(t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")).drop("nullable")
 
@@ -132,12 +142,18 @@ def a21(spark, d):
     return io.fingerprint(t(spark, d, "orders"))
 
 
-@query("a22_slugs", "SELECT p_name, 'my_source__' || CASE WHEN regexp_matches(s, '^[0-9]') THEN 't_' || s WHEN s = '' THEN 't' ELSE s END AS slug FROM (SELECT p_name, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM part)")
+@query(
+    "a22_slugs",
+    "SELECT p_name, 'my_source__' || CASE WHEN regexp_matches(s, '^[0-9]') THEN 't_' || s WHEN s = '' THEN 't' ELSE s END AS slug FROM (SELECT p_name, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM part)"
+)
 def a22(spark, d):
     return io.slugs(t(spark, d, "part").select("p_name"), "p_name", "My Source")
 
 
-@query("a23_search_columns", " UNION ALL ".join(f"SELECT '{n}' AS dataset, '{c}' AS \"column\", count(DISTINCT {c}) AS distinct_n FROM {n}" for n, c in (("customer", "c_custkey"), ("customer", "c_nationkey"), ("orders", "o_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey"))))
+@query("a23_search_columns", " UNION ALL ".join(
+    f"SELECT '{n}' AS dataset, '{c}' AS \"column\", count(DISTINCT {c}) AS distinct_n FROM {n}" for n,
+    c in (("customer", "c_custkey"), ("customer", "c_nationkey"), ("orders", "o_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey"))
+))
 def a23(spark, d):
     """The columns found, each with its number of values."""
     from tidewell.operators.profile import distinct_counts
@@ -148,12 +164,18 @@ def a23(spark, d):
     return hits.join(F.broadcast(counts[0].unionByName(counts[1]).unionByName(counts[2])), ["dataset", "column"])
 
 
-@query("q01_presence", "SELECT event_type, user_id, CAST(last_seen AS VARCHAR) AS last_seen FROM (SELECT user_id, max(ts) AS last_seen, arg_max(event_type, ts) AS event_type FROM events WHERE ts <= TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1) WHERE last_seen >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 36000 SECOND")
+@query(
+    "q01_presence",
+    "SELECT event_type, user_id, CAST(last_seen AS VARCHAR) AS last_seen FROM (SELECT user_id, max(ts) AS last_seen, arg_max(event_type, ts) AS event_type FROM events WHERE ts <= TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1) WHERE last_seen >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 36000 SECOND"
+)
 def q01(spark, d):
     return streams.presence_at(t(spark, d, "events"), "2024-01-20 12:00:00", [], "user_id", "event_type", stale=36000)
 
 
-@query("q02_incremental_refresh", "SELECT CAST(7 AS INTEGER) AS dataset_id, count(*) AS row_count, CAST(count(*) = count(DISTINCT event_id) AS INTEGER) AS whole FROM events")
+@query(
+    "q02_incremental_refresh",
+    "SELECT CAST(7 AS INTEGER) AS dataset_id, count(*) AS row_count, CAST(count(*) = count(DISTINCT event_id) AS INTEGER) AS whole FROM events"
+)
 def q02(spark, d):
     """All event files that are new, taken by one run of the stream; the history's rows added up."""
     folder, runs = _scratch(spark, "events"), _scratch(spark, "runs")
@@ -163,7 +185,10 @@ def q02(spark, d):
     return r.groupBy("dataset_id").agg(F.sum("row_count").alias("row_count"), F.min((F.col("quality_score") > 0).cast("int")).alias("whole"))
 
 
-@query("q03_window_counts", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2")
+@query(
+    "q03_window_counts",
+    "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2"
+)
 def q03(spark, d):
     """The stream over the events file, run to its end; equal to the daily counts but for the open last window."""
     e = t(spark, d, "events")
@@ -178,7 +203,10 @@ def q03(spark, d):
 @query("q04_rules_on_stream", "SELECT event_id FROM events WHERE value > 100 OR event_type NOT IN ('click', 'view', 'purchase', 'signup')")
 def q04(spark, d):
     e = t(spark, d, "events")
-    rules = [{"column_name": "value", "rule_type": "range", "params": {"max": 100}}, {"column_name": "event_type", "rule_type": "allowed_values", "params": {"values": ["click", "view", "purchase", "signup"]}}]
+    rules = [
+        {"column_name": "value", "rule_type": "range", "params": {"max": 100}},
+        {"column_name": "event_type", "rule_type": "allowed_values", "params": {"values": ["click", "view", "purchase", "signup"]}}
+    ]
     out, folder = _scratch(spark, "quarantine"), _scratch(spark, "events")
     e.write.parquet(folder)
     s = streams.rules_on_stream(streams.read_files(spark, folder, e.schema), rules).select("event_id")
@@ -186,7 +214,10 @@ def q04(spark, d):
     return spark.read.schema("event_id long").parquet(out)
 
 
-@query("q05_sessions", "SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS events FROM (SELECT user_id, sum(CASE WHEN prev IS NULL OR epoch(ts) - epoch(prev) >= 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events)) GROUP BY 1, 2")
+@query(
+    "q05_sessions",
+    "SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS events FROM (SELECT user_id, sum(CASE WHEN prev IS NULL OR epoch(ts) - epoch(prev) >= 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events)) GROUP BY 1, 2"
+)
 def q05(spark, d):
     return streams.sessions(t(spark, d, "events"), ["user_id"], 1800).select("user_id", "session", "events")
 
@@ -202,7 +233,10 @@ def r01(spark, d):
 
 @query("r02_over_query", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
 def r02(spark, d):
-    return V.over_query(Workspace(spark, {"customer": t(spark, d, "customer")}), "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1", lambda p: p, "c_mktsegment string, n long")
+    return V.over_query(
+        Workspace(spark, {"customer": t(spark, d, "customer")}), "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1", lambda p: p,
+        "c_mktsegment string, n long"
+    )
 
 
 @query("r03_python_column", "SELECT c_custkey, length(c_name) * 2 AS v FROM customer")

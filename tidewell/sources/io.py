@@ -80,7 +80,10 @@ def object_uri(provider: str, bucket: str, key: str) -> str:
     return f"{SCHEMES[provider]}://{bucket}/{key.lstrip('/')}"
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: str | None = None, limit: int | None = None, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+def read_jdbc(
+    spark: SparkSession, url: str, table: str | None = None, query: str | None = None, limit: int | None = None,
+    partition: tuple[str, int, int, int] | None = None, **options: str
+) -> DataFrame:
     """A table or a query of a database; ``partition`` is (column, lower, upper, parts) for parallel reads.
 
     All rows come unless ``limit`` is given.
@@ -170,7 +173,9 @@ def fingerprint(df: DataFrame) -> DataFrame:
     h = F.xxhash64(*(F.coalesce(name(c).cast("string"), F.lit("\0")) for c in df.columns))
     # a sum of longs would overflow at some millions of rows
     s = F.sum(F.pmod(h, F.lit(1 << 40)).cast("decimal(20,0)"))
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("x"), s.alias("s")).select("rows", F.md5(F.concat_ws(":", "rows", "x", "s")).alias("fingerprint"))
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("x"), s.alias("s")
+    ).select("rows", F.md5(F.concat_ws(":", "rows", "x", "s")).alias("fingerprint"))
 
 
 def slugs(df: DataFrame, column: str, source: str | None = None) -> DataFrame:

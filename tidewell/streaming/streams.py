@@ -32,18 +32,24 @@ def presence_at(events: DataFrame, now: str, keys: list[str], user: str, place:
 def presence_sessions(stream: DataFrame, keys: list[str], ts: str = "ts", stale: int = STALE, late: str = "1 minute") -> DataFrame:
     """Stream: spans of presence, each ended by ``stale`` seconds without a heartbeat."""
     e = stream.withColumn("__t", F.col(ts).cast("timestamp")).withWatermark("__t", late)
-    return e.groupBy(F.session_window("__t", f"{stale} seconds").alias("w"), *keys).agg(F.count(F.lit(1)).alias("beats")).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "beats")
+    return e.groupBy(F.session_window("__t", f"{stale} seconds").alias("w"), *keys).agg(F.count(F.lit(1)).alias("beats")).select(
+        *keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "beats"
+    )
 
 
 def sessions(events: DataFrame, keys: list[str], gap_seconds: int, ts: str = "ts") -> DataFrame:
     """Batch twin of session windows: a gap of ``gap_seconds`` or more starts a new session."""
     w = Window.partitionBy(*keys).orderBy(ts)
     gap = F.col(ts).cast("timestamp").cast("double") - F.lag(F.col(ts).cast("timestamp").cast("double")).over(w)
-    s = events.withColumn("__new", F.coalesce((gap >= gap_seconds).cast("int"), F.lit(1))).withColumn("session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = events.withColumn("__new", F.coalesce((gap >= gap_seconds).cast("int"), F.lit(1))).withColumn(
+        "session", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    )
     return s.groupBy(*keys, "session").agg(F.count(F.lit(1)).alias("events"), F.min(ts).alias("start"), F.max(ts).alias("end"))
 
 
-def counts_per_window(stream: DataFrame, ts: str = "ts", width: str = "1 day", late: str = "1 hour", by: list[str] | None = None, key: str | None = None) -> DataFrame:
+def counts_per_window(
+    stream: DataFrame, ts: str = "ts", width: str = "1 day", late: str = "1 hour", by: list[str] | None = None, key: str | None = None
+) -> DataFrame:
     """Tumbling counts; rows later than the watermark are dropped, repeated ``key`` within it too."""
     e = stream.withColumn("__t", F.col(ts).cast("timestamp")).withWatermark("__t", late)
     if key:
@@ -61,7 +67,9 @@ def refresh(stream: DataFrame, runs_path: str, checkpoint: str, dataset_id: int
 
     def batch(df: DataFrame, number: int) -> None:
         q = quality_score(df).select("overall").crossJoin(F.broadcast(missing_total(df).select("missing_pct"))).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("row_count"))))
-        q.select(F.lit(dataset_id).alias("dataset_id"), F.lit(number).alias("batch"), "row_count", F.col("overall").alias("quality_score"), "missing_pct").write.mode("append").parquet(runs_path)
+        q.select(
+            F.lit(dataset_id).alias("dataset_id"), F.lit(number).alias("batch"), "row_count", F.col("overall").alias("quality_score"), "missing_pct"
+        ).write.mode("append").parquet(runs_path)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
