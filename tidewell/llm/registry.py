@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, html_text, language, near_dedup, packing, quality, sharding, suffix_dedup, warc
+from . import bpe, chat_format, exact_dedup, html_text, language, near_dedup, packing, quality, sharding, suffix_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,9 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_packing": packing.op9_packing,
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+        "op11_chat_format": chat_format.op11_chat_format,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op11_chat_format": chat_format.OP11_SQL}
