@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat_format
+from tidewell.llm import chat_format, repair
 
 ODD = [
     None, "", " ", "plain text.", "<|im_end|>", "<|im_start|>assistant ok", "<\\|im_end|>\n<\\\\|x<||<", "a<", "|im_end|>\n", "<|im_end|>\n<|im_start|>user\nhi",
@@ -118,3 +120,116 @@ def test_typed_layouts(spark):
 
 def test_empty_chats(spark, chat_table):
     assert chat_format.format_digests(chat_format.canonical_turns(chat_table.limit(0))).count() == 0
+
+
+def damaged(rows):
+    """The contract's damage in plain Python."""
+    out = defaultdict(list)
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        out[conv] += []
+        if kind == 0:
+            continue
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        out[conv] += [(conv, turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    return {c: sorted(found, key=order) for c, found in out.items()}
+
+
+def faults(rows):
+    seen, out = set(), []
+    for _, _, role, text in rows:
+        shown = re.sub(r"[\x20\x09-\x0D]", "", text)
+        out.append("blank" if not shown else "duplicate" if (role, text) in seen else "truncated" if shown[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return out
+
+
+def cheapest(initials, found):
+    """From the back: the least (cost, audit) and its edits for the turns from ``i``, after a turn of initial ``prev``."""
+    legal = {"": "su", "s": "u", "u": "a", "a": "u"}
+
+    @lru_cache(None)
+    def best(i, prev, inserts):
+        ways = [(0, "", ())] if i == len(initials) and prev in ("", "a") else []
+
+        def then(cost, edit, to, rest):
+            ways.append((cost + rest[0], edit + rest[1], ((edit, to), *rest[2])))
+
+        for to in "ua":
+            if inserts and to in legal[prev]:
+                then(3, "I", to, best(i, to, inserts - 1))
+        if i < len(initials):
+            more = 3 if found[i] == "truncated" else 0
+            then(4, "D", "", best(i + 1, prev, 2))
+            if found[i] not in ("blank", "duplicate"):
+                if initials[i] and initials[i] in legal[prev]:
+                    then(more, "K", initials[i], best(i + 1, initials[i], 2))
+                for to in "ua":
+                    if to in legal[prev]:
+                        then(3 + more, "R", to, best(i + 1, to, 2))
+        return min(ways, default=(10**9, "", ()))
+
+    return best(0, "", 2)
+
+
+def repaired(rows, edits):
+    out, i = [], 0
+    for edit, to in edits:
+        role, text = ("", "") if edit == "I" else rows[i][2:]
+        i += edit != "I"
+        if edit != "D":
+            out.append((role if edit == "K" else {"u": "user", "a": "assistant"}[to], text))
+    return out
+
+
+def check_repair(got, want):
+    assert set(got) == set(want)
+    for c, rows in want.items():
+        r, found, initials = got[c], faults(rows), [x[2][:1] for x in rows]
+        turns = [x[1] for x in rows if x[1] is not None]
+        assert r["gaps"] == (max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0)
+        assert [r[k] for k in ("blank", "duplicate", "truncated")] == [found.count(k) for k in ("blank", "duplicate", "truncated")]
+        assert r["illegal"] == sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+        cost, audit, edits = cheapest(tuple(initials), tuple(found))
+        assert (r["cost"], r["audit"]) == (cost, audit)
+        assert r["repaired_sha256"] == sha("\n".join(f"{role}:{text}" for role, text in repaired(rows, edits)))
+
+
+def test_structure_repair(spark, chats, chat_table):
+    rows = [r for r in chats if r[0] != 50 or r[1] < 300]  # brute force recurses
+    df = chat_table.filter("conv_id IS DISTINCT FROM 50 OR turn < 300")
+    check_repair({r["conv_id"]: r for r in repair.repair_report(repair.damaged(df)).collect()}, damaged(rows))
+
+
+def test_structure_repair_of_many_short_conversations(spark):
+    rng = random.Random(5)
+    said = ["", " ", "done.", "cut", "done.", "why?", "so"]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "tool", "user", "assistant"]), rng.choice(said)) for c in range(1500) for t in range(rng.randint(0, 8))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    check_repair({r["conv_id"]: r for r in repair.repair_report(repair.damaged(df)).collect()}, damaged(rows))
+
+
+def test_repaired_turns_follow_the_grammar(spark, chat_table):
+    found = defaultdict(list)
+    for r in sorted(repair.repaired_turns(repair.damaged(chat_table)).collect(), key=lambda r: r["place"]):
+        if r["edit"] != "D":
+            found[r["conv_id"]].append(r["role"][0])
+    assert 50 in found and all(re.fullmatch("(s?(ua)+)?", "".join(x)) for x in found.values())
+
+
+def test_dropped_and_empty_conversations(spark):
+    gone = next(c for c in range(1000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    df = spark.createDataFrame([(gone, 0, "user", "hi.")], "conv_id long, turn long, role string, text string")
+    [r] = repair.repair_report(repair.damaged(df)).collect()
+    assert r.asDict() == dict(conv_id=gone, gaps=0, blank=0, duplicate=0, truncated=0, illegal=0, cost=0, audit="", repaired_sha256=sha(""))
+    assert repair.repair_report(repair.damaged(df.limit(0))).count() == 0
+
+
+def test_lr_table_of_the_role_grammar():
+    for roles in ("", "ua", "sua", "uaua", "suaua"):
+        stacks = [repair.BOTTOM]
+        for x in roles:
+            stacks = [t for s in stacks for t in repair.shifted(s, x)]
+        assert [bool(repair.shifted(s, "$")) for s in stacks] == [True]
+    assert not repair.shifted(repair.BOTTOM, "a") and not any(repair.shifted(s, "$") for s in repair.shifted(repair.BOTTOM, "s"))
