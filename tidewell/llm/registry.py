@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, chat_format, exact_dedup, html_text, language, near_dedup, packing, quality, repair, sharding, suffix_dedup, warc
+from . import bpe, chat_format, exact_dedup, html_text, language, near_dedup, packing, quality, ranked, repair, sharding, suffix_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,10 +24,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": packing.op9_packing,
         "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
         "op11_chat_format": chat_format.op11_chat_format,
+        "op12_ranked_search": ranked.op12_ranked_search,
         "op13_structure_repair": repair.op13_structure_repair,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op11_chat_format": chat_format.OP11_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL, "op11_chat_format": chat_format.OP11_SQL, "op12_ranked_search": ranked.OP12_SQL}
