@@ -186,9 +186,6 @@ def test_models_add_up(spark):
     rows, names = importance.feature_matrix(spark.createDataFrame(x), "y")
     assert importance.forest_importance(rows, names, False, 5, 4).agg(F.sum("importance")).first()[0] == pytest.approx(1)
     model = importance.forest(False, 5, 4).fit(rows)
-    v = importance.shapley(model, rows, names, permutations=3, background=4)
-    m = importance.mean_abs_shapley(v)
-    assert dict(pairs(m, "feature", "importance"))["a"] > dict(pairs(m, "feature", "importance"))["b"]
     loss = dict(pairs(importance.permutation_importance(model, rows, names, False, 2), "feature", "mean"))
     assert loss["a"] > loss["b"]
 
@@ -373,33 +370,6 @@ def test_normality_chooses_by_length(spark):
     assert many[0] == many[1] and many[0]["sampled"] and 400 < many[0]["n"] < 600
 
 
-class _Linear:
-    """A model that Spark can score: 2 a - 3 b + a b."""
-
-    @staticmethod
-    def transform(df):
-        from pyspark.ml.functions import vector_to_array
-
-        x = vector_to_array("features")
-        return df.withColumn("prediction", 2 * x[0] - 3 * x[1] + x[0] * x[1])
-
-
-def test_shapley_and_interactions_on_few_and_repeated_rows(spark):
-    from pyspark.ml.functions import array_to_vector
-
-    rows = spark.createDataFrame([(1.0, 2.0), (0.0, 1.0), (4.0, -1.0)], "a double, b double").select(
-        array_to_vector(F.array("a", "b")).alias("features"), F.lit(0.0).alias("label")
-    )
-    names = ["a", "b"]
-    one = importance.shapley(_Linear, rows, names, permutations=40).collect()
-    assert len(one) == 6 and {r["n"] for r in one} == {1}
-    thrice = rows.unionByName(rows).unionByName(rows)
-    again = importance.shapley(_Linear, thrice, names, permutations=40).collect()
-    assert {(r["id"], r["feature"]): r["value"] for r in one} == pytest.approx({(r["id"], r["feature"]): r["value"] for r in again}) and {r["n"] for r in again} == {3}
-    a, b = (importance.interactions(_Linear, m, names, names).first()["strength"] for m in (rows, thrice))
-    assert a == pytest.approx(b) and a > 0
-
-
 def test_full_analysis_bundles(spark):
     df = spark.range(400).selectExpr(
         "id", "CAST(pmod(hash(id), 97) AS DOUBLE) AS x", "CAST(id * 2 AS DOUBLE) AS y", "IF(id % 2 = 0, 'a', 'b') AS g",

@@ -103,15 +103,3 @@ def test_insights_and_batches_read_the_table(spark, tmp_path):
     prices = [(float(2 ** (i % 20)),) for i in range(400)]
     spark.createDataFrame(prices, "o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
     assert any("skewness" in r["message"] for r in catalog.queries()["n02_from_distribution"](spark, str(tmp_path)).collect())
-
-
-def test_shapley_weighs_equal_rows_by_their_count(spark):
-    from tidewell.operators import importance
-
-    x = [(float(i % 7), float(i % 3), float((i % 7) * (i % 3))) for i in range(60)] + [(9.0, 9.0, 81.0)] * 300
-    rows, names = importance.feature_matrix(spark.createDataFrame(x, "a double, b double, y double"), "y")
-    v = importance.shapley(importance.forest(False, 5, 4).fit(rows), rows, names, permutations=2, background=4)
-    got = v.filter("feature = 'a'").collect()
-    assert sum(r["n"] for r in got) == 360
-    want = sum(abs(r["value"]) * r["n"] for r in got) / 360
-    assert {r["feature"]: r["importance"] for r in importance.mean_abs_shapley(v).collect()}["a"] == pytest.approx(want)

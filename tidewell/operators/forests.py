@@ -226,10 +226,14 @@ def grow(
     matrix: DataFrame, names: list[str], classification: bool, trees: int = 25, depth: int = 10, refits: int = 1, kind: str = "one", bins: int = 64, seed: int = 42,
     rows: tuple[DataFrame, list[np.ndarray], int] | None = None
 ) -> Forest:
-    """Grow all trees of all refits, a level at a time. ``rows``: what :func:`binned` gave, if it is there already."""
+    """Grow all trees of all refits, a level at a time; the binned rows are kept in memory or on disk meanwhile.
+
+    ``rows``: what :func:`binned` gave, if it is there already.
+    """
     data, edges, classes = rows or binned(matrix, names, classification, bins)
     model = Forest(names, edges, classes, trees, refits, kind, seed, [Tree() for _ in range(trees * refits)])
-    held = data.persist() if rows is None else data
+    kept = not data.is_cached
+    held = data.persist() if kept else data
     k, count = len(names), len(model.grown)
     most = max(1, int(k**0.5)) if classes else k
     candidates = min(k, max(32, 4 * most))
@@ -255,7 +259,7 @@ def grow(
                     tree.stats.append(np.array(r[side]))
             open_ = [np.array(_still_open(model, t, open_[i]), np.int64) for i, t in enumerate(model.grown)]
     finally:
-        if rows is None:
+        if kept:
             held.unpersist()
     for t in model.grown:  # a tree that drew no row at all
         t.stats = [np.ones(stats) if s is None or model.cover(s) <= 0 else s for s in t.stats]
@@ -326,29 +330,30 @@ def _level(model: Forest, data: DataFrame, open_: list[np.ndarray], level: int,
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows are in order of (tree, node): a node's parts follow each other
-        now: tuple | None = None
-        hist = None
-
-        def chosen() -> Iterator[pa.RecordBatch]:
-            t, node = now
-            f, b, gain, left, right = _best(hist[None], tries[t][[node]], most, model.classes)
-            whole = hist[0].sum(0)
-            yield pa.record_batch({
-                "tree": pa.array([t], pa.int32()), "node": pa.array([int(open_[t][node])], pa.int32()), "feature": pa.array([int(f[0])], pa.int32()),
-                "cut": pa.array([int(b[0])], pa.int32()), "gain": pa.array([float(gain[0])]), "total": pa.array([whole.tolist()]),
-                "left": pa.array([left[0].tolist()]), "right": pa.array([right[0].tolist()])
+        at_once = max(1, min(512, DENSE_CELLS // (cell * stats)))
+        nodes: list[tuple[int, int]] = []
+        hist = np.zeros((at_once, cell, stats))
+
+        def chosen() -> pa.RecordBatch:
+            whole = hist[: len(nodes)].reshape(len(nodes), candidates, width, stats)
+            f, b, gain, left, right = _best(whole, np.stack([tries[t][n] for t, n in nodes]), most, model.classes)
+            return pa.record_batch({
+                "tree": pa.array([t for t, _ in nodes], pa.int32()), "node": pa.array([int(open_[t][n]) for t, n in nodes], pa.int32()),
+                "feature": pa.array(f.astype(np.int32)), "cut": pa.array(b.astype(np.int32)), "gain": pa.array(gain),
+                "total": pa.array(whole[:, 0].sum(1).tolist(), pa.list_(pa.float64())), "left": pa.array(left.tolist(), pa.list_(pa.float64())),
+                "right": pa.array(right.tolist(), pa.list_(pa.float64()))
             })
 
         for b in batches:
             for t, node, codes, values in zip(*(b.column(c).to_pylist() for c in ("tree", "node", "codes", "sums"))):
-                if now != (t, node):
-                    if now is not None:
-                        yield from chosen()
-                    now, hist = (t, node), np.zeros((candidates, width, stats))
-                code = np.frombuffer(codes, "<u4")
-                hist.reshape(-1, stats)[code] += np.frombuffer(values, "<f8").reshape(stats, -1).T
-        if now is not None:
-            yield from chosen()
+                if not nodes or nodes[-1] != (t, node):
+                    if len(nodes) == at_once:
+                        yield chosen()
+                        nodes, hist = [], np.zeros((at_once, cell, stats))
+                    nodes.append((t, node))
+                hist[len(nodes) - 1][np.frombuffer(codes, "<u4")] += np.frombuffer(values, "<f8").reshape(stats, -1).T
+        if nodes:
+            yield chosen()
 
     parts = data.mapInArrow(sums, "tree int, node int, codes binary, sums binary").repartition("tree", "node").sortWithinPartitions("tree", "node")
     out = "tree int, node int, feature int, cut int, gain double, total array<double>, left array<double>, right array<double>"

@@ -1,9 +1,11 @@
-"""Feature importance for a target: problem type, associations, mutual information, models."""
+"""Feature importance for a target: problem type, associations, mutual information, models.
+
+Forests whose rows out of the bag, refits and Shapley values are needed are in ``forests``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -224,17 +226,6 @@ def cross_validate(matrix: DataFrame, classification: bool, keys: list[str], fol
 DEALT_ROWS = 50_000
 
 
-def drawn(x: DataFrame, rows: int, seed: int) -> DataFrame:
-    """Up to ``rows`` different vectors of ``x`` (x, id, n), drawn in proportion to their copies n.
-
-    Each vector waits an exponential time that its hash gives, divided by n; the
-    first ones are taken. So the draw is the same in every run, and copies of the
-    whole table don't change it.
-    """
-    u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
-    return x.orderBy(-F.log(u) / F.col("n"), "id").limit(rows)
-
-
 def permutation_importance(model, matrix: DataFrame, names: list[str], classification: bool, repeats: int = 5, seed: int = 42) -> DataFrame:
     """Rows (feature, mean, std): loss of score when one feature's values are dealt out anew.
 
@@ -263,84 +254,6 @@ def permutation_importance(model, matrix: DataFrame, names: list[str], classific
     return loss.select(F.element_at(labels, F.col("j") + 1).alias("feature"), "mean", "std")
 
 
-def shapley(
-    model, matrix: DataFrame, names: list[str], predict: Callable[[DataFrame], Column] | None = None, permutations: int = 20, background: int = 20,
-    seed: int = 42
-) -> DataFrame:
-    """Rows (id, feature, value, n), n rows with equal features being one id: Monte-Carlo permutation Shapley values of the rows in ``matrix``.
-
-    Rows are explained against ``background`` rows of the same matrix. Each
-    permutation walks through the features and credits each with the change of
-    the prediction; the values of a row add up to its prediction less the mean
-    over the background rows drawn.
-    """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    k = len(names)
-    x = matrix.select(vector_to_array("features").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.xxhash64("x"))
-    base = drawn(x, background, seed).select(F.col("x").alias("z"), (F.row_number().over(Window.orderBy("id")) - 1).alias("b"))
-    have = base.agg(F.count(F.lit(1)).alias("have"))  # small tables have fewer rows than asked for
-    runs = x.withColumn(
-        "p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))
-    ).crossJoin(F.broadcast(have)).withColumn("b", F.pmod(F.xxhash64("id", "p"), F.col("have")).cast("int"))
-    runs = runs.join(F.broadcast(base), "b")
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(F.xxhash64("id", "p", i).alias("h"), i.alias("i"))))
-    steps = runs.withColumn("order", F.transform(order, lambda s: s["i"])).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(k))))
-    seen = F.transform("z", lambda v, i: F.when(F.array_position("order", i.cast("int")) <= F.col("step"), F.element_at("x", i + 1)).otherwise(v))
-    scored = model.transform(steps.select("id", "n", "p", "step", "order", array_to_vector(seen).alias("features")))
-    y = predict(scored) if predict else F.col("prediction").cast("double")
-    w = Window.partitionBy("id", "p").orderBy("step")
-    gains = scored.select("id", "n", "p", "step", "order", y.alias("y")).withColumn("gain", F.col("y") - F.lag("y").over(w)).filter("step > 0")
-    labels = F.array(*map(F.lit, names))
-    return gains.groupBy(
-        "id", F.element_at(labels, F.element_at("order", F.col("step")) + 1).alias("feature")
-    ).agg((F.sum("gain") / permutations).alias("value"), F.first("n").alias("n"))
-
-
-def mean_abs_shapley(values: DataFrame) -> DataFrame:
-    """Rows (feature, importance), the mean over all rows that were explained."""
-    return values.groupBy("feature").agg((F.sum(F.abs("value") * F.col("n")) / F.sum("n")).alias("importance"))
-
-
-def stability(matrix: DataFrame, names: list[str], classification: bool, refits: int = 10, **forest_args) -> DataFrame:
-    """Rows (feature, mean, std, cv, stability) of importances over bootstrap refits."""
-    out = None
-    for k in range(refits):
-        one = forest_importance(matrix.sample(True, 1.0, seed=1000 + k), names, classification, **forest_args)
-        out = one if out is None else out.unionByName(one)
-    s = out.groupBy("feature").agg(F.avg("importance").alias("mean"), F.stddev_pop("importance").alias("std"))
-    cv = F.coalesce(F.try_divide(F.col("std"), F.col("mean")), F.lit(0.0))
-    return s.select("feature", "mean", "std", cv.alias("cv"), (1 - cv / (cv + 1)).alias("stability"))
-
-
-def interactions(model, matrix: DataFrame, names: list[str], features: list[str], samples: int = 20, seed: int = 42) -> DataFrame:
-    """Rows (feature_a, feature_b, strength): mean absolute second difference of the prediction.
-
-    Each sample sets a random subset of the features, with and without the two.
-    """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    pairs = [(names.index(a), names.index(b)) for a, b in combinations(features, 2)]
-    x = matrix.select(vector_to_array("features").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.xxhash64("x"))
-    z = drawn(x, samples, seed).select(F.col("x").alias("z"), (F.row_number().over(Window.orderBy("id")) - 1).alias("s"))
-    grid = x.crossJoin(F.broadcast(z)).withColumn(
-        "pair", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs)))
-    ).withColumn("corner", F.explode(F.sequence(F.lit(0), F.lit(3))))
-
-    def value(v: Column, k: Column) -> Column:
-        first, second = (k == F.col("pair.i")), (k == F.col("pair.j"))
-        on = F.when(first, F.col("corner") % 2 == 1).when(second, F.col("corner") >= 2).otherwise(F.pmod(F.xxhash64("id", "s", k), F.lit(2)) == 0)
-        return F.when(on, F.element_at("x", k + 1)).otherwise(v)
-
-    scored = model.transform(grid.select("id", "n", "s", "pair", "corner", array_to_vector(F.transform("z", value)).alias("features")))
-    sign = F.when(F.col("corner").isin(0, 3), 1.0).otherwise(-1.0)
-    d = scored.groupBy("id", "s", "pair").agg(F.sum(sign * F.col("prediction")).alias("d"), F.first("n").alias("n"))
-    labels = F.array(*map(F.lit, names))
-    return d.groupBy("pair").agg((F.sum(F.abs("d") * F.col("n")) / F.sum("n")).alias("strength")).select(
-        F.element_at(labels, F.col("pair.i") + 1).alias("feature_a"), F.element_at(labels, F.col("pair.j") + 1).alias("feature_b"), "strength"
-    )
-
-
 METHODS: dict[str, Callable] = {"mi": mutual_information, "correlation": associations}
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewell.operators import forests as T
 from tidewell.operators import importance as K
 
 from .fixtures import t
@@ -68,6 +69,14 @@ def k05(spark, d):
     return K.forest_importance(rows, names, True)
 
 
+@query("k06_out_of_bag")
+def k06_oob(spark, d):
+    rows, names = K.feature_matrix(_cls(spark, d), "quality")
+    data = T.binned(rows, names, True)
+    model = T.grow(rows, names, True, rows=data)
+    return T.held_out_scores(model, data[0]).select("score", "n")
+
+
 @query("k06_cross_validation")
 def k06(spark, d):
     rows, _ = K.feature_matrix(_cls(spark, d), "quality")
@@ -164,22 +173,23 @@ def k15(spark, d):
 @query("k16_mean_abs_shapley")
 def k16(spark, d):
     rows, names = K.feature_matrix(_features(spark, d), "quality")
-    model = K.forest(False).fit(rows)
-    return K.mean_abs_shapley(K.shapley(model, rows, names))
+    data = T.binned(rows, names, False)
+    return T.mean_abs_shapley(T.grow(rows, names, False, rows=data), data[0])
 
 
 @query("k17_stability")
 def k17(spark, d):
     rows, names = K.feature_matrix(_cls(spark, d), "quality")
-    return K.stability(rows, names, True)
+    return T.stability(T.grow(rows, names, True, refits=10, kind="bootstrap"), rows)
 
 
 @query("k18_interactions")
 def k18(spark, d):
     rows, names = K.feature_matrix(_features(spark, d), "quality")
-    model = K.forest(False).fit(rows)
-    top = sorted(zip(-model.featureImportances.toArray(), names))[:8]
-    return K.interactions(model, rows, names, [c for _, c in top])
+    data = T.binned(rows, names, False)
+    model = T.grow(rows, names, False, rows=data)
+    top = sorted(zip(-T.importances(model)[0], names))[:8]
+    return T.interactions(model, data[0], [c for _, c in top])
 
 
 @query("k19_method_groups")
