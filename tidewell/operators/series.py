@@ -1,10 +1,9 @@
 """Time series, thousands at a time: every operator works per series key.
 
 A prepared series has the key columns, ``ts``, ``pos`` (0-based position) and ``value``.
-Windows are partitioned by the keys. Regressions, decompositions and spectra run
-in one task per series on all its points; a task holds the values of one series and
-builds regressors in blocks of rows. Work that is quadratic in the length (mean shifts,
-Mann-Kendall) takes evenly spaced points above ``most``; everything else uses all points.
+Windows are partitioned by the keys. Regressions, lag products and running averages go by
+blocks of a series (``longseries``). Decompositions, spectra, mean shifts and Mann-Kendall run
+in one task per series on all its points; a task holds the values of one series.
 """
 
 from __future__ import annotations
@@ -14,8 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.cleaning import correlation, name
-from tidewell.functions.dist import chi2_upper, p_normal, p_t
+from tidewell.functions.cleaning import name
+from tidewell.functions.dist import p_normal, p_t
+from tidewell.operators import longseries
 from tidewell.operators.profile import unbiased_kurtosis, unbiased_skewness
 from tidewell.operators.ranks import exact_quantiles
 
@@ -146,17 +146,13 @@ def thin(s: DataFrame, keys: list[str], points: int) -> DataFrame:
     return s.join(k.select(*keys, at.alias("pos"), F.col("__k").cast("long").alias("__new")), [*keys, "pos"]).withColumn("pos", F.col("__new")).drop("__new")
 
 
-def per_series(s: DataFrame, keys: list[str], f, schema: str, most: int | None = None, at: str | None = None) -> DataFrame:
-    """Apply f(values) -> list of result rows to each series without nulls, thinned above ``most`` points.
+def per_series(s: DataFrame, keys: list[str], f, schema: str, at: str | None = None) -> DataFrame:
+    """Apply f(values) -> list of result rows to each series without nulls.
 
     The result column ``at`` counts the values f was given; it is turned into positions of the series.
     """
     fields = [x.strip().split()[0] for x in schema.split(",")]
     known = s.filter("value IS NOT NULL").select(*keys, "pos", "value")
-    if most is not None:
-        known = thin(
-            known.withColumn("at", F.col("pos")).withColumn("pos", F.row_number().over(_by(keys)) - 1), keys, most
-        ).select(*keys, F.col("at").alias("pos"), "value")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
@@ -175,116 +171,19 @@ def _blocks(first: int, end: int, width: int) -> list[tuple[int, int]]:
     return [(a, min(a + rows, end)) for a in range(first, end, rows)]
 
 
-def _reduced(rows, first: int, end: int, width: int) -> np.ndarray:
-    """Triangular factor of the matrix whose rows a..b are rows(a, b), block by block."""
-    r = np.zeros((0, width))
-    for a, b in _blocks(first, end, width):
-        r = np.linalg.qr(np.vstack((r, rows(a, b))), mode="r")
-    return r
-
-
-def _ols(r: np.ndarray, columns: list[int], n: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Coefficients, their standard errors and the residual sum of squares; the last column of r is explained."""
-    x, y = r[:, columns], r[:, -1]
-    p = np.linalg.pinv(x)
-    b = p @ y
-    rss = float(((y - x @ b) ** 2).sum())
-    return b, np.sqrt((p * p).sum(axis=1) * rss / max(1, n - len(columns))), rss
-
-
-def _adf(x: np.ndarray) -> list[tuple]:
-    n = len(x)
-    if n < 12 or np.ptp(x) == 0:
-        return []
-    d, best = np.diff(x), None
-    top = min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
-
-    def rows(k: int):
-        return lambda a, b: np.column_stack([np.ones(b - a), x[a:b], *(d[a - i : b - i] for i in range(1, k + 1)), d[a:b]])
-
-    # all candidates on the same rows, so that criteria compare
-    r, m = _reduced(rows(top), top, n - 1, top + 3), n - 1 - top
-    for p in range(top + 1):
-        _, _, rss = _ols(r, list(range(p + 2)), m)
-        aic = m * np.log(max(rss, 1e-300) / m) + 2 * (p + 2)
-        if best is None or aic < best[0]:
-            best = (aic, p)
-    p = best[1]
-    m = n - 1 - p
-    b, se, _ = _ols(_reduced(rows(p), p, n - 1, p + 3), list(range(p + 2)), m)
-    t = float(b[1] / se[1]) if se[1] > 0 else -np.inf
-    from statistics import NormalDist
-
-    phi = NormalDist().cdf
-    pv = 1.0 if t > 2.74 else 0.0 if t < -18.83 else phi(2.1659 + 1.4412 * t + 0.038269 * t * t) if t <= -1.61 else phi(1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t**3)
-    critical = [
-        a + b1 / m + c / m**2 + e / m**3 for a, b1, c,
-        e in ((-3.43035, -6.5393, -16.786, -79.433), (-2.86154, -2.8903, -4.234, -40.04), (-2.56677, -1.5384, -2.809, 0.0))
-    ]
-    return [(t, p, pv, *critical)]
-
-
 def adf(s: DataFrame, keys: list[str]) -> DataFrame:
     """Per series: unit-root test with constant, lags by AIC; p from a response surface."""
-    return per_series(s, keys, _adf, "statistic double, lags int, p double, critical_1 double, critical_5 double, critical_10 double")
-
-
-def _kpss(x: np.ndarray) -> list[tuple]:
-    n = len(x)
-    if n < 5 or np.ptp(x) == 0:
-        return []
-    e = x - x.mean()
-    products = lambda i: float(e[i:] @ e[: n - i])
-    first = int(n ** (2 / 9))
-    s0, s1 = e @ e / n, 0.0
-    for i in range(1, first + 1):
-        c = products(i) / (n / 2)
-        s0, s1 = s0 + c, s1 + i * c
-    lag = min(n - 1, int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)))
-    var = (e @ e + 2 * sum((1 - i / (lag + 1)) * products(i) for i in range(1, lag + 1))) / n
-    stat = float((np.cumsum(e) ** 2).sum() / (n * n * var))
-    return [(stat, lag, float(np.interp(stat, [0.347, 0.463, 0.574, 0.739], [0.10, 0.05, 0.025, 0.01])))]
+    return longseries.adf(s, keys)
 
 
 def kpss(s: DataFrame, keys: list[str]) -> DataFrame:
     """Per series: level stationarity; p between 0.01 and 0.10."""
-    return per_series(s, keys, _kpss, "statistic double, lags int, p double")
-
-
-def _zivot_andrews(x: np.ndarray) -> list[tuple]:
-    n = len(x)
-    if n < 30 or np.ptp(x) == 0:
-        return []
-    # constant, trend, level and lags in units that keep the factor well conditioned
-    x = (x - x.mean()) / x.std()
-    d, k = np.diff(x), int(np.ceil(12 * (n / 100) ** 0.25)) // 2
-
-    def rows(a: int, b: int) -> np.ndarray:
-        return np.column_stack([np.ones(b - a), np.arange(a, b) / n - 0.5, x[a:b], *(d[a - i : b - i] for i in range(1, k + 1)), d[a:b]])
-
-    r = _reduced(rows, k, n - 1, k + 4)
-    p = np.linalg.pinv(r[:, :-1])
-    inverse, beta = p @ p.T, p @ r[:, -1]
-    rss = float(((r[:, -1] - r[:, :-1] @ beta) ** 2).sum())
-    dof, best, after = max(1, n - 1 - k - (k + 4)), (np.inf, 0), np.zeros(k + 4)
-    # the break's column joins by its products with the others: sums over the rows from the cut on
-    for a, b in reversed(_blocks(k, n - 1, k + 4)):
-        v = np.cumsum(rows(a, b)[::-1], axis=0)[::-1] + after
-        after, cuts = v[0], np.arange(a, b)
-        u = v[:, :-1] @ inverse
-        own = n - 1 - cuts - (u * v[:, :-1]).sum(axis=1)
-        ok = (cuts >= int(0.15 * n)) & (cuts < int(0.85 * n)) & (own > 1e-9)
-        g = (v[:, -1] - v[:, :-1] @ beta)[ok] / own[ok]
-        var = np.maximum(rss - own[ok] * g * g, 0) / dof * (inverse[2, 2] + u[ok, 2] ** 2 / own[ok])
-        t = np.where(var > 0, (beta[2] - u[ok, 2] * g) / np.sqrt(np.where(var > 0, var, 1)), np.inf)
-        if len(t):
-            best = min(best, (float(t.min()), int(cuts[ok][t.argmin()])))
-    return [(best[0], best[1], -5.34, -4.80, -4.58)]
+    return longseries.kpss(s, keys)
 
 
 def zivot_andrews(s: DataFrame, keys: list[str]) -> DataFrame:
     """Per series: unit root against one break in level; the break with the smallest t."""
-    return per_series(s, keys, _zivot_andrews, "statistic double, break_pos int, critical_1 double, critical_5 double, critical_10 double", at="break_pos")
+    return longseries.zivot_andrews(s, keys)
 
 
 def stationarity(s: DataFrame, keys: list[str]) -> DataFrame:
@@ -391,15 +290,12 @@ def max_lag(n: Column) -> Column:
     return F.least(F.lit(60), F.greatest(F.lit(10), F.floor(n / 3))).cast("int")
 
 
-def autocorrelation(s: DataFrame, keys: list[str]) -> DataFrame:
+def autocorrelation(s: DataFrame, keys: list[str], size: int = longseries.SIZE) -> DataFrame:
     """Rows (lag, acf, bound): lags 0..min(60, max(10, n/3)) with Bartlett's bound."""
     g = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), (F.var_pop("value") * F.count("value")).alias("ss"))
-    x = s.join(F.broadcast(g), keys).select(*keys, "pos", (F.col("value") - F.col("m")).alias("x"), "n", "ss")
-    lagged = x.withColumn("lag", F.explode(F.sequence(F.lit(0), max_lag(F.col("n"))))).withColumn("at", F.col("pos") + F.col("lag")).select(
-        *keys, F.col("x").alias("a"), "lag", F.col("at").alias("pos")
-    )
-    j = lagged.join(x, [*keys, "pos"]).groupBy(*keys, "lag", "n", "ss").agg(F.sum(F.col("a") * F.col("x")).alias("c"))
-    r = j.select(*keys, "lag", "n", F.try_divide("c", "ss").alias("acf"))
+    x = s.join(g, keys).select(*keys, "pos", (F.col("value") - F.col("m")).alias("e"), "n")
+    c = longseries.lag_products(x, keys, F.least(max_lag(F.col("n")).cast("long"), F.col("n") - 1), 60, size).join(g, keys)
+    r = c.select(*keys, "lag", "n", F.try_divide("c", "ss").alias("acf"))
     before = F.coalesce(F.sum(F.when(F.col("lag") > 0, F.col("acf") ** 2)).over(_by(keys, "lag").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     return r.select(*keys, "lag", "n", "acf", F.when(F.col("lag") > 0, 1.96 * F.sqrt((1 + 2 * before) / F.col("n"))).otherwise(0.0).alias("bound"))
 
@@ -455,34 +351,70 @@ def spectrum(s: DataFrame, keys: list[str], top: int = 5) -> DataFrame:
 # --- change points and anomalies -------------------------------------------------------------------
 
 
-def mean_shifts(s: DataFrame, keys: list[str], most: int = 20_000) -> DataFrame:
+def _shifts(x: np.ndarray, least: int, penalty: float) -> list[int]:
+    """Ends of the segments of the cheapest partition: squared error plus a penalty each, ``least`` points at least.
+
+    A candidate for the last change is dropped once no level of the segment after it would
+    make it the cheapest; as later points add the same to all candidates, it stays so. A
+    candidate joins ``least`` points late, so the length rule is kept exactly.
+    """
+    n = len(x)
+    y = x - x.mean()
+    s1, s2 = np.concatenate(([0.0], np.cumsum(y))), np.concatenate(([0.0], np.cumsum(y * y)))
+    best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+    best[0] = -penalty
+    # pieces of the level's range with the candidate that is cheapest there: a + b m + c m^2, the same at all times
+    low, high = np.array([y.min()]), np.array([y.max()])
+    who = np.array([0])
+    a, b, c = np.array([best[0]]), np.zeros(1), np.zeros(1)
+    for t in range(least, n + 1):
+        new = t - least
+        if new >= least and np.isfinite(best[new]):
+            da, db, dc = best[new] - s2[new] - a, 2 * s1[new] - b, -float(new) - c
+            root = db * db - 4 * da * dc
+            real = root > 0
+            root = np.sqrt(np.where(real, root, 0.0))
+            # dc < 0: the old one stays between the roots
+            lo, hi = np.maximum(low, (-db + root) / (2 * dc)), np.minimum(high, (-db - root) / (2 * dc))
+            keep = real & (lo < hi)
+            lo, hi = lo[keep], hi[keep]
+            begins, ends = np.append(y.min(), hi), np.append(lo, y.max())
+            gap = begins < ends
+            if gap.any():
+                m = int(gap.sum())
+                low, high = np.concatenate([lo, begins[gap]]), np.concatenate([hi, ends[gap]])
+                who = np.concatenate([who[keep], np.full(m, new)])
+                a = np.concatenate([a[keep], np.full(m, best[new] - s2[new])])
+                b = np.concatenate([b[keep], np.full(m, 2 * s1[new])])
+                c = np.concatenate([c[keep], np.full(m, -float(new))])
+                order = np.argsort(low, kind="stable")
+                low, high, who, a, b, c = low[order], high[order], who[order], a[order], b[order], c[order]
+        d = s1[t] - s1[who]
+        v = best[who] + s2[t] - s2[who] - d * d / (t - who)
+        at = int(v.argmin())
+        best[t], back[t] = v[at] + penalty, who[at]
+    cuts, j = [], n
+    while j > 0:
+        cuts.append(j)
+        j = int(back[j])
+    return cuts[::-1]
+
+
+def mean_shifts(s: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (pos, mean_before, mean_after): optimal partition by squared error, penalty var * ln n a shift.
 
-    Segments have a twentieth of the points at least. Quadratic, so series above ``most`` points
-    are thinned; ``pos`` stays the position in the whole series.
+    Segments have a twentieth of the points at least.
     """
 
     def run(x: np.ndarray) -> list[tuple]:
         n = len(x)
         least = max(2, n // 20)
-        y = x - x.mean()
-        c1, c2 = np.concatenate(([0], np.cumsum(y))), np.concatenate(([0], np.cumsum(y * y)))
-        penalty = y.var() * np.log(max(n, 2))
-        best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-        best[0] = -penalty
-        for j in range(least, n + 1):
-            a = np.arange(j - least + 1)
-            v = best[a] + c2[j] - c2[a] - (c1[j] - c1[a]) ** 2 / (j - a) + penalty
-            back[j] = v.argmin()
-            best[j] = v[back[j]]
-        cuts, j = [], n
-        while j > 0:
-            cuts.append(j)
-            j = back[j]
-        edges = [0, *sorted(cuts)]
+        if n < least or np.ptp(x) == 0:
+            return []
+        edges = [0, *_shifts(x, least, float(x.var() * np.log(max(n, 2))))]
         return [(int(b), float(x[a:b].mean()), float(x[b:e].mean())) for a, b, e in zip(edges, edges[1:], edges[2:])]
 
-    return per_series(s, keys, run, "pos long, mean_before double, mean_after double", most, at="pos")
+    return per_series(s, keys, run, "pos long, mean_before double, mean_after double", at="pos")
 
 
 def noise_scale(s: DataFrame, keys: list[str]) -> DataFrame:
@@ -494,17 +426,8 @@ def noise_scale(s: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cusum(s: DataFrame, keys: list[str], slack: DataFrame | float = 0.0) -> DataFrame:
-    """Rows with ``up`` and ``down``: cumulated deviations beyond the slack, in closed window form."""
-    w = _by(keys)
-    g = s.groupBy(*keys).agg(F.avg("value").alias("__m"))
-    x = s.join(F.broadcast(g), keys)
-    k = F.lit(float(slack)) if not isinstance(slack, DataFrame) else F.col("slack")
-    if isinstance(slack, DataFrame):
-        x = x.join(F.broadcast(slack), keys)
-    d = F.col("value") - F.col("__m")
-    x = x.withColumns({"__u": F.when(F.col("pos") == 0, 0.0).otherwise(d - k), "__d": F.when(F.col("pos") == 0, 0.0).otherwise(-d - k)})
-    x = x.withColumns({"__cu": F.sum("__u").over(w), "__cd": F.sum("__d").over(w)})
-    return x.select(*keys, "pos", "ts", "value", (F.col("__cu") - F.min("__cu").over(w)).alias("up"), (F.col("__cd") - F.min("__cd").over(w)).alias("down"))
+    """Rows with ``up`` and ``down``: cumulated deviations beyond the slack, never below zero."""
+    return longseries.cusum(s, keys, slack)
 
 
 def crossings(c: DataFrame, keys: list[str], threshold: DataFrame | float, first: int = 20) -> DataFrame:
@@ -533,64 +456,83 @@ def cusum_threshold(s: DataFrame, keys: list[str], shuffles: int = 100, alpha: f
     return per_series(s, keys, run, "threshold double")
 
 
-def anomalies(s: DataFrame, keys: list[str], window: int, z: float = 3.0) -> DataFrame:
-    """Rows with z, rolling flag, fence flag (3 IQR) and their union; the window is centred."""
-    w = _by(keys).rowsBetween(-(window // 2), (window - 1) // 2)
-    x = s.join(exact_quantiles(s, keys, F.col("value"), [0.25, 0.75]), keys)
-    score = (F.col("value") - F.avg("value").over(w)) / (F.coalesce(F.stddev_samp("value").over(w), F.lit(1.0)) + 1e-9)
+def anomalies(s: DataFrame, keys: list[str], window: int | None = None, z: float = 3.0) -> DataFrame:
+    """Rows with z, rolling flag, fence flag (3 IQR) and their union; the window is centred, a twentieth of the rows (3 at least) if not given."""
+    n = F.greatest(F.lit(3), F.floor(F.col("n") / 20)) if window is None else F.lit(window)
+    x = longseries.windowed(s, keys, {"w": (F.floor(n / 2), F.floor((n - 1) / 2))})
+    x = x.join(exact_quantiles(s, keys, F.col("value"), [0.25, 0.75]), keys)
+    score = (F.col("value") - F.col("mean_w")) / (F.coalesce("std_w", F.lit(1.0)) + 1e-9)
     lo, hi = F.col("q")[0], F.col("q")[1]
     fence = (F.col("value") < lo - 3 * (hi - lo)) | (F.col("value") > hi + 3 * (hi - lo))
-    return x.withColumn("z", score).withColumns({"rolling": F.abs("z") > z, "fence": fence}).withColumn("anomaly", F.col("rolling") | F.col("fence")).drop("q")
+    out = x.withColumn("z", score).withColumns({"rolling": F.abs("z") > z, "fence": fence}).withColumn("anomaly", F.col("rolling") | F.col("fence"))
+    return out.drop("q", "n", "mean_w", "std_w", "n_w")
 
 
-def rolling(s: DataFrame, keys: list[str], windows: list[int]) -> DataFrame:
-    """Rows with mean_w and std_w over the last w values, for each window."""
-    out = {}
-    for k in windows:
-        w = _by(keys).rowsBetween(1 - k, 0)
-        out |= {f"mean_{k}": F.avg("value").over(w), f"std_{k}": F.stddev_samp("value").over(w)}
-    return s.withColumns(out)
+#: Shares of a series' rows that rolling windows take, with the least lengths.
+SHARES = {"short": (20, 3), "middle": (10, 7), "long": (5, 14)}
 
 
-def ewma(s: DataFrame, keys: list[str], span: int, tail: float = 1e-12) -> DataFrame:
-    """Rows with ``ewma``: alpha = 2 / (span + 1), folded over as many past values as matter."""
-    alpha = 2.0 / (span + 1)
-    reach = int(np.ceil(np.log(tail) / np.log(1 - alpha)))
-    w = _by(keys).rowsBetween(-reach, 0)
-    past = F.collect_list("value").over(w)
-    fold = F.aggregate(F.slice(past, 2, reach + 1), past[0], lambda a, v: (1 - alpha) * a + alpha * v)
-    return s.withColumn("ewma", fold)
+def rolling(s: DataFrame, keys: list[str], windows: list[int] | None = None) -> DataFrame:
+    """Rows with mean_w and std_w over the last w values, for each window; ``short``, ``middle`` and ``long`` if none is given."""
+    if windows is None:
+        frames = {k: (F.greatest(F.lit(least), F.floor(F.col("n") / share)) - 1, F.lit(0)) for k, (share, least) in SHARES.items()}
+    else:
+        frames = {str(w): (F.lit(w - 1), F.lit(0)) for w in windows}
+    return longseries.windowed(s, keys, frames).drop("n", *(f"n_{k}" for k in frames))
 
 
-def volatility(s: DataFrame, keys: list[str], window: int) -> DataFrame:
-    """Rows with ``volatility``: deviation of log returns times sqrt(252), full windows only."""
-    w = _by(keys)
-    ratio = F.try_divide(F.col("value"), F.lag("value").over(w))
-    x = s.withColumn("__r", F.when(ratio > 0, F.log(ratio)))
-    f = w.rowsBetween(1 - window, 0)
-    return x.withColumn("volatility", F.when(F.count("__r").over(f) == window, F.stddev_samp("__r").over(f) * np.sqrt(252.0))).drop("__r")
+def ewma(s: DataFrame, keys: list[str], span: int | None = None) -> DataFrame:
+    """Rows with ``ewma``: alpha = 2 / (span + 1); the span is a tenth of the series' rows if none is given."""
+    return longseries.ewma(s, keys, span)
 
 
-def lag_correlations(s: DataFrame, keys: list[str], lags: int) -> DataFrame:
-    """Rows (lag, pearson): correlation of a series with itself ``lag`` positions earlier."""
-    a = s.select(*keys, "value", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"), "pos").select(
-        *keys, F.col("value").alias("x"), "lag", (F.col("pos") + F.col("lag")).alias("pos")
-    )
-    return a.join(
-        s.select(*keys, "pos", F.col("value").alias("y")), [*keys, "pos"]
-    ).groupBy(*keys, "lag").agg(correlation(F.col("x"), F.col("y")).alias("pearson"))
+def volatility(s: DataFrame, keys: list[str], window: int | None = None) -> DataFrame:
+    """Rows with ``volatility``: deviation of log returns times sqrt(252), full windows only, a fifteenth of the rows (5 at least) if not given."""
+    ratio = F.try_divide(F.col("value"), F.lag("value").over(_by(keys)))
+    r = s.withColumns({"__value": F.col("value"), "value": F.when(ratio > 0, F.log(ratio))})
+    w = F.greatest(F.lit(5), F.floor(F.col("n") / 15)) if window is None else F.lit(window)
+    x = longseries.windowed(r, keys, {"w": (w - 1, F.lit(0))}).withColumn("volatility", F.when(F.col("n_w") == w, F.col("std_w") * np.sqrt(252.0)))
+    return x.withColumn("value", F.col("__value")).select(*s.columns, "volatility")
 
 
-def lag_rank_correlations(s: DataFrame, keys: list[str], lags: int) -> DataFrame:
-    """Rows (lag, spearman), ranks taken within each lag's pairs."""
-    a = s.select(*keys, "value", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"), "pos").select(
-        *keys, F.col("value").alias("x"), "lag", (F.col("pos") + F.col("lag")).alias("pos")
-    )
-    j = a.join(s.select(*keys, "pos", F.col("value").alias("y")), [*keys, "pos"])
-    rank = lambda c: F.rank().over(Window.partitionBy(*keys, "lag").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, "lag", c)) - 1) / 2
-    return j.select(
-        *keys, "lag", rank("x").alias("rx"), rank("y").alias("ry")
-    ).groupBy(*keys, "lag").agg(correlation(F.col("rx"), F.col("ry")).alias("spearman"))
+def _lags(n: Column, lags: int | None) -> Column:
+    return F.least(F.lit(20), F.floor(n / 5)) if lags is None else F.lit(lags)
+
+
+def lag_correlations(s: DataFrame, keys: list[str], lags: int | None = None, size: int = longseries.SIZE) -> DataFrame:
+    """Rows (lag, pearson): correlation of a series with itself ``lag`` positions earlier, lags 1..min(20, n/5) if not given."""
+    g = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    x = s.join(g, keys).select(*keys, "pos", "value", "n")
+    both = lambda pdf, lag: (pdf["value"].to_numpy(float), pdf["value"].to_numpy(float))
+    return longseries.paired(x, keys, _lags(F.col("n"), lags), lags or 20, both, size).withColumnRenamed("r", "pearson")
+
+
+def lag_rank_correlations(s: DataFrame, keys: list[str], lags: int | None = None, size: int = longseries.SIZE) -> DataFrame:
+    """Rows (lag, spearman), ranks taken within each lag's pairs; nulls are left out beforehand.
+
+    Values are ranked once: among the pairs of lag ``k`` all but the last (or first) ``k`` values stand,
+    so a rank there is that among all less the few left-out values below it.
+    """
+    most = lags or 20
+    x = longseries.numbered(s, keys)
+    g = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    x = x.join(g, keys)
+    ends = x.groupBy(*keys).agg(
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("i") < most, F.struct("i", "value")))), lambda v: v["value"]).alias("head"),
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("i") >= F.col("n") - most, F.struct("i", "value")))), lambda v: v["value"]).alias("tail")
+    )
+    v = Window.partitionBy(*keys).orderBy("value")
+    ranked = x.withColumns({"below": (F.rank().over(v) - 1).cast("double"), "same": F.count(F.lit(1)).over(Window.partitionBy(*keys, "value")).cast("double")})
+    ranked = ranked.join(ends, keys).select(*keys, F.col("i").alias("pos"), "value", "below", "same", "head", "tail", "n")
+
+    def ranks(pdf: pd.DataFrame, lag: int) -> tuple[np.ndarray, np.ndarray]:
+        value, out = pdf["value"].to_numpy(float), []
+        for gone in (np.sort(pdf["head"].iloc[0][:lag]), np.sort(pdf["tail"].iloc[0][-lag:])):
+            left, right = np.searchsorted(gone, value, "left"), np.searchsorted(gone, value, "right")
+            out.append(pdf["below"].to_numpy() - left + (pdf["same"].to_numpy() - (right - left) + 1) / 2)
+        return out[0], out[1]
+
+    return longseries.paired(ranked, keys, _lags(F.col("n"), lags), most, ranks, size).withColumnRenamed("r", "spearman")
 
 
 def linear_trend(s: DataFrame, keys: list[str]) -> DataFrame:
@@ -605,51 +547,131 @@ def linear_trend(s: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("r2", F.col("r") ** 2).withColumn("p", p_t(t, F.col("n") - 2)).drop("r")
 
 
-def mann_kendall(s: DataFrame, keys: list[str], most: int = 5000) -> DataFrame:
-    """Per series (thinned above ``most`` points): s, z, p, Sen's slope per position."""
-    x = thin(s.filter("value IS NOT NULL"), keys, most)
-    a, b = x.alias("a"), x.alias("b")
-    same = F.col("a.pos") < F.col("b.pos")
-    for k in keys:
-        same &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    d = F.col("b.value") - F.col("a.value")
-    pairs = a.join(b, same).select(*(F.col(f"a.{k}").alias(k) for k in keys), d.alias("d"), F.try_divide(d, F.col("b.pos") - F.col("a.pos")).alias("slope"))
-    g = pairs.groupBy(*keys).agg(F.sum(F.signum("d")).alias("s"))
-    g = g.join(exact_quantiles(pairs, keys, F.col("slope"), [0.5]), keys).withColumn("slope", F.col("q")[0]).drop("q")
-    t = F.col("t").cast("double")
-    ties = x.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("t")).groupBy(*keys).agg(F.sum(t * (t - 1) * (2 * t + 5)).alias("ties"), F.sum(t).alias("n"))
-    j = g.join(ties, keys).withColumn("sd", F.sqrt(F.expr("(n * (n - 1) * (2 * n + 5) - ties) / 18")))
-    z = F.when(F.col("s") > 0, F.try_divide(F.col("s") - 1, F.col("sd"))).when(F.col("s") < 0, F.try_divide(F.col("s") + 1, F.col("sd"))).otherwise(0.0)
-    return j.select(*keys, "s", z.alias("z"), "slope").withColumn("p", p_normal(F.col("z")))
+def inversions(key: np.ndarray) -> int:
+    """Pairs i < j with key[j] < key[i], bit by bit of the ranks: of those that agree so far, ones before zeros."""
+    _, rank = np.unique(key, return_inverse=True)
+    bits, total = int(rank.max(initial=0)).bit_length(), 0
+    for bit in reversed(range(bits)):
+        high = (rank >> bit) & 1
+        group = rank >> (bit + 1)
+        ones = np.cumsum(high) - high
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        before = np.repeat(ones[starts], np.diff(np.append(starts, len(rank))))
+        total += int(((ones - before) * (1 - high)).sum())
+        rank = rank[np.argsort(rank >> bit, kind="stable")]  # groups stay together, zeros first
+    return total
+
+
+#: Pairs whose slopes are looked at one by one.
+MOST_PAIRS = 4_000_000
+
+
+def _slopes_between(x: np.ndarray, v: np.ndarray, low: float, high: float) -> np.ndarray:
+    """The slopes of the pairs that change their order between ``v - low x`` and ``v - high x``."""
+    order = np.lexsort((x, v - low * x))
+    x, v = x[order], v[order]
+    after = np.lexsort((x, v - high * x))
+    place = np.empty(len(x), np.int64)
+    place[after] = np.arange(len(x))
+    out, width = [], 1
+    # merge runs of places: each crossing of two runs is one pair
+    runs = place.copy()
+    index = np.arange(len(x))
+    while width < len(x):
+        group = np.arange(len(x)) // (2 * width)
+        right = (np.arange(len(x)) // width) & 1
+        # within a group: right elements smaller than left ones
+        base = group * np.int64(len(x) + 1)
+        left_keys = (base + runs)[right == 0]
+        r = np.flatnonzero(right == 1)
+        if len(r):
+            at = np.searchsorted(left_keys, (base + runs)[r], "right")
+            end = np.searchsorted(left_keys, (group[r] + 1) * np.int64(len(x) + 1), "left")
+            many = end - at
+            j = np.repeat(index[r], many)
+            offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            i = index[right == 0][np.repeat(at, many) + offset]
+            out.append((v[j] - v[i]) / (x[j] - x[i]))
+        sort = np.argsort(base + runs, kind="stable")
+        runs, index = runs[sort], index[sort]
+        width *= 2
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def sen_slope(x: np.ndarray, v: np.ndarray) -> float:
+    """The median of (v_j - v_i) / (x_j - x_i) over all pairs, ``x`` ascending, without making all pairs.
+
+    Slopes below ``m`` are the pairs that ``v - m x`` has in the other order, so they are
+    counted as inversions. Drawn pairs bracket the median; the bracket narrows by where the
+    counts put it until few pairs are left in it, which are then made.
+    """
+    n = len(x)
+    pairs = n * (n - 1) // 2
+    wanted = [(pairs - 1) // 2, pairs // 2]
+    below = lambda m: inversions(v - m * x)
+    if pairs <= MOST_PAIRS:
+        i, j = np.triu_indices(n, 1)
+        return float(np.median((v[j] - v[i]) / (x[j] - x[i])))
+    rng = np.random.default_rng(7)
+    i, j = rng.integers(0, n, 200_000), rng.integers(0, n, 200_000)
+    drawn = np.sort(((v[j] - v[i])[i != j]) / (x[j] - x[i])[i != j])
+    share = 0.01
+    while True:
+        low, high = np.quantile(drawn, [max(0.0, 0.5 - share), min(1.0, 0.5 + share)])
+        low, high = np.nextafter(low, -np.inf), np.nextafter(high, np.inf)
+        a, b = below(low), below(high)
+        if a <= wanted[0] and wanted[1] < b:
+            break
+        share *= 3
+        if share > 0.5:
+            low, high = drawn[0] - np.ptp(v) - 1, drawn[-1] + np.ptp(v) + 1
+            a, b = below(low), below(high)
+            break
+    while b - a > MOST_PAIRS and high - low > 1e-13 * max(abs(low), abs(high), 1e-300):
+        width = high - low
+        guess = low + width * (wanted[0] - a + 0.5) / (b - a)
+        moved = False
+        for cut in (guess - 0.02 * width, guess + 0.02 * width, low + 0.5 * width):
+            if not low < cut < high:
+                continue
+            c = below(cut)
+            if c <= wanted[0]:
+                low, a, moved = cut, c, True
+            elif c > wanted[1]:
+                high, b, moved = cut, c, True
+        if not moved:
+            break
+    if b - a > MOST_PAIRS:  # a great many pairs of the very same slope
+        return float((low + high) / 2) if low * high > 0 else 0.0
+    found = np.sort(_slopes_between(x, v, low, high))
+    at = [min(max(w - a, 0), len(found) - 1) for w in wanted]
+    return float((found[at[0]] + found[at[1]]) / 2)
+
+
+def mann_kendall(s: DataFrame, keys: list[str]) -> DataFrame:
+    """Per series, over all pairs of points: s, z, p, Sen's slope per position."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        v, x = pdf["value"].to_numpy(float), pdf["pos"].to_numpy(float)
+        n = len(v)
+        t = np.unique(v, return_counts=True)[1].astype(float)
+        up = n * (n - 1) // 2 - int((t * (t - 1) / 2).sum()) - 2 * inversions(v)
+        sd = np.sqrt((n * (n - 1.0) * (2 * n + 5) - (t * (t - 1) * (2 * t + 5)).sum()) / 18)
+        z = 0.0 if up == 0 or sd == 0 else (up - np.sign(up)) / sd
+        slope = sen_slope(x, v) if n > 1 else None
+        return pd.DataFrame([(*key, float(up), float(z), slope)], columns=[*keys, "s", "z", "slope"])
+
+    kinds = ", ".join(f"`{k}` {s.schema[k].dataType.simpleString()}" for k in keys)
+    found = s.filter("value IS NOT NULL").select(*keys, "pos", "value").groupBy(*keys).applyInPandas(run, f"{kinds}, s double, z double, slope double")
+    return found.withColumn("p", p_normal(F.col("z")))
 
 
 def granger(df: DataFrame, time: str, target: str, others: list[str], keys: list[str]) -> DataFrame:
     """Rows (other, lags, chi2, p): does the past of ``other`` help to predict ``target``?"""
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        y, out = pdf["value"].to_numpy(float), []
-        n = len(y)
-        for o in others[:5]:
-            x, best = pdf[o].to_numpy(float), None
-            if n < 30 or np.ptp(x) == 0 or np.ptp(y) == 0:
-                continue
-            for k in range(1, max(1, min(12, n // 25)) + 1):
-                rows = lambda a, b: np.column_stack([np.ones(b - a), *(z[a - i : b - i] for z in (y, x) for i in range(1, k + 1)), y[a:b]])  # noqa: B023, E731
-                r = _reduced(rows, k, n, 2 * k + 2)
-                _, _, r0 = _ols(r, list(range(k + 1)), n - k)
-                _, _, r1 = _ols(r, list(range(2 * k + 1)), n - k)
-                stat = (n - k) * (r0 - r1) / max(r1, 1e-300)
-                p = chi2_upper(max(stat, 0.0), k)
-                if best is None or p < best[2]:
-                    best = (k, float(stat), float(p))
-            out.append((*key, o, *best))
-        return pd.DataFrame(out, columns=[*keys, "other", "lags", "chi2", "p"])
-
-    rows = df.select(*keys, name(time).alias("ts"), name(target).cast("double").alias("value"), *(name(o).cast("double").alias(o) for o in others)).dropna()
+    rows = df.select(*keys, name(time).alias("ts"), name(target).cast("double").alias("value"), *(name(o).cast("double").alias(o) for o in others[:5])).dropna()
     rows = rows.withColumn("pos", (F.row_number().over(_by(keys, "ts")) - 1).cast("long"))
-    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, other string, lags int, chi2 double, p double")
+    return longseries.granger(rows, keys, others[:5])
 
 
 def readiness(s: DataFrame, keys: list[str]) -> DataFrame:

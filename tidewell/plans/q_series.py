@@ -213,12 +213,17 @@ def l24(spark, d):
     return _r(S.significant_lags(S.autocorrelation(series(spark, d), K), K), 6, "value")
 
 
+#: The series with every seventh value doubled.
+_WK = f"{W.rstrip()}, s7 AS (SELECT k, pos, CASE WHEN pos % 7 = 0 THEN 2 * value ELSE value END AS value FROM s), "
+
+
 @query(
     "l38_seasonal_period",
-    f"{W.rstrip()}, {_ACF}, pk AS (SELECT *, lag(acf) OVER (PARTITION BY k ORDER BY lag) AS a, lead(acf) OVER (PARTITION BY k ORDER BY lag) AS b FROM ac) SELECT k, CAST(arg_max(lag, acf) AS INTEGER) AS period, round(max(acf), 6) AS strength FROM pk WHERE lag >= 2 AND acf > a AND acf > b AND acf > 0.01 GROUP BY k"
+    f"{_WK}{_ACF.replace('FROM s ', 'FROM s7 ').replace('JOIN s b', 'JOIN s7 b')}, pk AS (SELECT *, lag(acf) OVER (PARTITION BY k ORDER BY lag) AS a, lead(acf) OVER (PARTITION BY k ORDER BY lag) AS b FROM ac) SELECT k, CAST(arg_max(lag, acf) AS INTEGER) AS period, round(max(acf), 6) AS strength FROM pk WHERE lag >= 2 AND acf > a AND acf > b AND acf > 0.2 GROUP BY k"
 )
 def l38(spark, d):
-    return _r(S.seasonal_period(S.autocorrelation(series(spark, d), K), K, 0.01), 6, "strength")
+    weekly = series(spark, d).withColumn("value", F.when(F.col("pos") % 7 == 0, 2 * F.col("value")).otherwise(F.col("value")))
+    return _r(S.seasonal_period(S.autocorrelation(weekly, K), K), 6, "strength")
 
 
 _CU = f"cu AS (SELECT k, pos, CASE WHEN pos = 0 THEN 0 ELSE value - m - 1000 END AS u, CASE WHEN pos = 0 THEN 0 ELSE m - value - 1000 END AS dn FROM (SELECT *, avg(value) OVER (PARTITION BY k) AS m FROM s)), cc AS (SELECT k, pos, sum(u) OVER ({P}) AS cu, sum(dn) OVER ({P}) AS cd FROM cu), cs AS (SELECT k, pos, cu - min(cu) OVER ({P}) AS up, cd - min(cd) OVER ({P}) AS down FROM cc)"
@@ -245,12 +250,13 @@ def l29(spark, d):
     return _r(S.noise_scale(series(spark, d), K), 3, "scale")
 
 
-_AN = "an AS (SELECT *, (value - avg(value) OVER w) / (coalesce(stddev_samp(value) OVER w, 1) + 1e-9) AS z FROM s WINDOW w AS (PARTITION BY k ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING)), q AS (SELECT k, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM s GROUP BY k)"
+_N = "sn AS (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM s), sw AS (SELECT *, greatest(3, n // 20) AS w3, greatest(7, n // 10) AS w7, greatest(14, n // 5) AS w14, greatest(5, n // 15) AS w5 FROM sn)"
+_AN = f"{_N}, an AS (SELECT *, (value - avg(value) OVER w) / (coalesce(stddev_samp(value) OVER w, 1) + 1e-9) AS z FROM sw WINDOW w AS (PARTITION BY k ORDER BY pos ROWS BETWEEN w3 // 2 PRECEDING AND (w3 - 1) // 2 FOLLOWING)), q AS (SELECT k, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM s GROUP BY k)"
 
 
-@query("l30_rolling_anomalies", f"{W.rstrip()}, {_AN} SELECT k, pos, round(z, 4) AS z FROM an WHERE abs(z) > 2.5")
+@query("l30_rolling_anomalies", f"{W.rstrip()}, {_AN} SELECT k, pos, round(z, 4) AS z FROM an WHERE abs(z) > 3")
 def l30(spark, d):
-    return _r(S.anomalies(series(spark, d), K, 20, 2.5).filter("rolling"), 4, "z").select("k", "pos", "z")
+    return _r(S.anomalies(series(spark, d), K).filter("rolling"), 4, "z").select("k", "pos", "z")
 
 
 @query(
@@ -258,47 +264,56 @@ def l30(spark, d):
     f"{W.rstrip()}, {_AN} SELECT k, pos, abs(z) > 3 OR value < q1 - 3 * (q3 - q1) OR value > q3 + 3 * (q3 - q1) AS anomaly FROM an JOIN q USING (k)"
 )
 def l31(spark, d):
-    return S.anomalies(series(spark, d), K, 20).select("k", "pos", "anomaly")
+    return S.anomalies(series(spark, d), K).select("k", "pos", "anomaly")
 
 
-@query(
-    "l32_rolling",
-    f"{W}SELECT k, pos, round(avg(value) OVER (PARTITION BY k ORDER BY pos ROWS 6 PRECEDING), 4) AS mean_7, round(stddev_samp(value) OVER (PARTITION BY k ORDER BY pos ROWS 6 PRECEDING), 4) AS std_7, round(avg(value) OVER (PARTITION BY k ORDER BY pos ROWS 13 PRECEDING), 4) AS mean_14, round(stddev_samp(value) OVER (PARTITION BY k ORDER BY pos ROWS 13 PRECEDING), 4) AS std_14 FROM s"
+#: Means of amounts in cents are often exact halves; both engines round them aside.
+_ASIDE = 0.00314159
+_RW = ", ".join(
+    f"round(avg(value) OVER {w} + {_ASIDE}, 2) AS mean_{w}, round(stddev_samp(value) OVER {w} + {_ASIDE}, 2) AS std_{w}" for w in ("short", "middle", "long")
 )
+_RF = ", ".join(f"{w} AS (PARTITION BY k ORDER BY pos ROWS BETWEEN {c} - 1 PRECEDING AND CURRENT ROW)" for w, c in (("short", "w3"), ("middle", "w7"), ("long", "w14")))
+
+
+@query("l32_rolling", f"{W.rstrip()}, {_N} SELECT k, pos, {_RW} FROM sw WINDOW {_RF}")
 def l32(spark, d):
-    return _r(S.rolling(series(spark, d), K, [7, 14]), 4, "mean_7", "std_7", "mean_14", "std_14").drop("ts", "value")
+    columns = [f"{c}_{w}" for w in S.SHARES for c in ("mean", "std")]
+    return S.rolling(series(spark, d), K).withColumns({c: F.round(F.col(c) + _ASIDE, 2) for c in columns}).drop("ts", "value")
 
 
 @query(
     "l33_ewma",
-    f"{W}SELECT a.k, a.pos, round(sum(CASE WHEN b.pos = 0 THEN 1 ELSE 0.2 END * power(0.8, a.pos - b.pos) * b.value), 2) AS ewma FROM s a JOIN s b ON a.k = b.k AND b.pos <= a.pos GROUP BY 1, 2"
+    f"{W.rstrip()}, al AS (SELECT *, 2.0 / (greatest(2, count(*) OVER (PARTITION BY k) // 10) + 1) AS al FROM s) SELECT k, pos, round(power(1 - al, pos) * sum(CASE WHEN pos = 0 THEN 1 ELSE al END * power(1 - al, -pos) * value) OVER (PARTITION BY k ORDER BY pos), 2) AS ewma FROM al"
 )
 def l33(spark, d):
-    return _r(S.ewma(series(spark, d), K, 9), 2, "ewma").select("k", "pos", "ewma")
+    return _r(S.ewma(series(spark, d), K), 2, "ewma").select("k", "pos", "ewma")
 
 
 @query(
     "l34_volatility",
-    f"{W.rstrip()}, r AS (SELECT *, CASE WHEN value / lag(value) OVER ({P}) > 0 THEN ln(value / lag(value) OVER ({P})) END AS r FROM s) SELECT k, pos, round(CASE WHEN count(r) OVER w = 10 THEN stddev_samp(r) OVER w * sqrt(252) END, 4) AS volatility FROM r WINDOW w AS (PARTITION BY k ORDER BY pos ROWS 9 PRECEDING)"
+    f"{W.rstrip()}, {_N}, r AS (SELECT *, CASE WHEN value / lag(value) OVER ({P}) > 0 THEN ln(value / lag(value) OVER ({P})) END AS r FROM sw) SELECT k, pos, round(CASE WHEN count(r) OVER w = w5 THEN stddev_samp(r) OVER w * sqrt(252) END, 4) AS volatility FROM r WINDOW w AS (PARTITION BY k ORDER BY pos ROWS BETWEEN w5 - 1 PRECEDING AND CURRENT ROW)"
 )
 def l34(spark, d):
-    return _r(S.volatility(series(spark, d), K, 10), 4, "volatility").select("k", "pos", "volatility")
+    return _r(S.volatility(series(spark, d), K), 4, "volatility").select("k", "pos", "volatility")
+
+
+_LAGS = "(SELECT k, unnest(range(1, 1 + CAST(least(20, count(*) // 5) AS BIGINT))) AS lag FROM s GROUP BY k) l"
 
 
 @query(
     "l35_lag_correlations",
-    f"{W}SELECT a.k, CAST(lag AS INTEGER) AS lag, round(corr(a.value, b.value), 6) AS pearson FROM s a JOIN (SELECT unnest(range(1, 21)) AS lag) l ON true JOIN s b ON a.k = b.k AND b.pos = a.pos + lag GROUP BY 1, 2"
+    f"{W}SELECT a.k, CAST(lag AS INTEGER) AS lag, round(corr(a.value, b.value), 6) AS pearson FROM s a JOIN {_LAGS} ON a.k = l.k JOIN s b ON a.k = b.k AND b.pos = a.pos + lag GROUP BY 1, 2"
 )
 def l35(spark, d):
-    return _r(S.lag_correlations(series(spark, d), K, 20), 6, "pearson")
+    return _r(S.lag_correlations(series(spark, d), K), 6, "pearson")
 
 
 @query(
     "l35_lag_rank_correlations",
-    f"{W.rstrip()}, j AS (SELECT a.k, lag, a.value AS x, b.value AS y FROM s a JOIN (SELECT unnest(range(1, 4)) AS lag) l ON true JOIN s b ON a.k = b.k AND b.pos = a.pos + lag), r AS (SELECT k, lag, rank() OVER (PARTITION BY k, lag ORDER BY x) + (count(*) OVER (PARTITION BY k, lag, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY k, lag ORDER BY y) + (count(*) OVER (PARTITION BY k, lag, y) - 1) / 2 AS ry FROM j) SELECT k, CAST(lag AS INTEGER) AS lag, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY 1, 2"
+    f"{W.rstrip()}, j AS (SELECT a.k, lag, a.value AS x, b.value AS y FROM s a JOIN {_LAGS} ON a.k = l.k JOIN s b ON a.k = b.k AND b.pos = a.pos + lag), r AS (SELECT k, lag, rank() OVER (PARTITION BY k, lag ORDER BY x) + (count(*) OVER (PARTITION BY k, lag, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY k, lag ORDER BY y) + (count(*) OVER (PARTITION BY k, lag, y) - 1) / 2 AS ry FROM j) SELECT k, CAST(lag AS INTEGER) AS lag, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY 1, 2"
 )
 def l35b(spark, d):
-    return _r(S.lag_rank_correlations(series(spark, d), K, 3), 6, "spearman")
+    return _r(S.lag_rank_correlations(series(spark, d), K), 6, "spearman")
 
 
 @query("l36_linear_trend", f"{W}SELECT k, count(*) AS n, round(regr_slope(value, pos), 4) AS slope, round(regr_r2(value, pos), 6) AS r2 FROM s GROUP BY k")
