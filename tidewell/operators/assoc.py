@@ -78,13 +78,21 @@ def concordance(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
     return total - float((same_x**2).sum() - (w**2).sum()) / 2
 
 
+def _repeated(quantiles: str) -> Column:
+    """The values that an ascending array holds more than once."""
+    q = F.col(quantiles)
+    pairs = F.zip_with(F.slice(q, 1, F.greatest(F.size(q) - 1, F.lit(0))), F.slice(q, 2, F.greatest(F.size(q) - 1, F.lit(0))), lambda a, b: F.when(a == b, a))
+    return F.array_distinct(F.array_compact(pairs))
+
+
 def kendall(df: DataFrame, a: str, b: str, cell_rows: int = 100_000) -> DataFrame:
     """One row (tau, z, n): tau-b from distinct value pairs with counts.
 
     Both columns are cut at quantiles into buckets of about ``cell_rows`` distinct
     pairs. Pairs of points in different buckets of both columns are counted on the grid
     of bucket counts, those that share a bucket by a merge count inside it; so no
-    two rows are ever joined, and the cost is that of sorting.
+    two rows are ever joined, and the cost is that of sorting. A value that fills a
+    bucket has one of its own, and no work in it: its pairs are ties.
     """
     rows = df.select(name(a).cast("double").alias("x"), name(b).cast("double").alias("y")).dropna()
     cells = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
@@ -92,16 +100,20 @@ def kendall(df: DataFrame, a: str, b: str, cell_rows: int = 100_000) -> DataFram
     size = F.count(F.lit(1)).alias("cells")
     # small inputs take one bucket, larger ones as many as keep a bucket near cell_rows
     step = F.greatest(F.lit(1), F.floor(F.lit(KENDALL_BUCKETS) * cell_rows / F.col("cells"))).cast("int")
-    cuts = cells.agg(*edges, size).select(*(F.filter(F.array_distinct(f"e{c}"), lambda e, i: (i + 1) % step == 0).alias(f"e{c}") for c in "xy"))
-    bucket = lambda c: F.size(F.filter(f"e{c}", lambda e: e < F.col(c))).alias(f"b{c}")
+    cuts = cells.agg(*edges, size).withColumns({f"h{c}": _repeated(f"e{c}") for c in "xy"})
+    # a value that several quantiles are stays an edge
+    keep = lambda c: F.filter(F.array_distinct(f"e{c}"), lambda e, i: ((i + 1) % step == 0) | F.array_contains(f"h{c}", e))
+    cuts = cuts.select(*(keep(c).alias(f"e{c}") for c in "xy"), "hx", "hy")
+    # even numbers are ranges, an odd one a single value at its range's upper end
+    bucket = lambda c: (2 * F.size(F.filter(f"e{c}", lambda e: e < F.col(c))) + F.array_contains(f"h{c}", F.col(c)).cast("int")).alias(f"b{c}")
     placed = cells.crossJoin(F.broadcast(cuts)).select("x", "y", "n", bucket("x"), bucket("y"))
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"s": [concordance(pdf["u"].to_numpy(), pdf["v"].to_numpy(), pdf["n"].to_numpy())]})
 
     # same bucket of x; different bucket of x, same bucket of y; the grid itself (different buckets of both)
-    by_x = placed.select(F.lit(0).alias("kind"), F.col("bx").alias("bucket"), F.col("x").alias("u"), F.col("y").alias("v"), "n")
-    by_y = placed.groupBy("by", "bx", "y").agg(F.sum("n").alias("n")).select(
+    by_x = placed.filter("bx % 2 = 0").select(F.lit(0).alias("kind"), F.col("bx").alias("bucket"), F.col("x").alias("u"), F.col("y").alias("v"), "n")
+    by_y = placed.filter("by % 2 = 0").groupBy("by", "bx", "y").agg(F.sum("n").alias("n")).select(
         F.lit(1).alias("kind"), F.col("by").alias("bucket"), F.col("bx").cast("double").alias("u"), F.col("y").alias("v"), "n"
     )
     grid = placed.groupBy("bx", "by").agg(F.sum("n").alias("n")).select(

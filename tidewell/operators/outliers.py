@@ -130,31 +130,70 @@ def _mean_path(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
+#: Distinct points of a cell beyond which its points stay where they are and what is asked of them is sent there.
+HEAVY_CELL, MOST_ASKED = 10_000, 2_000_000
+
+
 def density_noise(df: DataFrame, columns: list[str], key: str, eps: float = 0.5, least: int = 5) -> DataFrame:
-    """Rows (key, neighbours, noise): points that are neither dense nor next to a dense point.
+    """Rows (key, core, noise): points with ``least`` points (itself counted) within ``eps``, and those that no such point is near.
 
-    Columns are standardised; points fall into cells of width eps, so only
-    neighbouring cells are compared. Equal points are counted once with their
-    number, so a crowd of copies costs one row.
+    Columns are standardised; equal points are one with their number. Points fall into cells
+    so narrow that all points of a cell are within ``eps`` of each other: a cell with ``least``
+    points is core as a whole, without a comparison. Only points of thinner cells look
+    around, and at whole cells first: by its bounding box a cell counts entirely, not at all, or
+    is looked into. So a crowd in one cell costs its reading, and nothing in pairs.
     """
     k = len(columns)
     stats = df.agg(*(F.avg(name(c)).alias(f"__m{i}") for i, c in enumerate(columns)), *(F.stddev_pop(name(c)).alias(f"__s{i}") for i, c in enumerate(columns)))
-    z = {f"z{i}": F.coalesce(F.try_divide(name(c) - F.col(f"__m{i}"), F.col(f"__s{i}")), F.lit(0.0)) for i, c in enumerate(columns)}
-    rows = df.dropna(subset=columns).crossJoin(F.broadcast(stats)).select(name(key).alias("key"), *(v.alias(n) for n, v in z.items()))
-    zs = list(z)
-    points = rows.groupBy(*zs).agg(F.count(F.lit(1)).alias("n")).withColumn("cell", F.array(*(F.floor(F.col(c) / eps).cast("long") for c in zs)))
-    near = points
-    for i in range(k):
-        near = near.withColumn(f"d{i}", F.explode(F.array(*(F.col("cell")[i] + o for o in (-1, 0, 1)))))
-    near = near.select(*zs, F.array(*(F.col(f"d{i}") for i in range(k))).alias("cell"))
-    a, b = near.alias("a"), points.alias("b")
-    distance = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in zs), F.lit(0.0))
-    close = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (distance <= eps * eps))
-    counted = close.groupBy(*(F.col(f"a.{c}").alias(c) for c in zs)).agg(F.sum("b.n").alias("neighbours"))
-    core = points.join(counted, zs).filter(F.col("neighbours") >= least)
-    c = core.alias("b")
-    reached = a.join(
-        c, (F.col("a.cell") == F.col("b.cell")) & (distance <= eps * eps)
-    ).select(*(F.col(f"a.{x}").alias(x) for x in zs)).distinct().withColumn("__reached", F.lit(True))
-    out = rows.join(counted, zs).join(reached, zs, "left")
-    return out.select(F.col("key").alias(key), "neighbours", F.col("__reached").isNull().alias("noise"))
+    z = [F.coalesce(F.try_divide(name(c) - F.col(f"__m{i}"), F.col(f"__s{i}")), F.lit(0.0)) for i, c in enumerate(columns)]
+    rows = df.dropna(subset=columns).crossJoin(F.broadcast(stats)).select(name(key).alias("key"), F.array(*z).alias("z"))
+    fine = F.transform("z", lambda v: F.floor(v / (eps / k**0.5)).cast("long"))
+    # neighbours are looked up by wide cells over the first columns
+    g = min(k, 3)
+    wide = lambda v: F.floor(v / eps).cast("long")
+    points = rows.groupBy("z").agg(F.count(F.lit(1)).alias("n")).withColumn("cell", fine)
+    side = lambda f: F.array(*(f(F.col("z")[i]) for i in range(k)))
+    cells = points.groupBy("cell").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("points"), side(F.min).alias("low"), side(F.max).alias("high"))
+    square = lambda arrays, f: F.aggregate(F.zip_with(*arrays, f), F.lit(0.0), lambda a, v: a + v * v)
+    cells = cells.withColumn("dense", (F.col("total") >= least) & (square(("low", "high"), lambda a, b: b - a) <= eps * eps))
+
+    thin = points.join(cells.filter("NOT dense").select("cell"), "cell").select("z", "n")
+    asking = thin
+    for i in range(g):
+        asking = asking.withColumn(f"w{i}", F.explode(F.array(*(wide(F.col("z")[i]) + o for o in (-1, 0, 1)))))
+    ids = [f"w{i}" for i in range(g)]
+    # a narrow cell can lie over the edge of a wide one: it is listed by all the wide cells its box touches
+    listed = cells
+    for i in range(g):
+        listed = listed.withColumn(f"w{i}", F.explode(F.array_distinct(F.array(wide(F.col("low")[i]), wide(F.col("high")[i])))))
+    far = square((F.zip_with("z", "low", lambda v, a: F.abs(v - a)), F.zip_with("z", "high", lambda v, b: F.abs(v - b))), lambda a, b: F.greatest(a, b))
+    near = square((F.zip_with("z", "low", lambda v, a: a - v), F.zip_with("z", "high", lambda v, b: v - b)), lambda a, b: F.greatest(a, b, F.lit(0.0)))
+    seen = asking.join(listed, ids).withColumns({"far": far, "near": near}).filter(F.col("near") <= eps * eps).dropDuplicates(["z", "cell"])
+    seen = seen.select("z", "cell", "total", "points", "dense", (F.col("far") <= eps * eps).alias("whole"))
+
+    # looked into: pairs of an asking point and a point of the cell
+    into = seen.filter("NOT whole").select(F.col("z").alias("a"), "cell", "dense")
+    heavy = cells.filter(F.col("points") > HEAVY_CELL).select("cell")
+    asked = into.join(heavy, "cell", "left_semi")
+    few = asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED
+    distance = square((F.col("a"), F.col("z")), lambda u, v: u - v)
+    if few:
+        light = into.join(heavy, "cell", "left_anti").join(points, "cell")
+        pairs = light.unionByName(points.join(F.broadcast(asked), "cell").select(*light.columns))
+    else:
+        pairs = into.join(points, "cell")
+    pairs = pairs.filter(distance <= eps * eps).select("a", "z", "n", "dense")
+
+    counts = seen.filter("whole").select(F.col("z").alias("a"), F.col("total").alias("n")).unionByName(pairs.select("a", "n"))
+    core_thin = counts.groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select(F.col("a").alias("z"))
+    # near a core point: of a dense cell, or a thin one
+    core_cells = core_thin.withColumn("cell", fine).select("cell").distinct()
+    by_cell = seen.filter("whole AND dense").select("z").unionByName(seen.filter("whole AND NOT dense").join(core_cells, "cell", "left_semi").select("z"))
+    by_pair = pairs.filter("dense").select(F.col("a").alias("z")).unionByName(pairs.filter("NOT dense").join(core_thin, "z", "left_semi").select(F.col("a").alias("z")))
+    reached = by_cell.unionByName(by_pair).distinct()
+
+    flags = thin.select("z").join(core_thin.withColumn("core", F.lit(True)), "z", "left").join(reached.withColumn("reached", F.lit(True)), "z", "left")
+    flags = flags.select("z", F.coalesce("core", F.lit(False)).alias("core"), F.coalesce("core", "reached", F.lit(False)).alias("held"))
+    # points of dense cells are not in ``flags``; a crowd of one point is one row of it at most
+    out = rows.join(flags, "z", "left")
+    return out.select(F.col("key").alias(key), F.coalesce("core", F.lit(True)).alias("core"), F.coalesce(~F.col("held"), F.lit(False)).alias("noise"))

@@ -33,10 +33,31 @@ def value_ranks(df: DataFrame, column: str) -> DataFrame:
     return running_before(counts, "value", ["n"]).select("value", "n", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
 
 
+def join_on_value(df: DataFrame, column: str, right: DataFrame, share: int = 20_000, least: int = 1000) -> DataFrame:
+    """Left join with ``right``: one row per value (__v, how often the column has it as __n, ...), dropping both.
+
+    A value with more than ``1 / share`` of the rows (so at most ``share`` values) comes in as
+    many copies as it has such shares, and the rows of ``df`` go to one of them by a hash; nulls,
+    which match nothing, are spread likewise. So no value's rows meet in one task.
+    """
+    total = right.agg(F.sum("__n").alias("__t"))
+    parts = F.ceil(F.col("__n") / F.greatest(F.lit(float(least)), F.col("__t") / share)).cast("int")
+    r = right.crossJoin(F.broadcast(total)).withColumn("__parts", parts)
+    frequent = r.filter("__parts > 1").select(F.col("__v").alias("__f"), F.col("__parts").alias("__of"))
+    # rows that are equal in all columns are told apart by the partition they stand in
+    h = F.xxhash64(*(name(c) for c in df.columns), F.spark_partition_id())
+    salt = F.when(name(column).isNull(), F.pmod(h, F.lit(share))).when(F.col("__of").isNotNull(), F.pmod(h, F.col("__of").cast("long"))).otherwise(F.lit(0).cast("long"))
+    rows = df.join(F.broadcast(frequent), name(column) == F.col("__f"), "left").withColumn("__salt", salt).drop("__f", "__of")
+    copies = r.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("__parts"), F.lit(1)).cast("long") - 1)))
+    fits = (name(column) == F.col("__v")) & (F.col("__salt") == F.col("__copy"))
+    return rows.join(copies.drop("__parts", "__t", "__n"), fits, "left").drop("__v", "__salt", "__copy")
+
+
 def with_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     """Add the average rank of a column's values; null stays null."""
-    r = value_ranks(df, column).select(F.col("value").alias("__v"), F.col("rank").alias(out))
-    return df.join(r, name(column).cast("double") == F.col("__v"), "left").drop("__v")
+    r = value_ranks(df, column).select(F.col("value").alias("__v"), F.col("n").alias("__n"), F.col("rank").alias(out))
+    as_double = df if df.schema[column].dataType.simpleString() == "double" else df.withColumn("__d", name(column).cast("double"))
+    return join_on_value(as_double, "__d" if as_double is not df else column, r).drop("__d")
 
 
 def positions(rows: DataFrame, key: Column, out: str, buckets: int = 256) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.cleaning import is_numeric, name, number
 from tidewell.operators.predicates import typed_condition
-from tidewell.operators.ranks import exact_quantiles, positions
+from tidewell.operators.ranks import exact_quantiles, join_on_value, positions
 
 
 #: More levels than these don't become columns of their own.
@@ -214,9 +214,9 @@ def one_hot(df: DataFrame, column: str, values: list | None = None) -> DataFrame
 
 def label_encode(df: DataFrame, column: str, null_code: int | None = None) -> DataFrame:
     """Codes by sorted value; null stays null, or gets ``null_code``."""
-    codes = df.select(name(column).alias("__v")).filter(F.col("__v").isNotNull()).distinct()
+    codes = df.filter(name(column).isNotNull()).groupBy(name(column).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     codes = positions(codes, F.col("__v"), "__code").withColumn("__code", F.col("__code").cast("int"))
-    out = df.join(codes, name(column) == F.col("__v"), "left")
+    out = join_on_value(df, column, codes)
     code = F.col("__code") if null_code is None else F.coalesce(F.col("__code"), F.lit(null_code))
     return _replace(out, column, code, df.columns)
 
