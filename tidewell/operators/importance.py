@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,7 +111,24 @@ def associations(df: DataFrame, target: str, features: list[str] | None = None,
     return out
 
 
-def mutual_information(df: DataFrame, target: str, features: list[str], bins: int = 10) -> DataFrame:
+def digamma(n: Column) -> Column:
+    """For whole numbers from 1 on: harmonic numbers below 12, the asymptotic series from there."""
+    below = F.array(*(F.lit(-0.5772156649015329 + sum(1 / i for i in range(1, k))) for k in range(1, 12)))
+    x = n.cast("double")
+    series = F.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6) + 1 / (240 * x**8)
+    return F.when(n < 12, F.element_at(below, n.cast("int"))).otherwise(series)
+
+
+def _plug_in(cells: DataFrame) -> DataFrame:
+    """Rows (feature, mi) from counts ``o`` by (feature, x, y): sums of o ln o over cells, rows and columns."""
+    ln = lambda c: F.sum(F.col(c) * F.log(F.col(c)))
+    joint = cells.groupBy("feature").agg(ln("o").alias("joint"), F.sum("o").alias("n"))
+    sides = [cells.groupBy("feature", c).agg(F.sum("o").alias("o")).groupBy("feature").agg(ln("o").alias(f"s{c}")) for c in "xy"]
+    mi = (F.col("joint") - F.col("sx") - F.col("sy")) / F.col("n") + F.log("n")
+    return joint.join(sides[0], "feature").join(sides[1], "feature").select("feature", mi.alias("mi"))
+
+
+def binned_information(df: DataFrame, target: str, features: list[str], bins: int = 10) -> DataFrame:
     """Rows (feature, mi) in nats: numbers cut into quantile bins, all features in one group."""
     def code(c: str) -> Column:
         if not is_numeric(df, c):
@@ -124,9 +143,104 @@ def mutual_information(df: DataFrame, target: str, features: list[str], bins: in
         rows = rows.crossJoin(F.broadcast(edges))
     items = F.array(*(F.struct(F.lit(c).alias("feature"), F.when(name(c).isNotNull(), code(c)).alias("x"), code(target).alias("y")) for c in features))
     cells = rows.select(F.explode(items).alias("i")).select("i.*").filter("x IS NOT NULL").groupBy("feature", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("o"))
-    w = lambda *k: F.sum("o").over(Window.partitionBy("feature", *k))
-    m = cells.select("feature", "o", w("x").alias("px"), w("y").alias("py"), w().alias("n"))
-    return m.groupBy("feature").agg(F.sum(F.col("o") / F.col("n") * F.log(F.col("o") * F.col("n") / (F.col("px") * F.col("py")))).alias("mi"))
+    return _plug_in(cells)
+
+
+#: Buckets in which values are put in order.
+ORDER_BUCKETS = 128
+
+
+def nearest_information(items: DataFrame, neighbours: int = 3, size: int = 100_000) -> DataFrame:
+    """Rows (feature, mi) in nats between a number ``x`` and a class ``y`` per feature, by nearest neighbours.
+
+    A value's radius is the distance to its k-th neighbour of the same class; what counts
+    is how many rows of all classes are nearer. (Where k others of the class have the very
+    value, all rows of that value count, as for the mixed case of discrete and continuous.)
+    Neighbours come from blocks of a class's values in order, with a halo; the rows that are
+    nearer from running counts over values and radii's ends in one order, bucket by bucket.
+    """
+    cells = items.groupBy("feature", "y", "x").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cells.groupBy("feature", "y").agg(F.sum("n").alias("size"))
+    cells = cells.join(sizes.filter("size > 1"), ["feature", "y"])  # a class of one row has no neighbour
+    points = [i / ORDER_BUCKETS for i in range(1, ORDER_BUCKETS)]
+    edges = cells.groupBy("feature").agg(F.array_distinct(F.percentile_approx("x", points, 10_000)).alias("edges"))  # one row per feature
+    bucketed = lambda df, v: df.join(F.broadcast(edges), "feature").withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col(v)))).drop("edges")
+    cut = bucketed(cells, "x")
+    by = ["feature", "y"]
+    inner = F.row_number().over(Window.partitionBy(*by, "bucket").orderBy("x")) - 1
+    ahead = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most one row per bucket
+    start = cut.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("c")).select(*by, "bucket", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("start"))
+    placed = cut.join(start, [*by, "bucket"]).select(*by, "x", "n", "size", (F.col("start") + inner).alias("i"))
+    k = neighbours
+    blocks = F.sequence(F.floor(F.greatest(F.col("i") - k, F.lit(0)) / size), F.floor((F.col("i") + k) / size))
+    halo = placed.withColumn("block", F.explode(blocks))
+
+    def radii(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i", ignore_index=True)
+        x, n = pdf["x"].to_numpy(float), pdf["n"].to_numpy()
+        want = np.minimum(k, pdf["size"].to_numpy() - 1)
+        far, count = [np.zeros(len(x))], [n - 1]
+        for step in range(1, k + 1):
+            for side in (1, -1):
+                d, c = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+                a, b = (slice(step, None), slice(None, -step)) if side == 1 else (slice(None, -step), slice(step, None))
+                d[b], c[b] = np.abs(x[a] - x[b]), n[a]
+                far.append(d)
+                count.append(c)
+        far, count = np.stack(far, 1), np.stack(count, 1)
+        order = np.argsort(far, axis=1, kind="stable")
+        reached = np.cumsum(np.take_along_axis(count, order, 1), axis=1) >= want[:, None]
+        r = np.take_along_axis(far, order, 1)[np.arange(len(x)), reached.argmax(1)]
+        own = (pdf["i"] // size).to_numpy() == key[2]
+        found = pd.DataFrame({"feature": key[0], "y": key[1], "x": x, "n": n, "size": pdf["size"], "r": r, "k": np.where(r > 0, want, n - 1)})
+        return found[own]
+
+    kind = items.schema["y"].dataType.simpleString()
+    with_r = halo.groupBy(*by, "block").applyInPandas(radii, f"feature string, y {kind}, x double, n long, size long, r double, k long")
+    end = lambda v, order, sign: F.struct(v.alias("v"), F.lit(order).alias("o"), F.lit(sign).cast("long").alias("sign"), F.lit(0).cast("long").alias("w"))
+    # below x + r and not up to x - r; for r = 0 up to x and not below x, less the row itself
+    x, r = F.col("x"), F.col("r")
+    asked = F.when(r > 0, F.array(end(x + r, 0, 1), end(x - r, 2, -1))).otherwise(F.array(end(x, 2, 1), end(x, 0, -1)))
+    queries = with_r.select("feature", "y", "x", F.explode(asked).alias("q")).select("feature", "y", "x", "q.*")
+    data = cells.groupBy("feature", "x").agg(F.sum("n").alias("w")).select(
+        "feature", F.lit(None).cast(kind).alias("y"), F.lit(None).cast("double").alias("x"), F.col("x").alias("v"), F.lit(1).alias("o"), F.lit(None).cast("long").alias("sign"), "w"
+    )
+    line = bucketed(queries.unionByName(data), "v")
+    sums = F.sum("w").over(Window.partitionBy("feature", "bucket").orderBy("v", "o").rowsBetween(Window.unboundedPreceding, 0))
+    before = Window.partitionBy("feature").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = line.groupBy("feature", "bucket").agg(F.sum("w").alias("t")).select("feature", "bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
+    counted = line.withColumn("s", sums).filter("sign IS NOT NULL").join(F.broadcast(base), ["feature", "bucket"])  # features times buckets
+    m = counted.groupBy("feature", "y", "x").agg(F.sum(F.col("sign") * (F.col("s") + F.col("base"))).alias("m"))
+    both = with_r.join(m, ["feature", "y", "x"]).withColumn("m", F.when(F.col("r") > 0, F.col("m")).otherwise(F.col("m") - 1))
+    mean = lambda c: F.sum(F.col("n") * digamma(F.col(c))) / F.sum("n")
+    mi = digamma(F.sum("n")) + mean("k") - mean("size") - mean("m")
+    return both.groupBy("feature").agg(F.greatest(mi, F.lit(0.0)).alias("mi"))
+
+
+def mutual_information(df: DataFrame, target: str, features: list[str], neighbours: int = 3) -> DataFrame:
+    """Rows (feature, mi) in nats: nearest neighbours between a number and a class, counts between classes, bins between numbers."""
+    rows = df.filter(name(target).isNotNull())
+    numbers, texts = [c for c in features if is_numeric(df, c)], [c for c in features if not is_numeric(df, c)]
+    if is_numeric(df, target):
+        mixed, plain, pairs = texts, [], numbers
+        item = lambda c: (name(target).cast("double"), name(c).cast("string"))
+    else:
+        mixed, plain, pairs = numbers, texts, []
+        item = lambda c: (name(c).cast("double"), name(target).cast("string"))
+    out = []
+    if mixed:
+        items = F.array(*(F.struct(F.lit(c).alias("feature"), item(c)[0].alias("x"), item(c)[1].alias("y")) for c in mixed))
+        out.append(nearest_information(rows.select(F.explode(items).alias("i")).select("i.*").dropna(), neighbours))
+    if plain:
+        items = F.array(*(F.struct(F.lit(c).alias("feature"), name(c).cast("string").alias("x"), name(target).cast("string").alias("y")) for c in plain))
+        cells = rows.select(F.explode(items).alias("i")).select("i.*").dropna().groupBy("feature", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("o"))
+        out.append(_plug_in(cells))
+    if pairs:
+        out.append(binned_information(rows, target, pairs))
+    first, *rest = out
+    for r in rest:
+        first = first.unionByName(r)
+    return first
 
 
 def combined_rank(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:

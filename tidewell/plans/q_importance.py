@@ -83,18 +83,23 @@ def k06(spark, d):
     return K.cross_validate(rows, True, ["len", "words"])
 
 
-_QS = ", ".join(f"{i / 10}" for i in range(1, 10))
+_PSI = "psi AS (SELECT i, -0.5772156649015329 + coalesce(sum(1.0 / i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS psi FROM (SELECT unnest(range(1, (SELECT count(*) + 2 FROM f))) AS i))"
 
 
 def _mi(c, numeric):
-    x = f"CAST(len(list_filter(list_distinct(q), lambda v: v < {c})) AS VARCHAR)" if numeric else c
-    return f"SELECT '{c}' AS feature, round(sum(o / n * ln(o * n / (px * py))), 6) AS mi FROM (SELECT o, sum(o) OVER (PARTITION BY x) AS px, sum(o) OVER (PARTITION BY y) AS py, sum(o) OVER () AS n FROM (SELECT {x} AS x, quality AS y, count(*)::DOUBLE AS o FROM f, (SELECT quantile_cont({c if numeric else 'len'}, [{_QS}]) AS q FROM f) GROUP BY 1, 2))"
+    if not numeric:
+        return f"SELECT '{c}' AS feature, round(sum(o / n * ln(o * n / (px * py))), 6) AS mi FROM (SELECT o, sum(o) OVER (PARTITION BY x) AS px, sum(o) OVER (PARTITION BY y) AS py, sum(o) OVER () AS n FROM (SELECT {c} AS x, quality AS y, count(*)::DOUBLE AS o FROM f GROUP BY 1, 2))"
+    p = f"(SELECT row_number() OVER () AS id, CAST({c} AS DOUBLE) AS x, quality AS y FROM f)"
+    near = f"SELECT a.id, a.x, a.y, abs(a.x - b.x) AS d, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.x - b.x)) AS place, count(*) OVER (PARTITION BY a.id) AS others FROM {p} a JOIN {p} b ON a.y = b.y AND a.id <> b.id"
+    r = f"SELECT id, any_value(x) AS x, any_value(others) + 1 AS size, max(CASE WHEN place = least(3, others) THEN d END) AS r, count(*) FILTER (d = 0) AS same, least(3, any_value(others)) AS k FROM ({near}) GROUP BY id"
+    m = f"SELECT r.id, any_value(size) AS size, CASE WHEN any_value(r) > 0 THEN any_value(k) ELSE any_value(same) END AS k, CASE WHEN any_value(r) > 0 THEN count(*) FILTER (p.x < r.x + r AND p.x > r.x - r) ELSE count(*) FILTER (p.x = r.x) - 1 END AS m FROM ({r}) r, {p} p GROUP BY r.id"
+    return f"SELECT '{c}' AS feature, round(greatest(0, any_value(w.psi) + avg(a.psi) - avg(b.psi) - avg(e.psi)), 6) AS mi FROM (SELECT *, count(*) OVER () AS whole FROM ({m})) q JOIN psi w ON w.i = q.whole JOIN psi a ON a.i = q.k JOIN psi b ON b.i = q.size JOIN psi e ON e.i = q.m"
 
 
 _MI = " UNION ALL ".join([_mi("len", True), _mi("words", True), _mi("lines", True), _mi("lang", False), _mi("odd", True)])
 
 
-@query("k07_mutual_information", f"{_W}{_MI}")
+@query("k07_mutual_information", f"{_W.rstrip()}, {_PSI} {_MI}")
 def k07(spark, d):
     return _r(K.mutual_information(_cls(spark, d), "quality", ["len", "words", "lines", "lang", "odd"]), 6, "mi")
 
@@ -125,13 +130,13 @@ def k09(spark, d):
     f"WITH a AS ({_AS}), s AS (SELECT feature, row_number() OVER (ORDER BY strength DESC, feature) AS x, row_number() OVER (ORDER BY f_score DESC, feature) AS y FROM a) SELECT feature, (x + y) / 2 AS combined_rank FROM s"
 )
 def k10(spark, d):
-    a = K.associations(_orders(spark, d), "o_totalprice").cache()
+    a = K.associations(_orders(spark, d), "o_totalprice")
     return K.combined_rank({"x": (a, "strength"), "y": (a, "f_score")})
 
 
 @query(
     "k11_recommendations",
-    f"{_W.rstrip()}, m AS ({_MI}) SELECT feature, CASE WHEN mi / (SELECT sum(mi) FROM m) < 0.3 / 5 AND mi < 0.005 THEN 'drop' WHEN mi / (SELECT sum(mi) FROM m) > 2.5 / 5 THEN 'keep' ELSE 'review' END AS recommendation FROM m"
+    f"{_W.rstrip()}, {_PSI}, m AS ({_MI}) SELECT feature, CASE WHEN mi / (SELECT sum(mi) FROM m) < 0.3 / 5 AND mi < 0.005 THEN 'drop' WHEN mi / (SELECT sum(mi) FROM m) > 2.5 / 5 THEN 'keep' ELSE 'review' END AS recommendation FROM m"
 )
 def k11(spark, d):
     m = K.mutual_information(_cls(spark, d), "quality", ["len", "words", "lines", "lang", "odd"])
