@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidewell.llm import bpe, exact_dedup, html_text, language, near_dedup, packing, quality, sharding, shared, suffix_dedup, warc
 
 random.seed(4)
-NO_MODEL = quality.Model(np.zeros(quality.BUCKETS, np.float32), np.zeros(0, np.int64))
+NO_MODEL = quality.Model(np.zeros(quality.BUCKETS, np.float32), np.zeros(quality.WORDS, np.float32))
 VOCAB = ["".join(random.choice("abcdefgh") for _ in range(random.randint(1, 7))) for _ in range(400)]
 
 
@@ -402,14 +402,41 @@ def test_operators_take_all_null_columns(spark, column):
 
 def test_quality_rejects_prose_with_a_word_the_target_avoids(spark):
     clean = [(i, prose(150)) for i in range(600)]
-    toxic = [(1000 + i, f"{prose(75)} idiot {prose(75)}") for i in range(200)]
+    toxic = [(1000 + i, f"{prose(75)} Idiot, {prose(75)}") for i in range(200)]
     df = spark.createDataFrame(clean + toxic, "doc_id long, text string")
     target = spark.createDataFrame([(i,) for i in range(400)], "id long")
-    seen = spark.createDataFrame([(1000 + i,) for i in range(100)], "id long")
-    got = by_id(quality.score(df, quality.fit(df, target, seen)))
+    got = by_id(quality.score(df, quality.fit(df, target)))
     assert all(got[i]["kept"] for i, _ in clean) and not any(got[i]["kept"] for i, _ in toxic)
-    assert quality.keep_good(df, target, seen).count() == len(clean)
-    assert quality.keep_good(df, target, seen.limit(0)).count() >= len(clean)
+    assert quality.keep_good(df, target).count() == len(clean)
+
+
+def test_quality_scores_by_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(VOCAB[: 40 if i % 3 else 400]) + rng.choice(["", ".", ","]) for _ in range(60))) for i in range(90)]
+    rows += [(200, None), (201, ""), (202, "ab"), (203, "Aa aA, aa. aa.."), (204, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    target = {i for i, _ in rows if i % 3}
+    model = quality.fit(df, spark.createDataFrame([(i,) for i in target], "id long"))
+    gram = lambda g: (((int.from_bytes(g, "little") * 0x9E3779B97F4A7C15 + len(g)) * 0xD6E8FEB86659FD93 % 2**64) >> 40) % quality.BUCKETS
+    grams = {i: [b[j : j + n] for b in [(t or "").encode()] for n in (3, 4) for j in range(len(b) - n + 1)] for i, t in rows}
+    strip = lambda w: w[:-1] if len(w) > 1 and w[-1:] in b".,;:!?|" else w
+    found = {i: {strip(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())} for i, t in rows}
+
+    raw, good = (Counter(gram(g) for i, found_ in grams.items() if i in ids for g in found_) for ids in (set(grams), target))
+    n_raw, n_good = raw.total(), good.total()
+    p = lambda b: (raw[b] + 1) / (n_raw + quality.BUCKETS)
+    gram_ratio = {b: np.log((good[b] + quality.PRIOR * n_good * p(b)) / (n_good + quality.PRIOR * n_good) / p(b)) for b in raw}
+
+    raw, good = (Counter(w for i, found_ in found.items() if i in ids for w in found_) for ids in (set(found), target))
+    more = quality.SMOOTHING + quality.SMOOTHING_SHARE * sum(1 for x in found.values() if x)
+    less = more * good.total() / raw.total()
+    ratio = {w: np.log((good[w] + less) / (good.total() + less * quality.WORDS)) - np.log((raw[w] + more) / (raw.total() + more * quality.WORDS)) for w in raw}
+    ratio = {w: r if abs(r) >= quality.DECISIVE else 0.0 for w, r in ratio.items()}
+    got = by_id(quality.score(df, model))
+    for i, t in rows:
+        want = sum(gram_ratio[gram(g)] for g in grams[i]) / max(1, len(grams[i])) + quality.WEIGHT * sum(ratio[w] for w in found[i]) / max(1, len(found[i]))
+        assert got[i]["llr"] == pytest.approx(want, abs=1e-5)
+        assert got[i]["kept"] == (not got[i]["base_failed"] and want >= quality.THRESHOLD)
 
 
 # --- odd rows, for every operator ------------------------------------------------------

@@ -1,25 +1,24 @@
 """Quality rules: hashed n-gram log-likelihood ratio, target against raw corpus.
 
-Two multinomials over hashed byte n-grams (folded case is not applied, so that
-shouting differs from prose) are counted over all documents: one over the
-trusted target (labelled good and not toxic), one over the whole raw corpus.
-A document's score is the mean log ratio of its n-grams, so it does not depend
-on its length; every document is scored and compared with one fixed threshold.
-Ordinary prose with a few insults is hardly told apart by that mean. Where documents
-are labelled toxic, words are compared too, over all labelled documents: a word goes
-on a list if its document counts in the toxic and in the trusted ones have a decisive
-log-likelihood ratio, if it is much rarer in the trusted ones, and if it stands in a
-fair share of the toxic ones; a document with a word on the list is rejected.
-The counts are sums, so tasks can be lost and repeated; the model that is broadcast
-has ``buckets`` floats and at most a few words for each percent of ``MIN_SHARE``,
-whatever the corpus size.
+Multinomials over hashed n-grams are counted over all documents, for the trusted target
+(labelled good and not toxic) and for the whole raw corpus:
+
+* byte n-grams by their occurrences (case is not folded, so that shouting differs from prose);
+* words, A-Z folded, once per document, so that a junk text's repetitions don't make a word
+  common. A word's ratio counts only where it is decisive: smoothed by as many documents as
+  ``SMOOTHING`` and ``SMOOTHING_SHARE`` say, it must differ by ``DECISIVE``; else it is 0. So the
+  rare words of a text say nothing, and a common word that the target avoids says much.
+
+A document's score is the mean log ratio of its byte n-grams plus ``WEIGHT`` times the mean
+of its distinct words' ratios, so it does not depend on its length; every document is
+scored and compared with one fixed threshold. The counts are sums, so tasks can be lost and
+repeated; the model that is broadcast has ``BUCKETS + WORDS`` floats, whatever the corpus size.
 
 Base rules that need no model come first (see :func:`base_stats`).
 
 Defined results: null text has no words and no n-grams (score 0, fails the
 base rules); repeated rows are scored alike; with an empty target every score
-is 0, and without toxic documents no word is on the list; extra columns are ignored;
-null ids keep their row.
+is 0; extra columns are ignored; null ids keep their row.
 """
 
 from __future__ import annotations
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytescan import LOWER, mix, pieces, prefix_hash, same_bytes, segment_sums, span_hash, windows, words
-from .shared import materialize, rows_within, table
+from .shared import rows_within, table
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 CLOSING = np.isin(np.arange(256), np.frombuffer(b".,;:!?|", np.uint8))
@@ -47,11 +46,16 @@ ORDERS = (3, 4)
 BUCKETS = 1 << 16
 #: Weight of the raw corpus in the smoothed target, as a share of the target's n-grams.
 PRIOR = 0.02
-#: Documents score below this mean log ratio only if much of them is unlike the target.
-THRESHOLD = -0.4
-#: A listed word has at least this log-likelihood ratio (2 ln L), is at most this (ln) as frequent in the
-#: target as in toxic documents, and stands in at least this share of the toxic documents.
-DECISIVE, RARER, MIN_SHARE = 40.0, -3.0, 0.02
+#: Buckets of the words.
+WORDS = 1 << 20
+#: Documents that stand for "no evidence" in a word's ratio: so many, and this share of the corpus.
+SMOOTHING, SMOOTHING_SHARE = 8.0, 0.0006
+#: Word ratios (ln) nearer to 0 than this count as 0.
+DECISIVE = 1.2
+#: Weight of the words' mean beside that of the byte n-grams.
+WEIGHT = 50.0
+#: Documents that score less go.
+THRESHOLD = -0.6
 #: Up to so many target ids are broadcast; beyond, the join is shuffled.
 TARGET_BROADCAST = 400_000
 #: Words a document needs at least, and the largest share of words in repeated windows.
@@ -77,20 +81,23 @@ def grams(buf: np.ndarray, off: np.ndarray, buckets: int = BUCKETS, orders: tupl
         yield (((key * U64(0x9E3779B97F4A7C15) + U64(n)) * U64(0xD6E8FEB86659FD93) >> U64(40)) & U64(buckets - 1)).astype(np.int64)[ok], at
 
 
-def word_keys(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit keys of the words (A-Z folded, without one closing mark), and where each document's begin."""
+def distinct_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the distinct words (A-Z folded, without one closing mark) of each document, and where each document's begin."""
     low = LOWER[buf]
     start, end, first = words(low, off)
     end = end - (CLOSING[low[end - 1]] & (end - start > 1))
-    return span_hash(prefix_hash(low), start, end, low).view(np.int64), first
+    key = (span_hash(prefix_hash(low), start, end, low) * U64(0x9E3779B97F4A7C15)) >> U64(64 - WORDS.bit_length() + 1)
+    of = np.repeat(np.arange(len(off) - 1), np.diff(first))
+    found = np.unique(of * np.int64(WORDS) + key.astype(np.int64))
+    return found % WORDS, np.searchsorted(found, np.arange(len(off)) * np.int64(WORDS))
 
 
 @dataclass
 class Model:
-    """Log ratios per n-gram bucket, and the sorted keys of the words that reject a document."""
+    """Log ratios per bucket of the byte n-grams, and of the words."""
 
     ratios: np.ndarray
-    listed: np.ndarray
+    words: np.ndarray
 
 
 def _marked(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
@@ -102,52 +109,25 @@ def _marked(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, how: st
     return lean.join(chosen, "id", how).select("text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
 
 
-def count_words(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (key, docs): how many of the documents ``ids`` hold a word; the null key counts the documents.
-
-    Only documents of MIN_WORDS words count. Tasks add up before the shuffle.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, off in pieces(batches, "text"):
-            w, first = word_keys(buf, off)
-            long = np.diff(first) >= MIN_WORDS
-            found = [np.unique(w[first[i] : first[i + 1]]) for i in np.flatnonzero(long)]
-            key, n = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*key.tolist(), None], pa.int64()), pa.array([*n.tolist(), int(long.sum())], pa.int64())], ["key", "docs"]
-            )
-
-    texts = _marked(docs, ids, id_col, text_col, "inner").select("text")
-    return texts.mapInArrow(count, "key long, docs long").groupBy("key").agg(F.sum("docs").alias("docs"))
-
-
-def count_grams(
-    docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, asked: np.ndarray | None = None
-) -> DataFrame:
-    """Rows (bucket, raw, target): n-gram counts over all documents and over the target.
+def count_grams(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (bucket, raw, target): counts over all documents and over the target.
 
-    Buckets from ``buckets`` on count the target's documents (of MIN_WORDS words) that hold
-    the word key asked for, the last one those documents.
+    Buckets up to BUCKETS are byte n-grams, the next WORDS the documents that hold a word, and
+    the last one the documents with a word at all. Tasks add up before the shuffle.
     """
-    asked = np.zeros(0, np.int64) if asked is None else asked
-    shared = docs.sparkSession.sparkContext.broadcast(asked)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = shared.value
-        total = np.zeros((2, buckets + len(keys) + 1), np.int64)
+        total = np.zeros((2, BUCKETS + WORDS + 1), np.int64)
         for part, buf, off in pieces(batches, "text"):
             chosen = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for g, at in grams(buf, off, buckets):
-                total[0, :buckets] += np.bincount(g, minlength=buckets)
-                total[1, :buckets] += np.bincount(g[np.repeat(chosen, np.diff(at))], minlength=buckets)
-            if len(keys):
-                w, first = word_keys(buf, off)
-                good = chosen & (np.diff(first) >= MIN_WORDS)
-                of, hit = found_words(w, first, keys)
-                pairs = np.unique(of[good[of]] * len(keys) + hit[good[of]])
-                total[1, buckets:-1] += np.bincount(pairs % len(keys), minlength=len(keys))
-                total[1, -1] += good.sum()
+            for g, at in grams(buf, off):
+                total[0, :BUCKETS] += np.bincount(g, minlength=BUCKETS)
+                total[1, :BUCKETS] += np.bincount(g[np.repeat(chosen, np.diff(at))], minlength=BUCKETS)
+            w, first = distinct_words(buf, off)
+            n = np.diff(first)
+            total[0, BUCKETS:-1] += np.bincount(w, minlength=WORDS)
+            total[1, BUCKETS:-1] += np.bincount(w[np.repeat(chosen, n)], minlength=WORDS)
+            total[:, -1] += [(n > 0).sum(), (chosen & (n > 0)).sum()]
         seen = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[0][seen]), pa.array(total[1][seen])], ["bucket", "raw", "target"])
 
@@ -155,54 +135,31 @@ def count_grams(
     return marked.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def found_words(w: np.ndarray, first: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Document and index in ``keys`` (sorted, not empty) of each word that is one of them."""
-    at = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
-    hit = np.flatnonzero(keys[at] == w)
-    return np.searchsorted(first, hit, "right") - 1, at[hit]
+def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Ratios of byte n-grams, smoothed in proportion to the raw counts and to the target's size, and of words."""
+    raw, target = np.zeros(BUCKETS + WORDS + 1), np.zeros(BUCKETS + WORDS + 1)
+    counts = count_grams(docs, target_ids, id_col, text_col).toArrow()  # a row per bucket at most
+    at = counts.column("bucket").to_numpy()
+    raw[at], target[at] = counts.column("raw").to_numpy(), counts.column("target").to_numpy()
+    grams_, words_ = slice(None, BUCKETS), slice(BUCKETS, -1)
+    if not target[-1]:
+        return Model(np.zeros(BUCKETS, np.float32), np.zeros(WORDS, np.float32))
+    return Model(gram_ratios(raw[grams_], target[grams_]), word_ratios(raw[words_], target[words_], raw[-1], target[-1]))
 
 
-def _candidates(docs: DataFrame, toxic_ids: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Keys in MIN_SHARE of the toxic documents, their counts, and the number of those documents.
-
-    A document of n distinct words adds at most n to the counts, so there are at most
-    1 / MIN_SHARE times the mean n keys.
-    """
-    counted = materialize(count_words(docs, toxic_ids, id_col, text_col), "toxic-words")
-    bad = counted.filter("key IS NULL").first()
-    bad = bad["docs"] if bad else 0
-    rows = counted.filter("key IS NOT NULL").filter(F.col("docs") >= max(MIN_SHARE * bad, 2)).collect()
-    rows.sort(key=lambda r: r["key"])
-    return np.array([r["key"] for r in rows], np.int64), np.array([r["docs"] for r in rows], float), bad
-
-
-def fit(
-    docs: DataFrame, target_ids: DataFrame, toxic_ids: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS
-) -> Model:
-    """N-gram ratios, smoothed in proportion to the raw counts and to the target's size, and the listed words."""
-    keys, b, bad = np.zeros(0, np.int64), np.zeros(0), 0
-    if toxic_ids is not None:
-        keys, b, bad = _candidates(docs, toxic_ids, id_col, text_col)
-    raw, target = np.zeros(buckets + len(keys) + 1), np.zeros(buckets + len(keys) + 1)
-    for r in count_grams(docs, target_ids, id_col, text_col, buckets, keys).toLocalIterator():
-        raw[r.bucket], target[r.bucket] = r.raw, r.target
-    t, good = target[buckets:-1], target[-1]
-    raw, target = raw[:buckets], target[:buckets]
-    if not target.sum():
-        return Model(np.zeros(buckets, np.float32), keys[:0])
-    p = (raw + 1) / (raw.sum() + buckets)
+def gram_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    p = (raw + 1) / (raw.sum() + len(raw))
     prior = PRIOR * target.sum() * p
     q = (target + prior) / (target.sum() + prior.sum())
-    return Model(np.log(q / p).astype(np.float32), keys[listed(b, t, bad, good)])
+    return np.log(q / p).astype(np.float32)
 
 
-def listed(b: np.ndarray, t: np.ndarray, bad: float, good: float) -> np.ndarray:
-    """Whether words in ``b`` of ``bad`` toxic and in ``t`` of ``good`` trusted documents go on the list."""
-    if not good or not bad:
-        return np.zeros(len(b), bool)
-    share = (b + t) / (bad + good)
-    two_ln = 2 * (b * np.log(b / (bad * share)) + np.where(t > 0, t * np.log(np.maximum(t, 1) / (good * share)), 0))
-    return (two_ln >= DECISIVE) & (np.log((t * bad / good + 0.5) / (b + 0.5)) <= RARER)
+def word_ratios(raw: np.ndarray, target: np.ndarray, docs: float, target_docs: float) -> np.ndarray:
+    """ln of a word's share of the target's words to its share of all words, both smoothed by the same evidence; 0 where not decisive."""
+    more = SMOOTHING + SMOOTHING_SHARE * docs
+    less = more * target.sum() / raw.sum()
+    r = np.log((target + less) / (target.sum() + less * len(raw))) - np.log((raw + more) / (raw.sum() + more * len(raw)))
+    return np.where(np.abs(r) < DECISIVE, 0.0, r).astype(np.float32)
 
 
 def base_stats(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
@@ -269,25 +226,26 @@ def _repeats(text: bytes) -> tuple[int, int]:
     return len(lines) - len(set(lines)), len(inside)
 
 
+def mean_ratios(ratios: np.ndarray, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return segment_sums(ratios.take(keys), at), np.diff(at)
+
+
 def verdicts(buf: np.ndarray, off: np.ndarray, model: Model, threshold: float) -> dict[str, np.ndarray]:
-    """Base statistics, base_failed, kept, llr and n_listed (words on the list) for the documents of one piece."""
+    """Base statistics, base_failed, kept and llr for the documents of one piece."""
     s = {k: v.astype(np.int64) for k, v in base_stats(buf, off).items()}
     n = len(off) - 1
     total, count = np.zeros(n), np.zeros(n)
-    for g, at in grams(buf, off, len(model.ratios)):
-        total += segment_sums(model.ratios.take(g), at)
-        count += np.diff(at)
-    llr = np.round(total / np.maximum(count, 1), 9)
-    n_listed = np.zeros(n, np.int64)
-    if len(model.listed):
-        of, _ = found_words(*word_keys(buf, off), model.listed)
-        n_listed = np.bincount(of, minlength=n)
+    for g, at in grams(buf, off):
+        one, many = mean_ratios(model.ratios, g, at)
+        total, count = total + one, count + many
+    of_words, n_words = mean_ratios(model.words, *distinct_words(buf, off))
+    llr = np.round(total / np.maximum(count, 1) + WEIGHT * of_words / np.maximum(n_words, 1), 9)
     failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEATED * s["n_words"])
-    return s | {"base_failed": failed, "kept": ~failed & (llr >= threshold) & (n_listed == 0), "llr": llr, "n_listed": n_listed}
+    return s | {"base_failed": failed, "kept": ~failed & (llr >= threshold), "llr": llr}
 
 
 def score(docs: DataFrame, fitted: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: base statistics, llr (mean log ratio), n_listed (words on the list), base_failed, kept."""
+    """Per document: base statistics, base_failed, kept, llr (the score)."""
     model = docs.sparkSession.sparkContext.broadcast(fitted)
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -297,7 +255,7 @@ def score(docs: DataFrame, fitted: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, found.values())], ["id", *found])
 
     lean = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double, n_listed long"
+    schema = f"id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double"
     return lean.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
@@ -307,17 +265,9 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rated.filter("id IS NOT NULL AND quality = 1 AND toxic = 0").select("id")
 
 
-def toxic_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Ids that are labelled toxic."""
-    return labels.filter((F.col("toxic") == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
-
-
-def keep_good(
-    docs: DataFrame, target_ids: DataFrame, toxic: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
-    threshold: float = THRESHOLD
-) -> DataFrame:
+def keep_good(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; one pass, no join."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, target_ids, toxic, id_col, text_col))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, target_ids, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, off in pieces(batches, text_col):
@@ -329,4 +279,4 @@ def keep_good(
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
-    return score(docs, fit(docs, trusted_ids(labels), toxic_ids(labels)))
+    return score(docs, fit(docs, trusted_ids(labels)))
