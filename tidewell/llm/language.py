@@ -4,7 +4,7 @@ Subwords are byte n-grams (A-Z folded) hashed to ``BUCKETS`` embeddings of ``WID
 numbers; a text is the mean of its embeddings, and a linear layer with softmax gives
 the language. Embeddings and layer are trained together by stochastic gradient
 descent in numpy on a bounded sample of labelled rows: about ``PER_LANGUAGE`` texts
-of each language (``MOST_ROWS`` in all), drawn by a hash of the id, none longer than
+of each language (``MOST_ROWS`` in all), drawn by a hash of id and text, none longer than
 ``LONGEST`` bytes.
 A part of the sample is kept aside to calibrate on snippets: one temperature makes
 the probabilities honest, and the score below which a prediction is not to be trusted
@@ -53,18 +53,27 @@ def in_training(id_col: str = "doc_id", folds: int = 5) -> Column:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> DataFrame:
-    """A bounded sample of labelled rows, drawn by a hash of the id."""
+    """A bounded sample of labelled rows: of each language those with the smallest hashes of id and text.
+
+    Rows of one id and text are one row; an id that many texts share is as many rows.
+    """
     labelled = docs.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.octet_length(text_col) <= longest))
-    counts = labelled.groupBy(F.col(label_col).alias("language")).agg(F.count(F.lit(1)).alias("rows"))
+    draw = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(17))
+    drawn = labelled.select(F.col(label_col).alias("language"), draw.alias("draw")).distinct()
+    counts = drawn.groupBy("language").agg(F.count(F.lit(1)).alias("rows"))
     # languages beyond what the sample can hold are those with the fewest rows
-    counts = counts.orderBy(F.col("rows").desc(), "language").limit(MOST_ROWS // LEAST_ROWS)
-    counts = materialize(counts, "languages")
+    counts = materialize(counts.orderBy(F.col("rows").desc(), "language").limit(MOST_ROWS // LEAST_ROWS), "languages")
     per_language = min(per_language, MOST_ROWS // max(1, counts.count()))
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 30))
-    near = labelled.select(F.col(label_col).alias("language"), F.col(text_col).alias("text"), draw.alias("draw")).join(F.broadcast(counts), "language")
-    near = near.filter(F.col("draw") * F.col("rows") <= F.lit(float(1 << 30)) * (per_language * 1.3))
-    rank = F.row_number().over(Window.partitionBy("language").orderBy("draw", "text"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("language", "text", "draw")
+    # a language of n rows has its ``per_language`` smallest hashes well below this share; small ones are taken whole
+    share = 2 * per_language + 50
+    low = (F.col("draw") / F.lit(float(1 << 63)) + 1) / 2 * F.col("rows") <= share
+    few = drawn.join(F.broadcast(counts), "language").filter(low)
+    rank = F.row_number().over(Window.partitionBy("language").orderBy("draw"))  # about ``share`` rows
+    cut = few.withColumn("rank", rank).filter(F.col("rank") <= per_language).groupBy("language").agg(F.max("draw").alias("cut"))
+    cut = materialize(cut, "language-cuts")
+    near = labelled.select(F.col(label_col).alias("language"), F.col(text_col).alias("text"), draw.alias("draw"))
+    near = near.join(F.broadcast(cut), "language").filter("draw <= cut")
+    return near.groupBy("language", "draw").agg(F.first("text").alias("text")).select("language", "text", "draw")
 
 
 def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
