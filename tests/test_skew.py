@@ -88,3 +88,12 @@ def test_density_noise_of_a_crowded_cell(spark):
     df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "i": np.arange(len(x))}))
     got = outliers.density_noise(df, ["a", "b"], "i", 0.1)
     assert got.count() == len(x) and got.filter("core AND i < 60000").count() == 60_000
+
+
+@pytest.mark.parametrize("strategy", ["ffill", "bfill"])
+def test_fills_without_partitions_run_in_ranges(spark, strategy):
+    v = pd.Series(np.where(np.random.default_rng(6).random(3000) < 0.98, np.nan, np.arange(3000.0)))
+    df = spark.createDataFrame(pd.DataFrame({"v": v, "i": np.arange(3000)})).withColumn("v", F.when(~F.isnan("v"), F.col("v"))).repartition(7)
+    got = [r["v"] for r in steps.fill(df, "v", strategy, order_by="i").orderBy("i").collect()]
+    want = v.ffill() if strategy == "ffill" else v.bfill()
+    assert [x if x is not None else -1 for x in got] == want.fillna(-1).tolist()

@@ -95,7 +95,7 @@ def test_shifts_spectrum_and_stl_see_every_day(spark):
 @pytest.mark.skipif(not DATA.exists(), reason="test tables are not here")
 def test_insights_and_batches_read_the_table(spark, tmp_path):
     rows = catalog.queries()["f22_analysis_batch"](spark, str(DATA)).collect()
-    assert {r["analysis"] for r in rows} == {"profile", "missing", "quality", "duplicates", "cardinality"}
+    assert {r["analysis"] for r in rows} == {"profile", "missing", "quality", "correlations", "outliers"}
     assert all(r["result"].startswith("{") for r in rows) and len(rows) > 5
     prices = [(float(2 ** (i % 20)),) for i in range(400)]
     spark.createDataFrame(prices, "o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))

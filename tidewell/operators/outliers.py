@@ -72,9 +72,10 @@ def isolation_forest(
     rows = df.select(*(name(k) for k in keys), *(name(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns))).dropna()
     k = len(columns)
     total = rows.agg(F.count(F.lit(1)).alias("__t"))
-    draws = rows.crossJoin(F.broadcast(total)).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    # the chance of a row to be in a tree is decided before anything is shuffled
-    drawn = draws.filter(F.pmod(F.xxhash64(*keys, "tree", F.lit(seed)), F.lit(1 << 40)) * F.col("__t") <= F.lit(float(1 << 40)) * size * 1.5).drop("__t")
+    # the trees of a row are drawn in its own array, so that most rows make no row at all
+    drawn_by = lambda t: F.pmod(F.xxhash64(*keys, t, F.lit(seed)), F.lit(1 << 40)) * F.col("__t") <= F.lit(float(1 << 40)) * size * 1.5
+    mine = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), drawn_by)
+    drawn = rows.crossJoin(F.broadcast(total)).withColumn("tree", F.explode(mine)).drop("__t")
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, int(key[0])])

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from tidewell.functions.cleaning import NUMERIC, TEMPORAL, correlation, is_numeric, name, numeric_columns, share
 from tidewell.operators.ranks import column_quantiles, exact_quantiles
@@ -47,7 +48,17 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, approx: boo
     columns = columns or df.columns
     if approx:
         return one_row_per_column(df, columns, {"distinct_n": lambda c: F.approx_count_distinct(name(c))})
-    counted = values(df, columns).groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_n"))
+    kinds: dict[str, list[str]] = {}
+    for c in columns:
+        kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    counted = None
+    for same in kinds.values():  # one pass per type, on the values themselves
+        plain = not isinstance(df.schema[same[0]].dataType, (MapType, VariantType))  # these can't be grouped
+        v = lambda c, plain=plain: name(c) if plain else name(c).cast("string")
+        cells = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), v(c).alias("v")) for i, c in enumerate(same))))
+        one = df.select(cells.alias("x")).select("x.*").filter("v IS NOT NULL").groupBy("i", "v").agg(F.lit(1).alias("one")).groupBy("i").agg(F.count("one").alias("distinct_n"))
+        one = one.select(F.element_at(F.array(*map(F.lit, same)), F.col("i") + 1).alias("column_name"), "distinct_n")
+        counted = one if counted is None else counted.unionByName(one)
     every = one_row_per_column(df, columns, {"_n": lambda c: F.count(F.lit(1))}).drop("_n")
     return every.join(F.broadcast(counted), "column_name", "left").withColumn("distinct_n", F.coalesce("distinct_n", F.lit(0)).cast("long"))
 

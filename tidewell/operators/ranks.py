@@ -60,6 +60,14 @@ def with_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     return join_on_value(as_double, "__d" if as_double is not df else column, r).drop("__d")
 
 
+def in_ranges(rows: DataFrame, key: Column, ranges: int = 256) -> DataFrame:
+    """Add ``__key`` and ``__part``, the range (from 0) that the key falls in; ranges are cut at keys drawn by their hash."""
+    keyed = rows.withColumn("__key", key)
+    k = F.col("__key")
+    cuts = keyed.select(k).orderBy(F.xxhash64(k), k).limit(ranges - 1).agg(F.sort_array(F.collect_list(k)).alias("__cuts"))
+    return keyed.crossJoin(F.broadcast(cuts)).withColumn("__part", F.size(F.filter("__cuts", lambda e: e < k))).drop("__cuts")
+
+
 def positions(rows: DataFrame, key: Column, out: str, buckets: int = 256) -> DataFrame:
     """Add ``out``, the place (from 0) of each row in the order of ``key``, without one task for all.
 
@@ -67,10 +75,7 @@ def positions(rows: DataFrame, key: Column, out: str, buckets: int = 256) -> Dat
     and start at the sizes of the buckets before (``buckets`` rows in one window). Keys
     should be unique: equal ones take neighbouring places in any order.
     """
-    keyed = rows.withColumn("__key", key)
-    k = F.col("__key")
-    cuts = keyed.select(k).orderBy(F.xxhash64(k), k).limit(buckets - 1).agg(F.sort_array(F.collect_list(k)).alias("__cuts"))
-    cut = keyed.crossJoin(F.broadcast(cuts)).withColumn("__part", F.size(F.filter("__cuts", lambda e: e < k))).drop("__cuts")
+    cut = in_ranges(rows, key, buckets)
     sizes = cut.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     start = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))
     inner = F.row_number().over(Window.partitionBy("__part").orderBy("__key")) - 1
@@ -81,7 +86,7 @@ def positions(rows: DataFrame, key: Column, out: str, buckets: int = 256) -> Dat
 SKETCH_ACCURACY, MARGIN = 10_000, 3e-4
 
 
-def exact_quantiles(rows: DataFrame, keys: list[str], value: Column, points: list[float], out: str = "q") -> DataFrame:
+def exact_quantiles(rows: DataFrame, keys: list[str], value: Column, points: list[float], out: str = "q", few: bool = False) -> DataFrame:
     """Rows (keys, out): exact interpolated quantiles of each group, nulls left out.
 
     A sketch brackets each quantile; values below its bracket only add to a count, and
@@ -98,7 +103,7 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: Column, points: lis
         same = F.lit(True)
         for k in ks:
             same &= F.col(k).eqNullSafe(F.col(f"{k}_s"))
-        both = x.join(own, same)
+        both = x.join(F.broadcast(own) if few else own, same)
     else:
         both = x.crossJoin(F.broadcast(sketch))
     cells = []
@@ -124,4 +129,4 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: Column, points: lis
 def column_quantiles(df: DataFrame, columns: list[str], points: list[float], out: str = "q") -> DataFrame:
     """Rows (column_name, out): exact quantiles of each numeric column; columns without a value are left out."""
     items = F.array(*(F.struct(F.lit(c).alias("column_name"), name(c).cast("double").alias("v")) for c in columns))
-    return exact_quantiles(df.select(F.explode(items).alias("i")).select("i.*"), ["column_name"], F.col("v"), points, out)
+    return exact_quantiles(df.select(F.explode(items).alias("i")).select("i.*"), ["column_name"], F.col("v"), points, out, few=True)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.cleaning import is_numeric, name, number
 from tidewell.operators.predicates import typed_condition
-from tidewell.operators.ranks import exact_quantiles, join_on_value, positions
+from tidewell.operators.ranks import exact_quantiles, in_ranges, join_on_value, positions
 
 
 #: More levels than these don't become columns of their own.
@@ -108,9 +108,9 @@ def suggested_types(df: DataFrame, columns: list[str]) -> DataFrame:
 def fill(df: DataFrame, column: str, strategy: str, value: object = None, order_by: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
     """Fill nulls: mean, median, mode (smallest on ties), constant, forward, backward.
 
-    Forward and backward fills run along ``order_by`` within ``partition_by``;
-    without partition columns the whole table is one ordered sequence, so
-    large tables should name some.
+    Forward and backward fills run along ``order_by`` (unique within ``partition_by``).
+    Without partition columns the whole table is one ordered sequence; it is cut into
+    ranges that are filled side by side.
     """
     c, keep = name(column), df.columns
     if strategy in ("mean", "median", "mode"):
@@ -127,12 +127,33 @@ def fill(df: DataFrame, column: str, strategy: str, value: object = None, order_
         return df.withColumn(column, F.coalesce(c, F.lit(value).cast(df.schema[column].dataType)))
     if order_by is None:
         raise ValueError("forward and backward fills need an order key")
-    w = Window.partitionBy(*(partition_by or [])).orderBy(name(order_by))
-    if strategy in ("ffill", "forward"):
+    if strategy not in ("ffill", "forward", "bfill", "backward"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    forward = strategy in ("ffill", "forward")
+    if not partition_by:
+        return _replace(_filled_in_ranges(df, column, name(order_by), forward), column, F.coalesce(c, F.col("__inside"), F.col("__carried")), keep)
+    w = Window.partitionBy(*partition_by).orderBy(name(order_by))
+    if forward:
         return df.withColumn(column, F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    if strategy in ("bfill", "backward"):
-        return df.withColumn(column, F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    raise ValueError(f"unknown strategy {strategy!r}")
+    return df.withColumn(column, F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+
+
+def _filled_in_ranges(df: DataFrame, column: str, order: Column, forward: bool, ranges: int = 256) -> DataFrame:
+    """Rows with ``__inside``, the nearest known value of the row's range, and ``__carried``, that of the ranges before (or after).
+
+    Ranges of the order key are cut at keys drawn by their hash; only the last (first) known
+    value of each of the at most ``ranges`` ranges goes through one window.
+    """
+    cut = in_ranges(df, order, ranges)
+    pick = F.last if forward else F.first
+    inner = Window.partitionBy("__part").orderBy("__key")
+    inner = inner.rowsBetween(Window.unboundedPreceding, 0) if forward else inner.rowsBetween(0, Window.unboundedFollowing)
+    known = F.when(name(column).isNotNull(), F.col("__key"))
+    ends = cut.groupBy("__part").agg((F.max_by if forward else F.min_by)(name(column), known).alias("__end"))
+    outer = Window.orderBy("__part")  # one row per range
+    outer = outer.rowsBetween(Window.unboundedPreceding, -1) if forward else outer.rowsBetween(1, Window.unboundedFollowing)
+    carried = ends.select("__part", pick("__end", ignorenulls=True).over(outer).alias("__carried"))
+    return cut.withColumn("__inside", pick(name(column), ignorenulls=True).over(inner)).join(F.broadcast(carried), "__part")
 
 
 def drop_null_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

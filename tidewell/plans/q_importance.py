@@ -154,7 +154,7 @@ def k12(spark, d):
     return _r(K.warnings(t(spark, d, "labels").withColumn("quality", F.col("quality").cast("string")), "quality"), 4, "value")
 
 
-@query("k13_leakage", "SELECT 'copy' AS feature, round(abs(corr(o_totalprice * 1.1 + o_custkey, o_totalprice)), 6) AS strength, 'high' AS risk FROM orders")
+@query("k13_leakage", "SELECT feature, round(strength, 6) AS strength, CASE WHEN strength >= 0.97 THEN 'high' ELSE 'medium' END AS risk FROM (SELECT 'copy' AS feature, abs(corr(o_totalprice * 1.1 + o_custkey, o_totalprice)) AS strength FROM orders UNION ALL SELECT 'o_orderkey', abs(corr(o_orderkey, o_totalprice)) FROM orders) WHERE strength >= 0.9")
 def k13(spark, d):
     df = t(spark, d, "orders").selectExpr("o_orderkey", "o_totalprice", "o_totalprice * 1.1 + o_custkey AS copy")
     return _r(K.leakage(K.associations(df, "o_totalprice")), 6, "strength")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators import assoc, outliers
 from tidewell.operators import profile as P
 
 from .fixtures import O, orders, t
@@ -155,7 +156,7 @@ def f12(spark, d):
 
 @query(
     "f13_imputation",
-    f"WITH {_GAPS} SELECT 'a' AS column_name, CASE WHEN abs(skewness(a)) > 1 THEN 'median' ELSE 'mean' END AS suggestion FROM g UNION ALL SELECT 'b', 'mode'"
+    f"WITH {_GAPS} SELECT 'a' AS column_name, CASE WHEN abs(skewness(a)) > 1 THEN 'median' ELSE 'mean' END AS suggestion FROM g UNION ALL SELECT 'b', CASE WHEN try_cast(min(b) AS DOUBLE) IS NULL THEN 'mode' ELSE 'mean' END FROM g HAVING count(*) > count(b)"
 )
 def f13(spark, d):
     return P.imputation(_gaps(spark, d))
@@ -166,14 +167,20 @@ def f14(spark, d):
     return P.missing_table(_mix(spark, d)).select("column_name", "missing")
 
 
-@query("f15_quality_score", f"""{_M.rstrip()}, p AS ({_profile_sql('m', _MIX)}), s AS (SELECT CAST(floor(100 - 100.0 * sum(missing) / sum(total)) AS INTEGER) AS completeness, CAST(floor(100 - 100.0 * count(*) FILTER (WHERE semantic_type = 'constant') / count(*)) AS INTEGER) AS consistency, 100 AS uniqueness FROM p)
+@query("f15_quality_score", f"""{_M.rstrip()}, p AS ({_profile_sql('m', _MIX)}), s AS (SELECT CAST(floor(100 - 100.0 * sum(missing) / sum(total)) AS INTEGER) AS completeness, CAST(floor(100 - 100.0 * count(*) FILTER (WHERE semantic_type = 'constant') / count(*)) AS INTEGER) AS consistency, (SELECT CAST(floor(100.0 * (SELECT count(*) FROM (SELECT DISTINCT * FROM m)) / count(*)) AS INTEGER) FROM m) AS uniqueness FROM p)
 SELECT completeness, consistency, uniqueness, CAST(floor(0.5 * completeness + 0.25 * consistency + 0.25 * uniqueness) AS INTEGER) AS overall FROM s""")
 def f15(spark, d):
     return P.quality_score(_mix(spark, d))
 
 
 @query("f19_quality_issues", f"""WITH q AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN NULL ELSE o_totalprice END AS a, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus END AS b, 1 AS k, o_totalprice * o_totalprice * o_totalprice * o_totalprice AS c FROM orders)
-SELECT 'a' AS column_name, 'missing_critical' AS issue, 0 AS severity UNION ALL SELECT 'b', 'missing_moderate', 1 UNION ALL SELECT 'k', 'constant', 1 UNION ALL SELECT 'c', 'high_skew', 2 FROM q HAVING abs(skewness(c)) > 2""")
+SELECT * FROM (
+  SELECT column_name, CASE WHEN pct > 50 THEN 'missing_critical' WHEN pct > 20 THEN 'missing_moderate' END AS issue, CASE WHEN pct > 50 THEN 0 ELSE 1 END AS severity
+  FROM (SELECT 'a' AS column_name, 100.0 * (count(*) - count(a)) / count(*) AS pct FROM q UNION ALL SELECT 'b', 100.0 * (count(*) - count(b)) / count(*) FROM q)
+  UNION ALL SELECT 'k', CASE WHEN count(DISTINCT k) <= 1 THEN 'constant' END, 1 FROM q
+  UNION ALL SELECT 'a', CASE WHEN abs(skewness(a)) > 2 THEN 'high_skew' END, 2 FROM q
+  UNION ALL SELECT 'c', CASE WHEN abs(skewness(c)) > 2 THEN 'high_skew' END, 2 FROM q
+) WHERE issue IS NOT NULL""")
 def f19(spark, d):
     df = t(spark, d, "orders").selectExpr(
         "o_orderkey", "CASE WHEN o_orderkey % 3 <> 0 THEN NULL ELSE o_totalprice END AS a",
@@ -202,7 +209,7 @@ def f21(spark, d):
 def f22(spark, d):
     done, failed = P.analysis_batch(
         _mix(spark, d),
-        {"profile": P.column_profile, "missing": P.missing_total, "quality": P.quality_score, "duplicates": P.duplicates, "cardinality": P.cardinality}
+        {"profile": P.column_profile, "missing": P.missing_table, "quality": P.quality_score, "correlations": assoc.pearson, "outliers": outliers.fences}
     )
     rows = [v.select(F.lit(k).alias("analysis"), F.to_json(F.struct(*v.columns)).alias("result")) for k, v in done.items()]
     rows += [spark.createDataFrame([(k, f"failed: {v}")], "analysis string, result string") for k, v in failed.items()]

@@ -65,6 +65,71 @@ def a05(spark, d):
     return _typed(io.read_dataset(spark, _written(spark, d, "scan", "csv", header="true", sep="|")))
 
 
+def _database(spark, d) -> str:
+    """The customers in an embedded database; it lives in one process, so only a local master can read it."""
+    import uuid
+
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("the embedded database can't be reached by executors")
+    url = f"jdbc:derby:memory:tidewell{uuid.uuid4().hex};create=true"
+    t(spark, d, "customer").selectExpr("c_custkey", "c_nationkey", "c_acctbal").write.format("jdbc").options(
+        url=url, dbtable="customer", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver", numPartitions="1"
+    ).save()
+    return url
+
+
+_DRIVER = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+@query("a07_jdbc_table", "SELECT c_custkey, c_nationkey, c_acctbal FROM customer")
+def a07(spark, d):
+    """Read in parallel by ranges of the key."""
+    top = t(spark, d, "customer").agg(F.max("c_custkey")).first()[0] or 1
+    return io.read_jdbc(spark, _database(spark, d), "customer", partition=("c_custkey", 0, top, 4), **_DRIVER)
+
+
+@query("a08_jdbc_query", "SELECT c_nationkey, c_acctbal FROM customer WHERE c_acctbal > 0")
+def a08(spark, d):
+    text = 'SELECT "c_nationkey", "c_acctbal" FROM customer WHERE "c_acctbal" > 0;'
+    return io.read_jdbc(spark, _database(spark, d), query=text, **_DRIVER)
+
+
+@query("a11_rest_pages", "SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_acctbal FROM supplier")
+def a11(spark, d):
+    """The suppliers as pages of a local service, each naming the next; read whole, then stored, before the service ends."""
+    import json
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from threading import Thread
+
+    from tidewell.sources import rest
+
+    rows = t(spark, d, "supplier").selectExpr("CAST(s_suppkey AS BIGINT) AS s_suppkey", "s_acctbal")
+    pages = [json.dumps({"data": {"rows": [r.asDict() for r in part]}}) for part in rest.paged(rows, 200)]
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):
+            i = int(self.path.rsplit("/", 1)[-1])
+            page = json.loads(pages[i]) | ({"next": f"/page/{i + 1}"} if i + 1 < len(pages) else {})
+            self.send_response(200 if self.headers.get("Authorization") == "Bearer token" else 401)
+            self.end_headers()
+            self.wfile.write(json.dumps(page).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        spark.dataSource.register(rest.RestSource)
+        found = spark.read.format("rest_json").options(
+            urls=f"http://127.0.0.1:{server.server_port}/page/0", auth="bearer:token", json_path="data.rows", next_field="next"
+        ).load()
+        return io.save_as(rest.records(found, "s_suppkey long, s_acctbal double"), _scratch(spark, "rest"))
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
 @query("a12_source_types", _ROUND)
 def a12(spark, d):
     return _typed(io.read_dataset(spark, _written(spark, d, "scan", "orc"), "orc"))

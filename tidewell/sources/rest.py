@@ -92,6 +92,18 @@ class RestSource(DataSource):
         return _Reader(dict(self.options))
 
 
+def paged(df: DataFrame, rows: int) -> Iterator[list]:
+    """The rows of a table page by page, as a service would send them; the driver holds one page."""
+    page: list = []
+    for r in df.toLocalIterator():
+        page.append(r)
+        if len(page) == rows:
+            yield page
+            page = []
+    if page:
+        yield page
+
+
 def records(payloads: DataFrame, schema: str | None = None) -> DataFrame:
     """Records as flat columns; without a schema it is inferred from the payloads."""
     from tidewell.sources.io import flatten
