@@ -156,10 +156,12 @@ def vif(df: DataFrame, columns: list[str] | None = None, most: int = 15) -> Data
     used = every[:most]
     rows = df.select(*(name(c).cast("double").alias(c) for c in used)).dropna()
     pairs = numeric_pairs(used)
-    got = rows.agg(*(correlation(name(a), name(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs))).first()
-    m = np.eye(len(used))
-    for i, (a, b) in enumerate(pairs):
-        m[used.index(a), used.index(b)] = m[used.index(b), used.index(a)] = got[i] if got[i] is not None else 0.0
+    # rows are complete, so a deviation per column and a covariance per pair are enough
+    spread = [F.when(F.min(name(c)) < F.max(name(c)), F.stddev_pop(name(c))).alias(f"s{i}") for i, c in enumerate(used)]
+    got = rows.agg(*spread, *(F.covar_pop(name(a), name(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs))).first()
+    m, sd = np.eye(len(used)), dict(zip(used, got))
+    for (a, b), c in zip(pairs, got[len(used) :]):
+        m[used.index(a), used.index(b)] = m[used.index(b), used.index(a)] = c / (sd[a] * sd[b]) if sd[a] and sd[b] else 0.0
     inverse = np.linalg.pinv(m) if np.linalg.matrix_rank(m) < len(used) else np.linalg.inv(m)
     full = np.linalg.matrix_rank(m) == len(used)
     made = [(c, float(inverse[i, i]) if full and inverse[i, i] < 1e12 else float("inf"), len(every) > most) for i, c in enumerate(used)]
