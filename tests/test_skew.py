@@ -25,9 +25,10 @@ def skewed(spark):
 
 def test_ranks_and_codes(spark, skewed):
     df, v = skewed
-    got = [r["r"] for r in ranks.with_rank(df, "v", "r").orderBy("i").collect()]
     want = pd.Series(v).rank()
-    assert [x if x is not None else -1 for x in got] == pytest.approx(want.fillna(-1).tolist())
+    for ranges in (4, 40, ranks.RANK_RANGES):
+        got = [r["r"] for r in ranks.with_rank(df, "v", "r", ranges).orderBy("i").collect()]
+        assert [x if x is not None else -1 for x in got] == pytest.approx(want.fillna(-1).tolist())
     codes = {r["i"]: r["v"] for r in steps.label_encode(df, "v").collect()}
     order = sorted(set(v[~np.isnan(v)].tolist()))
     assert all(codes[i] == (order.index(x) if x == x else None) for i, x in enumerate(v.tolist()))

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tidewell.functions.cleaning import TEMPORAL, correlation, is_numeric, name, numeric_columns
 from tidewell.functions.dist import p_chi2, p_f, p_normal, p_t
 from tidewell.operators.profile import _pairs
-from tidewell.operators.ranks import with_rank
+from tidewell.operators.ranks import repeated, with_rank
 
 
 def column_roles(df: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
@@ -78,13 +78,6 @@ def concordance(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
     return total - float((same_x**2).sum() - (w**2).sum()) / 2
 
 
-def _repeated(quantiles: str) -> Column:
-    """The values that an ascending array holds more than once."""
-    q = F.col(quantiles)
-    pairs = F.zip_with(F.slice(q, 1, F.greatest(F.size(q) - 1, F.lit(0))), F.slice(q, 2, F.greatest(F.size(q) - 1, F.lit(0))), lambda a, b: F.when(a == b, a))
-    return F.array_distinct(F.array_compact(pairs))
-
-
 def kendall(df: DataFrame, a: str, b: str, cell_rows: int = 100_000) -> DataFrame:
     """One row (tau, z, n): tau-b from distinct value pairs with counts.
 
@@ -100,7 +93,7 @@ def kendall(df: DataFrame, a: str, b: str, cell_rows: int = 100_000) -> DataFram
     size = F.count(F.lit(1)).alias("cells")
     # small inputs take one bucket, larger ones as many as keep a bucket near cell_rows
     step = F.greatest(F.lit(1), F.floor(F.lit(KENDALL_BUCKETS) * cell_rows / F.col("cells"))).cast("int")
-    cuts = cells.agg(*edges, size).withColumns({f"h{c}": _repeated(f"e{c}") for c in "xy"})
+    cuts = cells.agg(*edges, size).withColumns({f"h{c}": repeated(F.col(f"e{c}")) for c in "xy"})
     # a value that several quantiles are stays an edge
     keep = lambda c: F.filter(F.array_distinct(f"e{c}"), lambda e, i: ((i + 1) % step == 0) | F.array_contains(f"h{c}", e))
     cuts = cuts.select(*(keep(c).alias(f"e{c}") for c in "xy"), "hx", "hy")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +29,6 @@ def running_before(counts: DataFrame, value: str, sums: list[str], buckets: int
     )
 
 
-def value_ranks(df: DataFrame, column: str) -> DataFrame:
-    """Rows (value, n, rank): average rank of each distinct value."""
-    counts = df.filter(name(column).isNotNull()).groupBy(name(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return running_before(counts, "value", ["n"]).select("value", "n", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
-
-
 def join_on_value(df: DataFrame, column: str, right: DataFrame, share: int = 20_000, least: int = 1000) -> DataFrame:
     """Left join with ``right``: one row per value (__v, how often the column has it as __n, ...), dropping both.
 
@@ -53,11 +49,43 @@ def join_on_value(df: DataFrame, column: str, right: DataFrame, share: int = 20_
     return rows.join(copies.drop("__parts", "__t", "__n"), fits, "left").drop("__v", "__salt", "__copy")
 
 
-def with_rank(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Add the average rank of a column's values; null stays null."""
-    r = value_ranks(df, column).select(F.col("value").alias("__v"), F.col("n").alias("__n"), F.col("rank").alias(out))
-    as_double = df if df.schema[column].dataType.simpleString() == "double" else df.withColumn("__d", name(column).cast("double"))
-    return join_on_value(as_double, "__d" if as_double is not df else column, r).drop("__d")
+#: Ranges a column is cut into for ranks.
+RANK_RANGES = 1024
+
+
+def repeated(quantiles: Column) -> Column:
+    """The values that an ascending array holds more than once."""
+    n = F.greatest(F.size(quantiles) - 1, F.lit(0))
+    return F.array_distinct(F.array_compact(F.zip_with(F.slice(quantiles, 1, n), F.slice(quantiles, 2, n), lambda x, y: F.when(x == y, x))))
+
+
+def with_rank(df: DataFrame, column: str, out: str, ranges: int = RANK_RANGES) -> DataFrame:
+    """Add the average rank of a column's values; null stays null.
+
+    The column is cut at quantiles; ranks run inside a range, where the rows stand, and
+    start at the number of rows below it. A value that several quantiles are has a range of
+    its own, whose rows share one known rank and are spread over tasks, like nulls.
+    """
+    v = name(column).cast("double")
+    q = df.agg(F.percentile_approx(v, [i / ranges for i in range(1, ranges)], 10_000)).first()[0]  # ``ranges`` numbers at most
+    edges, times = np.unique(np.array(q or [], float), return_counts=True)
+    single = edges[times > 1]
+
+    @F.pandas_udf("int")
+    def part(x: pd.Series) -> pd.Series:
+        # even numbers are ranges, an odd one a single value at its range's upper end
+        return pd.Series((2 * np.searchsorted(edges, x.to_numpy(float), "left") + np.isin(x, single)).astype("int32"))
+
+    cut = df.withColumn("__v", v).withColumn("__part", part("__v")).withColumn("__one", F.col("__part") % 2 == 1)
+    sizes = cut.filter("__v IS NOT NULL").groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    start = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n"))  # at most twice the ranges
+    apart = F.col("__v").isNull() | F.col("__one")
+    spread = F.when(apart, F.pmod(F.xxhash64(*(name(c) for c in df.columns), F.spark_partition_id()), F.lit(4096))).otherwise(F.lit(0).cast("long"))
+    placed = cut.join(F.broadcast(start), "__part", "left").withColumn("__salt", spread)
+    w = Window.partitionBy("__part", "__salt")
+    inside = F.rank().over(w.orderBy("__v")) + (F.count(F.lit(1)).over(Window.partitionBy("__part", "__salt", "__v")) - 1) / 2
+    rank = F.when(F.col("__v").isNotNull(), F.col("__before") + F.when(F.col("__one"), (F.col("__n") + 1) / 2).otherwise(inside))
+    return placed.withColumn(out, rank).select(*(name(c) for c in df.columns if c != out), out)
 
 
 def in_ranges(rows: DataFrame, key: Column, ranges: int = 256) -> DataFrame:

@@ -68,7 +68,7 @@ def quality(s: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("value").isNull()).alias("missing"),
         (F.count(F.lit(1)) - F.count_distinct("ts")).alias("duplicate_times"), F.count_if(F.col("value") == 0).alias("zeros")
     )
-    odd = st.join(F.broadcast(mode), keys).groupBy(*keys).agg((100.0 * F.try_divide(
+    odd = st.join(mode, keys).groupBy(*keys).agg((100.0 * F.try_divide(
         F.count_if(F.col("step") != F.col("modal_step")), F.count("step")
     )).alias("irregular_pct"))
     m = F.col("modal_step")
@@ -83,7 +83,7 @@ def quality(s: DataFrame, keys: list[str]) -> DataFrame:
 def gaps(s: DataFrame, keys: list[str], factor: float = 2.0, first: int = 10) -> DataFrame:
     """Rows (start, end, seconds): steps above ``factor`` times the modal one, the first of each series."""
     st = steps(s, keys).withColumn("start", F.lag("ts").over(_by(keys)))
-    found = st.join(F.broadcast(quality(s, keys).select(*keys, "modal_step")), keys).filter(F.col("step") > factor * F.col("modal_step"))
+    found = st.join(quality(s, keys).select(*keys, "modal_step"), keys).filter(F.col("step") > factor * F.col("modal_step"))
     found = found.withColumn("__n", F.row_number().over(_by(keys))).filter(F.col("__n") <= first)
     return found.select(*keys, "start", F.col("ts").alias("end"), F.col("step").alias("seconds"))
 
@@ -231,7 +231,7 @@ def decompose(s: DataFrame, keys: list[str], period: int) -> DataFrame:
     part = Window.partitionBy(*keys, "__phase")
     t = t.withColumn("__phase", F.pmod("pos", F.lit(period))).withColumn("__m", F.avg(F.col("value") - F.col("trend")).over(part))
     centre = t.groupBy(*keys, "__phase").agg(F.first("__m").alias("m")).groupBy(*keys).agg(F.avg("m").alias("__c"))
-    out = t.join(F.broadcast(centre), keys).withColumn("seasonal", F.col("__m") - F.col("__c"))
+    out = t.join(centre, keys).withColumn("seasonal", F.col("__m") - F.col("__c"))
     return out.withColumn("residual", F.col("value") - F.col("trend") - F.col("seasonal")).drop("__phase", "__m", "__c")
 
 
@@ -433,7 +433,7 @@ def cusum(s: DataFrame, keys: list[str], slack: DataFrame | float = 0.0) -> Data
 def crossings(c: DataFrame, keys: list[str], threshold: DataFrame | float, first: int = 20) -> DataFrame:
     """Rows (pos, side): where up or down first rises above the threshold, at most ``first`` per series."""
     t = F.lit(float(threshold)) if not isinstance(threshold, DataFrame) else F.col("threshold")
-    x = c.join(F.broadcast(threshold), keys) if isinstance(threshold, DataFrame) else c
+    x = c.join(threshold, keys) if isinstance(threshold, DataFrame) else c
     w = _by(keys)
     rise = lambda v: (F.col(v) > t) & (F.coalesce(F.lag(v).over(w), F.lit(0.0)) <= t)
     x = x.withColumn("side", F.when(rise("up"), "up").when(rise("down"), "down")).filter("side IS NOT NULL")
