@@ -219,13 +219,17 @@ def damaged(rows: DataFrame) -> DataFrame:
 
 
 def with_faults(rows: DataFrame) -> DataFrame:
-    """Rows dealt by conversation and in order, each with its first fault."""
+    """Rows dealt by conversation and in order, each with its first fault.
+
+    All that a row's own text tells is found before the rows are dealt, so that the task of a
+    very long conversation only puts its rows in order and goes through them.
+    """
     space = r"[\x20\x09-\x0D]"
+    own = F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(BLANK)).when(~F.col("text").rlike(rf"[.!?]{space}*\z"), F.lit(TRUNCATED)).otherwise(F.lit(SOUND))
+    dealt = rows.withColumn("own", own).withColumn("digest", F.unhex(F.sha2("text", 256))).repartition("conv_id")
     seen = Window.partitionBy("conv_id", "role", "digest").orderBy(F.col("present").desc(), F.col("turn").asc_nulls_first())
-    again = F.row_number().over(seen) > 1
-    fault = F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(BLANK)).when(F.col("again"), F.lit(DUPLICATE))
-    fault = fault.when(~F.col("text").rlike(rf"[.!?]{space}*\z"), F.lit(TRUNCATED)).otherwise(F.lit(SOUND))
-    out = rows.repartition("conv_id").withColumn("digest", F.unhex(F.sha2("text", 256))).withColumn("again", again)
+    out = dealt.withColumn("again", F.row_number().over(seen) > 1)
+    fault = F.when(F.col("again") & (F.col("own") != BLANK), F.lit(DUPLICATE)).otherwise(F.col("own"))
     out = out.select("conv_id", "turn", "role", "text", "present", fault.alias("fault"), "again")
     return out.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text", "again").drop("again")
 
