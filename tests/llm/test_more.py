@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
+import hashlib
+import json
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,3 +65,49 @@ def test_pages_and_digests_of_null_columns(spark):
     for column in docs.columns:
         gone = docs.withColumn(column, F.lit(None).cast(docs.schema[column].dataType))
         assert exact_dedup.exact_dedup(gone).count() == 3 and exact_dedup.keep_first_copies(gone).count() >= 1
+
+
+def foreign_record(uri: str, payload: bytes, kind: str = "response") -> bytes:
+    block = (b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" if kind == "response" else b"") + payload
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:1-2>\r\nWARC-Target-URI: {uri}\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_packages_of_other_writers(spark, tmp_path):
+    """Two archives, one of them plain; index lines with a key and a time, offsets as text."""
+    members, lines = {}, [b'!meta 0 {"format": "cdxj"}']
+    for name, pack in (("a.warc.gz", gzip.compress), ("b.warc", lambda x: x)):
+        data = b""
+        for i in range(3):
+            record = pack(foreign_record(f"http://h/{name}/{i}", f"page {name} {i} \u00f1".encode(), "resource" if i == 2 else "response"))
+            entry = {"url": f"http://h/{name}/{i}", "filename": name, "offset": str(len(data)), "length": str(len(record))}
+            lines.append(f"h)/{i} 20240101000000 {json.dumps(entry)}".encode())
+            data += record
+        members[f"archive/{name}"] = data
+    path = tmp_path / "other.wacz"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}")
+        for name, data in members.items():
+            z.writestr(name, data)
+        z.writestr("indexes/one.cdxj", b"\n".join(lines))
+        z.writestr("indexes/empty.cdxj", b"")
+    packages = spark.createDataFrame([(path.as_uri(), 6)], "package string, records long")
+    got = {r["url"]: r for r in warc.read_records(warc.read_index(packages), with_payload=True).collect()}
+    assert len(got) == 6 and all(r["id"] is None for r in got.values())
+    for name in ("a.warc.gz", "b.warc"):
+        for i in range(3):
+            text = f"page {name} {i} \u00f1"
+            r = got[f"http://h/{name}/{i}"]
+            assert (r["payload_bytes"], r["payload_digest"]) == (len(text.encode()), hashlib.sha1(text.encode()).hexdigest())
+            assert (r["record_type"], r["payload"]) == (("resource", None) if i == 2 else ("response", text))
+
+
+def test_packages_that_are_broken(spark, tmp_path):
+    for name, kind, line in (("packed", zipfile.ZIP_DEFLATED, b""), ("lost", zipfile.ZIP_STORED, b'{"filename": "no.warc", "offset": 0, "length": 1}')):
+        path = tmp_path / f"{name}.wacz"
+        with zipfile.ZipFile(path, "w", kind) as z:
+            z.writestr("archive/a.warc", b"x" * 100)
+            z.writestr("indexes/i.cdxj", line)
+        with pytest.raises(Exception, match="stored|no archive"):
+            warc.read_index(spark.createDataFrame([(path.as_uri(), 1)], "package string, records long")).collect()

@@ -17,11 +17,14 @@ Defined results: a null payload is an empty one; repeated rows become records ea
 (with the same id, they are told apart by their place only), and rows of one id with
 different payloads are decided apart; null ids are written and read back as null, and
 are responses only where no copy has an id; an empty table makes no package; extra
-columns are ignored.
+columns are ignored. Ids are whole numbers (longs). Packages of other writers are read too:
+archives and indexes are found by their names in the directory, ids that are not numbers
+of this writer come back null.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import json
@@ -48,6 +51,8 @@ TASK_BYTES = 16 << 20
 #: Up to so many repeated payloads are broadcast.
 WINNERS = 400_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+#: Members that readers look for.
+ARCHIVES, INDEXES = re.compile(r"archive/.+\.warc(\.gz)?$"), re.compile(r"indexes/.+\.cdxj$")
 #: Fixed values of the ZIP format.
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
@@ -246,17 +251,44 @@ def member_start(read, header: int) -> int:
     return header + 30 + name_n + extra_n
 
 
+def _fields(lines: str) -> dict[str, str]:
+    return dict(line.split(": ", 1) for line in lines.split("\r\n") if ": " in line)
+
+
 def parse_record(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """WARC header, HTTP header and payload of one record."""
+    """WARC header, HTTP header and payload of one record; a block that is no HTTP message is all payload."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    warc = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+    warc = _fields(head.decode())
     block = rest[: int(warc["Content-Length"])]
+    if not block.startswith(b"HTTP/"):
+        return warc, {}, block
     http, _, payload = block.partition(b"\r\n\r\n")
-    return warc, dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:]), payload
+    return warc, _fields(http.decode("latin-1")), payload
+
+
+def index_entry(line: bytes, archives: dict[str, int]) -> dict | None:
+    """An entry of an index line: a JSON object, alone or behind a sort key and a time; other lines are none.
+
+    ``filename`` names the archive member that the offset is in; it may be left out if there is one.
+    """
+    at = line.find(b"{")
+    if at < 0 or line.startswith(b"!"):
+        return None
+    r = json.loads(line[at:])
+    if "offset" not in r:
+        return None
+    name = str(r.get("filename") or next(iter(archives), "")).rpartition("/")[2]
+    if name not in archives or "filename" not in r and len(archives) > 1:
+        raise ValueError(f"index entry of no archive in the package: {name}")
+    return {"id": r.get("id"), "type": r.get("type"), "refers_to": r.get("refers_to"), "start": archives[name] + int(r["offset"]), "length": int(r["length"])}
 
 
 def read_index(packages: DataFrame) -> DataFrame:
-    """Rows (package, id, type, refers_to, start, length) of all records."""
+    """Rows (package, id, type, refers_to, start, length) of all records that the packages' indexes list.
+
+    Archives and indexes are found by their names in the central directory. Ids, types and
+    references are null where an index of another writer doesn't name them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,25 +296,37 @@ def read_index(packages: DataFrame) -> DataFrame:
                 files, path = _open(uri)
                 with files.open_input_file(path) as f:
                     read = lambda at, n, f=f: f.read_at(n, at)
-                    members = central_directory(read, f.size())
-                    if members[DATA][2] or members[INDEX][2]:
+                    members = {k: m for k, m in central_directory(read, f.size()).items() if ARCHIVES.match(k) or INDEXES.match(k)}
+                    if any(method for _, _, method in members.values()):
                         raise ValueError(f"{uri}: members must be stored, not compressed")
-                    base, at = member_start(read, members[DATA][0]), member_start(read, members[INDEX][0])
-                    left, size, rest = at, members[INDEX][1], b""
-                    while left < at + size:  # the index in blocks, too
-                        block = rest + read(left, min(READ_BYTES, at + size - left))
-                        left = min(left + READ_BYTES, at + size)
-                        lines, _, rest = block.rpartition(b"\n")
-                        rows = [json.loads(x) for x in lines.splitlines()]
-                        yield pa.RecordBatch.from_pydict({
-                            "package": [uri] * len(rows), "id": pa.array([r["id"] for r in rows], pa.int64()), "type": [r["type"] for r in rows],
-                            "refers_to": pa.array([r["refers_to"] for r in rows], pa.int64()), "start": [base + r["offset"] for r in rows],
-                            "length": [r["length"] for r in rows]
-                        })
+                    archives = {k.rpartition("/")[2]: member_start(read, m[0]) for k, m in members.items() if ARCHIVES.match(k)}
+                    for name in sorted(k for k in members if INDEXES.match(k)):
+                        left = at = member_start(read, members[name][0])
+                        size, rest = members[name][1], b""
+                        while left < at + size:  # the index in blocks, too
+                            block = rest + read(left, min(READ_BYTES, at + size - left))
+                            left = min(left + READ_BYTES, at + size)
+                            lines, end, rest = block.rpartition(b"\n")
+                            if left == at + size:
+                                lines, rest = lines + end + rest, b""
+                            rows = [r for r in (index_entry(x, archives) for x in lines.splitlines()) if r]
+                            yield pa.RecordBatch.from_pydict({
+                                "package": [uri] * len(rows), "id": pa.array([r["id"] for r in rows], pa.int64()),
+                                "type": pa.array([r["type"] for r in rows], pa.string()), "refers_to": pa.array([r["refers_to"] for r in rows], pa.int64()),
+                                "start": pa.array([r["start"] for r in rows], pa.int64()), "length": pa.array([r["length"] for r in rows], pa.int64())
+                            })
 
     return packages.select("package").repartition("package").mapInArrow(run, "package string, id long, type string, refers_to long, start long, length long")
 
 
+def hex_digest(label: str | None) -> str | None:
+    """A SHA-1 label in hex; other writers put it in base 32. None for other digests or none."""
+    kind, _, digest = (label or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return base64.b32decode(digest.upper()).hex() if len(digest) == 32 else digest.lower()
+
+
 def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
     """Fetch the records of an index by byte range (see the module).
 
@@ -312,20 +356,24 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
                 data = f.read_at(group[-1][1] + group[-1][2] - first, first)
                 out = []
                 for _, start, length in group:
-                    warc, http, payload = parse_record(gzip.decompress(data[start - first : start - first + length]))
-                    digest = warc["WARC-Payload-Digest"].removeprefix("sha1:")
+                    record = data[start - first : start - first + length]
+                    warc, http, payload = parse_record(gzip.decompress(record) if record[:2] == b"\x1f\x8b" else record)
                     kind = warc["WARC-Type"]
-                    if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-                        raise ValueError(f"{opened}: digest of {warc['WARC-Record-ID']} differs")
+                    digest = hex_digest(warc.get("WARC-Payload-Digest"))
+                    if kind == "response":
+                        found = hashlib.sha1(payload).hexdigest()
+                        if digest not in (None, found):
+                            raise ValueError(f"{opened}: digest of {warc['WARC-Record-ID']} differs")
+                        digest = found
                     row = [
-                        warc["WARC-Record-ID"][1:-1], warc["WARC-Target-URI"], int(http["Content-Length"]), digest, kind,
+                        warc["WARC-Record-ID"][1:-1], warc.get("WARC-Target-URI"), int(http.get("Content-Length", len(payload))), digest, kind,
                         warc.get("WARC-Refers-To", "<>")[1:-1]
                     ]
-                    out.append([*row, payload.decode() if kind == "response" and with_payload else None])
+                    out.append([*row, payload.decode(errors="replace") if kind == "response" and with_payload else None])
                 ids, urls, sizes, digests, kinds, refers, payloads = zip(*out)
-                number = lambda x: None if x in ("", "urn:row:None") else int(x.rpartition(":")[2])
+                number = lambda x: int(x[8:]) if x.startswith("urn:row:") and x != "urn:row:None" else None
                 columns = [
-                    pa.array(map(number, ids), pa.int64()), pa.array(urls), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(kinds),
+                    pa.array(map(number, ids), pa.int64()), pa.array(urls, pa.string()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(kinds, pa.string()),
                     pa.array(map(number, refers), pa.int64())
                 ]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(payloads, pa.string())] * with_payload)], names)
