@@ -94,6 +94,27 @@ def a08(spark, d):
     return io.read_jdbc(spark, _database(spark, d), query=text, **_DRIVER)
 
 
+def _bucket(spark, d) -> str:
+    """A bucket of an object store that is mounted on the tables' folder: Hadoop's mount table stands in for the store."""
+    import hashlib
+
+    conf, view = spark.sparkContext._jsc.hadoopConfiguration(), "org.apache.hadoop.fs.viewfs.ViewFileSystemOverloadScheme"
+    if conf.get("fs.gs.impl") not in (None, view):
+        raise ValueError("this session has an object store of that kind already")
+    bucket = "tables" + hashlib.md5(d.encode()).hexdigest()[:12]
+    conf.set("fs.gs.impl", view)
+    conf.set("fs.viewfs.overload.scheme.target.gs.impl", "org.apache.hadoop.fs.LocalFileSystem")
+    conf.set(f"fs.viewfs.mounttable.{bucket}.link./tables", d if "://" in d else f"file:{d}")
+    return bucket
+
+
+@query("a10_object_scan", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 1000")
+def a10(spark, d):
+    """Columns and filter reach the scan of the object."""
+    found = io.read_dataset(spark, io.object_uri("gcs", _bucket(spark, d), "/tables/orders.parquet"))
+    return found.filter("o_totalprice > 1000").select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
 @query("a11_rest_pages", "SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_acctbal FROM supplier")
 def a11(spark, d):
     """The suppliers as pages of a local service, each naming the next; read whole, then stored, before the service ends."""
