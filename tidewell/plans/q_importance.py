@@ -47,7 +47,10 @@ def k02(spark, d):
     return _r(K.class_distribution(t(spark, d, "labels"), "quality"), 4, "pct")
 
 
-@query("k03_feature_matrix")
+@query(
+    "k03_feature_matrix",
+    f"{_W}SELECT 5 AS width, CAST(rank() OVER (ORDER BY quality) - 1 AS DOUBLE) AS label, n FROM (SELECT CAST(quality AS VARCHAR) AS quality, count(*) AS n FROM f GROUP BY 1)"
+)
 def k03(spark, d):
     from pyspark.ml.functions import vector_to_array
 
@@ -197,6 +200,6 @@ def k18(spark, d):
     return T.interactions(model, data[0], [c for _, c in top])
 
 
-@query("k19_method_groups")
+@query("k19_method_groups", f"{_W.rstrip()}, {_PSI} {_MI}")
 def k19(spark, d):
-    return K.feature_importance(_cls(spark, d), "quality", ("mi",))["mi"]
+    return _r(K.feature_importance(_cls(spark, d), "quality", ("mi",))["mi"], 6, "mi")
