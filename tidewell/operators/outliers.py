@@ -98,26 +98,30 @@ def isolation_forest(
         return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "low", "high", "path"])
 
     forest = drawn.groupBy("tree").applyInPandas(grow, "tree int, node int, feature int, cut double, low int, high int, path double").toPandas()
-    shared = df.sparkSession.sparkContext.broadcast([
-        g.sort_values("node")[["feature", "cut", "low", "high", "path"]].to_numpy() for _, g in forest.groupby("tree")
-    ])
+    # all trees in one table; a leaf leads to itself
+    forest = forest.sort_values(["tree", "node"], ignore_index=True)
+    roots = np.flatnonzero(forest["node"].to_numpy() == 0)
+    offset = np.repeat(roots, np.diff(np.append(roots, len(forest))))
+    leaf, own = forest["feature"].to_numpy() < 0, np.arange(len(forest))
+    low, high = (np.where(leaf, own, forest[c].to_numpy() + offset) for c in ("low", "high"))
+    steps = int(np.ceil(np.log2(max(2, size))))
+    tables = (np.maximum(forest["feature"].to_numpy(), 0), forest["cut"].to_numpy(float), np.stack([high, low], 1).ravel(), forest["path"].to_numpy(float), roots)
+    shared = df.sparkSession.sparkContext.broadcast(tables)
     norm = max(_mean_path(size), 1e-9)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        feature, cut, both, path, roots = shared.value
         for b in batches:
             x = b[[f"c{i}" for i in range(k)]].to_numpy()
-            path = np.zeros(len(x))
-            for t in shared.value:
-                at = np.zeros(len(x), int)
-                while True:
-                    f = t[at, 0].astype(int)
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    go = np.where(x[np.arange(len(x)), np.maximum(f, 0)] < t[at, 1], t[at, 2], t[at, 3]).astype(int)
-                    at = np.where(inner, go, at)
-                path += t[at, 4]
-            b["score"] = 2.0 ** (-path / len(shared.value) / norm)
+            found = np.zeros(len(x))
+            for a in range(0, len(x), 2048):
+                part = x[a : a + 2048]
+                flat, first, at = part.ravel(), np.arange(len(part))[:, None] * k, np.repeat(roots[None, :], len(part), 0)
+                for _ in range(steps):
+                    left = flat.take(feature.take(at) + first) < cut.take(at)
+                    at = both.take(2 * at + left)
+                found[a : a + 2048] = path.take(at).mean(1) if len(roots) else 0.0
+            b["score"] = 2.0 ** (-found / norm)
             yield b[[*keys, "score"]]
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)

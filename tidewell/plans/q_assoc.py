@@ -259,7 +259,7 @@ def j02(spark, d):
 
 @query("j03_isolation_forest")
 def j03(spark, d):
-    out = U.isolation_forest(_spiked(spark, d), ["price", "qty"], ["l_orderkey", "l_linenumber"], trees=25)
+    out = U.isolation_forest(_spiked(spark, d), ["price", "qty"], ["l_orderkey", "l_linenumber"])
     return out.groupBy("outlier").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 3).alias("score"))
 
 
