@@ -73,7 +73,7 @@ def isolation_forest(
     k = len(columns)
     total = rows.agg(F.count(F.lit(1)).alias("__t"))
     # the trees of a row are drawn in its own array, so that most rows make no row at all
-    drawn_by = lambda t: F.pmod(F.xxhash64(*keys, t, F.lit(seed)), F.lit(1 << 40)) * F.col("__t") <= F.lit(float(1 << 40)) * size * 1.5
+    drawn_by = lambda t: F.pmod(F.xxhash64(*keys, t, F.lit(seed)), F.lit(1 << 40)) * F.col("__t").cast("double") <= F.lit(float(1 << 40)) * size * 1.5
     mine = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), drawn_by)
     drawn = rows.crossJoin(F.broadcast(total)).withColumn("tree", F.explode(mine)).drop("__t")
 
@@ -105,22 +105,26 @@ def isolation_forest(
     leaf, own = forest["feature"].to_numpy() < 0, np.arange(len(forest))
     low, high = (np.where(leaf, own, forest[c].to_numpy() + offset) for c in ("low", "high"))
     steps = int(np.ceil(np.log2(max(2, size))))
-    tables = (np.maximum(forest["feature"].to_numpy(), 0), forest["cut"].to_numpy(float), np.stack([high, low], 1).ravel(), forest["path"].to_numpy(float), roots)
-    shared = df.sparkSession.sparkContext.broadcast(tables)
+    nodes = (np.maximum(forest["feature"].to_numpy(), 0), forest["cut"].to_numpy(float), np.stack([high, low], 1).ravel(), forest["path"].to_numpy(float))
+    tables = _tables(forest, nodes, roots, steps, k)
+    shared = df.sparkSession.sparkContext.broadcast((nodes, roots, *tables))
     norm = max(_mean_path(size), 1e-9)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        feature, cut, both, path, roots = shared.value
+        nodes, roots, edges, looked_up = shared.value
+        walked = np.array([t for t in range(len(roots)) if t not in looked_up], int)
         for b in batches:
             x = b[[f"c{i}" for i in range(k)]].to_numpy()
             found = np.zeros(len(x))
             for a in range(0, len(x), 2048):
                 part = x[a : a + 2048]
-                flat, first, at = part.ravel(), np.arange(len(part))[:, None] * k, np.repeat(roots[None, :], len(part), 0)
-                for _ in range(steps):
-                    left = flat.take(feature.take(at) + first) < cut.take(at)
-                    at = both.take(2 * at + left)
-                found[a : a + 2048] = path.take(at).mean(1) if len(roots) else 0.0
+                place = [np.searchsorted(e, part[:, j], "right") for j, e in enumerate(edges)]
+                paths = np.zeros((len(part), len(roots)))
+                for t, (steps_of, table) in looked_up.items():
+                    paths[:, t] = table.take(sum(s.take(p) for s, p in zip(steps_of, place)))
+                if len(walked):
+                    paths[:, walked] = _walk(part, nodes, roots[walked], steps)
+                found[a : a + 2048] = paths.mean(1) if len(roots) else 0.0
             b["score"] = 2.0 ** (-found / norm)
             yield b[[*keys, "score"]]
 
@@ -130,6 +134,42 @@ def isolation_forest(
     return scored.crossJoin(F.broadcast(limit)).select(*keys, "score", (F.col("score") > F.col("__limit")).alias("outlier"))
 
 
+#: Cells of a tree's table; trees with more are walked.
+TREE_CELLS = 1 << 15
+
+
+def _walk(x: np.ndarray, nodes: tuple[np.ndarray, ...], roots: np.ndarray, steps: int) -> np.ndarray:
+    """Rows x trees: the path lengths, from node to node."""
+    feature, cut, both, path = nodes
+    flat, first, at = x.ravel(), np.arange(len(x))[:, None] * x.shape[1], np.repeat(roots[None, :], len(x), 0)
+    for _ in range(steps):
+        at = both.take(2 * at + (flat.take(feature.take(at) + first) < cut.take(at)))
+    return path.take(at)
+
+
+def _tables(forest: pd.DataFrame, nodes: tuple[np.ndarray, ...], roots: np.ndarray, steps: int, k: int) -> tuple[list[np.ndarray], dict]:
+    """The cuts of all trees per feature, and per tree the path length in each cell of the grid of its own cuts.
+
+    A tree's table comes with one array per feature that leads from a place among all cuts to
+    the cell; trees whose grid is larger than ``TREE_CELLS`` (three features or more) have none.
+    """
+    inner = forest[forest["feature"] >= 0]
+    edges = [np.unique(inner.loc[inner["feature"] == j, "cut"].to_numpy(float)) for j in range(k)]
+    out = {}
+    for t, tree in enumerate(forest["tree"].unique()):
+        mine = inner[inner["tree"] == tree]
+        cuts = [np.unique(mine.loc[mine["feature"] == j, "cut"].to_numpy(float)) for j in range(k)]
+        shape = [len(c) + 1 for c in cuts]
+        if np.prod(shape, dtype=float) > TREE_CELLS:
+            continue
+        # a cell holds its lower edges
+        grid = np.stack(np.meshgrid(*(np.append(-np.inf, c) for c in cuts), indexing="ij"), -1).reshape(-1, k)
+        strides = np.cumprod([1, *shape[:0:-1]])[::-1]
+        steps_of = [(np.searchsorted(c, np.append(-np.inf, e), "right") * s).astype(np.int32) for c, e, s in zip(cuts, edges, strides)]
+        out[t] = steps_of, _walk(grid, nodes, roots[t : t + 1], steps)[:, 0]
+    return edges, out
+
+
 def _mean_path(n: int) -> float:
     """Mean path length of an unsuccessful search among n values."""
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
