@@ -44,7 +44,8 @@ def interpolate(s: DataFrame, keys: list[str]) -> DataFrame:
     w = _by(keys)
     known = F.when(F.col("value").isNotNull(), F.struct("pos", "value"))
     a = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # from the end on: a frame that ends with the series would be gone through anew for every row
+    b = F.last(known, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, 0))
     j = s.withColumns({"__a": a, "__b": b})
     step = F.try_divide(F.col("__b.value") - F.col("__a.value"), (F.col("__b.pos") - F.col("__a.pos")).cast("double"))
     mid = F.col("__a.value") + step * (F.col("pos") - F.col("__a.pos"))
