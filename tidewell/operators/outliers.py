@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.cleaning import name, numeric_columns, share
@@ -179,9 +180,67 @@ def _mean_path(n: int) -> float:
 HEAVY_CELL, MOST_ASKED = 10_000, 2_000_000
 
 
-def density_noise(df: DataFrame, columns: list[str], key: str, eps: float = 0.5, least: int = 5) -> DataFrame:
+#: Points of a block whose neighbours are counted at once, and distances held at a time.
+BLOCK_POINTS, MOST_DISTANCES = 5000, 1 << 18
+
+
+def neighbour_counts(points: DataFrame, k: int, eps: float) -> DataFrame:
+    """Rows (z, neighbours): the weight ``n`` of all points within ``eps`` of each distinct point ``z``, itself included.
+
+    Wide cells over the first three columns are cut into blocks of ``BLOCK_POINTS`` points. Pairs of
+    blocks that lie within ``eps`` as a whole, by their boxes, add a total; only pairs across the
+    edge are compared, a pair of blocks at a time.
+    """
+    g = min(k, 3)
+    wide = lambda v: F.floor(v / eps).cast("long")
+    placed = points.withColumn("w", F.array(*(wide(F.col("z")[i]) for i in range(g))))
+    placed = placed.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("w").orderBy("z")) - 1) / BLOCK_POINTS))
+    side = lambda f: F.array(*(f(F.col("z")[i]) for i in range(k)))
+    blocks = placed.groupBy("w", "part").agg(
+        F.collect_list("z").alias("zs"), F.collect_list("n").alias("ns"), F.sum("n").alias("total"), side(F.min).alias("low"), side(F.max).alias("high")
+    )
+    mine = blocks.select(F.col("w").alias("aw"), F.col("part").alias("apart"), F.col("low").alias("alow"), F.col("high").alias("ahigh"))
+    near = mine
+    for i in range(g):
+        near = near.withColumn(f"o{i}", F.explode(F.array(*(F.col("aw")[i] + o for o in (-1, 0, 1)))))
+    near = near.withColumn("w", F.array(*(f"o{i}" for i in range(g)))).drop(*(f"o{i}" for i in range(g)))
+    near = near.join(blocks.select("w", "part", "low", "high", "total"), "w")
+    square = lambda x, y, f: F.aggregate(F.zip_with(x, y, f), F.lit(0.0), lambda a, v: a + v * v)
+    spans = F.zip_with("alow", "high", lambda a, b: b - a), F.zip_with("low", "ahigh", lambda a, b: b - a)
+    gaps = F.zip_with("ahigh", "low", lambda a, b: b - a), F.zip_with("high", "alow", lambda a, b: b - a)
+    near = near.withColumns({"far": square(*spans, lambda a, b: F.greatest(a, b)), "gap": square(*gaps, lambda a, b: F.greatest(a, b, F.lit(0.0)))})
+    near = near.filter(F.col("gap") <= eps * eps)
+    whole = near.filter(F.col("far") <= eps * eps).groupBy("aw", "apart").agg(F.sum("total").alias("neighbours"))
+    whole = whole.join(placed.select(F.col("w").alias("aw"), F.col("part").alias("apart"), "z"), ["aw", "apart"]).select("z", "neighbours")
+    partly = near.filter(F.col("far") > eps * eps).select("aw", "apart", "w", "part")
+    asking = blocks.select(F.col("w").alias("aw"), F.col("part").alias("apart"), F.col("zs").alias("asking"))
+    partly = partly.join(asking, ["aw", "apart"]).join(blocks.select("w", "part", "zs", "ns"), ["w", "part"]).select("asking", "zs", "ns")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked = batch.column(0)[i].values
+                a, b = (c.flatten().to_numpy(zero_copy_only=False).reshape(-1, k) for c in (asked, batch.column(1)[i].values))
+                n, found = batch.column(2)[i].values.to_numpy(), np.zeros(len(a), np.int64)
+                step = max(1, MOST_DISTANCES // len(b))
+                for at in range(0, len(a), step):
+                    d = np.zeros((len(a[at : at + step]), len(b)))
+                    for j in range(k):
+                        gap = a[at : at + step, j, None] - b[None, :, j]
+                        d += gap * gap
+                    found[at : at + step] = (d <= eps * eps) @ n
+                yield pa.RecordBatch.from_arrays([asked, pa.array(found)], ["z", "neighbours"])
+
+    spark = points.sparkSession
+    compared = partly.repartition(max(32, spark.sparkContext.defaultParallelism * 4)).mapInArrow(compare, "z array<double>, neighbours long")
+    return whole.unionByName(compared).groupBy("z").agg(F.sum("neighbours").alias("neighbours"))
+
+
+def density_noise(df: DataFrame, columns: list[str], key: str, eps: float = 0.5, least: int = 5, counts: bool = False) -> DataFrame:
     """Rows (key, core, noise): points with ``least`` points (itself counted) within ``eps``, and those that no such point is near.
 
+    With ``counts`` there is a column ``neighbours``: how many points are within ``eps``, itself counted.
+
     Columns are standardised; equal points are one with their number. Points fall into cells
     so narrow that all points of a cell are within ``eps`` of each other: a cell with ``least``
     points is core as a whole, without a comparison. Only points of thinner cells look
@@ -229,8 +288,8 @@ def density_noise(df: DataFrame, columns: list[str], key: str, eps: float = 0.5,
         pairs = into.join(points, "cell")
     pairs = pairs.filter(distance <= eps * eps).select("a", "z", "n", "dense")
 
-    counts = seen.filter("whole").select(F.col("z").alias("a"), F.col("total").alias("n")).unionByName(pairs.select("a", "n"))
-    core_thin = counts.groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select(F.col("a").alias("z"))
+    found = seen.filter("whole").select(F.col("z").alias("a"), F.col("total").alias("n")).unionByName(pairs.select("a", "n"))
+    core_thin = found.groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select(F.col("a").alias("z"))
     # near a core point: of a dense cell, or a thin one
     core_cells = core_thin.withColumn("cell", fine).select("cell").distinct()
     by_cell = seen.filter("whole AND dense").select("z").unionByName(seen.filter("whole AND NOT dense").join(core_cells, "cell", "left_semi").select("z"))
@@ -240,5 +299,8 @@ def density_noise(df: DataFrame, columns: list[str], key: str, eps: float = 0.5,
     flags = thin.select("z").join(core_thin.withColumn("core", F.lit(True)), "z", "left").join(reached.withColumn("reached", F.lit(True)), "z", "left")
     flags = flags.select("z", F.coalesce("core", F.lit(False)).alias("core"), F.coalesce("core", "reached", F.lit(False)).alias("held"))
     # points of dense cells are not in ``flags``; a crowd of one point is one row of it at most
+    more = []
+    if counts:
+        flags, more = neighbour_counts(points.select("z", "n"), k, eps).join(flags, "z", "left"), ["neighbours"]
     out = rows.join(flags, "z", "left")
-    return out.select(F.col("key").alias(key), F.coalesce("core", F.lit(True)).alias("core"), F.coalesce(~F.col("held"), F.lit(False)).alias("noise"))
+    return out.select(F.col("key").alias(key), *more, F.coalesce("core", F.lit(True)).alias("core"), F.coalesce(~F.col("held"), F.lit(False)).alias("noise"))

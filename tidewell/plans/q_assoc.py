@@ -268,11 +268,11 @@ _DB = "WITH s AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS s, avg(k)
 
 @query(
     "j04_density_noise",
-    f"{_DB} SELECT n.c_custkey, neighbours >= 5 AS core, NOT EXISTS (SELECT 1 FROM core c, z WHERE z.c_custkey = n.c_custkey AND power(z.x - c.x, 2) + power(z.y - c.y, 2) <= 0.0064) AS noise FROM n"
+    f"{_DB} SELECT n.c_custkey, neighbours, NOT EXISTS (SELECT 1 FROM core c, z WHERE z.c_custkey = n.c_custkey AND power(z.x - c.x, 2) + power(z.y - c.y, 2) <= 0.0064) AS noise FROM n"
 )
 def j04(spark, d):
     df = t(spark, d, "customer").selectExpr("c_custkey", "c_acctbal", "c_custkey * c_custkey % 1009 AS k")
-    return U.density_noise(df, ["c_acctbal", "k"], "c_custkey", eps=0.08)
+    return U.density_noise(df, ["c_acctbal", "k"], "c_custkey", eps=0.08, counts=True).select("c_custkey", "neighbours", "noise")
 
 
 @query(
