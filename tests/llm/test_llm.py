@@ -334,6 +334,38 @@ def test_html_boilerplate_counts_distinct_pages(spark):
         assert (r["removed"] > 0) == (r["host"] == "a.example")
 
 
+def test_html_suffix_array_by_ranges(spark):
+    """Suffixes come in order over all ranges; intervals cut by them are whole again, as against a naive count."""
+    rng = random.Random(5)
+    parsed = []
+    for i in range(60):
+        words = lambda n: " ".join(rng.choice("ab\u00e9") for _ in range(n))
+        loose = [words(rng.randint(0, 9)) for _ in range(rng.randint(1, 3))] + ["one line on all of the pages"]
+        parsed.append((rng.choice("xxy"), html_text.LOOSE if rng.random() < 0.8 else html_text.ARTICLE, loose, [words(8)], rng.randint(1, 25), i))
+    df = spark.createDataFrame(parsed, "host string, place int, texts array<string>, others array<string>, digest long, row long")
+    seen, places = {}, []
+    for host, place, texts, others, digest, row in parsed:
+        for t, inside in ((texts, True), (others, False)):
+            w = " ".join(t).split()
+            for i in range(len(w) - html_text.RUN + 1) if place == html_text.LOOSE or not inside else ():
+                seen.setdefault((host, tuple(w[i : i + html_text.RUN])), set()).add(digest)
+                places += [(row, i, host, tuple(w[i : i + html_text.RUN]))] if inside else []
+    want = sorted((row, i) for row, i, *key in places if len(seen[tuple(key)]) >= 3)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for ranges in ("1", "9", "60"):
+            spark.conf.set("spark.sql.shuffle.partitions", ranges)
+            array = html_text.suffix_array(html_text.suffixes(df))
+            ordered = [tuple(r) for p in array.rdd.glom().collect() for r in p]
+            assert [(h, s.encode(), d, r) for h, s, d, r, _ in ordered] == sorted((h, s.encode(), d, r) for h, s, d, r, _ in ordered)
+            assert sorted((r["row"], r["at"]) for r in html_text.repeated(df).collect()) == want
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert 0 < len(want) < len(places)
+
+
 def test_language_id(spark):
     words = {
         "en": "the and of to ship house water light".split(), "de": "der und das schön haus wasser licht über".split(),
