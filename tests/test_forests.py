@@ -195,3 +195,25 @@ def test_odd_matrices(spark):
     assert all(t.feature == [-1] for t in model.grown) and T.predict(model, np.ones((1, K)))[0, 0] == 1
     empty = T.grow(one.limit(0), NAMES, True, trees=2, depth=3)
     assert T.mean_abs_shapley(empty, T.binned(one.limit(0), NAMES, True)[0]).filter(F.col("importance") > 0).count() == 0
+
+
+def test_explained_rows_are_dealt_over_tasks(spark, rows, regression, monkeypatch):
+    """k18, k16: a task for so many different rows each; the tables serve all blocks of a task."""
+    data, _, _ = T.binned(matrix(spark, *rows), NAMES, False)
+    want = {r["feature"]: r["importance"] for r in T.mean_abs_shapley(regression, data).collect()}
+    monkeypatch.setattr(T, "EXPLAINED_ROWS", 50)
+    monkeypatch.setattr(T, "TABLE_CELLS", 500)
+    equal = T.equal_rows(data)
+    assert equal.rdd.getNumPartitions() == -(-equal.count() // 50) > 4
+    assert {r["feature"]: r["importance"] for r in T.mean_abs_shapley(regression, data).collect()} == pytest.approx(want, rel=1e-12)
+    bins = regression.bins(rows[0])
+    by = T.grouped(regression)
+    parts = [T.explain(regression, bins[i : i + 90], True, by) for i in range(0, len(bins), 90)]
+    for c in (1, 2):
+        assert np.allclose(np.concatenate([p[c] for p in parts]), T.explain(regression, bins, True)[c], atol=1e-13)
+
+
+def test_a_leaf_that_no_row_reaches():
+    model = T.Forest(["a"], [], 0, 1, 1, "one", 0, [T.Tree([0, -1, 0, -1, -1], [3, 0, 2, 0, 0], [1, -1, 3, -1, -1], [np.array([4.0, 4, 0]), np.array([2.0, 0, 0]), np.array([2.0, 4, 0]), np.array([1.0, 1, 0]), np.array([1.0, 3, 0])])])
+    base, phi, _ = T.explain(model, np.array([[0], [3], [4], [64]], np.uint8))
+    assert base[0] == 1 and phi[:, 0, 0].tolist() == [-1, -1, 2, 2]

@@ -39,6 +39,8 @@ _CUTS = np.array([np.cumsum([np.exp(-m) * m**i / np.prod(np.arange(1, i + 1), dt
 DENSE_CELLS = 4_000_000
 #: Copies of one row in one record, and copies times trees weighed at a time.
 MOST_COPIES, MOST_WEIGHTS = 4096, 2_000_000
+#: Different rows in a task that explains them, numbers in tables by flag pattern made at a time.
+EXPLAINED_ROWS, TABLE_CELLS = 4096, 2_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -475,53 +477,80 @@ def leaves(model: Forest, tree: int) -> Iterator[Leaf]:
             open_.append((child, path | {f: (a, b, share * model.cover(t.stats[child]) / whole)}))
 
 
-def _products(share: np.ndarray, left_out: list[tuple[int, ...]]) -> np.ndarray:
-    """Flag patterns x ``left_out``: the integral of the product over the other features."""
-    m = len(share)
+@dataclass
+class Leaves:
+    """The leaves of all trees that ask for the same features."""
+
+    features: list[int]
+    low: np.ndarray  # leaves x features: passes if bin - low < span, in bytes that wrap around
+    span: np.ndarray
+    share: np.ndarray
+    value: np.ndarray
+
+
+def grouped(model: Forest) -> tuple[np.ndarray, list[Leaves]]:
+    """Base values, and all leaves by the features on their paths."""
+    base, by = np.zeros(model.classes or 1), {}
+    for t in range(len(model.grown)):
+        for leaf in leaves(model, t):
+            base += leaf.value * leaf.share.prod()
+            if leaf.features:
+                by.setdefault(tuple(leaf.features), []).append(leaf)
+    out = []
+    for features, found in by.items():
+        low, high, share, value = (np.stack([getattr(leaf, c) for leaf in found]) for c in ("low", "high", "share", "value"))
+        out.append(Leaves(list(features), (low + 1).astype(np.uint8), np.maximum(np.minimum(high, 255) - low, 0).astype(np.uint8), share, value))
+    return base / len(model.grown), out
+
+
+def _tables(share: np.ndarray, value: np.ndarray, couples: list[tuple[int, int]]) -> np.ndarray:
+    """Leaves x flag patterns x (features, then couples, each by outputs): what a row of that pattern adds."""
+    m = share.shape[1]
     nodes, weights = np.polynomial.legendre.leggauss(max(1, (m + 1) // 2))
     s, w = (nodes + 1) / 2, weights / 2
     flags = (np.arange(1 << m)[:, None] >> np.arange(m)[None, :]) & 1
-    terms = share[None, :, None] * (1 - s) + flags[:, :, None] * s  # patterns x features x nodes
-    return np.stack([np.delete(terms, list(out), axis=1).prod(1) @ w for out in left_out], axis=1) if left_out else np.zeros((1 << m, 0))
-
+    terms = share[:, None, :, None] * (1 - s) + flags[None, :, :, None] * s  # leaves x patterns x features x nodes
+    apart = flags[None] - share[:, None, :]
+    out = [apart[..., i] * (np.delete(terms, i, axis=2).prod(2) @ w) for i in range(m)]
+    out += [apart[..., i] * apart[..., j] * (np.delete(terms, (i, j), axis=2).prod(2) @ w) / 2 for i, j in couples]
+    return (np.stack(out, axis=2)[..., None] * value[:, None, None, :]).reshape(len(share), 1 << m, -1)
 
-def _patterns(leaf: Leaf, bins: np.ndarray) -> np.ndarray:
-    code = np.zeros(len(bins), np.int64)
-    for i, f in enumerate(leaf.features):
-        b = bins[:, f]
-        code |= ((b > leaf.low[i]) & (b <= leaf.high[i])).astype(np.int64) << i
-    return code
 
+def explain(
+    model: Forest, bins: np.ndarray, pairs: bool = False, by: tuple[np.ndarray, list[Leaves]] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Base values, Shapley values (rows x features x values) and, if asked, interactions (rows x features x features x values).
 
-def explain(model: Forest, bins: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Base values, Shapley values (rows x features x values) and, if asked, interactions (rows x features x features x values)."""
-    k, v = len(model.names), model.classes or 1
-    base, phi = np.zeros(v), np.zeros((len(bins), k, v))
+    ``by``: what :func:`grouped` gave, if it is there already. Tables are made for many leaves of one kind at a time.
+    """
+    k, v, n = len(model.names), model.classes or 1, len(model.grown)
+    base, groups = by or grouped(model)
+    phi = np.zeros((len(bins), k, v))
     both = np.zeros((len(bins), k, k, v)) if pairs else None
-    bins = bins.astype(np.int64)
-    for t in range(len(model.grown)):
-        for leaf in leaves(model, t):
-            m = len(leaf.features)
-            base += leaf.value * leaf.share.prod()
-            if not m:
-                continue
-            flags = ((np.arange(1 << m)[:, None] >> np.arange(m)[None, :]) & 1) - leaf.share[None, :]
-            code = _patterns(leaf, bins)
-            one = (flags * _products(leaf.share, [(i,) for i in range(m)]))[code]
-            for i, f in enumerate(leaf.features):
-                phi[:, f] += one[:, i, None] * leaf.value
-            if pairs and m > 1:
-                couples = list(combinations(range(m), 2))
-                table = _products(leaf.share, couples) / 2
-                for c, (i, j) in enumerate(couples):
-                    add = (table[:, c] * flags[:, i] * flags[:, j])[code][:, None] * leaf.value
-                    a, b = leaf.features[i], leaf.features[j]
-                    both[:, a, b] += add
-                    both[:, b, a] += add
-    n = len(model.grown)
-    base, phi = base / n, phi / n
+    columns = np.ascontiguousarray(bins.T.astype(np.uint8))
+    for g in groups:
+        m = len(g.features)
+        couples = list(combinations(range(m), 2)) if pairs else []
+        total = np.zeros((len(bins), (m + len(couples)) * v))
+        found = np.empty_like(total)
+        kind = np.uint8 if m <= 8 else np.uint16 if m <= 16 else np.uint32
+        size = max(1, TABLE_CELLS // ((1 << m) * (m * (m + 1) // 2 + (m + len(couples)) * v)))
+        for at in range(0, len(g.share), size):
+            tables = _tables(g.share[at : at + size], g.value[at : at + size], couples)
+            for table, low, span in zip(tables, g.low[at : at + size], g.span[at : at + size]):
+                code = np.zeros(len(bins), kind)
+                for i, f in enumerate(g.features):
+                    code |= (columns[f] - low[i] < span[i]).astype(kind) << kind(i)
+                np.take(table, code, axis=0, out=found, mode="clip")
+                total += found
+        each = total.reshape(len(bins), m + len(couples), v) / n
+        for i, f in enumerate(g.features):
+            phi[:, f] += each[:, i]
+        for c, (i, j) in enumerate(couples):
+            a, b = g.features[i], g.features[j]
+            both[:, a, b] += each[:, m + c]
+            both[:, b, a] += each[:, m + c]
     if pairs:
-        both /= n
         every = np.arange(k)
         both[:, every, every] = phi - both.sum(2)
     return base, phi, both
@@ -534,10 +563,11 @@ def shapley_values(model: Forest, matrix: DataFrame) -> DataFrame:
     k = len(model.names)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = grouped(model)
         for b in batches:
             if b.num_rows:
                 x = _matrix(b.column(0), k)
-                base, phi, _ = explain(model, model.bins(x))
+                base, phi, _ = explain(model, model.bins(x), by=by)
                 yield pa.record_batch({
                     "x": b.column(0), "base": pa.array([base.tolist()] * len(x)), "values": pa.array(phi.tolist()), "prediction": pa.array(predict(model, x).tolist())
                 })
@@ -545,18 +575,24 @@ def shapley_values(model: Forest, matrix: DataFrame) -> DataFrame:
     return matrix.select(vector_to_array("features").alias("x")).mapInArrow(made, "x array<double>, base array<double>, values array<array<double>>, prediction array<double>")
 
 
+def equal_rows(data: DataFrame) -> DataFrame:
+    """Rows (bins, n), dealt over tasks by their number: few bytes, but much work a row, so that Spark would put all in one task."""
+    tasks = max(1, -(-data.select("bins").distinct().count() // EXPLAINED_ROWS))
+    return data.groupBy("bins").agg(F.sum("n").alias("n")).repartition(tasks, "bins")
+
+
 def _mean_abs(model: Forest, data: DataFrame, pairs: bool) -> DataFrame:
     """Rows (a, b, strength) over all copies of binned rows: means of absolute values, outputs averaged; b = -1 for Shapley values."""
     k = len(model.names)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((k, k + 1)), 0.0
+        total, n, by = np.zeros((k, k + 1)), 0.0, grouped(model)
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
+            for at in range(0, b.num_rows, EXPLAINED_ROWS):
+                part = b.slice(at, EXPLAINED_ROWS)
                 bins = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(-1, k)
                 w = part.column(1).to_numpy().astype(float)
-                _, phi, both = explain(model, bins, pairs)
+                _, phi, both = explain(model, bins, pairs, by)
                 total[:, k] += np.einsum("r,rfv->f", w, np.abs(phi)) / phi.shape[2]
                 if pairs:
                     total[:, :k] += np.einsum("r,rfgv->fg", w, np.abs(both)) / both.shape[3]
@@ -566,8 +602,7 @@ def _mean_abs(model: Forest, data: DataFrame, pairs: bool) -> DataFrame:
         flat = total.ravel()[keep]
         yield pa.record_batch([pa.array(a[keep].astype(np.int32)), pa.array(np.where(b[keep] == k, -1, b[keep]).astype(np.int32)), pa.array(flat), pa.array(np.full(len(flat), n))], ["a", "b", "s", "n"])
 
-    equal = data.groupBy("bins").agg(F.sum("n").alias("n"))
-    return equal.mapInArrow(made, "a int, b int, s double, n double").groupBy("a", "b").agg((F.sum("s") / F.sum("n")).alias("strength"))
+    return equal_rows(data).mapInArrow(made, "a int, b int, s double, n double").groupBy("a", "b").agg((F.sum("s") / F.sum("n")).alias("strength"))
 
 
 def mean_abs_shapley(model: Forest, data: DataFrame) -> DataFrame:
