@@ -217,3 +217,17 @@ def test_a_leaf_that_no_row_reaches():
     model = T.Forest(["a"], [], 0, 1, 1, "one", 0, [T.Tree([0, -1, 0, -1, -1], [3, 0, 2, 0, 0], [1, -1, 3, -1, -1], [np.array([4.0, 4, 0]), np.array([2.0, 0, 0]), np.array([2.0, 4, 0]), np.array([1.0, 1, 0]), np.array([1.0, 3, 0])])])
     base, phi, _ = T.explain(model, np.array([[0], [3], [4], [64]], np.uint8))
     assert base[0] == 1 and phi[:, 0, 0].tolist() == [-1, -1, 2, 2]
+
+
+@pytest.mark.parametrize("name", ["k16_mean_abs_shapley", "k18_interactions"])
+def test_texts_are_read_once(spark, monkeypatch, name):
+    """The rows a forest is grown from come from features that are written out, not from the texts again."""
+    from tidewell.plans import catalog
+
+    def seen(matrix, *_, **__):
+        raise InterruptedError(" ".join(matrix.inputFiles()))
+
+    monkeypatch.setattr(T, "binned", seen)
+    with pytest.raises(InterruptedError) as e:
+        catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert "features" in str(e.value) and "documents" not in str(e.value)

@@ -31,6 +31,15 @@ def _cls(spark, d):
     return _features(spark, d).withColumn("quality", F.col("quality").cast("string"))
 
 
+def _matrix(spark, d, classification):
+    """The matrix of features that are taken from the texts once and written out, as a forest's rows are read many times."""
+    from .q_sources import _scratch
+
+    path = _scratch(spark, "features")
+    (_cls if classification else _features)(spark, d).write.parquet(path)
+    return K.feature_matrix(spark.read.parquet(path), "quality")
+
+
 @query(
     "k01_problem_type",
     "SELECT 'regression' AS problem_type, count(DISTINCT o_totalprice) AS classes, count(*) AS rows FROM orders UNION ALL SELECT 'classification', count(DISTINCT quality), count(*) FROM labels"
@@ -180,20 +189,20 @@ def k15(spark, d):
 
 @query("k16_mean_abs_shapley")
 def k16(spark, d):
-    rows, names = K.feature_matrix(_features(spark, d), "quality")
+    rows, names = _matrix(spark, d, False)
     data = T.binned(rows, names, False)
     return T.mean_abs_shapley(T.grow(rows, names, False, rows=data), data[0])
 
 
 @query("k17_stability")
 def k17(spark, d):
-    rows, names = K.feature_matrix(_cls(spark, d), "quality")
+    rows, names = _matrix(spark, d, True)
     return T.stability(T.grow(rows, names, True, refits=10, kind="bootstrap"), rows)
 
 
 @query("k18_interactions")
 def k18(spark, d):
-    rows, names = K.feature_matrix(_features(spark, d), "quality")
+    rows, names = _matrix(spark, d, False)
     data = T.binned(rows, names, False)
     model = T.grow(rows, names, False, rows=data)
     top = sorted(zip(-T.importances(model)[0], names))[:8]
