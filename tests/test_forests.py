@@ -231,3 +231,11 @@ def test_texts_are_read_once(spark, monkeypatch, name):
     with pytest.raises(InterruptedError) as e:
         catalog.queries()[name](spark, "/root/testdata/sf0.001")
     assert "features" in str(e.value) and "documents" not in str(e.value)
+
+
+def test_grown_rows_are_dealt_over_tasks(spark, rows, monkeypatch):
+    """k06: copies are weighed and scored by as many tasks as their number asks for, with the same trees."""
+    one, _, _ = T.binned(matrix(spark, *rows), NAMES, False)
+    monkeypatch.setattr(T, "GROWN_ROWS", 100)
+    data = T.binned(matrix(spark, *rows), NAMES, False)
+    assert data[0].rdd.getNumPartitions() == 5 and data[0].exceptAll(one).isEmpty() and one.exceptAll(data[0]).isEmpty()

@@ -39,8 +39,8 @@ _CUTS = np.array([np.cumsum([np.exp(-m) * m**i / np.prod(np.arange(1, i + 1), dt
 DENSE_CELLS = 4_000_000
 #: Copies of one row in one record, and copies times trees weighed at a time.
 MOST_COPIES, MOST_WEIGHTS = 4096, 2_000_000
-#: Different rows in a task that explains them, numbers in tables by flag pattern made at a time.
-EXPLAINED_ROWS, TABLE_CELLS = 4096, 2_000_000
+#: Copies of rows in a task that grows trees, different rows in one that explains them, numbers in tables by flag pattern made at a time.
+GROWN_ROWS, EXPLAINED_ROWS, TABLE_CELLS = 25_000, 4096, 2_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -132,8 +132,8 @@ def binned(matrix: DataFrame, names: list[str], classification: bool, bins: int
 
     x = matrix.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("label"))
     points = [i / bins for i in range(1, bins)]
-    seen = x.agg(F.max("label"), *(F.percentile_approx(F.element_at("x", i + 1), points, 10_000) for i in range(len(names)))).first()
-    edges = [np.unique(np.array(q or [], float)) for q in seen[1:]]
+    seen = x.agg(F.max("label"), *(F.percentile_approx(F.element_at("x", i + 1), points, 10_000) for i in range(len(names))), F.count(F.lit(1))).first()
+    edges = [np.unique(np.array(q or [], float)) for q in seen[1:-1]]
     classes = int(seen[0] or 0) + 1 if classification else 0
     model = Forest(names, edges, classes, 0, 0, "one", 0)
     k = len(names)
@@ -148,8 +148,10 @@ def binned(matrix: DataFrame, names: list[str], classification: bool, bins: int
     rows = rows.withColumn("key", F.xxhash64("bins", "label"))
     few = rows.filter(F.col("n") <= MOST_COPIES).withColumn("skip", F.lit(0).cast("long"))
     many = rows.filter(F.col("n") > MOST_COPIES).withColumn("skip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(MOST_COPIES).cast("long"))))
-    many = many.withColumn("n", F.least(F.lit(MOST_COPIES).cast("long"), F.col("n") - F.col("skip"))).repartition("key", "skip")
-    return few.select("bins", "label", "key", "n", "skip").unionByName(many.select("bins", "label", "key", "n", "skip")), edges, classes
+    many = many.withColumn("n", F.least(F.lit(MOST_COPIES).cast("long"), F.col("n") - F.col("skip")))
+    dealt = few.select("bins", "label", "key", "n", "skip").unionByName(many.select("bins", "label", "key", "n", "skip"))
+    # few bytes, but much work a copy: without a number all would be put together in one task
+    return dealt.repartition(max(1, -(-seen[-1] // GROWN_ROWS)), "key", "skip"), edges, classes
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], width: int, trees: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
