@@ -239,3 +239,10 @@ def test_grown_rows_are_dealt_over_tasks(spark, rows, monkeypatch):
     monkeypatch.setattr(T, "GROWN_ROWS", 100)
     data = T.binned(matrix(spark, *rows), NAMES, False)
     assert data[0].rdd.getNumPartitions() == 5 and data[0].exceptAll(one).isEmpty() and one.exceptAll(data[0]).isEmpty()
+
+
+def test_pairs_explain_the_rows_once(spark, rows, regression):
+    """k18: the strength of a pair and of both sides alone come from one pass over the rows."""
+    data, _, _ = T.binned(matrix(spark, *rows), NAMES, False)
+    plan = T.interactions(regression, data, NAMES)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow made(") == 1

@@ -617,13 +617,15 @@ def interactions(model: Forest, data: DataFrame, features: list[str]) -> DataFra
     """Rows (feature_a, feature_b, strength, a_alone, b_alone, combined) for pairs of the named features."""
     found = _mean_abs(model, data, True)
     index = [model.names.index(f) for f in features]
-    main = found.filter("a = b").select("a", F.col("strength").alias("alone"))
-    pairs = found.filter((F.col("b") >= 0) & (F.col("a") != F.col("b")) & F.col("a").isin(index) & F.col("b").isin(index))
     order = F.array(*map(F.lit, index))
+    # at most features squared rows, in one row: the explaining job is not run again for each side of a pair
+    one = found.agg(
+        F.collect_list(F.struct("a", "b", "strength")).alias("all"), F.map_from_entries(F.collect_list(F.when(F.col("a") == F.col("b"), F.struct("a", "strength")))).alias("alone")
+    )
+    pairs = one.select("alone", F.explode("all").alias("p")).select("alone", "p.*")
+    pairs = pairs.filter((F.col("b") >= 0) & (F.col("a") != F.col("b")) & F.col("a").isin(index) & F.col("b").isin(index))
     pairs = pairs.filter(F.array_position(order, F.col("a")) < F.array_position(order, F.col("b")))
-    # at most features squared rows each
-    both = pairs.join(F.broadcast(main.withColumnRenamed("alone", "a_alone")), "a")
-    both = both.join(F.broadcast(main.select(F.col("a").alias("b"), F.col("alone").alias("b_alone"))), "b")
+    both = pairs.withColumns({"a_alone": F.col("alone")[F.col("a")], "b_alone": F.col("alone")[F.col("b")]})
     labels = F.array(*map(F.lit, model.names))
     return both.select(
         F.element_at(labels, F.col("a") + 1).alias("feature_a"), F.element_at(labels, F.col("b") + 1).alias("feature_b"), "strength", "a_alone", "b_alone",
